@@ -6,6 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_documents
+from .code_search import search_vectors
+from .html_text import main_text
+from .quality import score_quality
 from .shared import read_table
 from .simhash import near_duplicates
 from .token_counts import count_tokens
@@ -20,6 +23,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(read_table(spark, sf_dir, "pages"))
 
 
+def op4_code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_vectors(read_table(spark, sf_dir, "embeddings"), every=50, k=10)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=4, distance=4)
 
@@ -28,7 +35,15 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_encode, op3_warc, op5_simhash, op6_token_counts)}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(read_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe_encode, op3_warc, op4_code_search, op5_simhash, op6_token_counts, op9_quality, op10_html_text)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
@@ -42,4 +57,15 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN first_id < page_id THEN first_id END AS refers_to
         FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
     """,
+    "op4_code_search": """
+        WITH pairs AS (
+            SELECT q.vec_id AS query_id, v.vec_id AS neighbor_id,
+                   CAST(list_sum(list_transform(range(1, 65),
+                        lambda i: CASE WHEN coalesce(q.embedding[i] > 0, false) <> coalesce(v.embedding[i] > 0, false) THEN 1 ELSE 0 END)) AS BIGINT) AS distance
+            FROM embeddings q, embeddings v
+            WHERE q.vec_id % 50 = 0 AND q.embedding IS NOT NULL AND v.embedding IS NOT NULL),
+        ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM pairs)
+        SELECT query_id, neighbor_id, distance, rank FROM ranked WHERE rank <= 10
+    """,
 }
