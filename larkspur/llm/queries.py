@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import encode_documents
 from .code_search import search_vectors
 from .html_text import main_text
+from .line_dedup import dedup_lines
 from .quality import score_quality
 from .shared import read_table
 from .simhash import near_duplicates
@@ -35,6 +37,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -43,7 +50,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_encode, op3_warc, op4_code_search, op5_simhash, op6_token_counts, op9_quality, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op2_bpe_encode, op3_warc, op4_code_search, op5_simhash, op6_token_counts, op8_line_dedup, op9_quality, op10_html_text)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
@@ -68,4 +75,31 @@ ORACLE_SQL: dict[str, str] = {
             SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM pairs)
         SELECT query_id, neighbor_id, distance, rank FROM ranked WHERE rank <= 10
     """,
+    "op8_line_dedup": """
+        WITH every AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x,
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS j FROM documents),
+        lines AS (
+            SELECT doc_id, j, x, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS i,
+                   length(x) - length(replace(x, ' ', '')) + 1 AS w
+            FROM every WHERE trim(x) <> ''),
+        ahead AS (
+            SELECT doc_id, i,
+                   [x, lead(x, 1) OVER d, lead(x, 2) OVER d, lead(x, 3) OVER d, lead(x, 4) OVER d] AS xs,
+                   [w, lead(w, 1) OVER d, lead(w, 2) OVER d, lead(w, 3) OVER d, lead(w, 4) OVER d] AS ws
+            FROM lines WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+        runs AS (
+            SELECT doc_id, i, k, xs[1:k] AS run FROM ahead, (SELECT unnest(range(1, 6)) AS k)
+            WHERE xs[k] IS NOT NULL AND list_sum(ws[1:k]) >= 5),
+        placed AS (SELECT doc_id, i, k, min((doc_id, i)) OVER (PARTITION BY k, run) AS first FROM runs),
+        gone AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS i FROM placed WHERE first < (doc_id, i)),
+        marked AS (
+            SELECT e.doc_id, e.j, e.x, l.i, g.i AS gone_i
+            FROM every e LEFT JOIN lines l ON e.doc_id = l.doc_id AND e.j = l.j
+            LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i)
+        SELECT doc_id, count(i) AS n_lines, count(gone_i) AS n_removed,
+               sha256(coalesce(string_agg(x, chr(10) ORDER BY j) FILTER (WHERE gone_i IS NULL), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id
+    """,
 }
