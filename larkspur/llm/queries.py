@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_documents
 from .code_search import search_vectors
+from .decontam import contaminated
 from .html_text import main_text
 from .line_dedup import dedup_lines
 from .quality import score_quality
@@ -37,6 +38,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return held.select("doc_id", "item_id", "matched_windows", "item_windows", "same_values")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -50,7 +56,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_encode, op3_warc, op4_code_search, op5_simhash, op6_token_counts, op8_line_dedup, op9_quality, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op2_bpe_encode, op3_warc, op4_code_search, op5_simhash, op6_token_counts, op7_decontamination, op8_line_dedup, op9_quality, op10_html_text)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
