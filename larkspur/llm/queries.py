@@ -12,12 +12,17 @@ from .decontam import contaminated
 from .html_text import main_text
 from .line_dedup import dedup_lines
 from .quality import score_quality
+from .repeats import remove_repeats
 from .shared import read_table
 from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .warc import archive_pages
 
 
+def op1_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op2_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -56,7 +61,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_encode, op3_warc, op4_code_search, op5_simhash, op6_token_counts, op7_decontamination, op8_line_dedup, op9_quality, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_repeat_removal, op2_bpe_encode, op3_warc, op4_code_search, op5_simhash, op6_token_counts, op7_decontamination, op8_line_dedup, op9_quality, op10_html_text)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
