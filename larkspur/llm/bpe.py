@@ -13,6 +13,7 @@ import json
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -22,6 +23,8 @@ from .shared import keyed_text
 #: Distinct pre-tokens whose encoding one worker keeps.
 TABLE_ROWS = 300_000
 LONG_PIECE = 64
+#: Documents whose ids are held at a time.
+STEP_ROWS = 500
 #: One character that stands for the end-of-word suffix while tokens are matched.
 END = "\n"
 
@@ -154,20 +157,22 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc
 
     def run(batches):
         encoder = prefix_encoder(tokenizer_path)
-        for batch in batches:
-            ids = [encoder.encode(t) for t in batch.column(1).to_pylist()]
-            decoded = [encoder.decode(i) for i in ids]
-            columns = [
-                batch.column(0),
-                pa.array([i.count(" ") + 1 if i else 0 for i in ids], pa.int64()),
-                pa.array([digest(i) for i in ids], pa.string()),
-                pa.array([digest(d) for d in decoded], pa.string()),
-            ]
-            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns += [pa.array([[*map(int, i.split())] for i in ids], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, STEP_ROWS):
+                batch = whole.slice(at, STEP_ROWS)
+                ids = [encoder.encode(t) for t in batch.column(1).to_pylist()]
+                decoded = [encoder.decode(i) for i in ids]
+                columns = [
+                    batch.column(0),
+                    pa.array([i.count(" ") + 1 if i else 0 for i in ids], pa.int64()),
+                    pa.array([digest(i) for i in ids], pa.string()),
+                    pa.array([digest(d) for d in decoded], pa.string()),
+                ]
+                names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    columns += [pa.array([np.array(i.split(), np.int32) for i in ids], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                    names += ["ids", "decoded"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = f"id {source.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return source.mapInArrow(run, schema + ", ids array<int>, decoded string" * with_ids).withColumnRenamed("id", id_col)

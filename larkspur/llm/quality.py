@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep_table, keyed_text
+from .shared import keyed_text
 
 #: Most positives and most unlabelled rows that the fit takes (those with the smallest id hashes).
 FIT_ROWS = 20_000
@@ -140,23 +140,38 @@ def held_out_fold(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def _matrix(rows: DataFrame, limit: int) -> np.ndarray:
-    """At most ``limit`` feature rows, those whose ids have the smallest hashes."""
-    table = rows.orderBy(F.xxhash64("id"), "x").limit(limit).select("x").toArrow()
-    flat = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(-1, WIDTH).astype(np.float64)
-
-
-def document_features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _fit_on(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, fit_rows: int) -> Network | None:
+    """The network, fitted on at most ``fit_rows`` positives and as many unlabelled rows (those with the smallest id hashes)."""
+    learnt = labels.select(F.col(f"`{id_col}`").alias("id"), F.col("quality").alias("q")).where("id is not null and q is not null")
+    learnt = learnt.where(~held_out_fold("id")).groupBy("id").agg(F.min("q").alias("q"))
+    prior = learnt.agg(F.avg((F.col("q") > 0).cast("double"))).first()[0]
+    if not prior:
+        return None
+    some = lambda df: df.select("id").orderBy(F.xxhash64("id"), "id").limit(fit_rows)
     source = keyed_text(docs, id_col, text_col)
+    chosen = some(learnt.where("q > 0")).withColumn("p", F.lit(True)).union(some(source.where("id is not null").select("id").distinct()).withColumn("p", F.lit(False)))
+    chosen = chosen.groupBy("id").agg(F.max("p").alias("p"), F.min("p").alias("only_p"))  # at most 2 * fit_rows ids: the bound of the broadcast
+    kind = docs.schema[id_col].dataType.simpleString()
+    picked = source.join(F.broadcast(chosen), "id")
 
     def run(batches):
         for batch in batches:
-            x = np.array([features(t) for t in batch.column(1).to_pylist()], np.float32).reshape(-1, WIDTH)
+            x = np.array([features(t) for t in batch.column(1).to_pylist()], np.float64).reshape(-1, WIDTH)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, WIDTH), pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), lists], names=["id", "p", "only_p", "x"])
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, x array<float>")
+    table = picked.select("id", "text", "p", "only_p").mapInArrow(run, f"id {kind}, p boolean, only_p boolean, x array<double>").toArrow().sort_by("id")
+    if not table.num_rows:
+        return None
+    x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
+    p, only = (table.column(c).to_numpy().astype(bool) for c in ("p", "only_p"))
+    return fit(x[p], x[~only], float(prior)) if p.any() and (~only).any() else None
+
+
+def _scores(net: Network | None, texts: list[str]) -> np.ndarray:
+    if net is None or not texts:
+        return np.full(len(texts), 0.5)
+    return net.scores(np.array([features(t) for t in texts], np.float64).reshape(-1, WIDTH))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -164,27 +179,34 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
     Only labels outside the held-out fold are learnt from; of several labels of
     one document the lowest counts, and null labels are no labels. At most
-    ``fit_rows`` positives and as many unlabelled rows enter the fit. Without any
-    learnable positive every score is 0.5. Null texts score like empty ones;
-    repeated rows are kept; other columns are ignored; an empty table gives an
-    empty result.
+    ``fit_rows`` positives and as many unlabelled documents enter the fit.
+    Without any learnable positive every score is 0.5. Null texts score like
+    empty ones; repeated rows are kept; other columns are ignored; an empty
+    table gives an empty result.
     """
-    x = keep_table(document_features(docs, id_col=id_col, text_col=text_col), "quality-features")
-    learnt = labels.select(F.col(f"`{id_col}`").alias("id"), F.col("quality").alias("q")).where("id is not null and q is not null")
-    learnt = learnt.where(~held_out_fold("id")).groupBy("id").agg(F.min("q").alias("q"))
-    known = x.join(learnt, "id")
-    prior = known.agg(F.avg((F.col("q") > 0).cast("double"))).first()[0]
-    net = None
-    if prior:
-        net = fit(_matrix(known.where("q > 0"), fit_rows), _matrix(x, fit_rows), float(prior))
+    net = _fit_on(docs, labels, id_col, text_col, fit_rows)
+    source = keyed_text(docs, id_col, text_col)
 
     def run(batches):
         for batch in batches:
-            values = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH).astype(np.float64)
-            scores = net.scores(values) if net is not None else np.full(len(values), 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(net, batch.column(1).to_pylist()), pa.float64())], names=["id", "score"])
 
-    scored = x.mapInArrow(run, f"id {x.schema['id'].dataType.simpleString()}, score double")
+    scored = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, score double")
     return scored.select(
         F.col("id").alias(id_col), held_out_fold("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, as they are; where nothing can be learnt, all rows."""
+    net = _fit_on(docs, labels, id_col, text_col, fit_rows)
+    if net is None:
+        return docs
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(_scores(net, texts) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
