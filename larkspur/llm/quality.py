@@ -6,8 +6,8 @@ the non-negative unbiased risk
 
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))
 
-with the logistic loss, where the class prior is the share of positives among
-the labels that may be learnt from. The fit uses bounded, documented samples;
+with the logistic loss, where the class prior is estimated (one standard error
+low) by the share of positives among the labels that may be learnt from. The fit uses bounded, documented samples;
 every document is scored.
 """
 
@@ -144,9 +144,11 @@ def _fit_on(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, fit_
     """The network, fitted on at most ``fit_rows`` positives and as many unlabelled rows (those with the smallest id hashes)."""
     learnt = labels.select(F.col(f"`{id_col}`").alias("id"), F.col("quality").alias("q")).where("id is not null and q is not null")
     learnt = learnt.where(~held_out_fold("id")).groupBy("id").agg(F.min("q").alias("q"))
-    prior = learnt.agg(F.avg((F.col("q") > 0).cast("double"))).first()[0]
-    if not prior:
+    share, n = learnt.agg(F.avg((F.col("q") > 0).cast("double")), F.count("*")).first()
+    if not share:
         return None
+    # One standard error below the share: too high a prior hides the rarest negatives, a slightly low one costs little.
+    prior = share - (share * (1 - share) / n) ** 0.5
     some = lambda df: df.select("id").orderBy(F.xxhash64("id"), "id").limit(fit_rows)
     source = keyed_text(docs, id_col, text_col)
     chosen = some(learnt.where("q > 0")).withColumn("p", F.lit(True)).union(some(source.where("id is not null").select("id").distinct()).withColumn("p", F.lit(False)))
@@ -165,7 +167,7 @@ def _fit_on(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, fit_
         return None
     x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
     p, only = (table.column(c).to_numpy().astype(bool) for c in ("p", "only_p"))
-    return fit(x[p], x[~only], float(prior)) if p.any() and (~only).any() else None
+    return fit(x[p], x[~only], prior) if p.any() and (~only).any() else None
 
 
 def _scores(net: Network | None, texts: list[str]) -> np.ndarray:
