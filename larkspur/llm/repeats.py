@@ -35,7 +35,7 @@ WINDOW, GRAM = 50, 24
 #: Bytes of text in one chunk, and bytes hashed at a time.
 CHUNK_BYTES, STEP_BYTES = 12 << 20, 1 << 19
 #: Bytes of corpus whose anchors make one bucket.
-BUCKET_BYTES = 40 << 20
+BUCKET_BYTES = 16 << 20
 SIDE = WINDOW - GRAM
 WIDTH = WINDOW + SIDE
 NO_ID = (1 << 63) - 1
