@@ -21,10 +21,10 @@ from .pretokens import Pretokenizer, to_byte_chars
 from .shared import keyed_text
 
 #: Distinct pre-tokens whose encoding one worker keeps.
-TABLE_ROWS = 300_000
+TABLE_ROWS = 150_000
 LONG_PIECE = 64
 #: Documents whose ids are held at a time.
-STEP_ROWS = 500
+STEP_ROWS = 100
 #: One character that stands for the end-of-word suffix while tokens are matched.
 END = "\n"
 
@@ -71,7 +71,7 @@ class PrefixEncoder:
         """
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) >= 1_000_000:
+            if len(self.pairs) >= 400_000:
                 self.pairs.clear()
             known = self.pairs[left, right] = self._compatible(left, right)
         return known
@@ -148,7 +148,7 @@ def prefix_encoder(path: str) -> PrefixEncoder:
 def encode_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per input row: ``id_col``, n_tokens, ids_sha256, decoded_sha256.
 
-    With ``with_ids`` the ids (array<int>) and the decoded text follow. Null
+    With ``with_ids`` the ids (array<int>) follow. Null
     texts count as empty (no ids); null ids and repeated rows are kept; other
     columns are ignored; an empty table gives an empty result.
     """
@@ -170,9 +170,9 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc
                 ]
                 names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns += [pa.array([np.array(i.split(), np.int32) for i in ids], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-                    names += ["ids", "decoded"]
+                    columns.append(pa.array([np.array(i.split(), np.int32) for i in ids], pa.list_(pa.int32())))
+                    names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = f"id {source.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return source.mapInArrow(run, schema + ", ids array<int>, decoded string" * with_ids).withColumnRenamed("id", id_col)
+    return source.mapInArrow(run, schema + ", ids array<int>" * with_ids).withColumnRenamed("id", id_col)

@@ -42,8 +42,20 @@ def keep_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that one Arrow batch of texts may hold; both the JVM and the Python worker keep a batch as a whole.
+BATCH_ROWS = 1000
+
+
+def limit_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows where they are larger; results don't depend on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Exactly two columns, ``id`` and ``text`` (null text: empty), whatever else ``df`` holds."""
+    limit_batches(df.sparkSession)
     return df.select(
         F.col(f"`{id_col}`").alias("id"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),

@@ -115,6 +115,19 @@ def _solve(key: np.ndarray, fp: np.ndarray, distance: int):
         yield a[near], b[near]
 
 
+def _gathered(batches, rows: int = 50_000):
+    """Lists of batches of about ``rows`` rows."""
+    part, n = [], 0
+    for batch in batches:
+        part.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
+
+
 def _entries(distance: int, split: bool = True):
     """For partitions sorted by key: rows (0, key, a, b) are links; with ``split``, rows (1, key, fingerprint,
     block) are those of entries over ``BLOCK``, of which only as much is held."""
@@ -127,9 +140,9 @@ def _entries(distance: int, split: bool = True):
     def run(batches):
         key = fp = np.zeros(0, np.int64)
         large, sent = None, 0  # the key of the entry that is too large, how many of its rows went on
-        for batch in batches:
-            key = np.concatenate([key, batch.column(0).to_numpy(zero_copy_only=False)])
-            fp = np.concatenate([fp, batch.column(1).to_numpy(zero_copy_only=False)])
+        for part in _gathered(batches):
+            key = np.concatenate([key, *(b.column(0).to_numpy(zero_copy_only=False) for b in part)])
+            fp = np.concatenate([fp, *(b.column(1).to_numpy(zero_copy_only=False) for b in part)])
             if large is not None:
                 n = int(np.searchsorted(key, large, "right"))
                 if n:
