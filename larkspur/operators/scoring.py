@@ -53,13 +53,11 @@ MIN_INTEGRITY_CHARS = 80
 
 def script_rates(turns: Column, language: Column) -> dict[str, Column]:
     """Mean share of letters in the language's script, and whether all turns of 80 characters or more are wholly in it."""
-    share = F.lit(None).cast("array<double>")
-    long_share = F.lit(None).cast("array<double>")
+    shares_in = lambda script, of: F.filter(F.transform(of, lambda t: letter_share(t, script)), lambda v: v.isNotNull())
+    share = long_share = F.lit(None).cast("array<double>")
     for lang, script in SCRIPTS.items():
-        part = F.filter(F.transform(turns, lambda t, s=script: letter_share(t, s)), lambda v: v.isNotNull())
-        long_part = F.filter(F.transform(F.filter(turns, lambda t: F.length(t) >= MIN_INTEGRITY_CHARS), lambda t, s=script: letter_share(t, s)), lambda v: v.isNotNull())
-        share = F.when(language == lang, part).otherwise(share)
-        long_share = F.when(language == lang, long_part).otherwise(long_share)
+        share = F.when(language == lang, shares_in(script, turns)).otherwise(share)
+        long_share = F.when(language == lang, shares_in(script, F.filter(turns, lambda t: F.length(t) >= MIN_INTEGRITY_CHARS))).otherwise(long_share)
     mean = F.when(F.size(share) > 0, F.aggregate(share, F.lit(0.0), lambda a, x: a + x) / F.size(share))
     whole = F.when(F.size(long_share) > 0, F.forall(long_share, lambda v: v >= 1.0).cast("double"))
     return {"language.script_compliance_rate": mean, "language.script_integrity_rate": whole}
