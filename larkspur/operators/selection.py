@@ -171,7 +171,7 @@ def cap_total(df: DataFrame, n: int | None, strata: Sequence[str] | None = None,
     sizes = df.groupBy(*strata).agg(F.count("*").alias("_c"))
     rounds = ranked.groupBy("_r").agg(F.count("*").alias("_in"))
     rounds = rounds.withColumn("_before", F.coalesce(F.sum("_in").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    last = rounds.where(F.col("_before") < n).agg(F.max_by(F.struct("_r", "_before"), "_r").alias("l")).select(F.col("l._r").alias("_full"), (n - F.col("l._before")).alias("_left"))
+    last = rounds.where(F.col("_before") < n).agg(F.max_by(F.struct("_r", "_before"), "_r").alias("l")).select(F.coalesce("l._r", F.lit(1)).alias("_full"), F.coalesce(n - F.col("l._before"), F.lit(0)).alias("_left"))
     part = sizes.crossJoin(F.broadcast(last))  # one row on the right
     named = F.concat_ws("\u0000", *[F.coalesce(F.col(s).cast("string"), F.lit("")) for s in strata])
     extra = part.where(F.col("_c") >= F.col("_full")).withColumn("_e", F.row_number().over(Window.orderBy(named)) <= F.col("_left"))
