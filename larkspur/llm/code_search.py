@@ -94,14 +94,16 @@ def top_k(queries: DataFrame, codes: DataFrame, *, k: int = 10, index_rows: int
 
     Both tables are (id, code). Queries are searched in blocks of about
     ``query_rows`` against index blocks of about ``index_rows``, and the blocks'
-    answers are merged; equal distances rank by id. Where fewer than ``k`` codes
+    answers are merged; equal distances rank by id; a query that is repeated is
+    asked once. Where fewer than ``k`` codes
     exist all are returned; empty tables give an empty result.
     """
+    queries = queries.select("id", "code").distinct()
     n, q = codes.count(), queries.count()
     index_blocks, query_blocks = max(1, -(-n // index_rows)), max(1, -(-q // query_rows))
     block = lambda blocks: F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asked = queries.select("id", "code", block(query_blocks).alias("qb")).withColumn("ib", every(index_blocks))
+    asked = queries.withColumn("qb", block(query_blocks)).withColumn("ib", every(index_blocks))
     held = codes.select("id", "code", block(index_blocks).alias("ib")).withColumn("qb", every(query_blocks))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -110,18 +112,18 @@ def top_k(queries: DataFrame, codes: DataFrame, *, k: int = 10, index_rows: int
             index = MultiIndex(right["id"].to_numpy(np.int64), right["code"].to_numpy(np.int64))
             for query, code in zip(left["id"].to_numpy(), left["code"].to_numpy(np.int64).view(np.uint64), strict=True):
                 rows, distances = index.search(code, k)
-                out.append(pd.DataFrame({"query_id": query, "neighbor_id": index.ids[rows], "distance": distances}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": []}, dtype="int64")
+                out.append(pd.DataFrame({"query_id": query, "code": code.view(np.int64), "neighbor_id": index.ids[rows], "distance": distances}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "code": [], "neighbor_id": [], "distance": []}, dtype="int64")
 
-    found = asked.groupBy("qb", "ib").cogroup(held.groupBy("qb", "ib")).applyInPandas(search, "query_id long, neighbor_id long, distance long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    found = asked.groupBy("qb", "ib").cogroup(held.groupBy("qb", "ib")).applyInPandas(search, "query_id long, code long, neighbor_id long, distance long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "code").orderBy("distance", "neighbor_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("code")
 
 
 def search_vectors(vectors: DataFrame, *, every: int = 50, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Top-k by Hamming distance of sign codes for each row whose id is divisible by ``every``, against all rows (itself too).
 
-    A repeated id is one row per repetition on both sides.
+    A repeated row is asked once, but found as often as it is there.
     """
     codes = keep_table(sign_codes(vectors, id_col=id_col, vector_col=vector_col), "codes")
     return top_k(codes.where(F.col("id") % every == 0), codes, k=k)
