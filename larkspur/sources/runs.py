@@ -191,8 +191,12 @@ def write_json(spark: SparkSession, path: str, value: dict) -> None:
 
 
 def read_json(spark: SparkSession, path: str) -> dict:
-    rows = spark.read.option("wholetext", "true").text(path).collect()
-    return json.loads(rows[0][0])
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
 
 def write_curated(df: DataFrame, root: str, run: str, profile: str, manifest: dict) -> None:
