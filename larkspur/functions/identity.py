@@ -74,8 +74,8 @@ def age_bin(age: Column, edges: Sequence[int] = (25, 35, 45, 55, 65)) -> Column:
 
 
 def trait(score: Column) -> Column:
-    """A T-score as a fraction: (t - 20) / 60, between 0 and 1."""
-    return F.least(F.greatest((score.cast("double") - 20) / 60, F.lit(0.0)), F.lit(1.0))
+    """A T-score as a fraction: (t - 20) / 60, between 0 and 1; null without one."""
+    return F.when(score.isNotNull(), F.least(F.greatest((score.cast("double") - 20) / 60, F.lit(0.0)), F.lit(1.0)))
 
 
 def tag_overlap(entry: Column, persona: Column) -> Column:
