@@ -6,9 +6,11 @@ import json
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 # What a dense-script character weighs, and the caps of the two renderings.
 DENSE_WEIGHT, PROMPT_CHARS, JUDGE_CHARS = 3, 500, 24_000
 _DENSE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
@@ -166,6 +168,7 @@ def call_problem(name: str | None, raw: str | None, tools: str | None) -> str |
 
 def verify_call(name: Column, raw: Column, tools: Column) -> Column:
     """``call_problem`` for each row; JSON schemas nest without bound, so this is a vectorised Python function."""
+    ship(SparkSession.active())
 
     @F.pandas_udf("string")
     def check(n: pd.Series, r: pd.Series, t: pd.Series) -> pd.Series:
