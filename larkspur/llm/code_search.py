@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import keep_table
+from .shared import keep_table, prepare
 
 BITS = 64
 #: Codes of one index block, and queries searched in it at a time.
@@ -98,6 +98,7 @@ def top_k(queries: DataFrame, codes: DataFrame, *, k: int = 10, index_rows: int
     asked once. Where fewer than ``k`` codes
     exist all are returned; empty tables give an empty result.
     """
+    prepare(codes.sparkSession)
     queries = queries.select("id", "code").distinct()
     n, q = codes.count(), queries.count()
     index_blocks, query_blocks = max(1, -(-n // index_rows)), max(1, -(-q // query_rows))

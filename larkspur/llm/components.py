@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, prepare
 
 
 def _local_forest(batches):
@@ -41,6 +41,7 @@ def components(links: DataFrame, *, rounds: int = 60) -> DataFrame:
     Large-star and small-star steps alternate until nothing changes; each round
     is checkpointed. Null ends and loops are ignored; no links: no rows.
     """
+    prepare(links.sparkSession)
     links = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
     links = cut(links.mapInArrow(_local_forest, "a long, b long").distinct())
     for _ in range(rounds):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep_table, limit_batches
+from .shared import keep_table, prepare
 
 # Elements of the HTML standard by how they are treated here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -219,7 +219,7 @@ BROADCAST_BYTES = 8 << 20
 
 
 def _source(pages: DataFrame) -> DataFrame:
-    limit_batches(pages.sparkSession)
+    prepare(pages.sparkSession)
     url = F.col("url").cast("string")
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     return pages.select("page_id", "url", host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -46,8 +48,10 @@ def keep_table(df: DataFrame, name: str) -> DataFrame:
 BATCH_ROWS = 1000
 
 
-def limit_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows where they are larger; results don't depend on it."""
+def prepare(spark: SparkSession) -> None:
+    """Before Python workers are used: send them the package, and lower the session's Arrow batches to ``BATCH_ROWS``
+    rows where they are larger (results don't depend on it)."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
@@ -55,7 +59,7 @@ def limit_batches(spark: SparkSession) -> None:
 
 def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Exactly two columns, ``id`` and ``text`` (null text: empty), whatever else ``df`` holds."""
-    limit_batches(df.sparkSession)
+    prepare(df.sparkSession)
     return df.select(
         F.col(f"`{id_col}`").alias("id"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),

@@ -19,7 +19,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep_table, limit_batches, shared_folder
+from .shared import keep_table, prepare, shared_folder
 
 #: Payloads below this many bytes are always stored.
 REVISIT_BYTES = 100
@@ -63,7 +63,7 @@ def write_archives(pages: DataFrame, folder: str, *, revisit_bytes: int = REVISI
     that smallest page_id, are responses. Null html is an empty payload, a null
     url gives no target header.
     """
-    limit_batches(pages.sparkSession)
+    prepare(pages.sparkSession)
     source = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     source = source.withColumn("digest", F.sha2(F.col("html"), 256)).withColumn("size", F.octet_length("html"))
     first = source.where(F.col("size") >= revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("rows"))

@@ -99,9 +99,10 @@ def test_large_entries_are_compared_in_blocks(spark, monkeypatch):
     fps = list({base ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) for _ in range(400)} | {rnd.getrandbits(64) for _ in range(50)})
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     monkeypatch.setattr(simhash, "BLOCK", 40)
-    links = simhash.near_links(spark.createDataFrame([(f,) for f in signed], "fp long"), distance=4, segments=3).collect()
+    links = simhash.near_links(spark.createDataFrame(list(enumerate(signed)), "node long, f0 long"), distance=4, segments=3).collect()
     got = brute_roots([(r.a, r.b) for r in links])
-    want = brute_roots([(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4])
+    near = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 4
+    want = brute_roots([(i, j) for i, a in enumerate(signed) for j, b in enumerate(signed) if i < j and near(a, b)])
     assert got == want
 
 
@@ -260,3 +261,20 @@ def test_near_copies_stage_keeps_one_of_each(spark):
     rows = [(5, long, "en", "s", 1), (3, long + " extra", "en", "s", 1), (9, "quite another text", "en", "s", 1), (None, "no id", "en", "s", 1)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert sorted(str(r.doc_id) for r in p.near_copies(spark, df, SF).collect()) == ["3", "9", "None"]
+
+
+def test_similar_copies_at_128_bits(spark):
+    """Copies with a few changed words in a hundred are found, unrelated texts and half-equal ones are left alone."""
+    rnd = random.Random(5)
+    vocab = [f"w{k}" for k in range(3000)]
+    rows, same = [], []
+    for i in range(60):
+        base = [rnd.choice(vocab) for _ in range(300)]
+        near = [rnd.choice(vocab) if k % 97 == 5 else w for k, w in enumerate(base)]  # about 0.9 of the shingles stay
+        far = base[:150] + [rnd.choice(vocab) for _ in range(150)]
+        rows += [(10 * i, " ".join(base)), (10 * i + 1, " ".join(near)), (10 * i + 2, " ".join(far))]
+        same.append((10 * i, 10 * i + 1))
+    groups = {r.doc_id: r.component_id for r in near_duplicates(frame(spark, rows), words=5, lanes=2, segments=8, distance=simhash.estimated_distance(0.8, 2)).collect()}
+    assert simhash.estimated_distance(0.8, 2) == 19
+    assert sum(groups[b] == a for a, b in same) >= 0.9 * len(same)
+    assert all(groups[10 * i + 2] == 10 * i + 2 for i in range(60))
