@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from collections import defaultdict
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -204,3 +207,41 @@ def write_curated(df: DataFrame, root: str, run: str, profile: str, manifest: di
     path = f"{root}/run={run}/profile={profile.replace(':', '_')}"
     df.drop("run", "profile").write.partitionBy("locale", "probe_family").mode("overwrite").parquet(path)
     write_json(df.sparkSession, f"{path}/_selection_manifest.json", manifest)
+
+
+def publish_new_run(df: DataFrame, root: str, run: str, partitions: Sequence[str] = PARTITIONS[1:]) -> str:
+    """Write to a hidden folder and rename it to ``run=``; where the id is taken, the next free number is used."""
+    spark = df.sparkSession
+    fs, base = _fs(spark, root)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    hidden = path(base, f".claim-{run}-{uuid.uuid4().hex}")
+    df.drop("run").write.partitionBy(*partitions).parquet(hidden.toString())
+    number = int(run)
+    while fs.exists(path(base, f"run={number}")) or not fs.rename(hidden, path(base, f"run={number}")):
+        number += 1
+    return str(number)
+
+
+@contextmanager
+def run_lock(spark: SparkSession, root: str, run: str, stale_s: int = 3600):
+    """One writer at a time for a run, by a file that only one can create; a lock older than ``stale_s`` is taken over."""
+    fs, base = _fs(spark, root)
+    lock = spark._jvm.org.apache.hadoop.fs.Path(base, f".lock-{run}")
+    fs.mkdirs(base)
+    if fs.exists(lock) and time.time() - fs.getFileStatus(lock).getModificationTime() / 1000 > stale_s:
+        fs.delete(lock, False)
+    if not fs.createNewFile(lock):
+        raise RuntimeError(f"run {run} is being written by another process")
+    try:
+        yield
+    finally:
+        fs.delete(lock, False)
+
+
+def write_reports(spark: SparkSession, folder: str, reports: dict[str, DataFrame], limit: int = 100_000) -> None:
+    """Small report frames as JSON files; one of more than ``limit`` rows is an error."""
+    for name, df in reports.items():
+        rows = df.limit(limit + 1).toJSON().collect()
+        if len(rows) > limit:
+            raise ValueError(f"{name} has more than {limit} rows; write it as Parquet")
+        write_json(spark, f"{folder}/{name}.json", {"rows": [json.loads(r) for r in rows]})
