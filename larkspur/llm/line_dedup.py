@@ -42,6 +42,7 @@ def removed_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str =
     lines = _line_table(docs, id_col, text_col)
     place = F.struct("doc", "sig", "i")
     firsts = lines.groupBy("n").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    firsts = keep_table(firsts, "repeated-names")  # read back, so that Spark can split a hot name's rows in the join
     repeated = keep_table(lines.join(firsts, "n").distinct(), "repeated-lines")
     alone = repeated.where((F.col("w") >= min_words) & (F.col("first") < place)).select("doc", "sig", "j")
 
@@ -71,6 +72,7 @@ def removed_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str =
         return alone.distinct()
     runs = runs.select("doc", "sig", "i", "js", F.explode(F.filter(F.array(*wide), lambda s: s.isNotNull())).alias("r")).select("doc", "sig", "i", "js", "r.k", "r.n")
     firsts = runs.groupBy("k", "n").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    firsts = keep_table(firsts, "repeated-runs")
     later = runs.join(firsts, ["k", "n"]).where(F.col("first") < place)
     return alone.union(later.select("doc", "sig", F.explode(F.slice("js", 1, F.col("k"))).alias("j"))).distinct()
 
