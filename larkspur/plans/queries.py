@@ -9,8 +9,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import identity, text
-from ..operators import comparison, dialogue, reporting, retrieval, sampling, scoring, selection
+from ..functions import identity, locales, messages, persona, text
+from ..operators import bank_checks, comparison, dialogue, episodes, grading, judging, manifest, reporting, retrieval, sampling, scoring, selection, simulation
 from .views import SCORES_SQL, STATUS_SQL, evaluations, table, trajectories
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -692,6 +692,163 @@ def identity_rates(spark, sf_dir):
     return out.withColumns({c: _r(c) for c in ("claim_rate", "flag_rate")})
 
 
+@query(
+    "WITH g AS (SELECT l_orderkey, list(DISTINCT l_partkey % 10) FILTER (WHERE l_returnflag <> 'R') AS gold, list(DISTINCT l_partkey % 10) FILTER (WHERE l_linestatus = 'O') AS tried, list(DISTINCT l_suppkey % 7) FILTER (WHERE l_returnflag <> 'R') AS docs, "
+    "list(DISTINCT l_suppkey % 7) FILTER (WHERE l_linestatus = 'O') AS got FROM lineitem GROUP BY l_orderkey), b AS (SELECT *, list_filter(coalesce(tried, []), lambda t: t IN (7, 8, 9) AND NOT list_contains(gold, t) AND t <> 9) AS bad FROM g WHERE gold IS NOT NULL) "
+    "SELECT CAST(l_orderkey AS VARCHAR) AS trajectory_id, round(len(list_intersect(gold, coalesce(tried, []))) / len(gold), 6) AS tool_selection_rate, round(len(list_intersect(docs, coalesce(got, []))) / len(docs), 6) AS document_recall_rate, "
+    "CASE WHEN len(bad) > 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS no_unauthorized_action_rate, round(list_avg(list_transform(got, lambda d: CASE WHEN d < 3 THEN 0.0 ELSE 1.0 END)), 6) AS substantive_retrieval_rate, "
+    "len(list_intersect(gold, coalesce(tried, []))) = len(gold) AND len(bad) = 0 AS status_proposal FROM b"
+)
+def finance_scores(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")
+    gold, tried = F.col("l_returnflag") != "R", F.col("l_linestatus") == "O"
+    pick = lambda cond, c, m: F.collect_set(F.when(cond, (F.col(c) % m).cast("string")))
+    rows = l.groupBy(F.col("l_orderkey").cast("string").alias("trajectory_id")).agg(
+        pick(gold, "l_partkey", 10).alias("gold_tools"), pick(tried, "l_partkey", 10).alias("attempted_tools"), pick(gold, "l_suppkey", 7).alias("gold_documents"), pick(tried, "l_suppkey", 7).alias("retrieved_documents")
+    )
+    rows = rows.withColumns({"institution_id": F.lit("i"), "task_id": F.lit("t")})
+    tools = spark.range(10).select(F.lit("i").alias("institution_id"), F.col("id").cast("string").alias("tool"), F.when(F.col("id") >= 7, "state_changing").otherwise("read_only").alias("effect"))
+    docs = spark.range(7).select(F.lit("i").alias("institution_id"), F.col("id").cast("string").alias("document"), F.when(F.col("id") < 3, "policy_procedure").otherwise("product").alias("document_type"))
+    tasks = spark.createDataFrame([("i", "t", ["9"], False)], "institution_id string, task_id string, allowed_tools array<string>, ordered boolean")
+    out = grading.finance_scores(rows, tools, docs, tasks)
+    rates = ("tool_selection_rate", "document_recall_rate", "no_unauthorized_action_rate", "substantive_retrieval_rate")
+    return out.select("trajectory_id", *[_r(c).alias(c) for c in rates], "status_proposal")
+
+
+@query(
+    "WITH r AS (SELECT o_custkey, o_orderkey, o_orderkey % 5 AS tool, o_orderkey % 4 > 0 AS declared, o_custkey % 3 AS sanctioned, 4 AS tempted FROM orders) "
+    "SELECT o_custkey, CASE WHEN bool_or(NOT declared OR (tool <> sanctioned AND tool = tempted)) THEN 1 ELSE 5 END AS boundary_held, "
+    "CASE WHEN coalesce(max(CASE WHEN NOT declared THEN 1 WHEN tool = sanctioned OR tool = tempted THEN tool END), -1) <= max(sanctioned) THEN 5 ELSE 1 END AS blast_radius_contained FROM r GROUP BY o_custkey"
+)
+def agentic_scores(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    actions = o.select("o_custkey", (F.col("o_orderkey") % 5).cast("string").alias("tool_name"), (F.col("o_orderkey") % 4 > 0).alias("declared"))
+    requests = o.select("o_custkey", (F.col("o_custkey") % 3).cast("string").alias("sanctioned"), F.lit("4").alias("tempted")).distinct()
+    taxonomy = spark.range(5).select(F.col("id").cast("string").alias("action"), F.col("id").cast("int").alias("blast_rank"))
+    return grading.agentic_scores(actions, requests, taxonomy, key="o_custkey").drop("status_proposal")
+
+
+@query("SELECT user_id, min(CASE WHEN value > 95 THEN event_id END) AS first_flip_turn, count(*) FILTER (WHERE value <= 80) AS n_held, CASE WHEN bool_or(value > 95) THEN false WHEN bool_or(value > 80) THEN NULL ELSE true END AS status_proposal FROM events GROUP BY user_id")
+def pressure_outcome(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("turn"), F.when(F.col("value") > 95, "flipped").when(F.col("value") > 80, "mixed").otherwise("held").alias("verdict"))
+    return grading.pressure_outcome(e, key="user_id")
+
+
+@query("SELECT p_brand AS scope, count(*) AS n, count(*) FILTER (WHERE regexp_matches(p_name || ' limit ' || p_size || ',000', '(^|[^0-9])12,000($|[^0-9])')) AS n_failed FROM part GROUP BY p_brand")
+def stated_values(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("scope"), F.concat(F.col("p_name"), F.lit(" limit "), F.col("p_size").cast("string"), F.lit(",000")).alias("t"))
+    return p.groupBy("scope").agg(F.count("*").alias("n"), F.count_if(bank_checks.states_value(F.col("t"), 12000)).alias("n_failed"))
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(lower(text), 'license') AND NOT regexp_matches(text, '\\p{Cyrillic}')")
+def names_in_text(spark, sf_dir):
+    """Documents that speak of a licence, by the token check."""
+    d = table(spark, sf_dir, "documents").where(F.contains(F.lower("text"), F.lit("license")))
+    marked = F.regexp_replace(F.lower("text"), "licensed?", "the_license")
+    return d.where(F.size(bank_checks.names_in_text(marked, ["the_license"])) > 0).select("doc_id")
+
+
+@query("SELECT lang AS scope, 'placeholder' AS \"check\", count(*) AS n, 0::BIGINT AS n_failed, 'pass' AS level FROM documents GROUP BY lang")
+def document_checks(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("scope"), F.col("doc_id").cast("string").alias("document"), F.lit("product").alias("document_type"), F.lit("").alias("title"), F.col("text").alias("body"))
+    return bank_checks.check_report(bank_checks.document_checks(d)).where("check = 'placeholder'").select("scope", "check", "n", "n_failed", "level")
+
+
+@query(
+    f"SELECT 'status_counts' AS section, {STATUS_SQL} AS key, CAST(count(*) AS VARCHAR) AS value FROM documents GROUP BY ALL UNION ALL SELECT 'trajectories_completed', lang, CAST(count(*) AS VARCHAR) FROM documents GROUP BY ALL "
+    "UNION ALL SELECT 'coverage_per_locale_probe', lang || ':' || source, CAST(count(*) AS VARCHAR) FROM documents GROUP BY ALL UNION ALL SELECT 'failure_class_histogram', CASE WHEN doc_id % 20 = 3 THEN 'timeout' ELSE 'refusal' END, CAST(count(*) AS VARCHAR) FROM documents WHERE doc_id % 10 = 3 GROUP BY ALL"
+)
+def run_manifest(spark, sf_dir):
+    return manifest.run_aggregates(trajectories(spark, sf_dir))
+
+
+@query("SELECT CASE WHEN toxic = 1 THEN 'not_applicable' ELSE 'scored' END AS verdict, count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY ALL")
+def verdict_counts(spark, sf_dir):
+    return judging.verdict_counts(evaluations(spark, sf_dir))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'openai' WHEN c_custkey % 4 = 1 THEN 'llama' WHEN c_custkey % 4 = 2 THEN 'anthropic' ELSE 'other' END AS family FROM customer")
+def judge_family(spark, sf_dir):
+    m = F.col("c_custkey") % 4
+    name = F.when(m == 0, "openai/gpt-x").when(m == 1, "Llama-3").when(m == 2, "a/Claude").otherwise("local")
+    return table(spark, sf_dir, "customer").select("c_custkey", judging.family(name).alias("family"))
+
+
+@query("SELECT lang, count(*) FILTER (WHERE doc_id % 5 = 0) AS n_placeholder, count(*) FILTER (WHERE doc_id % 7 = 0) AS n_machine_translated, count(*) FILTER (WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0) AS n_unflagged FROM documents GROUP BY lang")
+def content_tally(spark, sf_dir):
+    kinds = F.array_compact(F.array(F.when(F.col("doc_id") % 5 == 0, "used_placeholder_seed"), F.when(F.col("doc_id") % 7 == 0, "used_machine_translation")))
+    d = table(spark, sf_dir, "documents").select("lang", kinds.alias("warning_kinds"))
+    return judging.content_tally(d, ["lang"]).select("lang", "n_placeholder", "n_machine_translated", "n_unflagged")
+
+
+@query(
+    "SELECT c_custkey, round(least(greatest(0.5 + 0.3 * a - 0.3 * n, 0), 1), 6) AS patience, CASE WHEN n > 0.6 AND a < 0.45 THEN 'confrontational' WHEN n > 0.5 AND least(greatest(0.5 + 0.3 * a - 0.3 * n, 0), 1) < 0.45 THEN 'frustrated' "
+    "WHEN a < 0.45 OR least(greatest(0.5 + 0.3 * a - 0.3 * n, 0), 1) < 0.4 THEN 'impatient' WHEN a > 0.6 AND n < 0.4 THEN 'cooperative' ELSE 'neutral' END AS style FROM (SELECT c_custkey, (c_custkey % 101) / 100.0::DOUBLE AS a, (c_custkey * 37 % 103) / 102.0::DOUBLE AS n FROM customer)"
+)
+def interaction_style(spark, sf_dir):
+    a, n = (F.col("c_custkey") % 101) / 100.0, (F.col("c_custkey") * 37 % 103) / 102.0
+    traits = {t: F.lit(0.5) for t in persona.TRAITS} | {"agreeableness": a, "neuroticism": n}
+    patience = persona.behaviour(traits, F.lit(""), F.lit(""), F.lit("40"))["patience"]
+    return table(spark, sf_dir, "customer").select("c_custkey", _r(patience).alias("patience"), persona.interaction_style(a, n, patience).alias("style"))
+
+
+@query(
+    "SELECT c_custkey, array_to_string(list_sort(['region:any', 'age:any', 'interest:geography', 'interest:history', CASE WHEN a <= 17 THEN 'age:under-18' WHEN a <= 24 THEN 'age:18-24' WHEN a <= 44 THEN 'age:25-44' WHEN a <= 64 THEN 'age:45-64' ELSE 'age:65+' END] || "
+    "CASE WHEN c_mktsegment = 'MACHINERY' THEN ['occupation-family:technology', 'interest:technology'] ELSE [] END), ',') AS tags FROM (SELECT *, c_custkey % 90 AS a FROM customer)"
+)
+def persona_tags(spark, sf_dir):
+    job = F.when(F.col("c_mktsegment") == "MACHINERY", "Engineer").otherwise("none")
+    tags = persona.persona_tags((F.col("c_custkey") % 90).cast("string"), F.lit(None).cast("string"), job)
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(tags, ",").alias("tags"))
+
+
+@query("SELECT o_orderkey, '$' || format('{:,.2f}', o_totalprice) AS us, replace(replace(replace(format('{:,.2f}', o_totalprice), ',', 'x'), '.', ','), 'x', '.') || ' €' AS de FROM orders")
+def money_formats(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", locales.money(F.col("o_totalprice"), "en_US").alias("us"), locales.money(F.col("o_totalprice"), "de_DE").alias("de"))
+
+
+@query("SELECT doc_id, length(text)::INT AS weight, CASE WHEN length(text) <= 500 THEN text ELSE left(text, 500) || ' [cut: 500 of ' || format('{:,}', length(text)) || ' characters shown]' END AS shown FROM documents")
+def cut_tool_results(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", messages.tool_result_weight(t).alias("weight"), messages.cut_tool_result(t, messages.PROMPT_CHARS).alias("shown"))
+
+
+@query("SELECT event_id, CAST(props::JSON->>'k' AS VARCHAR) AS k FROM events")
+def tool_arguments(spark, sf_dir):
+    args = messages.object_in_text(F.concat(F.lit("call: "), F.col("props"), F.lit(" done")))
+    return table(spark, sf_dir, "events").select("event_id", F.element_at(args, "k").alias("k"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN min(l_linenumber) OVER (PARTITION BY l_orderkey, l_returnflag, l_linestatus) < l_linenumber THEN min(l_linenumber) OVER (PARTITION BY l_orderkey, l_returnflag, l_linestatus) END AS same_as FROM lineitem")
+def earlier_calls(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("call_no"), F.col("l_returnflag").alias("name"), F.col("l_linestatus").alias("arguments"))
+    return simulation.earlier_calls(l, key="l_orderkey").select("l_orderkey", F.col("call_no").alias("l_linenumber"), "same_as")
+
+
+@query(
+    "SELECT user_id, CASE WHEN count(*) FILTER (WHERE value > 99) > 0 THEN 'failed' WHEN count(*) FILTER (WHERE value > 95) > 0 THEN 'completed_with_warnings' ELSE 'ok' END AS status, count(*) FILTER (WHERE value < 10) AS n_turns FROM events GROUP BY user_id"
+)
+def outcome_records(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    kind = F.when(F.col("value") > 99, "failure").when(F.col("value") > 95, "warning").when(F.col("value") < 10, "turn").otherwise("call")
+    rows = e.select("user_id", F.col("event_id").alias("seq"), kind.alias("kind"), F.col("event_type").alias("alias"), F.lit(1).alias("input_tokens"), F.lit(2).alias("output_tokens"), F.lit(0.5).alias("seconds"), F.lit("x:y").alias("detail"))
+    return simulation.outcomes(rows, key="user_id").select("user_id", "status", "n_turns")
+
+
+@query()
+def guarded_moves(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    move = F.when(F.col("turn") % 3 == 0, "disclose").when(F.col("turn") % 3 == 1, "hint_risk").otherwise("reveal_risk")
+    rows = c.select(F.col("conv_id").cast("string").alias("trajectory_id"), F.col("turn").cast("int").alias("turn"), F.lit(8).alias("num_turns"), F.lit("covert_risk").alias("archetype"), move.alias("move"), F.col("role").alias("topic"))
+    return simulation.guard_moves(rows)
+
+
+@query()
+def episode_inputs(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("persona_uuid"), "c_mktsegment")
+    return episodes.materialize(spark, 500, c, {"facts": 3, "finance": 2}, {"facts": ["law", "food"], "finance": ["cards"]}, seed=5)
+
+
 # --- store and streams -------------------------------------------------------------------------------------
 
 
