@@ -77,7 +77,7 @@ def resource_profile(df: DataFrame, *, outcome: str = "simulation_outcome") -> D
 def reasoning_tokens(output: Column, visible: Column, floor: float = 0.05) -> Column:
     """Output tokens that weren't shown; none where they are below ``floor`` of the output (tokenizer noise)."""
     hidden = F.greatest(output - visible, F.lit(0))
-    return F.when(hidden / output < floor, F.lit(0)).otherwise(hidden)
+    return F.when((output <= 0) | (hidden / output < floor), F.lit(0)).otherwise(hidden)
 
 
 def persona_summary(df: DataFrame, *, persona: str, distinct: Sequence[str], age: str | None = None) -> DataFrame:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 
 def tokens(text: Column) -> Column:
     """Distinct lower-case words of letters, marks and digits; runs of Han, kana and Hangul give character pairs."""
@@ -67,12 +71,43 @@ def hybrid_topk(queries: DataFrame, docs: DataFrame, k: int = 8, *, weight: floa
     return _top(both.select("query_id", "doc_id", score.alias("score")), "query_id", "doc_id", "score", k)
 
 
-def near_duplicates(df: DataFrame, threshold: float = 0.97, *, key: str, vector: str, within: Sequence[str]) -> DataFrame:
-    """(left, right, score): pairs of one group with a cosine of at least ``threshold``, left before right."""
-    a = df.select(*within, F.col(key).alias("left"), F.col(vector).alias("_a"))
-    b = df.select(*within, F.col(key).alias("right"), F.col(vector).alias("_b"))
-    pairs = a.join(b, list(within)).where("left < right").withColumn("score", cosine(F.col("_a"), F.col("_b")))
-    return pairs.where(F.col("score") >= threshold).select(*within, "left", "right", "score")
+def near_duplicates(df: DataFrame, threshold: float = 0.97, *, key: str, vector: str, within: Sequence[str], block: int = 2048) -> DataFrame:
+    """(within, left, right, score): pairs of one group with a cosine of at least ``threshold``, left before right.
+
+    Groups are cut into blocks of about ``block`` rows and each two blocks are
+    compared as matrices, so only pairs that qualify become rows. Null vectors
+    and those of zero norm have no pairs; lengths must agree to be compared.
+    """
+    ship(df.sparkSession)
+    rows = df.select(*within, F.col(key).alias("_k"), F.col(vector).cast("array<double>").alias("_v")).where("_k is not null and size(_v) > 0")
+    sizes = rows.groupBy(*within).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    sizes = sizes.withColumnsRenamed({c: f"_g_{c}" for c in within})
+    cond = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in within]
+    placed = rows.join(sizes, cond).select(*within, "_k", "_v", "_n").withColumn("_b", F.pmod(F.xxhash64("_k"), F.col("_n")).cast("int"))
+    other = F.expr("sequence(0, _n - 1)")
+    spread = placed.withColumn("_o", F.explode(other)).select(*within, F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), "_b", "_k", "_v")
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in within], f"left {kinds[key]}, right {kinds[key]}, score double"])
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        pdf = pdf.assign(_len=pdf["_v"].map(len))
+        for _, part in pdf.groupby("_len"):
+            matrix = np.stack(part["_v"].to_numpy())
+            norms = np.linalg.norm(matrix, axis=1)
+            part, matrix = part[norms > 0], matrix[norms > 0] / norms[norms > 0, None]
+            at, keys = part["_b"].to_numpy(), part["_k"].to_numpy()
+            i, j = int(pdf["_i"].iloc[0]), int(pdf["_j"].iloc[0])
+            a, b = np.flatnonzero(at == i), np.flatnonzero(at == j)
+            x, y = np.nonzero(matrix[a] @ matrix[b].T >= threshold)
+            pairs = [(keys[p], keys[q], float(matrix[p] @ matrix[q])) for p, q in zip(a[x], b[y], strict=True)]
+            out += [(min(p, q), max(p, q), s) for p, q, s in pairs if p < q or (i != j and p > q)]
+        found = pd.DataFrame(out, columns=["left", "right", "score"])
+        for c in reversed(list(within)):
+            found.insert(0, c, pdf[c].iloc[0])
+        return found
+
+    return spread.groupBy(*within, "_i", "_j").applyInPandas(compare, schema)
 
 
 def golden(gold: DataFrame, lexical: DataFrame, k: int = 8, distractors: int = 3) -> DataFrame:

@@ -156,27 +156,29 @@ def cap_per_group(df: DataFrame, n: int | None, groups: Sequence[str], *, qualit
 def cap_total(df: DataFrame, n: int | None, strata: Sequence[str] | None = None, *, quality: str = "selection_quality_score", key: str = "trajectory_id") -> DataFrame:
     """The ``n`` best rows, or with ``strata`` as even a share of ``n`` from each stratum as its size allows.
 
-    Slots go round by round: every stratum's best row, then every second one,
-    and so on. Only the strata's sizes are ranked together, so no task holds the
-    rows: the last full round is the largest one that fits, and the slots left
-    over go to the first strata (in order of their values) that still have rows.
+    As if slots went round by round: every stratum's best row, then every second
+    one, and so on, the last incomplete round in order of the strata's values.
+    Only the strata's sizes (one row each) come together in one task.
     """
     if n is None:
         return df
     strata = [s for s in strata or [] if s in df.columns]
     if not strata:
         return df.orderBy(*_ranked(quality, key)).limit(n)
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*strata).orderBy(*_ranked(quality, key))))
-    # Rows of rank r over all strata: how many strata have at least r rows.
     sizes = df.groupBy(*strata).agg(F.count("*").alias("_c"))
-    rounds = ranked.groupBy("_r").agg(F.count("*").alias("_in"))
-    rounds = rounds.withColumn("_before", F.coalesce(F.sum("_in").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    last = rounds.where(F.col("_before") < n).agg(F.max_by(F.struct("_r", "_before"), "_r").alias("l")).select(F.coalesce("l._r", F.lit(1)).alias("_full"), F.coalesce(n - F.col("l._before"), F.lit(0)).alias("_left"))
-    part = sizes.crossJoin(F.broadcast(last))  # one row on the right
+    # From the smallest stratum on: if all before it are taken whole, what share is left for it and each larger one?
+    ascending = Window.orderBy("_c", *strata)
+    levels = sizes.withColumn("_k", F.row_number().over(ascending) - 1).withColumn("_all", F.count("*").over(Window.partitionBy()))
+    levels = levels.withColumn("_before", F.coalesce(F.sum("_c").over(ascending.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    levels = levels.withColumn("_level", F.floor((F.lit(n) - F.col("_before")) / (F.col("_all") - F.col("_k"))))
+    level = levels.where(F.col("_level") < F.col("_c")).agg(F.min_by("_level", "_k").alias("_full"))  # null: everything fits
+    quotas = sizes.crossJoin(F.broadcast(level))  # one row on the right
+    quotas = quotas.withColumn("_base", F.least("_c", F.coalesce("_full", F.col("_c"))))
     named = F.concat_ws("\u0000", *[F.coalesce(F.col(s).cast("string"), F.lit("")) for s in strata])
-    extra = part.where(F.col("_c") >= F.col("_full")).withColumn("_e", F.row_number().over(Window.orderBy(named)) <= F.col("_left"))
-    cond = [F.col(f"q.{s}").eqNullSafe(F.col(f"x.{s}")) for s in strata]
-    quotas = part.alias("q").join(extra.alias("x"), cond, "left").select(*[F.col(f"q.{s}").alias(s) for s in strata], F.least(F.col("q._c"), F.col("q._full") - 1 + F.coalesce(F.col("x._e").cast("int"), F.lit(0))).alias("_quota"))
+    spare = F.lit(n) - F.sum("_base").over(Window.partitionBy())
+    turn = F.sum((F.col("_c") > F.col("_base")).cast("int")).over(Window.orderBy(named, *strata).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    quotas = quotas.select(*strata, (F.col("_base") + F.when((F.col("_c") > F.col("_base")) & (turn <= spare), 1).otherwise(0)).alias("_quota"))
+    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*strata).orderBy(*_ranked(quality, key))))
     match = [F.col(f"r.{s}").eqNullSafe(F.col(f"q.{s}")) for s in strata]
     return ranked.alias("r").join(quotas.alias("q"), match).where(F.col("_r") <= F.col("_quota")).select("r.*").drop("_r")
 

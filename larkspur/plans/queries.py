@@ -121,14 +121,14 @@ def quality_mean(spark, sf_dir):
 
 
 @query(
-    f"WITH {SCORES_SQL} SELECT CAST(doc_id AS VARCHAR) AS trajectory_id, (CASE WHEN toxic = 1 THEN ['skipped'] ELSE [] END || CASE WHEN doc_id % 10 = 3 THEN ['status'] ELSE [] END || "
-    "CASE WHEN doc_id % 6 < 1 THEN ['min_turns'] ELSE [] END || CASE WHEN doc_id % 50 = 0 THEN ['health:n_user_role_violations'] ELSE [] END || "
-    "CASE WHEN toxic = 0 AND (helpfulness < 4 OR accuracy < 4 OR coherence < 4 OR safety < 4 OR role_adherence < 4 OR language_appropriateness < 4 OR shape < 0.95) THEN ['floors'] ELSE [] END)[1] AS first_gate FROM scored"
+    f"WITH {SCORES_SQL} SELECT CAST(d.doc_id AS VARCHAR) AS trajectory_id, CASE WHEN s.doc_id IS NULL THEN 'no_eval' WHEN toxic = 1 THEN 'skipped' WHEN d.doc_id % 10 = 3 THEN 'status' WHEN d.doc_id % 6 < 1 THEN 'min_turns' "
+    "WHEN d.doc_id % 50 = 0 THEN 'health:n_user_role_violations' WHEN helpfulness < 4 OR accuracy < 4 OR coherence < 4 OR safety < 4 OR role_adherence < 4 OR language_appropriateness < 4 OR shape < 0.95 THEN 'floors' END AS first_gate "
+    "FROM documents d LEFT JOIN scored s ON d.doc_id = s.doc_id"
 )
 def strict_profile(spark, sf_dir):
-    v = _verdicts(spark, sf_dir, selection.STRICT).where("selection_drop_reason is null or selection_drop_reason <> 'no_eval'")
+    v = _verdicts(spark, sf_dir, selection.STRICT)
     gate = F.col("selection_drop_reason")
-    named = F.when(gate.isin("skipped", "status", "min_turns") | gate.startswith("health:"), gate).when(gate.isNotNull(), "floors")
+    named = F.when(gate.isin("no_eval", "skipped", "status", "min_turns") | gate.startswith("health:"), gate).when(gate.isNotNull(), "floors")
     return v.select("trajectory_id", named.alias("first_gate"))
 
 
@@ -200,10 +200,10 @@ def resource_by_alias(spark, sf_dir):
 
 
 @query(
-    "SELECT event_id, round(CASE WHEN greatest(value - event_id % 90, 0) / value < 0.05 THEN 0 ELSE greatest(value - event_id % 90, 0) END, 6) AS hidden FROM events WHERE value > 0"
+    "SELECT event_id, round(CASE WHEN value <= 0 OR greatest(value - event_id % 90, 0) / value < 0.05 THEN 0 ELSE greatest(value - event_id % 90, 0) END, 6) AS hidden FROM events"
 )
 def reasoning_tokens(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("value > 0")
+    e = table(spark, sf_dir, "events")
     return e.select("event_id", _r(reporting.reasoning_tokens(F.col("value"), (F.col("event_id") % 90).cast("double"))).alias("hidden"))
 
 
@@ -258,16 +258,16 @@ def bad_rows(spark, sf_dir):
 # --- comparison -------------------------------------------------------------------------------------
 
 _CELLS_SQL = """cells AS (
-    SELECT CAST(year(o_orderdate) AS VARCHAR) AS run_id, n_name AS locale, o_orderpriority AS capability, avg(o_totalprice) / 200000 AS score,
+    SELECT CAST(year(o_orderdate) AS VARCHAR) AS run_id, n_name AS locale, o_orderpriority || '/' || o_orderstatus AS capability, avg(o_totalprice) / 200000 AS score,
            CASE WHEN count(*) < 3 THEN 'insufficient_evidence' WHEN avg(o_totalprice) < 150000 THEN 'blocked' ELSE 'ready' END AS state
-    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 7 < 2 GROUP BY ALL)"""
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)"""
 
 
 def _cells(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 7 < 2")
+    o = table(spark, sf_dir, "orders")
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     rows = o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-    cells = rows.groupBy(F.year("o_orderdate").cast("string").alias("run_id"), F.col("n_name").alias("locale"), F.col("o_orderpriority").alias("capability"))
+    cells = rows.groupBy(F.year("o_orderdate").cast("string").alias("run_id"), F.col("n_name").alias("locale"), F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("capability"))
     cells = cells.agg(F.avg("o_totalprice").alias("p"), F.count("*").alias("c"))
     state = F.when(F.col("c") < 3, "insufficient_evidence").when(F.col("p") < 150000, "blocked").otherwise("ready")
     return cells.select("run_id", "locale", "capability", (F.col("p") / 200000).alias("score"), state.alias("state"))
@@ -527,11 +527,11 @@ def ordered_subsequence(spark, sf_dir):
 
 
 @query(
-    "WITH s AS (SELECT l_partkey, l_quantity AS a, l_quantity + l_linenumber AS b FROM lineitem WHERE l_partkey % 20 = 0), m AS (SELECT *, max(b) OVER (PARTITION BY l_partkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s), "
+    "WITH s AS (SELECT l_partkey, l_quantity AS a, l_quantity + l_linenumber AS b FROM lineitem), m AS (SELECT *, max(b) OVER (PARTITION BY l_partkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s), "
     "g AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY l_partkey ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT l_partkey, min(a) AS \"start\", max(b) AS \"end\" FROM g GROUP BY l_partkey, g"
 )
 def merge_passages(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").where("l_partkey % 20 = 0").select("l_partkey", F.col("l_quantity").alias("start"), (F.col("l_quantity") + F.col("l_linenumber")).alias("end"))
+    l = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_quantity").alias("start"), (F.col("l_quantity") + F.col("l_linenumber")).alias("end"))
     return dialogue.merge_passages(l, key="l_partkey")
 
 
@@ -743,7 +743,7 @@ def stated_values(spark, sf_dir):
 @query("SELECT doc_id FROM documents WHERE regexp_matches(lower(text), 'license') AND NOT regexp_matches(text, '\\p{Cyrillic}')")
 def names_in_text(spark, sf_dir):
     """Documents that speak of a licence, by the token check."""
-    d = table(spark, sf_dir, "documents").where(F.contains(F.lower("text"), F.lit("license")))
+    d = table(spark, sf_dir, "documents")
     marked = F.regexp_replace(F.lower("text"), "licensed?", "the_license")
     return d.where(F.size(bank_checks.names_in_text(marked, ["the_license"])) > 0).select("doc_id")
 

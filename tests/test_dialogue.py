@@ -85,3 +85,18 @@ def test_refusals(spark):
     df = spark.createDataFrame([(["I'm unable to do that.", "Das kann ich nicht."], "en")], "turns array<string>, language string")
     r = scoring.apply_scorer(df, "refusal_basics").first()
     assert r["refusal.detected_rate"] == 1.0 and r["refusal.wrong_language_rate"] == 0.5
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_near_duplicates(spark, block):
+    import random
+
+    rnd = random.Random(2)
+    base = [[rnd.gauss(0, 1) for _ in range(6)] for _ in range(5)]
+    rows = [(i, rnd.choice("ab"), [x + rnd.gauss(0, 0.05) for x in base[i % 5]]) for i in range(30)] + [(90, "a", None), (91, "a", [0.0] * 6), (92, None, base[0]), (93, None, base[0]), (94, "a", [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "id int, g string, v array<double>")
+    dot = lambda x, y: sum(p * q for p, q in zip(x, y))
+    cos = lambda x, y: dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5
+    want = {(g, a, b) for a, g, x in rows for b, h, y in rows if a < b and g == h and x and y and len(x) == len(y) and any(x) and any(y) and cos(x, y) >= 0.9}
+    got = [(r.g, r.left, r.right) for r in retrieval.near_duplicates(df, 0.9, key="id", vector="v", within=["g"], block=block).collect()]
+    assert set(got) == want and len(got) == len(want)
