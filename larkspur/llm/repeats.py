@@ -490,6 +490,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     size = rows.agg(F.countDistinct("chunk").alias("chunks"), F.sum("bytes").alias("bytes")).first()
     chunks, buckets = max(1, size["chunks"]), max(4, -(-(size["bytes"] or 0) // BUCKET_BYTES))
     firsts = rows.where(f"bytes >= {WINDOW}").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    firsts = keep_table(firsts, "copied-texts")  # read back, so that Spark can split a hot text's rows in the join
     copies = rows.join(firsts, "digest").where("id > first").groupBy("chunk").agg(F.collect_list("row").alias("rows"))
     packed = F.udf(lambda r: np.array(sorted(r or []), np.int32).tobytes(), "binary")
     chunk_list = keep_table(rows.select("chunk").distinct().join(copies, "chunk", "left").select("chunk", F.lit(-1).alias("bucket"), packed("rows").alias("bits")), "chunks")
