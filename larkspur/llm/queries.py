@@ -64,6 +64,22 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_repeat_removal, op2_bpe_encode, op3_warc, op4_code_search, op5_simhash, op6_token_counts, op7_decontamination, op8_line_dedup, op9_quality, op10_html_text)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_repeat_removal": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        b AS (
+            SELECT doc_id, p, substr(h, 2 * p + 1, 2) AS x, CASE WHEN 2 * p + 100 <= length(h) THEN substr(h, 2 * p + 1, 100) END AS s
+            FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS p FROM d)),
+        f AS (SELECT s, min(doc_id) AS first FROM b WHERE s IS NOT NULL GROUP BY s),
+        r AS (SELECT b.doc_id, b.p, b.x, coalesce(f.first < b.doc_id, false) AS starts FROM b LEFT JOIN f ON b.s = f.s),
+        g AS (SELECT doc_id, p, x, bool_or(starts) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM r),
+        e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM g),
+        t AS (
+            SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
+                   string_agg(x, '' ORDER BY p) FILTER (WHERE NOT gone) AS kept FROM e GROUP BY doc_id)
+        SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+        FROM d LEFT JOIN t ON d.doc_id = t.doc_id
+    """,
     "op3_warc": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS body, sha256(coalesce(html, '')) AS payload_digest,
