@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.languages import language_match_rates
 from ..functions.text import REFUSALS, letter_share, refusal_rates, shape_rates
 
 Builder = Callable[[Column, Column], dict[str, Column]]
@@ -65,7 +66,7 @@ def script_rates(turns: Column, language: Column) -> dict[str, Column]:
 
 register_scorer(Scorer("response_shape", lambda turns, _: shape_rates(turns)))
 register_scorer(Scorer("refusal_basics", lambda turns, language: refusal_rates(turns, language, REFUSALS), frozenset({"refusal.detected_rate"})))
-register_scorer(Scorer("language_compliance", script_rates))
+register_scorer(Scorer("language_compliance", lambda turns, language: {**script_rates(turns, language), **language_match_rates(turns, language)}))
 
 
 def apply_scorer(df: DataFrame, name: str, *, turns: str = "turns", language: str = "language") -> DataFrame:

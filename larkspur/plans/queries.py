@@ -9,7 +9,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import identity, locales, messages, persona, text
+from ..functions import identity, languages, locales, messages, persona, text
 from ..operators import bank_checks, comparison, dialogue, episodes, grading, judging, manifest, reporting, retrieval, sampling, scoring, selection, simulation
 from .views import SCORES_SQL, STATUS_SQL, evaluations, table, trajectories
 
@@ -464,6 +464,20 @@ def word_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.word_count(F.col("text")).alias("n_words"), text.cjk_word_count(F.col("text")).alias("n_words_cjk"))
 
 
+@query(
+    "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\pL]+'), lambda t: t <> '') AS ts FROM documents), "
+    "s AS (SELECT doc_id, [" + ", ".join(f"{{n: -len(list_filter(ts, lambda t: t IN ({', '.join(repr(x) for x in sorted(ws.split()))}))), l: '{lang}'}}" for lang, ws in languages.FUNCTION_WORDS.items()) + "] AS c FROM w) "
+    "SELECT doc_id, CASE WHEN list_min(c).n < 0 THEN list_min(c).l END AS language FROM s"
+)
+def detect_language(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", languages.detect_language(F.col("text")).alias("language"))
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(text, '\\pL') THEN 'Latin' END AS script FROM documents")
+def dominant_script(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", languages.dominant_script(F.col("text")).alias("script"))
+
+
 @query()
 def scorer_blocks(spark, sf_dir):
     c = _conversations(spark, sf_dir).select("conv_id", dialogue.turns_of(F.col("messages"), "assistant").alias("turns"), F.lit("en").alias("language"))
