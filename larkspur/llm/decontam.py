@@ -119,5 +119,5 @@ def contaminated(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item, null ids included; columns as they were."""
     held = contaminated(docs, benchmark, id_col=id_col, text_col=text_col, **settings).select(F.col(id_col).alias("held_id"), F.col("sig").alias("held_sig")).distinct()
-    sig = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    return docs.join(held, F.col(f"`{id_col}`").eqNullSafe(F.col("held_id")) & (sig == F.col("held_sig")), "left_anti")
+    sig = F.xxhash64(F.coalesce(F.col(f"d.`{text_col}`").cast("string"), F.lit("")))
+    return docs.alias("d").join(held.alias("h"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("h.held_id")) & (sig == F.col("h.held_sig")), "left_anti")

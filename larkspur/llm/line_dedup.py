@@ -90,16 +90,17 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "d
     """
     gone = removed_lines(docs, min_words=min_words, id_col=id_col, text_col=text_col)
     gone = gone.groupBy("doc", "sig").agg(F.collect_list("j").alias("gone_lines")).select(F.col("doc").alias("gone_doc"), F.col("sig").alias("gone_sig"), "gone_lines")
-    docs = docs.drop("n_lines", "n_removed")
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     text = F.col(f"`{text_col}`")
     sig = F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
-    joined = docs.withColumn("own_sig", sig).join(
-        gone.hint("shuffle_hash"), F.col(f"`{id_col}`").eqNullSafe(F.col("gone_doc")) & (F.col("own_sig") == F.col("gone_sig")), "left"
-    )
+    # The row travels as one struct, so that none of its columns can clash with those of the join.
+    rows = docs.select(F.col(f"`{id_col}`").alias("own_doc"), sig.alias("own_sig"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    joined = rows.join(gone.hint("shuffle_hash"), F.col("own_doc").eqNullSafe(F.col("gone_doc")) & (F.col("own_sig") == F.col("gone_sig")), "left")
+    text = F.col("row")[text_col]
     kept = F.array_join(F.filter(_lines(text), lambda x, j: ~F.array_contains("gone_lines", j)), "\n")
     n_lines = F.size(F.filter(_lines(text), lambda x: F.trim(x) != "")).cast("long")
     return joined.select(
-        *[F.when(F.col("gone_lines").isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
+        *[(F.when(F.col("gone_lines").isNull(), text).otherwise(kept) if c == text_col else F.col("row")[c]).alias(c) for c in columns],
         n_lines.alias("n_lines"),
         F.coalesce(F.size("gone_lines"), F.lit(0)).cast("long").alias("n_removed"),
     )

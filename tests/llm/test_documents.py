@@ -19,7 +19,9 @@ SF = "/root/testdata/sf0.001"
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(t, i, "x", 3) for i, t in rows], "text string, doc_id bigint, fp string, n_lines int")
+    """Documents with columns named like those that the operators use inside."""
+    clash = ["f0", "id", "sig", "node", "held_id", "held_sig", "gone_doc", "gone_lines", "own_sig", "row", "h", "n_lines"]
+    return spark.createDataFrame([(t, i, *["x"] * len(clash)) for i, t in rows], "text string, doc_id bigint, " + ", ".join(f"{c} string" for c in clash))
 
 
 # --- components and SimHash ------------------------------------------------------------------
