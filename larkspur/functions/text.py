@@ -143,5 +143,5 @@ def refusal_rates(turns: Column, language: Column, lexicon: dict[str, list[str]]
     return {
         "refusal.detected_rate": rate(refuses),
         "refusal.canned_phrase_rate": 1 - rate(lambda t: t.rlike(phrase_pattern(canned))),
-        "refusal.wrong_language_rate": 1 - rate(foreign),
+        "refusal.in_wrong_language_rate": 1 - rate(foreign),
     }

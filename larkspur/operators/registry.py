@@ -6,7 +6,7 @@ import logging
 from collections.abc import Iterable
 from importlib.metadata import entry_points
 
-from .reporting import CAPABILITIES, Capability
+from .reporting import CAPABILITIES, PROBE_CAPABILITIES, Capability
 
 GROUP = "larkspur.capabilities"
 _log = logging.getLogger(__name__)
@@ -32,4 +32,4 @@ def merge(base: Iterable[Capability], more: Iterable[object]) -> tuple[Capabilit
 
 
 def capabilities() -> tuple[Capability, ...]:
-    return merge(CAPABILITIES, (e.load() for e in sorted(entry_points(group=GROUP), key=lambda e: e.name)))
+    return merge((*CAPABILITIES, *PROBE_CAPABILITIES), (e.load() for e in sorted(entry_points(group=GROUP), key=lambda e: e.name)))

@@ -84,7 +84,7 @@ def test_scorer_columns(spark):
 def test_refusals(spark):
     df = spark.createDataFrame([(["I'm unable to do that.", "Das kann ich nicht."], "en")], "turns array<string>, language string")
     r = scoring.apply_scorer(df, "refusal_basics").first()
-    assert r["refusal.detected_rate"] == 1.0 and r["refusal.wrong_language_rate"] == 0.5
+    assert r["refusal.detected_rate"] == 1.0 and r["refusal.in_wrong_language_rate"] == 0.5
 
 
 @pytest.mark.parametrize("block", [3, 1000])

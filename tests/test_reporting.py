@@ -72,3 +72,24 @@ def test_cube_and_rollup(spark):
     assert cube.count() == 2 * 3 * 2 and cube.where("state = 'missing'").count() == 12 - 5
     got = {r.run_id: (r.mean_score, r.n_ready) for r in comparison.rollup_runs(cube).collect()}
     assert got["1"] == (pytest.approx((0.7 + 0.4) / 2), 2) and got["2"] == (0.5, 2)
+
+
+def test_axes_of_a_failed_scorer_give_no_evidence(spark):
+    ok = json.dumps({"status": "ok"})
+    scores = {"shape.over_formatted_rate": "0.2"}
+    data = [("a", "en", ok, cell({"response_conciseness": 5.0}, {"response_shape": {"scores": scores}})), ("b", "en", ok, cell({"response_conciseness": 5.0}, {"response_shape": {"scores": scores, "error": "crashed"}}))]
+    df = spark.createDataFrame(data, "trajectory_id string, locale string, simulation_outcome string, assistant_eval string")
+    caps = [c for c in reporting.CAPABILITIES if c.id == "conversation_formatting"]
+    got = {r.trajectory_id: r.row_score for r in reporting.evidence(df, caps).collect()}
+    assert got == {"a": pytest.approx(0.6), "b": 1.0}
+    c = reporting.capability_cells(reporting.evidence(df, caps), caps, min_n=1).first()
+    assert (c.state, c.failed_axes) == ("blocked", ["shape.over_formatted_rate"])
+
+
+def test_strata(spark):
+    base = reporting.PROBE_CAPABILITIES[0]
+    made = reporting.by_stratum(base, "institution_type", ["bank", "insurer"])
+    assert [c.id for c in made] == ["financial_task_success_bank", "financial_task_success_insurer"] and made[1].row_filter == {"institution_type": "insurer"}
+    df = spark.createDataFrame([("a", "en", json.dumps({"status": "ok"}), cell({}, {"financial_services": {"scores": {"finance.tool_selection_rate": "1.0"}}}), "bank")], "trajectory_id string, locale string, simulation_outcome string, assistant_eval string, institution_type string")
+    assert [r.capability for r in reporting.evidence(df, made).collect()] == ["financial_task_success_bank"]
+    assert len({c.id for c in (*reporting.CAPABILITIES, *reporting.PROBE_CAPABILITIES)}) == len(reporting.CAPABILITIES) + len(reporting.PROBE_CAPABILITIES)
