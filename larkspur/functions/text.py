@@ -66,10 +66,25 @@ def marker_fraction(turns: Column, markers: str) -> Column:
 
 
 def mattr(tokens: Column, window: int = MATTR_WINDOW) -> Column:
-    """Moving-average type-token ratio; the plain ratio below one window, 0 without tokens."""
+    """Moving-average type-token ratio; the plain ratio below one window, 0 without tokens.
+
+    A token counts in each window whose first token of its kind it is: those that
+    begin after its previous occurrence. Sorted by token and place, previous
+    occurrences are neighbours, so no window is gone through. Give ``tokens`` as a
+    column, not as an expression that each use would compute anew.
+    """
     n = F.size(tokens)
-    ratios = F.transform(F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1))), lambda i: F.size(F.array_distinct(F.slice(tokens, i, window))) / window)
-    return F.when(n == 0, F.lit(0.0)).when(n < window, F.size(F.array_distinct(tokens)) / n).otherwise(_mean(ratios))
+    placed = F.array_sort(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+    before = F.concat(F.array(F.lit(None).cast("struct<t:string,i:int>")), placed)
+
+    def windows(now, last):
+        previous = F.when(last["t"] == now["t"], last["i"]).otherwise(-1)
+        first = F.greatest(previous + 1, now["i"] - window + 1, F.lit(0))
+        return F.greatest(F.least(now["i"], n - window) - first + 1, F.lit(0))
+
+    counts = F.zip_with(placed, F.slice(before, 1, F.greatest(n, F.lit(1))), windows)
+    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
+    return F.when(n == 0, F.lit(0.0)).when(n < window, F.size(F.array_distinct(tokens)) / n).otherwise(total / (n - window + 1) / window)
 
 
 def letter_share(text: Column, script: str) -> Column:

@@ -405,7 +405,8 @@ def diagnostics(spark, sf_dir):
 )
 def mattr(spark, sf_dir):
     tokens = F.flatten(F.transform(dialogue.turns_of(F.col("messages"), "assistant"), lambda t: text.words(F.lower(t))))
-    return _conversations(spark, sf_dir).select("conv_id", _r(text.mattr(tokens)).alias("mattr"))
+    rows = _conversations(spark, sf_dir).select("conv_id", tokens.alias("tokens"))
+    return rows.select("conv_id", _r(text.mattr(F.col("tokens"))).alias("mattr"))
 
 
 _TRIVIAL_SQL = "(length(regexp_replace({0}, '^\\s+|\\s+$', '', 'g')) < 3 OR NOT regexp_matches({0}, '[\\pL\\pN]'))"
