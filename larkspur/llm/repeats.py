@@ -33,11 +33,13 @@ from .shared import keep_table, keyed_text, shared_folder
 
 WINDOW, GRAM = 50, 24
 #: Bytes of text in one chunk, and bytes hashed at a time.
-CHUNK_BYTES, STEP_BYTES = 12 << 20, 1 << 19
+CHUNK_BYTES, STEP_BYTES = 8 << 20, 1 << 19
 #: Bytes of corpus whose anchors make one bucket.
 BUCKET_BYTES = 16 << 20
 SIDE = WINDOW - GRAM
 WIDTH = WINDOW + SIDE
+#: About so many suffixes are put into one array; the segments of one anchor stay together.
+ARRAY_ROWS = 100_000
 NO_ID = (1 << 63) - 1
 _HALF = np.uint64(0xFFFFFFFF00000000)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -153,27 +155,35 @@ class Chunk:
 def _store(docs: DataFrame, folder: str) -> DataFrame:
     """Write the texts in chunks; (chunk, row, id, bytes, digest) per document."""
 
+    def write(fs, base, parts):
+        table = pa.Table.from_batches(parts).combine_chunks()
+        name = f"{uuid.uuid4().hex}.arrow"
+        fs.create_dir(base, recursive=True)
+        with fs.open_output_stream(f"{base}/{name}") as out, pa.ipc.new_file(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(table)
+        text = table.column("text").chunk(0)
+        digests = [hashlib.blake2b(x.as_buffer(), digest_size=16).digest() for x in text]
+        lengths = np.diff(np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1])
+        columns = [pa.array([name] * len(text)), pa.array(np.arange(len(text), dtype=np.int32)), table.column("id").chunk(0), pa.array(lengths), pa.array(digests, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["chunk", "row", "id", "bytes", "digest"])
+
     def run(batches):
         fs, base = _fs(folder)
+        parts, size = [], 0
         for batch in batches:
-            ids = batch.column(0).fill_null(NO_ID)
-            text = batch.column(1).cast(pa.large_binary())
-            lengths = np.diff(np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1])
-            total, at = np.cumsum(lengths), 0
-            while at < len(ids):
-                to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + CHUNK_BYTES, "right")))
-                name = f"{uuid.uuid4().hex}.arrow"
-                part = pa.concat_arrays([text.slice(at, to - at)])
-                table = pa.table({"id": ids.slice(at, to - at), "text": pa.array(part.to_pylist(), pa.large_binary())})
-                fs.create_dir(base, recursive=True)
-                with fs.open_output_stream(f"{base}/{name}") as out, pa.ipc.new_file(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                    writer.write_table(table)
-                digests = [hashlib.blake2b(x.as_buffer(), digest_size=16).digest() for x in part]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * (to - at)), pa.array(np.arange(to - at, dtype=np.int32)), table.column("id").combine_chunks(), pa.array(lengths[at:to]), pa.array(digests, pa.binary())],
-                    names=["chunk", "row", "id", "bytes", "digest"],
-                )
+            whole = pa.RecordBatch.from_arrays([batch.column(0).fill_null(NO_ID), batch.column(1).cast(pa.large_binary())], names=["id", "text"])
+            offsets = np.frombuffer(whole.column(1).buffers()[1], np.int64)[whole.column(1).offset : whole.column(1).offset + len(whole) + 1]
+            at = 0
+            while at < len(whole):  # as many rows as the chunk still has room for, at least one
+                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES - size, "right")) - 1)
+                parts.append(whole.slice(at, to - at))
+                size += int(offsets[to] - offsets[at])
                 at = to
+                if size >= CHUNK_BYTES or at < len(whole):
+                    yield write(fs, base, parts)
+                    parts, size = [], 0
+        if parts:
+            yield write(fs, base, parts)
 
     return keep_table(docs.mapInArrow(run, "chunk string, row int, id long, bytes long, digest binary"), "chunk-rows")
 
@@ -369,38 +379,45 @@ def _first_documents(matrix: np.ndarray, shape: np.ndarray, owner: np.ndarray) -
         for k in range(gram.shape[1]):
             key = _mixed((key ^ gram[:, k]) * _BASE + np.uint64(k))
     _, which, sizes = np.unique(key, return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(sizes[which.ravel()] > 1)  # the others have their anchor to themselves
-    if not len(shared):
-        return first
+    which = which.ravel()
+    shared = np.flatnonzero(sizes[which] > 1)  # the others have their anchor to themselves
+    shared = shared[np.argsort(which[shared], kind="stable")]
+    # Whole anchors go together into arrays of about ARRAY_ROWS suffixes.
+    heads = np.flatnonzero(np.r_[True, which[shared][1:] != which[shared][:-1]]) if len(shared) else shared
+    before = np.r_[0, np.cumsum(count[shared])]
+    at = 0
+    while at < len(heads):
+        to = max(at + 1, int(np.searchsorted(before[heads], before[heads[at]] + ARRAY_ROWS)))
+        _scan_segments(matrix, lead, count, owner, first, shared[heads[at] : heads[to] if to < len(heads) else None])
+        at = to
+    return first
+
+
+def _scan_segments(matrix, lead, count, owner, first, shared) -> None:
+    """Put the groups of the ``shared`` segments' strings into ``first``."""
     seg = np.repeat(shared, count[shared])
     string = np.arange(len(seg)) - np.repeat(np.cumsum(count[shared]) - count[shared], count[shared])
     start = lead[seg] + string
     end = lead[seg] + count[seg] + WINDOW - 1
-    padded = np.zeros((len(matrix), WIDTH + WINDOW + 30), np.uint8)
-    padded[:, :WIDTH] = matrix
-    words = np.lib.stride_tricks.sliding_window_view(padded, 80, axis=1)[seg, start].reshape(len(seg), 80)
-    words = np.ascontiguousarray(words[:, :80]).view(np.dtype(">u8")).astype(np.uint64)
+    flat = np.zeros((len(seg), 80), np.uint8)
+    columns = start[:, None] + np.arange(WIDTH)[None, :]
+    flat[:, :WIDTH] = np.where(columns < end[:, None], matrix[seg[:, None], np.minimum(columns, WIDTH - 1)], 0)
+    words = flat.view(np.dtype(">u8")).astype(np.uint64)
     order = np.lexsort(tuple(words[:, k] for k in range(words.shape[1] - 1, -1, -1)))
-    flat = np.ascontiguousarray(words[order].astype(np.dtype(">u8"))).view(np.uint8).reshape(len(order), 80)
-    size = (end - start)[order]
+    del words
+    flat, size = flat[order], (end - start)[order]
     differs = flat[1:] != flat[:-1]
     common = np.zeros(len(order), np.int64)
     common[1:] = np.where(differs.any(1), differs.argmax(1), 80)
     common[1:] = np.minimum(common[1:], np.minimum(size[1:], size[:-1]))
     left = np.where(string > 0, matrix[seg, np.maximum(start - 1, 0)].astype(np.int64), -1)
     begins, ends, lengths = repeat_groups(order, common, left, WINDOW)
-    if not len(begins):
-        return first
     for b, e, n in zip(begins.tolist(), ends.tolist(), lengths.tolist(), strict=True):
         members = order[b:e]
         segs, at = seg[members], string[members]
         least = owner[segs].min()
-        if n == WINDOW:
-            first[segs, at] = np.minimum(first[segs, at], least)
-        else:
-            for k in range(n - WINDOW + 1):
-                first[segs, at + k] = np.minimum(first[segs, at + k], least)
-    return first
+        for k in range(n - WINDOW + 1):
+            first[segs, at + k] = np.minimum(first[segs, at + k], least)
 
 
 def _answer_segments(batches):
@@ -456,7 +473,7 @@ def _apply(folder: str, with_text: bool):
                     starts = _unpacked(r[2]).astype(np.int64)
                     np.add.at(edge, starts, 1)
                     np.add.at(edge, starts + WINDOW, -1)
-            gone = np.cumsum(edge[:-1]) > 0
+            gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
             out, kept_texts = [], []
             for k, (id_, lo, hi, copy) in enumerate(zip(chunk.ids.tolist(), chunk.begins.tolist(), chunk.ends.tolist(), chunk.copy.tolist(), strict=True)):
                 bytes_, mask = chunk.data[lo:hi], gone[lo:hi]
