@@ -44,11 +44,53 @@ def lexical_topk(queries: DataFrame, docs: DataFrame, k: int = 8, *, scope: Sequ
     return _top(hits, "query_id", "doc_id", "overlap", k)
 
 
-def dense_topk(queries: DataFrame, docs: DataFrame, k: int = 8, *, scope: Sequence[str] = ()) -> DataFrame:
-    """(query_id, doc_id, score, rank) by cosine within the scope; tables are (query_id, vector) and (doc_id, vector)."""
-    q, d = queries.withColumnRenamed("vector", "_q"), docs.withColumnRenamed("vector", "_d")
-    pairs = d.join(q, list(scope)) if scope else d.crossJoin(q)  # a stated query set against all rows
-    return _top(pairs.select("query_id", "doc_id", cosine(F.col("_q"), F.col("_d")).alias("score")), "query_id", "doc_id", "score", k)
+def dense_topk(queries: DataFrame, docs: DataFrame, k: int = 8, *, scope: Sequence[str] = (), doc_block: int = 8192, query_block: int = 1024) -> DataFrame:
+    """(query_id, doc_id, score, rank) by cosine within the scope; tables are (query_id, vector) and (doc_id, vector).
+
+    Blocks of queries meet blocks of documents as matrices and only each
+    block's ``k`` best go on, so the pairs themselves are never rows. Documents
+    without a vector aren't found; another length or a zero norm scores 0;
+    scores are compared to nine digits, equal ones rank by document.
+    """
+    ship(docs.sparkSession)
+    keys = [f"_s{i}" for i in range(len(scope))] or ["_s0"]
+    named = [F.col(c).alias(a) for c, a in zip(scope, keys, strict=False)] or [F.lit(0).alias("_s0")]
+    vector = F.col("vector").cast("array<double>").alias("_v")
+    d = docs.select(*named, F.col("doc_id").alias("_id"), vector).where("size(_v) > 0")
+    q = queries.select(*named, F.col("query_id").alias("_id"), vector).where("size(_v) > 0")
+    kinds = [dict(q.dtypes)["_id"], dict(d.dtypes)["_id"]]
+
+    def parts(df: DataFrame, block: int, name: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+
+    sizes = parts(d, doc_block, "_nd").join(parts(q, query_block, "_nq"), keys)
+    place = lambda df, own, other, n_own, n_other: df.join(sizes, keys).select(
+        *keys, "_id", "_v", F.pmod(F.xxhash64("_id"), F.col(n_own)).cast("int").alias(own), F.explode(F.expr(f"sequence(0, {n_other} - 1)")).alias(other)
+    )
+    left, right = place(q, "_qb", "_db", "_nq", "_nd"), place(d, "_db", "_qb", "_nd", "_nq")
+
+    def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asked) and len(held):
+            ids, lengths = held["_id"].to_numpy(), held["_v"].map(len).to_numpy()
+            by_length = {}
+            for n in set(lengths.tolist()):
+                rows = np.flatnonzero(lengths == n)
+                matrix = np.stack(held["_v"].to_numpy()[rows])
+                norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+                by_length[n] = rows, np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+            for query, v in zip(asked["_id"], asked["_v"], strict=True):
+                scores = np.zeros(len(ids))
+                if len(v) in by_length and (norm := np.linalg.norm(v)) > 0:
+                    rows, matrix = by_length[len(v)]
+                    scores[rows] = np.round(matrix @ (np.asarray(v) / norm), 9)
+                top = np.lexsort((ids, -scores))[:k]
+                out.append(pd.DataFrame({"query_id": query, "doc_id": ids[top], "score": scores[top]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
+
+    group = [*keys, "_qb", "_db"]
+    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(best, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+    return _top(found, "query_id", "doc_id", "score", k)
 
 
 def minmax(value: Column, by: Sequence[str]) -> Column:

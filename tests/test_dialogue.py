@@ -100,3 +100,26 @@ def test_near_duplicates(spark, block):
     want = {(g, a, b) for a, g, x in rows for b, h, y in rows if a < b and g == h and x and y and len(x) == len(y) and any(x) and any(y) and cos(x, y) >= 0.9}
     got = [(r.g, r.left, r.right) for r in retrieval.near_duplicates(df, 0.9, key="id", vector="v", within=["g"], block=block).collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("scope", [[], ["g"]])
+def test_dense_topk(spark, scope):
+    import random
+
+    rnd = random.Random(4)
+    rows = [(i, "ab"[i % 2], [float(rnd.randint(-2, 2)) for _ in range(3)]) for i in range(40)] + [(90, "a", None), (91, "a", [1.0]), (92, None, [1.0, 0.0, 0.0])]
+    docs = spark.createDataFrame(rows, "doc_id int, g string, vector array<float>")
+    asked = rows[:7]
+    queries = spark.createDataFrame(asked, "query_id int, g string, vector array<float>")
+    dot = lambda x, y: sum(p * q for p, q in zip(x, y))
+
+    def cos(x, y):
+        norms = (dot(x, x) * dot(y, y)) ** 0.5
+        return round(dot(x, y) / norms, 9) if len(x) == len(y) and norms else 0.0
+
+    want = set()
+    for q, g, x in asked:
+        near = sorted((-cos(x, y), d) for d, h, y in rows if y and (not scope or g == h))[:5]
+        want |= {(q, d, r + 1) for r, (_, d) in enumerate(near)}
+    got = retrieval.dense_topk(queries, docs, 5, scope=scope, doc_block=9, query_block=2).collect()
+    assert {(r.query_id, r.doc_id, r["rank"]) for r in got} == want
