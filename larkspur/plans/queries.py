@@ -782,10 +782,10 @@ def verdict_counts(spark, sf_dir):
     return judging.verdict_counts(evaluations(spark, sf_dir))
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'openai' WHEN c_custkey % 4 = 1 THEN 'llama' WHEN c_custkey % 4 = 2 THEN 'anthropic' ELSE 'other' END AS family FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'openai' WHEN c_custkey % 4 = 1 THEN 'llama' WHEN c_custkey % 4 = 2 THEN 'mistral' ELSE 'other' END AS family FROM customer")
 def judge_family(spark, sf_dir):
     m = F.col("c_custkey") % 4
-    name = F.when(m == 0, "openai/gpt-x").when(m == 1, "Llama-3").when(m == 2, "a/Claude").otherwise("local")
+    name = F.when(m == 0, "openai/gpt-x").when(m == 1, "Llama-3").when(m == 2, "x/Mistral-7").otherwise("local")
     return table(spark, sf_dir, "customer").select("c_custkey", judging.family(name).alias("family"))
 
 
