@@ -14,8 +14,8 @@ from larkspur.llm.bpe import encode_documents
 from larkspur.llm.decontam import decontaminate
 from larkspur.llm.line_dedup import dedup_lines
 from larkspur.llm.quality import keep_quality
+from larkspur.llm.set_join import similar_groups
 from larkspur.llm.shared import keep_table, read_table
-from larkspur.llm.simhash import estimated_distance, near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -35,10 +35,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays.
 
-    Copies are texts whose five-word shingles have a similarity of 0.8 or more
-    as 128-bit fingerprints estimate it (19 bits).
+    Copies are texts whose five-word shingles have a Jaccard similarity of 0.8
+    or more; every such pair is found, and verified.
     """
-    groups = near_duplicates(docs, words=5, lanes=2, segments=8, distance=estimated_distance(0.8, lanes=2))
+    groups = similar_groups(docs, words=5, similarity=0.8)
     kept = groups.where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(COLUMNS)
 
