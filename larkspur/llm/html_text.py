@@ -50,15 +50,27 @@ PARTS = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^<>]*\Z", re.S
 )
 ATTR = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
+PARTING = re.compile(r"[-_:\d]+|(?<=[a-z])(?=[A-Z])")
+#: Words that may stand beside those of ``NOT_ARTICLE_WORDS`` in one class token (site-footer, ad-slot) without changing what it marks.
+PLACE_WORDS = frozenset("area bar block bottom box container global inner item items left link links list main module outer page panel post primary right secondary section site slot top unit wrap wrapper".split())
+#: Elements that class, id or role never mark: their words tell of the page's state or layout.
+NEVER_MARKED = frozenset("html body main article".split())
 DIGITS = re.compile(r"\d+")
 
 
 class Element:
-    __slots__ = ("tag", "path", "skip", "parent", "key")
+    __slots__ = ("tag", "path", "skip", "parent", "key", "named", "barred")
 
-    def __init__(self, tag, path, skip, parent, key):
-        self.tag, self.path, self.skip, self.parent, self.key = tag, path, skip, parent, key
+    def __init__(self, tag, path, parent, key, named=False):
+        self.tag, self.path, self.parent, self.key = tag, path, parent, key
+        self.named = named  # marked by class, id or role
+        self.barred = tag in NOT_ARTICLE or (parent is not None and parent.barred)
+        self.skip = self.barred or named or (parent is not None and parent.skip)
+
+
+def _marks(token: str) -> bool:
+    words = [w.lower() for w in PARTING.split(token) if w]
+    return token.lower() in NOT_ARTICLE_WORDS or (any(w in NOT_ARTICLE_WORDS for w in words) and all(w in NOT_ARTICLE_WORDS or w in PLACE_WORDS for w in words))
 
 
 def _names(attrs: str) -> tuple[str, bool]:
@@ -66,7 +78,7 @@ def _names(attrs: str) -> tuple[str, bool]:
     shown, bad = [], False
     for m in ATTR.finditer(attrs):
         value = m[2] or m[3] or m[4] or ""
-        bad = bad or any(w.lower() in NOT_ARTICLE_WORDS for w in WORDS.findall(value))
+        bad = bad or any(map(_marks, value.split()))
         if m[1].lower() == "class":
             shown = sorted(DIGITS.sub("#", c) for c in value.split())[:4]
     return "".join(f".{c}" for c in shown), bad
@@ -74,7 +86,8 @@ def _names(attrs: str) -> tuple[str, bool]:
 
 def blocks(page: str) -> list[tuple[str, Element, int]]:
     """(text, the element it is in, characters of it that are link text) for every block in page order."""
-    root = Element("", "", False, None, 0)
+    root = Element("", "", None, 0)
+    every = [root]
     stack, out, buffer = [root], [], []
     linked = made = 0
     in_link = False
@@ -138,12 +151,13 @@ def blocks(page: str) -> list[tuple[str, Element, int]]:
                     break
             continue
         shown, bad = _names(m[3]) if m[3] and "=" in m[3] else ("", False)
-        bad = bad or tag in NOT_ARTICLE
+        bad = bad and tag not in NEVER_MARKED
         if inline:
-            if bad and tag not in VOID and not m[3].endswith("/"):  # a marked span or label is left out like a block
+            if (bad or tag in NOT_ARTICLE) and tag not in VOID and not m[3].endswith("/"):  # a marked span or label is left out like a block
                 flush()
                 made += 1
-                stack.append(Element(tag, f"{stack[-1].path}/{tag}{shown}", True, stack[-1], made))
+                stack.append(Element(tag, f"{stack[-1].path}/{tag}{shown}", stack[-1], made, bad))
+                every.append(stack[-1])
             continue
         flush()
         in_link = False
@@ -159,11 +173,39 @@ def blocks(page: str) -> list[tuple[str, Element, int]]:
             continue
         made += 1
         top = stack[-1]
-        stack.append(Element(tag, f"{top.path}/{tag}{shown}", top.skip or bad, top, made))
+        stack.append(Element(tag, f"{top.path}/{tag}{shown}", top, made, bad))
+        every.append(stack[-1])
     flush()
+    if any(e.named for e in every):
+        _unmark(out, every)
     return out
 
 
+def _unmark(found: list[tuple[str, Element, int]], every: list[Element]) -> None:
+    """What holds most of the page's running text isn't left out for its class, unless an article or main stands beside it."""
+    total = in_article = 0
+    held: dict[int, int] = defaultdict(int)
+    held_article: dict[int, int] = defaultdict(int)
+    for text, element, linked in found:
+        if element.barred:
+            continue
+        weight = max(0, len(text) - linked)
+        above = []
+        while element is not None:
+            above.append(element)
+            element = element.parent
+        framed = weight if any(e.tag in ("article", "main") for e in above) else 0
+        total, in_article = total + weight, in_article + framed
+        for e in above:
+            if e.named:
+                held[e.key] += weight
+                held_article[e.key] += framed
+    for e in every:  # parents come first
+        if e.named and 2 * held[e.key] > total and held_article[e.key] == in_article:
+            e.named = False
+        e.skip = e.barred or e.named or (e.parent is not None and e.parent.skip)
+
+
 #: Elements that hold one block; their text counts for the container around them.
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt pre blockquote td th tr tbody thead tfoot table ul ol dl figcaption caption summary".split())
 

@@ -114,6 +114,24 @@ def test_extract(html, want):
     assert extract(html, None) == want
 
 
+STORY = "<p>first words of the story</p><p>and more of it</p>"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<html class='no-notice'><body class='has-sidebar'><article>{STORY}</article><div class='sidebar'><p>bad</p></div></body></html>",
+        f"<body><main class='with-header'>{STORY}</main><div class='site-footer'><p>bad</p></div></body>",
+        f"<body><article class='post comments-open' id='share'>{STORY}<div class='comments'><p>bad</p></div></article></body>",
+        f"<body><div class='nav-fixed'><div class='menu banner'><p>bad</p></div>{STORY}</div></body>",
+        f"<body><div class='sidebar'><article>{STORY}</article></div><div class='cookieBanner'><p>bad</p></div></body>",
+        f"<body><article>{STORY}</article><div class='comments'><p>{'bad ' * 50}</p></div></body>",
+    ],
+)
+def test_layout_classes_do_not_empty_a_page(html):
+    assert extract(html, None) == "first words of the story\nand more of it"
+
+
 def test_whole_sample_matches_its_articles(spark):
     sf = "/root/testdata/sf0.001"
     import html as entities
