@@ -1,9 +1,11 @@
 """Main text of web pages by host consensus.
 
 First pass: every page scores its containers by the running text directly in
-them, and votes for the generalised tag-class path of the best one. The votes
-are summed per host. Second pass: each page's text is taken from the containers
-on its host's winning paths; where a page has none of them, from its own best.
+them, climbs from the best one to the whole article around it, and votes for
+that one's generalised tag-class path. The votes are summed per host, and a host
+may have several winning paths. Second pass: each page's text is taken from the
+containers on one winning path, its own choice if that won, else the one with
+most votes that it has; where a page has none of them, from its own choice.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import re
 from collections import defaultdict
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import keep_table, prepare
@@ -231,6 +233,53 @@ def best_container(found: list[tuple[str, Element, int]]) -> Element | None:
     return nodes[max(scores, key=lambda k: (scores[k], -k))]
 
 
+def _above(element: Element | None) -> list[Element]:
+    out = []
+    while element is not None:
+        out.append(element)
+        element = element.parent
+    return out
+
+
+#: Without a heading to hold, a container with this share of the running text is climbed to.
+NEARLY_ALL = 0.97
+
+
+def whole_article(found: list[tuple[str, Element, int]]) -> Element | None:
+    """The best container's article or main; where it is in none, the lowest element around it that holds the page's
+    heading and all running text that isn't left out (nearly all of it where there is no heading)."""
+    best = best_container(found)
+    if best is None:
+        return None
+    line = _above(best)
+    heading = [{e.key for e in _above(element)} for _, element, _ in found if not element.skip and any(e.tag == "h1" for e in _above(element))]
+    article = next((e for e in line if e.tag == "article"), None)
+    main = next((e for e in line if e.tag == "main"), None)
+    if article is not None:
+        # a heading or sections of running text beside the article belong to it unless they are other articles'
+        framed = [{e.key for e in up} for up in (_above(e) for _, e, _ in found if not e.skip) if any(e.tag == "article" for e in up)]
+        alone = all(article.key in keys for keys in framed)
+        outer = main is not None and main in line[line.index(article) :]
+        return main if outer and alone and heading and not any(article.key in keys for keys in heading) else article
+    if main is not None:
+        return main
+    running: dict[int, int] = defaultdict(int)
+    total = 0
+    for text, element, linked in found:
+        if element.skip or 2 * linked >= len(text) or not any(e.tag in LEAF for e in _above(element)):
+            continue
+        total += len(text)
+        for e in _above(element):
+            running[e.key] += len(text)
+    for e in line:
+        if heading:
+            if running[e.key] >= total and all(e.key in keys for keys in heading[:1]) and e.tag not in LEAF:
+                return e
+        elif running[e.key] >= NEARLY_ALL * total:
+            return e if e.parent is None or e.tag not in LEAF else best
+    return best
+
+
 def _inside(element: Element, keys: set[int]) -> bool:
     while element is not None:
         if element.key in keys:
@@ -239,23 +288,25 @@ def _inside(element: Element, keys: set[int]) -> bool:
     return False
 
 
-def extract(page: str, winners: frozenset[str] | None) -> str:
+def extract(page: str, winners: list[str] | None) -> str:
+    """The text of a page; ``winners`` are its host's winning paths, most votes first."""
     found = blocks(page)
-    keys: set[int] = set()
-    if winners:
-        for _, element, _ in found:
-            if element.skip:
-                continue
-            while element is not None:
-                if element.path in winners:
-                    keys.add(element.key)
-                element = element.parent
-    if not keys:
-        best = best_container(found)
-        keys = {best.key} if best is not None else set()
+    own = whole_article(found)
+    path = own.path if own is not None else None
+    if winners and path not in winners:
+        there = {e.path for _, element, _ in found if not element.skip for e in _above(element)}
+        path = next((w for w in winners if w in there), None)
+        chosen = path is not None
+    else:
+        chosen = bool(winners)
+    keys = {e.key for _, element, _ in found if not element.skip for e in _above(element) if e.path == path} if chosen else set()
+    if not keys and own is not None:
+        keys = {own.key}
     return "\n".join(text for text, element, _ in found if not element.skip and _inside(element, keys))
 
 
+#: A path beside the first wins with this share of its host's votes, so a host has about twenty at most.
+VOTES_SHARE = 0.05
 #: A table of winning paths up to this many bytes (measured) is sent to every task; a larger one is joined by host.
 BROADCAST_BYTES = 8 << 20
 
@@ -268,14 +319,17 @@ def _source(pages: DataFrame) -> DataFrame:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the path that most of a host's pages vote for; of equal votes the longer running text, then the path."""
+    """(host, path, place): a host's winning paths, by votes; of equal votes the longer running text, then the path.
+
+    The first one wins, and each other with two votes and ``VOTES_SHARE`` of the host's.
+    """
 
     def vote(batches):
         for batch in batches:
             hosts, pages_ = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             votes: dict[tuple[str, str], list[int]] = {}
             for host, page in zip(hosts, pages_, strict=True):
-                best = best_container(found := blocks(page))
+                best = whole_article(found := blocks(page))
                 if best is not None:
                     v = votes.setdefault((host, best.path), [0, 0])
                     v[0] += 1
@@ -288,7 +342,10 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
     votes = _source(pages).select("host", "html").mapInArrow(vote, "host string, path string, votes long, chars long")
     votes = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("chars").alias("chars"))
-    return votes.groupBy("host").agg(F.max_by("path", F.struct("votes", "chars", "path")).alias("path"))
+    by_host = Window.partitionBy("host")
+    place = F.row_number().over(by_host.orderBy(F.desc("votes"), F.desc("chars"), F.desc("path")))
+    ranked = votes.withColumn("place", place).withColumn("all", F.sum("votes").over(by_host))
+    return ranked.where((F.col("place") == 1) | ((F.col("votes") >= 2) & (F.col("votes") >= VOTES_SHARE * F.col("all")))).select("host", "path", "place")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -298,15 +355,16 @@ def main_text(pages: DataFrame) -> DataFrame:
     repeated rows are kept; other columns are ignored; an empty table gives an
     empty result.
     """
-    winners = keep_table(host_paths(pages), "host-paths")
-    size = winners.agg(F.coalesce(F.sum(F.length("host") + F.length("path") + 32), F.lit(0))).first()[0]
+    ranked = host_paths(pages).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "path"))).alias("ranked"))
+    winners = keep_table(ranked.select("host", F.col("ranked.path").alias("path")), "host-paths")
+    size = winners.agg(F.coalesce(F.sum(F.length("host") + F.length(F.concat_ws("", "path")) + 32), F.lit(0))).first()[0]
     source = _source(pages)
     joined = source.join(F.broadcast(winners) if size <= BROADCAST_BYTES else winners.hint("shuffle_merge"), "host", "left").select("page_id", "url", "html", "path")
 
     def run(batches):
         for batch in batches:
             paths = batch.column(3).to_pylist()
-            texts = [extract(h, frozenset({p}) if p is not None else None) for h, p in zip(batch.column(2).to_pylist(), paths, strict=True)]
+            texts = [extract(h, p) for h, p in zip(batch.column(2).to_pylist(), paths, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],

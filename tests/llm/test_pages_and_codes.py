@@ -132,6 +132,34 @@ def test_layout_classes_do_not_empty_a_page(html):
     assert extract(html, None) == "first words of the story\nand more of it"
 
 
+LEAD, BODY, LATER = "a lead of some words " * 7, "the body of the article " * 80, "a later section of it " * 40
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<article><h1>{h}</h1><div class=lead>{l}</div><div class=body>{b}</div></article>",
+        "<main><h1>{h}</h1><article><div class=lead><p>{l}</p></div><div class=body><p>{b}</p></div></article></main>",
+        "<body><div class=page><div class=top><h1>{h}</h1></div><div class=lead><p>{l}</p></div><section class=s1><p>{b}</p></section></div><footer>no</footer></body>",
+        "<body><nav>no</nav><div class=post><h2>{h}</h2><p>{l}</p><div class=s1><p>{b}</p></div></div></body>",
+    ],
+)
+def test_whole_article_of_nested_containers(spark, html):
+    page = html.format(h="A heading", l=LEAD, b=BODY)
+    want = "\n".join(["A heading", LEAD.strip(), BODY.strip()])
+    assert extract(page, None) == want
+    assert {r.text for r in main_text(pages(spark, [(i, "http://n/", page) for i in range(3)])).collect()} == {want}
+
+
+def test_unequal_sections_and_several_templates(spark):
+    """A host with two templates: each page's text is taken by its own template's path."""
+    one = f"<body><div class=story><div class=s1><p>{BODY}</p></div><div class=s2><p>{LATER}</p></div></div></body>"
+    two = f"<body><div class=story><p>a teaser</p></div><div class=report><p>{BODY}</p><p>{LATER}</p></div></body>"
+    rows = [(i, "http://t/", one if i < 6 else two) for i in range(10)]
+    got = {r.page_id: r.text for r in main_text(pages(spark, rows)).collect()}
+    assert set(got.values()) == {f"{BODY.strip()}\n{LATER.strip()}"}
+
+
 def test_whole_sample_matches_its_articles(spark):
     sf = "/root/testdata/sf0.001"
     import html as entities
