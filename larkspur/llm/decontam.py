@@ -1,10 +1,13 @@
-"""Benchmark decontamination by template windows, with DataFrame functions only.
-
-Texts become templates: numbers, names and units turn into typed placeholders.
-Windows of template words are joined by hash; windows that match at one offset
-between item and document are counted together, and the values in the slots must
-map consistently, so a question with other numbers or names is caught while
-unrelated text with the same pattern of slots is not.
+"""Benchmark decontamination by windows and templates, with DataFrame functions only.
+
+A text has a word sequence at several levels: its plain lower-case words; numbers
+and units as typed placeholders; names inside sentences as well; every capitalised
+word as well; and the last with runs of names and of numbers as one placeholder
+each. Windows of five are joined by hash at all levels, so that neither case nor
+line breaks nor other numbers or names hide an item. Windows that match in one
+band of offsets between item and document are counted together, so an inserted or
+removed word only costs the windows it is in. The values in the slots must map
+consistently: windows that map a value to another than most don't count.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from .shared import keep_table
 
 WINDOW_WORDS = 5
 SHARE = 0.8
-#: So many windows at one offset (13 words in a row have 9) are enough of a long item.
+#: So many windows in one band of offsets (13 words in a row have 9) are enough of a long item.
 ENOUGH_WINDOWS = 9
 #: A benchmark of up to this many windows (counted) is sent to every task; a larger one is joined by shuffle.
 BROADCAST_WINDOWS = 200_000
@@ -28,46 +31,86 @@ UNITS = (
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
     "mph kmh c f k celsius fahrenheit kelvin w kw j kj cal kcal v a hz pa bar percent dollar dollars euro euros cent cents usd eur gbp"
 ).split()
-_NAME, _NUMBER, _UNIT = "\u0001", "\u0002", "\u0003"
+_NAME, _NUMBER, _UNIT, _START = "\u0001", "\u0002", "\u0003", "\u0004"
+#: Levels beside the plain words: which words are placeholders, and which of these are new at the level.
+LEVELS = (((_NUMBER, _UNIT), (_NUMBER, _UNIT)), ((_NUMBER, _UNIT, _NAME), (_NAME,)), ((_NUMBER, _UNIT, _NAME, _START), (_START,)))
+#: Windows whose offsets differ by up to this, or by a quarter of the item's windows, are always counted together.
+BAND_WORDS = 4
 
 
 def _words(text: Column) -> Column:
-    """Words of a text; a word that is a name (capital letter after a lower-case letter or comma) starts with a mark."""
-    marked = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), "[\u0001-\u0003]", " ")
+    """Words of a text; a capitalised one starts with a mark: a name's after a lower-case letter or comma, else a start's."""
+    marked = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), "[\\s\u0001-\u0004]+", " ")
     marked = F.regexp_replace(marked, r"(?=\p{Lu})(?<=[\p{Ll},;] )(?=\p{L}*\p{Ll})", _NAME)
+    marked = F.regexp_replace(marked, "(?=\\p{Lu})(?<![\\p{L}\\p{M}\\p{N}\u0001])(?=\\p{L}*\\p{Ll})", _START)
     digits = F.regexp_replace(F.regexp_replace(marked, r"(?<=\d)[.,](?=\d)", ""), r"(?<=\d)(?=\p{L})", " ")
     marked = F.when(marked.rlike("[0-9]"), digits).otherwise(marked)
-    return F.filter(F.split(F.lower(marked), "[^\\p{L}\\p{M}\\p{N}\u0001]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(marked), "[^\\p{L}\\p{M}\\p{N}\u0001\u0004]+"), lambda w: w != "")
 
 
-def _template(words: Column) -> Column:
+def _kinds(words: Column) -> Column:
+    """Each word's placeholder, empty for a literal word."""
     number = lambda w: w.rlike(r"^\p{N}")
+    capital = lambda w: F.when(F.startswith(w, F.lit(_NAME)), _NAME).when(F.startswith(w, F.lit(_START)), _START)
 
-    def slot(w, j):
+    def kind(w, j):
         after_number = (j > 0) & F.coalesce(number(F.get(words, j - 1)), F.lit(False))
-        return (
-            F.when(F.startswith(w, F.lit(_NAME)), _NAME)
-            .when(number(w), _NUMBER)
-            .when(after_number & w.isin(UNITS), _UNIT)
-            .otherwise(w)
-        )
+        return capital(w).when(number(w), _NUMBER).when(after_number & w.isin(UNITS), _UNIT).otherwise("")
+
+    return F.when(F.exists(words, number), F.transform(words, kind)).otherwise(F.transform(words, lambda w: capital(w).otherwise("")))
+
 
-    return F.transform(words, slot)
+def _starts(n: Column, size: int) -> Column:
+    return F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.expr("array()").cast("array<int>"))
 
 
-def windows(table: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, sig, n, at, h, slots): every window's hash; slots holds its words where it has a slot, else null."""
+def windows(table: DataFrame, id_col: str, text_col: str, size: int, *, items: bool, short: tuple[int, ...] = ()) -> DataFrame:
+    """(id, sig, chan, n, at, h, slots): every window's hash at each level where it is new; slots holds its words in slots
+    (null for others), or is null without any. chan 1 are windows with runs as one placeholder: all of an item that has
+    runs, those over a run of a document. chan 2 are plain windows of the sizes ``short``; of items, whole texts of fewer
+    than ``size`` words. ``at`` counts words, of items in chan 1 placeholders, and n the windows of the channel.
+    """
     base = table.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("sig"), _words(F.col(f"`{text_col}`")).alias("words"))
-    plain = ~F.exists("words", lambda w: F.startswith(w, F.lit(_NAME)) | w.rlike(r"^\p{N}"))
-    base = base.withColumn("plain", plain).withColumn("t", F.when(F.col("plain"), F.col("words")).otherwise(_template(F.col("words"))))
-    starts = F.when(F.size("words") >= size, F.sequence(F.lit(0), F.size("words") - size)).otherwise(F.expr("array()").cast("array<int>"))
-    hashed = lambda j: F.xxhash64(F.slice("t", j + 1, size))
-    no_slots = F.lit(None).cast("array<string>")
-    mixed = lambda j: F.struct(
-        hashed(j).alias("h"), F.when(F.exists(F.slice("t", j + 1, size), lambda w: w.isin(_NAME, _NUMBER, _UNIT)), F.slice("words", j + 1, size)).alias("slots")
-    )
-    made = F.when(F.col("plain"), F.transform(starts, lambda j: F.struct(hashed(j).alias("h"), no_slots.alias("slots")))).otherwise(F.transform(starts, mixed))
-    return base.select("id", "sig", F.size(made).alias("n"), F.posexplode(made).alias("at", "w")).select("id", "sig", "n", "at", "w.h", "w.slots")
+    base = base.select("id", "sig", F.transform("words", lambda w: F.translate(w, _NAME + _START, "")).alias("w"), _kinds(F.col("words")).alias("k"))
+    base = base.withColumn("len", F.size("w"))
+    # t1, t2, t3: null where the level has nothing new
+    for level, (kinds, new) in enumerate(LEVELS, 1):
+        made = F.zip_with("w", "k", lambda w, k: F.when(k.isin(*kinds), F.when(k == _START, _NAME).otherwise(k)).otherwise(w))  # noqa: B023
+        base = base.withColumn(f"t{level}", F.when(F.exists("k", lambda k: k.isin(*new)), made))  # noqa: B023
+    base = base.withColumn("top", F.coalesce("t3", "t2", "t1"))  # null for a text of literal words
+    joins = lambda i: (i > 0) & F.get("top", i).isin(_NAME, _NUMBER) & F.coalesce(F.get("top", i) == F.get("top", i - 1), F.lit(False))
+    some = F.coalesce(F.exists(F.sequence(F.lit(0), F.col("len") - 1), joins), F.lit(False))
+    base = base.withColumn("firsts", F.when(F.col("top").isNotNull() & some, F.filter(F.sequence(F.lit(0), F.col("len") - 1), lambda i: ~joins(i))))
+    base = base.withColumn("m", F.transform("firsts", lambda i: F.get("top", i)))
+    slot = lambda x: x.isin(_NAME, _NUMBER, _UNIT)
+    ends = lambda p: F.coalesce(F.get("firsts", p + 1), F.col("len"))
+    value = lambda i, p: F.when(slot(F.get("top", i)), F.concat_ws(" ", F.slice("w", i + 1, ends(p) - i)))
+    base = base.withColumn("mv", F.transform("firsts", value))
+
+    def window(chan, n, at, h, slots):
+        return F.struct(F.lit(chan).alias("chan"), n.alias("n"), at.alias("at"), h.alias("h"), slots.cast("array<string>").alias("slots"))
+
+    null = F.lit(None)
+    n = F.greatest(F.col("len") - (size - 1), F.lit(0))
+    every = [F.transform(_starts(F.col("len"), size), lambda j: window(0, n, j, F.xxhash64(F.slice("w", j + 1, size)), null))]
+    for level, (kinds, new) in enumerate(LEVELS, 1):
+        places = F.filter(_starts(F.col("len"), size), lambda j: F.exists(F.slice("k", j + 1, size), lambda k: k.isin(*new)))  # noqa: B023
+        slots = lambda j: F.zip_with(F.slice("w", j + 1, size), F.slice("k", j + 1, size), lambda w, k: F.when(k.isin(*kinds), w))  # noqa: E731, B023
+        made = F.transform(places, lambda j: window(0, n, j, F.xxhash64(F.slice(f"t{level}", j + 1, size)), slots(j)))  # noqa: B023
+        every.append(F.when(F.col(f"t{level}").isNotNull(), made))
+    merged = _starts(F.size("m"), size)
+    if not items:
+        merged = F.filter(merged, lambda j: F.coalesce(F.get("firsts", j + size), F.col("len")) - F.get("firsts", j) > size)
+    n1 = F.greatest(F.size("m") - (size - 1), F.lit(0))
+    joined = F.transform(merged, lambda j: window(1, n1, j if items else F.get("firsts", j), F.xxhash64(F.slice("m", j + 1, size)), F.slice("mv", j + 1, size)))
+    every.append(F.when(F.col("firsts").isNotNull(), joined))
+    if items:
+        every.append(F.when(F.col("len").between(1, size - 1), F.array(window(2, F.lit(1), F.lit(0), F.xxhash64("w"), null))))
+    for s in short:
+        every.append(F.transform(_starts(F.col("len"), s), lambda j: window(2, n, j, F.xxhash64(F.slice("w", j + 1, s)), null)))  # noqa: B023
+    none = F.slice(every[0], 1, 0)
+    made = F.concat(every[0], *[F.coalesce(x, none) for x in every[1:]])
+    return base.select("id", "sig", F.col("len"), F.explode(made).alias("x")).select("id", "sig", "len", "x.*")
 
 
 def contaminated(
@@ -84,28 +127,43 @@ def contaminated(
 ) -> DataFrame:
     """(id_col, sig, item_id_col, matched_windows, item_windows, same_values): documents that hold benchmark items.
 
-    A document holds an item where, at one offset, at least ``share`` of the
-    item's windows (or ``enough_windows`` of them) match and each value in the
-    item's slots stands for one value in the document; same_values tells that
-    the values are equal. Of several offsets the best is reported. sig is a hash
-    of the document's text. Items of fewer than ``window_words`` words can't be
-    told from chance and never match; null texts are empty; repeated rows of a
-    document or item count once; empty tables give an empty result.
+    A document holds an item where, in one band of offsets, at least ``share`` of
+    the item's windows (or ``enough_windows`` of them) match, or windows that
+    match hold that share of its words, each value in the item's slots standing for the one value in the document that it mostly stands
+    for; same_values tells that the values are equal. Of several bands the best
+    is reported. sig is a hash of the document's text. Items of fewer than
+    ``window_words`` words match as a whole, word for word, as one window; null
+    texts are empty; repeated rows of a document or item count once; empty tables
+    give an empty result.
     """
-    items = keep_table(windows(benchmark, item_id_col, item_text_col, window_words).distinct(), "benchmark-windows")
-    items = items.select(F.col("id").alias("item"), F.col("sig").alias("item_sig"), F.col("n").alias("item_n"), F.col("at").alias("item_at"), F.col("h"), F.col("slots").alias("item_slots"))
+    items = keep_table(windows(benchmark, item_id_col, item_text_col, window_words, items=True).distinct(), "benchmark-windows")
+    short = tuple(sorted(r[0] for r in items.where("chan = 2").select("len").distinct().collect()))
+    items = items.select(F.col("id").alias("item"), F.col("sig").alias("item_sig"), "chan", F.col("n").alias("item_n"), F.col("at").alias("item_at"), F.col("h"), F.col("slots").alias("item_slots"))
     small = items.count() <= BROADCAST_WINDOWS
-    found = windows(docs, id_col, text_col, window_words).drop("n").join(F.broadcast(items) if small else items.hint("shuffle_hash"), "h")
-    pair = F.when(F.col("slots").isNotNull() & F.col("item_slots").isNotNull(), F.arrays_zip("item_slots", "slots"))
+    found = windows(docs, id_col, text_col, window_words, items=False, short=short).select("id", "sig", "at", "h", "slots").join(F.broadcast(items) if small else items.hint("shuffle_hash"), "h")
+    pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("k"), F.col("slots").alias("v")), lambda p: p["k"].isNotNull())
+    half = F.greatest(F.lit(BAND_WORDS), F.floor(F.col("item_n") / 4))
+    band = F.floor((F.col("at") - F.col("item_at")) / half)
+    need = F.least(F.ceil(F.col("item_n") * share), F.lit(enough_windows))
+    distinct_at = lambda ws: F.size(F.array_distinct(F.transform(ws, lambda w: w["at"])))
+    # an added, removed or other word breaks up to five windows, but their other words lie in other windows
+    held_words = lambda ws: F.size(F.array_distinct(F.flatten(F.transform(ws, lambda w: F.sequence(w["at"], w["at"] + (window_words - 1))))))
+    enough = lambda ws: (distinct_at(ws) >= need) | (held_words(ws) >= F.ceil((F.col("item_n") + (window_words - 1)) * share))
     runs = (
-        found.groupBy("id", "sig", "item", "item_sig", "item_n", (F.col("at") - F.col("item_at")).alias("offset"))
-        .agg(F.size(F.collect_set("item_at")).alias("hits"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("values"))
-        .where(F.col("hits") >= F.least(F.ceil(F.col("item_n") * share), F.lit(enough_windows)))
+        found.withColumn("band", F.explode(F.array(band - 1, band)))
+        .groupBy("id", "sig", "item", "item_sig", "chan", "item_n", "band")
+        .agg(F.collect_set(F.struct(F.col("item_at").alias("at"), F.coalesce(pairs, F.expr("array()").cast("array<struct<k:string,v:string>>")).alias("pairs"))).alias("ws"))
+        .where(enough("ws"))
     )
-    keys = F.array_distinct(F.transform("values", lambda v: v["item_slots"]))
-    runs = runs.where(F.size("values") == F.size(keys))
-    same = F.forall("values", lambda v: v["item_slots"] == v["slots"])
-    best = runs.groupBy("id", "sig", "item").agg(F.max(F.struct("hits", F.col("item_n"), same.alias("same"))).alias("b"))
+    runs = runs.withColumn("values", F.flatten(F.transform("ws", lambda w: w["pairs"])))
+    times = lambda p: F.size(F.filter("values", lambda q: q == p))
+    mostly = lambda k: F.array_max(F.transform(F.filter(F.array_distinct("values"), lambda p: p["k"] == k), lambda p: F.struct(times(p).alias("n"), p["v"].alias("v"))))["v"]
+    keys = F.array_distinct(F.transform("values", lambda p: p["k"]))
+    runs = runs.withColumn("chosen", F.transform(keys, lambda k: F.struct(k.alias("k"), mostly(k).alias("v"))))
+    runs = runs.withColumn("ws", F.filter("ws", lambda w: F.size(F.array_except(w["pairs"], F.col("chosen"))) == 0))
+    runs = runs.where(enough("ws")).withColumn("hits", distinct_at("ws"))
+    plain = F.array_distinct(F.transform(F.filter("ws", lambda w: F.forall(w["pairs"], lambda p: p["k"] == p["v"])), lambda w: w["at"]))
+    best = runs.groupBy("id", "sig", "item").agg(F.max(F.struct("hits", F.col("item_n"), (F.size(plain) == F.col("hits")).alias("same"))).alias("b"))
     return best.select(
         F.col("id").alias(id_col),
         "sig",

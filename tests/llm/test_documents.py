@@ -193,6 +193,37 @@ def test_slots_must_agree(spark):
     assert sorted((r.doc_id, r.same_values) for r in got) == [(1, False), (3, True)]
 
 
+TREATY = "In which year did the Treaty of Westphalia end the war between Sweden and France?"
+APPLES = "Alice has 5 apples. Bob gives her 3 more apples. How many apples does Alice have now?"
+
+
+def held(spark, item, texts):
+    bench = spark.createDataFrame([(item, 1)], "text string, item_id int")
+    got = {r.doc_id: r.same_values for r in contaminated(frame(spark, list(enumerate(texts))), bench).collect()}
+    return [got.get(i) for i in range(len(texts))]
+
+
+def test_case_lines_and_names_anywhere(spark):
+    texts = [TREATY.lower(), TREATY.upper(), TREATY.replace("the Treaty of", "the\n  Treaty\tof"), "in some other year did a treaty of peace end the long war between them"]
+    assert held(spark, TREATY, texts) == [True, True, True, None]
+    assert held(spark, ITEM, [ITEM.lower(), ITEM.upper(), ITEM.lower().replace("60", "75")]) == [True, True, False]
+    changed = APPLES.replace("Alice", "Carol").replace("Bob", "Dave").replace("5", "8").replace("3", "4")
+    assert held(spark, APPLES, [APPLES, changed, "Carol has 8 pears. Dave sold her 4 old books. How many pears does Erin have now?"]) == [True, False, None]
+
+
+def test_offsets_runs_and_short_items(spark):
+    longer = ITEM.replace("Boston", "New York").replace("Maria", "Anna Lee")
+    assert held(spark, ITEM, [longer, longer.replace("60", "75")]) == [False, False]
+    assert held(spark, longer, [ITEM]) == [False]
+    added = TREATY.replace("end the", "at last end the")
+    item = "which small river runs along the old wall of the town and under its only bridge"
+    words = item.split()
+    one_more = " ".join([*words[:8], "very", *words[8:]])
+    one_less = " ".join([*words[:5], *words[6:]])
+    assert held(spark, item, [one_more, one_less, " ".join(reversed(words))]) == [True, True, None]
+    assert held(spark, "Capital of Peru?", [f"so: the capital of\nperu. {added}", "the capital of all peru", "peru"]) == [True, None, None]
+
+
 def test_planted_items(spark):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
