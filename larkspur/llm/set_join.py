@@ -2,8 +2,10 @@
 
 The shingles of all texts have one common order, frequent ones last. Of two sets
 with similarity s or more, the first ``n - ceil(s * n) + 1`` shingles of each
-share one, so texts that share such a shingle are the only candidates; each is
-verified against the whole sets. Candidates are first verified against the
+share one, so texts that share such a shingle are the only candidates. Bounds
+from the places of the shared shingle and from bitmaps of the sets rule out most
+that aren't similar, never one that is; each other is verified against the whole
+sets. Candidates are first verified against the
 smallest text of their shingle; what that links needs no more pairs within it.
 The order decides how many candidates there are, never the result.
 """
@@ -24,6 +26,8 @@ from .shared import keep_table, keyed_text
 SEED = 42
 #: Shingles are counted in one of so many texts; those in at least ``OFTEN`` of these go last, the ``MOST`` most frequent at most.
 ONE_IN, OFTEN, MOST = 16, 4, 500_000
+#: Bits of a set's bitmap: sets whose bitmaps differ in d bits differ in d shingles at least.
+BITS = 2048
 #: Up to this many candidates' ids (counted) are sent to every task; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -41,6 +45,12 @@ def shingles(text: str, words: int) -> np.ndarray:
     return np.unique(np.array([hashed(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=False)], np.uint64)).view(np.int64)
 
 
+def _bitmap(h: np.ndarray) -> np.ndarray:
+    bits = np.zeros(BITS, np.uint8)
+    bits[h.view(np.uint64) % np.uint64(BITS)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _frequent(source: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles, sorted, and their place in the order."""
 
@@ -57,12 +67,12 @@ def _frequent(source: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(source: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(id, s0, s1, n, head, rest): digest and size of each text's set, its first shingles that decide and the others."""
+    """(id, s0, s1, n, bits, head, rest): digest, size and bitmap of each text's set, its first shingles that decide and the others."""
     known, place = _frequent(source, words)
 
     def run(batches):
         for batch in batches:
-            digests, sizes, heads, rests = [], [], [], []
+            digests, sizes, maps, heads, rests = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 h = shingles(text, words)
                 d = xxhash.xxh3_128_digest(h.tobytes())
@@ -74,21 +84,28 @@ def _sets(source: DataFrame, words: int, similarity: float) -> DataFrame:
                     h = np.concatenate([h[~often], h[often][np.argsort(place[at[often]], kind="stable")]])
                 k = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
                 sizes.append(n)
+                maps.append(_bitmap(h))
                 heads.append(h[:k])
                 rests.append(h[k:])
             ids = np.array(digests, np.int64).reshape(-1, 2)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(sizes, pa.int32()), pa.array(heads, longs), pa.array(rests, longs)],
-                names=["id", "s0", "s1", "n", "head", "rest"],
+                [batch.column(0), pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(sizes, pa.int32()), pa.array(maps, longs), pa.array(heads, longs), pa.array(rests, longs)],
+                names=["id", "s0", "s1", "n", "bits", "head", "rest"],
             )
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, s0 long, s1 long, n int, head array<long>, rest array<long>")
+    return source.mapInArrow(run, f"id {kind}, s0 long, s1 long, n int, bits array<long>, head array<long>, rest array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose whole sets are that similar."""
+    small = lambda end: sets.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("bits").alias(f"bits{end}")).hint("shuffle_merge")
+    apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    # (n + n' - d) / 2 shingles at most are common
+    most = F.floor((F.col("na") + F.col("nb") - apart) / 2)
+    pairs = pairs.join(small("b"), "b").join(small("a"), "a").where(most / (F.col("na") + F.col("nb") - most) >= similarity)
+    pairs = keep_table(pairs.select("a", "b").distinct(), "likely-pairs")
     ends = keep_table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidates")
     few = F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends.hint("shuffle_hash")
     held = keep_table(sets.join(few, "node", "left_semi").select("node", F.concat("head", "rest").alias("s")), "candidate-sets")
@@ -112,26 +129,31 @@ def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     nodes = keep_table(own.groupBy("s0", "s1").agg(F.min("id").cast("long").alias("node")), "shingle-nodes")
     named = nodes.where("node is not null").withColumnsRenamed({"s0": "n0", "s1": "n1"})
     one = (F.col("id") == F.col("node")) & (F.col("s0") == F.col("n0")) & (F.col("s1") == F.col("n1"))
+    every = F.broadcast(named) if named.count() <= BROADCAST_IDS else named.hint("shuffle_merge")
     # one row for each node; repeated rows of it give the same keys and links
-    keys = own.select("id", "s0", "s1", "n", "head").join(named, one).select("node", "n", F.explode("head").alias("key"))
+    keys = own.select("id", "s0", "s1", "n", "head").join(every, one).select("node", "n", F.posexplode("head").alias("at", "key"))
     by_key = Window.partitionBy("key")
-    met = keys.withColumn("least", F.min(F.struct("node", "n")).over(by_key)).withColumn("last", F.max("node").over(by_key))
+    met = keys.withColumn("least", F.min(F.struct("node", "n", "at")).over(by_key)).withColumn("last", F.max("node").over(by_key))
     met = keep_table(met.where("least.node <> last").drop("last"), "shared-shingles")
-    sets = own.join(F.broadcast(named) if named.count() <= BROADCAST_IDS else named.hint("shuffle_merge"), one).select("node", "head", "rest")
-    alike = lambda x, y: F.least(x, y) / F.greatest(x, y) >= similarity
+    sets = own.join(every, one).select("node", "n", "bits", "head", "rest")
+
+    def alike(n, at, n2, at2):
+        """Whether sets of n and n2 shingles, of which the first common ones have these places, can be so similar."""
+        most = F.least(n - at, n2 - at2)
+        return most / (n + n2 - most) >= similarity
 
-    stars = met.where("least.node <> node").where(alike(F.col("least.n"), F.col("n")))
+    stars = met.where("least.node <> node").where(alike(F.col("least.n"), F.col("least.at"), F.col("n"), F.col("at")))
     stars = keep_table(stars.select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct(), "first-pairs")
     links = keep_table(_verified(stars, sets, similarity), "first-links")
     roots = components(links)
 
-    part = met.select("key", "node", "n").distinct().join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("part"))
+    part = met.select("key", "node", "n", "at").distinct().join(roots, "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("part"))
     parts = part.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
     part = keep_table(part.join(parts, "key", "left_semi"), "open-shingles")
     others = part.select("key", F.col("part").alias("other")).distinct()
     left = part.join(others, "key").where("part < other")
-    right = part.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("part").alias("other"))
-    more = left.join(right, ["key", "other"]).where("node <> node2").where(alike(F.col("n"), F.col("n2")))
+    right = part.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("part").alias("other"))
+    more = left.join(right, ["key", "other"]).where("node <> node2").where(alike(F.col("n"), F.col("at"), F.col("n2"), F.col("at2")))
     more = more.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = keep_table(more, "more-pairs")
     roots = components(links.union(_verified(more, sets, similarity)))
