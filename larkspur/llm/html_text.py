@@ -22,10 +22,11 @@ from .shared import keep_table, prepare
 
 # Elements of the HTML standard by how they are treated here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg math object".split())
+#: What these hold isn't shown as text, or isn't the article's; they end at their end tag, whatever is between.
+RAW = frozenset("script style textarea title noscript iframe template noembed noframes svg annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
+    "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul xmp".split()
 )
 NOT_ARTICLE = frozenset("nav header footer aside form menu dialog head button select search fieldset label".split())
 #: Words in class, id or role that mark what isn't the article.
@@ -48,10 +49,14 @@ CLOSES = {
 }
 #: What such an implied end does not reach beyond.
 FENCE = frozenset("table ul ol dl article section div main body td th blockquote form".split())
-PARTS = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^<>]*\Z", re.S
-)
-ATTR = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Elements that hold one block; their text counts for the container around them.
+LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt pre blockquote td th tr tbody thead tfoot table ul ol dl figcaption caption summary".split())
+#: Elements nested deeper are taken for a part of the one at this depth, as browsers do; no text is lost by it.
+DEPTH = 512
+# No part of these patterns is tried again once it has matched, so a page is read once whatever is wrong with it.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>\x00]*+)((?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[=\"'])*+)(>?)")
+ATTR = re.compile(r"([^\s=>/\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*+>?", re.I) for t in RAW}
 PARTING = re.compile(r"[-_:\d]+|(?<=[a-z])(?=[A-Z])")
 #: Words that may stand beside those of ``NOT_ARTICLE_WORDS`` in one class token (site-footer, ad-slot) without changing what it marks.
 PLACE_WORDS = frozenset("area bar block bottom box container global inner item items left link links list main module outer page panel post primary right secondary section site slot top unit wrap wrapper".split())
@@ -61,13 +66,35 @@ DIGITS = re.compile(r"\d+")
 
 
 class Element:
-    __slots__ = ("tag", "path", "skip", "parent", "key", "named", "barred")
+    """``key`` numbers the elements in page order, ``last`` is the last one inside, ``path`` numbers equal tag-class paths."""
 
-    def __init__(self, tag, path, parent, key, named=False):
-        self.tag, self.path, self.parent, self.key = tag, path, parent, key
+    __slots__ = ("tag", "label", "path", "parent", "key", "last", "named", "barred", "skip", "article", "main", "heading", "leaf", "box")
+
+    def __init__(self, tag, label, path, parent, key, named=False):
+        self.tag, self.label, self.path, self.parent, self.key, self.last = tag, label, path, parent, key, key
         self.named = named  # marked by class, id or role
-        self.barred = tag in NOT_ARTICLE or (parent is not None and parent.barred)
+        self.article = self if tag == "article" else parent and parent.article
+        self.main = self if tag == "main" else parent and parent.main
+        # an article's own header holds its headline
+        self.barred = (tag in NOT_ARTICLE and not (tag == "header" and self.article)) or (parent is not None and parent.barred)
         self.skip = self.barred or named or (parent is not None and parent.skip)
+        self.heading = tag == "h1" or (parent is not None and parent.heading)
+        self.leaf = tag in LEAF or (parent is not None and parent.leaf)
+        self.box = self if tag not in LEAF or parent is None else parent.box
+
+    def holds(self, other: Element) -> bool:
+        return self.key <= other.key <= self.last
+
+    def line(self) -> list[Element]:
+        """The element and those around it, outwards."""
+        out, e = [], self
+        while e is not None:
+            out.append(e)
+            e = e.parent
+        return out
+
+    def path_text(self) -> str:
+        return "".join(f"/{e.label}" for e in reversed(self.line()[:-1]))
 
 
 def _marks(token: str) -> bool:
@@ -77,232 +104,251 @@ def _marks(token: str) -> bool:
 
 def _names(attrs: str) -> tuple[str, bool]:
     """The generalised class part of a path, and whether class, id or role mark what isn't the article."""
-    shown, bad = [], False
+    shown, bad = "", False
     for m in ATTR.finditer(attrs):
-        value = m[2] or m[3] or m[4] or ""
-        bad = bad or any(map(_marks, value.split()))
-        if m[1].lower() == "class":
-            shown = sorted(DIGITS.sub("#", c) for c in value.split())[:4]
-    return "".join(f".{c}" for c in shown), bad
-
-
-def blocks(page: str) -> list[tuple[str, Element, int]]:
-    """(text, the element it is in, characters of it that are link text) for every block in page order."""
-    root = Element("", "", None, 0)
-    every = [root]
-    stack, out, buffer = [root], [], []
-    linked = made = 0
-    in_link = False
-    at, low = 0, None
-
-    def flush():
-        nonlocal linked
-        if buffer:
-            text = " ".join(_html.unescape("".join(buffer)).split())
-            if text:
-                out.append((text, stack[-1], linked))
-            buffer.clear()
+        name = m[1].lower()
+        if name in ("class", "id", "role"):
+            words = (m[2] or m[3] or m[4] or "").split()
+            bad = bad or any(map(_marks, words))
+            if name == "class" and not shown:
+                shown = "".join(f".{c}" for c in sorted({DIGITS.sub("#", c) for c in words}))
+    return shown, bad
+
+
+class Page:
+    """The blocks of a page and the elements they are in, read in one pass.
+
+    ``blocks`` are (text, element, characters of it that are link text) in page
+    order; ``elements`` are in page order, so parents come first.
+    """
+
+    def __init__(self, page: str):
+        root = Element("", "", 0, None, 0)
+        self.elements = [root]
+        self.blocks: list[tuple[str, Element, int]] = []
+        self.kids: dict[int, dict[str, int]] = defaultdict(dict)  # of a path: label -> path
+        self._paths = 0
+        self._read(page)
+        for e in reversed(self.elements):
+            if e.parent is not None and e.last > e.parent.last:
+                e.parent.last = e.last
+        if any(e.named for e in self.elements):
+            self._unmark()
+
+    def _element(self, tag: str, shown: str, parent: Element, named: bool) -> Element:
+        label, kids = tag + shown, self.kids[parent.path]
+        if label not in kids:
+            self._paths += 1
+            kids[label] = self._paths
+        element = Element(tag, label, kids[label], parent, len(self.elements), named)
+        self.elements.append(element)
+        return element
+
+    def _read(self, page: str) -> None:
+        stack, buffer = [self.elements[0]], []
+        opened: dict[str, int] = defaultdict(int)  # open elements by tag
+        beyond: dict[str, int] = defaultdict(int)  # open elements below ``DEPTH``, which have no element of their own
         linked = 0
+        in_link = False
 
-    def add(text):
-        nonlocal linked
-        if text:
-            buffer.append(text)
-            if in_link:
-                linked += len(text)
-
-    n = len(page)
-    while at < n:
-        m = PARTS.search(page, at)
-        if m is None:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if tag in RAW:
-            if not m[1] and not m[3].endswith("/"):
-                if tag in BLOCK or tag == "title":
-                    flush()
-                low = page.lower() if low is None else low
-                end = low.find(f"</{tag}", at)
-                at = n if end < 0 else end
-                if end >= 0:
-                    close = page.find(">", end)
-                    at = n if close < 0 else close + 1
-            continue
-        if tag == "a":
-            in_link = not m[1]
-            continue
-        if tag == "br" or tag in ("wbr", "img"):
-            if tag == "br":
-                add(" ")
-            continue
-        inline = tag not in BLOCK
-        if m[1]:
-            if inline and not any(e.tag == tag for e in stack[1:]):
+        def flush():
+            nonlocal linked
+            if buffer:
+                text = " ".join(_html.unescape("".join(buffer)).split())
+                if text:
+                    self.blocks.append((text, stack[-1], min(linked, len(text))))
+                buffer.clear()
+            linked = 0
+
+        def add(text):
+            nonlocal linked
+            if text:
+                buffer.append(text)
+                if in_link:
+                    linked += len(text)
+
+        def close(k):
+            for e in stack[k:]:
+                opened[e.tag] -= 1
+            del stack[k:]
+
+        def push(tag, shown, bad):
+            if len(stack) > DEPTH:
+                beyond[tag] += 1
+                return
+            opened[tag] += 1
+            stack.append(self._element(tag, shown, stack[-1], bad))
+
+        at, n = 0, len(page)
+        while at < n:
+            begin = page.find("<", at)
+            if begin < 0:
+                add(page[at:])
+                break
+            add(page[at:begin])
+            mark = page[begin + 1 : begin + 2]
+            if mark in ("!", "?"):
+                comment = page.startswith("<!--", begin)
+                end = page.find("-->" if comment else ">", begin + 2)
+                at = n if end < 0 else end + (3 if comment else 1)
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
+            m = TAG.match(page, begin)
+            if m is None:
+                add("<")
+                at = begin + 1
+                continue
+            at = m.end()
+            tag = m[2].lower()
+            if not m[4]:  # the page ends inside a tag
+                break
+            if tag in RAW:
+                if not m[1] and not m[3].endswith("/"):
+                    if tag == "title":
+                        flush()
+                    end = RAW_END[tag].search(page, at)
+                    at = n if end is None else end.end()
+                continue
+            if tag == "a":
+                in_link = not m[1]
+                continue
+            if tag in ("br", "wbr", "img"):
+                if tag == "br":
+                    add(" ")
+                continue
+            inline = tag not in BLOCK
+            if m[1]:
+                if not inline:
+                    flush()
+                if beyond[tag]:
+                    beyond[tag] -= 1
+                elif opened[tag]:
                     flush()
                     in_link = False
-                    del stack[k:]
-                    break
-            continue
-        shown, bad = _names(m[3]) if m[3] and "=" in m[3] else ("", False)
-        bad = bad and tag not in NEVER_MARKED
-        if inline:
-            if (bad or tag in NOT_ARTICLE) and tag not in VOID and not m[3].endswith("/"):  # a marked span or label is left out like a block
-                flush()
-                made += 1
-                stack.append(Element(tag, f"{stack[-1].path}/{tag}{shown}", stack[-1], made, bad))
-                every.append(stack[-1])
-            continue
+                    close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
+                continue
+            shown, bad = _names(m[3]) if "=" in m[3] else ("", False)
+            bad = bad and tag not in NEVER_MARKED
+            if inline:
+                if (bad or tag in NOT_ARTICLE) and tag not in VOID and not m[3].endswith("/"):  # a marked span or label is left out like a block
+                    flush()
+                    push(tag, shown, bad)
+                continue
+            flush()
+            in_link = False
+            closes = CLOSES.get(tag, ())
+            if any(opened[t] for t in closes):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag in closes:
+                        close(k)
+                        if tag not in ("tr", "td", "th", "dd", "dt", "li", "body"):
+                            break
+                    elif k < len(stack) and stack[k].tag in FENCE:
+                        break
+            if tag not in VOID:
+                push(tag, shown, bad)
         flush()
-        in_link = False
-        closes = CLOSES.get(tag, ())
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in closes:
-                del stack[k:]
-                if tag not in ("tr", "td", "th", "dd", "dt", "li", "body"):
-                    break
-            elif k < len(stack) and stack[k].tag in FENCE:
-                break
-        if tag in VOID:
-            continue
-        made += 1
-        top = stack[-1]
-        stack.append(Element(tag, f"{top.path}/{tag}{shown}", top, made, bad))
-        every.append(stack[-1])
-    flush()
-    if any(e.named for e in every):
-        _unmark(out, every)
-    return out
-
-
-def _unmark(found: list[tuple[str, Element, int]], every: list[Element]) -> None:
-    """What holds most of the page's running text isn't left out for its class, unless an article or main stands beside it."""
-    total = in_article = 0
-    held: dict[int, int] = defaultdict(int)
-    held_article: dict[int, int] = defaultdict(int)
-    for text, element, linked in found:
-        if element.barred:
-            continue
-        weight = max(0, len(text) - linked)
-        above = []
-        while element is not None:
-            above.append(element)
-            element = element.parent
-        framed = weight if any(e.tag in ("article", "main") for e in above) else 0
-        total, in_article = total + weight, in_article + framed
-        for e in above:
-            if e.named:
-                held[e.key] += weight
-                held_article[e.key] += framed
-    for e in every:  # parents come first
-        if e.named and 2 * held[e.key] > total and held_article[e.key] == in_article:
-            e.named = False
-        e.skip = e.barred or e.named or (e.parent is not None and e.parent.skip)
 
-
-#: Elements that hold one block; their text counts for the container around them.
-LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt pre blockquote td th tr tbody thead tfoot table ul ol dl figcaption caption summary".split())
+    def summed(self, own: dict[int, float]) -> list[float]:
+        """For each element the sum of ``own`` (by key) over what it holds."""
+        out = [own.get(e.key, 0) for e in self.elements]
+        for e in reversed(self.elements):
+            if e.parent is not None:
+                out[e.parent.key] += out[e.key]
+        return out
+
+    def _unmark(self) -> None:
+        """What holds most of the page's running text isn't left out for its class, unless an article or main stands beside it."""
+        own: dict[int, float] = defaultdict(int)
+        framed: dict[int, float] = defaultdict(int)
+        for text, element, linked in self.blocks:
+            if not element.barred:
+                own[element.key] += len(text) - linked
+                if element.article or element.main:
+                    framed[element.key] += len(text) - linked
+        held, held_framed = self.summed(own), self.summed(framed)
+        for e in self.elements:
+            if e.named and 2 * held[e.key] > held[0] and held_framed[e.key] == held_framed[0]:
+                e.named = False
+            e.skip = e.barred or e.named or (e.parent is not None and e.parent.skip)
+
+    def running(self) -> list[tuple[str, Element, int]]:
+        return [b for b in self.blocks if not b[1].skip]
+
+    def path_of(self, text: str) -> int | None:
+        """The number of the path with this text, if the page has it."""
+        open_ = [(0, 0)]
+        while open_:
+            path, at = open_.pop()
+            if at == len(text):
+                return path
+            open_ += [(p, at + 1 + len(label)) for label, p in self.kids.get(path, {}).items() if text.startswith(f"/{label}", at)]
+        return None
 
 
-def best_container(found: list[tuple[str, Element, int]]) -> Element | None:
+def best_container(page: Page) -> Element | None:
     """The container with most running text: its own blocks count in full, those of containers in it by half."""
     scores: dict[int, float] = defaultdict(float)
-    nodes: dict[int, Element] = {}
-    for text, element, linked in found:
-        if element.skip:
-            continue
-        weight = len(text) * max(0.0, 1 - linked / len(text))
-        while element.tag in LEAF and element.parent is not None:
-            element = element.parent
-        share = 1.0
-        while element is not None and share > 0.2:
-            scores[element.key] += weight * share
-            nodes[element.key] = element
+    for text, element, linked in page.running():
+        share, e = 1.0, element.box
+        while e is not None and share > 0.2:
+            scores[e.key] += (len(text) - linked) * share
             share /= 2
-            element = element.parent
-    if not scores:
-        return None
-    return nodes[max(scores, key=lambda k: (scores[k], -k))]
-
-
-def _above(element: Element | None) -> list[Element]:
-    out = []
-    while element is not None:
-        out.append(element)
-        element = element.parent
-    return out
+            e = e.parent
+    return page.elements[max(scores, key=lambda k: (scores[k], -k))] if scores else None
 
 
 #: Without a heading to hold, a container with this share of the running text is climbed to.
 NEARLY_ALL = 0.97
 
 
-def whole_article(found: list[tuple[str, Element, int]]) -> Element | None:
+def whole_article(page: Page) -> Element | None:
     """The best container's article or main; where it is in none, the lowest element around it that holds the page's
     heading and all running text that isn't left out (nearly all of it where there is no heading)."""
-    best = best_container(found)
+    best = best_container(page)
     if best is None:
         return None
-    line = _above(best)
-    heading = [{e.key for e in _above(element)} for _, element, _ in found if not element.skip and any(e.tag == "h1" for e in _above(element))]
-    article = next((e for e in line if e.tag == "article"), None)
-    main = next((e for e in line if e.tag == "main"), None)
+    running = page.running()
+    headings = [e for _, e, _ in running if e.heading]
+    article, main = best.article, best.main
     if article is not None:
         # a heading or sections of running text beside the article belong to it unless they are other articles'
-        framed = [{e.key for e in up} for up in (_above(e) for _, e, _ in found if not e.skip) if any(e.tag == "article" for e in up)]
-        alone = all(article.key in keys for keys in framed)
-        outer = main is not None and main in line[line.index(article) :]
-        return main if outer and alone and heading and not any(article.key in keys for keys in heading) else article
+        alone = all(article.holds(e) for _, e, _ in running if e.article)
+        outer = main is not None and main.holds(article)
+        return main if outer and alone and headings and not any(article.holds(e) for e in headings) else article
     if main is not None:
         return main
-    running: dict[int, int] = defaultdict(int)
-    total = 0
-    for text, element, linked in found:
-        if element.skip or 2 * linked >= len(text) or not any(e.tag in LEAF for e in _above(element)):
-            continue
-        total += len(text)
-        for e in _above(element):
-            running[e.key] += len(text)
-    for e in line:
-        if heading:
-            if running[e.key] >= total and all(e.key in keys for keys in heading[:1]) and e.tag not in LEAF:
+    own: dict[int, float] = defaultdict(int)
+    for text, element, linked in running:
+        if 2 * linked < len(text) and element.leaf:
+            own[element.key] += len(text)
+    held = page.summed(own)
+    for e in best.line():
+        if headings:
+            if held[e.key] >= held[0] and e.holds(headings[0]) and e.tag not in LEAF:
                 return e
-        elif running[e.key] >= NEARLY_ALL * total:
+        elif held[e.key] >= NEARLY_ALL * held[0]:
             return e if e.parent is None or e.tag not in LEAF else best
     return best
 
 
-def _inside(element: Element, keys: set[int]) -> bool:
-    while element is not None:
-        if element.key in keys:
-            return True
-        element = element.parent
-    return False
-
-
-def extract(page: str, winners: list[str] | None) -> str:
+def extract(html: str, winners: list[str] | None) -> str:
     """The text of a page; ``winners`` are its host's winning paths, most votes first."""
-    found = blocks(page)
-    own = whole_article(found)
-    path = own.path if own is not None else None
-    if winners and path not in winners:
-        there = {e.path for _, element, _ in found if not element.skip for e in _above(element)}
-        path = next((w for w in winners if w in there), None)
-        chosen = path is not None
-    else:
-        chosen = bool(winners)
-    keys = {e.key for _, element, _ in found if not element.skip for e in _above(element) if e.path == path} if chosen else set()
-    if not keys and own is not None:
-        keys = {own.key}
-    return "\n".join(text for text, element, _ in found if not element.skip and _inside(element, keys))
+    page = Page(html)
+    own = whole_article(page)
+    if own is None:
+        return ""
+    path = None
+    if winners:
+        if own.path_text() in winners:
+            path = own.path
+        else:
+            holding = page.summed({element.key: 1 for _, element, _ in page.running()})
+            there = {e.path for e in page.elements if holding[e.key]}
+            path = next((p for p in map(page.path_of, winners) if p is not None and p in there), None)
+    inside = [False] * len(page.elements)
+    for e in page.elements:
+        inside[e.key] = (e is own if path is None else e.path == path) or (e.parent is not None and inside[e.parent.key])
+    return "\n".join(text for text, element, _ in page.running() if inside[element.key])
 
 
 #: A path beside the first wins with this share of its host's votes, so a host has about twenty at most.
@@ -329,11 +375,11 @@ def host_paths(pages: DataFrame) -> DataFrame:
             hosts, pages_ = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             votes: dict[tuple[str, str], list[int]] = {}
             for host, page in zip(hosts, pages_, strict=True):
-                best = whole_article(found := blocks(page))
+                best = whole_article(found := Page(page))
                 if best is not None:
-                    v = votes.setdefault((host, best.path), [0, 0])
+                    v = votes.setdefault((host, best.path_text()), [0, 0])
                     v[0] += 1
-                    v[1] += sum(len(t) for t, e, _ in found if not e.skip)
+                    v[1] += sum(len(t) for t, _, _ in found.running())
             if votes:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k[0] for k in votes]), pa.array([k[1] for k in votes]), *(pa.array([v[i] for v in votes.values()], pa.int64()) for i in (0, 1))],

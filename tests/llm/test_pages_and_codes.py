@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -132,6 +133,41 @@ def test_layout_classes_do_not_empty_a_page(html):
     assert extract(html, None) == "first words of the story\nand more of it"
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<article><p>one</p>" + "İ" * 40 + "<script>x</script><p>two</p><p>three</p></article>", "one\n" + "İ" * 40 + "\ntwo\nthree"),
+        ("<article><p>energy <math><mi>E</mi><annotation>tex</annotation></math> is <object>shown</object></p></article>", "energy E is shown"),
+        ("<article><header><h1>Headline</h1></header><p class='social-history'>text of it</p><header class=share>bad</header></article>", "Headline\ntext of it"),
+        ("<article><p>a < b and 1 <2</p><SCRIPT>x</Script ><p>after</p></article>", "a < b and 1 <2\nafter"),
+        ("<div>" * 700 + "<p>deep</p>" + "</div>" * 700, "deep"),
+        ("<article><p>kept</p><p title='cut off", "kept"),
+    ],
+)
+def test_nothing_of_the_article_is_lost(html, want):
+    assert extract(html, None) == want
+    assert extract(html, ["/body/div.a.b.c.d.e-main", "/none"]) == want
+
+
+def test_paths_tell_all_classes_apart():
+    html = "<body><div class='a b c d e/main'><p>good words</p></div><div class='a b c d f-rel'><p>bad words</p></div></body>"
+    assert extract(html, ["/none", "/body/div.a.b.c.d.e/main"]) == "good words"
+
+
+@pytest.mark.parametrize("part", ['<p title="', "<a ", "<div>", "<p a='>", "<svg>", "</sv", "<", "<!-", "<ul><li>", "<p class='x y'>z", "<x y= "])
+def test_malformed_pages_are_read_once(part):
+    """A megabyte of it takes seconds; four times as much takes about four times as long, not sixteen."""
+
+    def seconds(size):
+        began = time.process_time()
+        extract("<p>text</p>" + part * (size // len(part)), ["/body/div"])
+        return time.process_time() - began
+
+    seconds(1000)
+    small, large = seconds(250_000), seconds(1_000_000)
+    assert large < 10 * small + 1 and large < 12
+
+
 LEAD, BODY, LATER = "a lead of some words " * 7, "the body of the article " * 80, "a later section of it " * 40
 
 
