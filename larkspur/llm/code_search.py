@@ -5,6 +5,10 @@ radius one segment at a time: once ``j`` segments have been searched to radius r
 and the others to r - 1, a code not yet met differs in at least
 ``j * (r + 1) + (segments - j) * r`` bits. The search ends when the k-th verified
 distance is below that.
+
+The codes are cut into blocks. Each code goes to one block, whose tables are
+built once; the queries are streamed through every block, and the blocks'
+answers are merged.
 """
 
 from __future__ import annotations
@@ -12,119 +16,144 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from .shared import keep_table, prepare
 
-BITS = 64
-#: Codes of one index block, and queries searched in it at a time.
-INDEX_ROWS, QUERY_ROWS = 1_000_000, 4096
+#: Most codes of an index block, and fewest where the codes are spread over the cores.
+INDEX_ROWS, SPREAD_ROWS = 1_000_000, 4096
+WORD = 64
 
 
 class MultiIndex:
-    """Segment tables over one block of codes."""
+    """Segment tables over one block of codes; ``codes`` has a row of 64-bit words for each."""
 
     def __init__(self, ids: np.ndarray, codes: np.ndarray):
-        self.ids, self.codes = ids, codes.view(np.uint64)
-        width = int(np.clip(np.log2(max(len(codes), 2)), 8, 16))
-        self.edges = [*range(0, BITS, width)]
-        self.widths = [min(width, BITS - lo) for lo in self.edges]
-        self.tables = []
-        for lo, w in zip(self.edges, self.widths, strict=True):
-            value = self._segment(self.codes, lo, w)
-            starts = np.zeros((1 << w) + 1, np.int64)
-            np.cumsum(np.bincount(value, minlength=1 << w), out=starts[1:])
-            self.tables.append((np.argsort(value, kind="stable"), starts))
-        self.masks: dict[tuple[int, int], np.ndarray] = {}
+        self.ids, self.codes = ids, np.ascontiguousarray(codes.reshape(len(ids), -1)).view(np.uint64)
+        width = int(np.clip(np.log2(max(len(ids), 2)), 8, 16))
+        places = [(word, lo, min(width, WORD - lo)) for word in range(self.codes.shape[1]) for lo in range(0, WORD, width)]
+        self.segments = [(word, lo, w, *self._table(word, lo, w)) for word, lo, w in places]
+        self.balls: dict[tuple[int, int], np.ndarray] = {}
+        self.met_by, self.asked = np.zeros(len(ids), np.int64), 0  # the last query that met each code
 
     @staticmethod
-    def _segment(codes, lo, w):
-        return ((codes >> np.uint64(lo)) & np.uint64((1 << w) - 1)).astype(np.int64)
+    def _value(words, lo, w):
+        return ((words >> np.uint64(lo)) & np.uint64((1 << w) - 1)).astype(np.int64)
+
+    def _table(self, word: int, lo: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+        value = self._value(self.codes[:, word], lo, w)
+        starts = np.zeros((1 << w) + 1, np.int64)
+        np.cumsum(np.bincount(value, minlength=1 << w), out=starts[1:])
+        return np.argsort(value, kind="stable"), starts
 
     def _ball(self, w: int, radius: int) -> np.ndarray:
         """All changes of exactly ``radius`` of ``w`` bits."""
-        if (w, radius) not in self.masks:
-            self.masks[w, radius] = np.array([sum(1 << b for b in c) for c in combinations(range(w), radius)], np.int64)
-        return self.masks[w, radius]
+        if (w, radius) not in self.balls:
+            self.balls[w, radius] = np.array([sum(1 << b for b in c) for c in combinations(range(w), radius)], np.int64)
+        return self.balls[w, radius]
+
+    def _best(self, rows, distances, k):
+        best = np.lexsort((self.ids[rows], distances))[:k]
+        return rows[best], distances[best]
 
-    def search(self, code: np.uint64, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers and distances of the ``k`` nearest (distance, then id)."""
-        seen = np.zeros(len(self.codes), bool)
+        code = np.atleast_1d(code).view(np.uint64)
+        self.asked += 1
         rows, distances = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for radius in range(max(self.widths) + 1):
-            for j, (lo, w) in enumerate(zip(self.edges, self.widths, strict=True)):
+        for radius in range(max(w for _, _, w, _, _ in self.segments) + 1):
+            for j, (word, lo, w, order, starts) in enumerate(self.segments):
                 if radius <= w:
-                    order, starts = self.tables[j]
-                    at = int(self._segment(np.asarray([code]), lo, w)[0]) ^ self._ball(w, radius)
+                    at = int(self._value(code[word : word + 1], lo, w)[0]) ^ self._ball(w, radius)
                     begin, size = starts[at], starts[at + 1] - starts[at]
                     begin, size = begin[size > 0], size[size > 0]
                     if len(size):
-                        spread = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                        met = order[spread]
-                        met = met[~seen[met]]
+                        met = order[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+                        met = met[self.met_by[met] != self.asked]
                         if len(met):
-                            seen[met] = True
+                            self.met_by[met] = self.asked
                             rows = np.concatenate([rows, met])
-                            distances = np.concatenate([distances, np.bitwise_count(self.codes[met] ^ code).astype(np.int64)])
+                            distances = np.concatenate([distances, np.bitwise_count(self.codes[met] ^ code).sum(axis=1, dtype=np.int64)])
                             if len(rows) > 4 * k:
-                                best = np.lexsort((self.ids[rows], distances))[:k]
-                                rows, distances = rows[best], distances[best]
-                if len(rows) >= k and np.partition(distances, k - 1)[k - 1] < (j + 1) * (radius + 1) + (len(self.edges) - j - 1) * radius:
-                    best = np.lexsort((self.ids[rows], distances))[:k]
-                    return rows[best], distances[best]
-        best = np.lexsort((self.ids[rows], distances))[:k]
-        return rows[best], distances[best]
+                                rows, distances = self._best(rows, distances, k)
+                covered = (j + 1) * (radius + 1) + (len(self.segments) - j - 1) * radius
+                if len(rows) >= k and np.partition(distances, k - 1)[k - 1] < covered:
+                    return self._best(rows, distances, k)
+        return self._best(rows, distances, k)
+
 
+def sign_codes(vectors: DataFrame, *, bits: int = WORD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(id, code): bit i is set where element i is above zero (NaN counts as above, a null or missing element as not).
 
-def sign_codes(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, code long): bit i is set where element i is above zero. Rows with a null id or vector have no code."""
+    ``code`` is a long for up to 64 bits, else an array of longs. Rows with a null
+    id or vector have no code; a vector of more than ``bits`` elements is an error.
+    """
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("v")).where("id is not null and v is not null")
     bit = lambda k: F.when(F.get("v", k) > 0, F.expr("1L")).otherwise(F.expr("0L"))
-    code = F.aggregate(
-        F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(F.call_function("shiftleft", bit(k), k))
-    )
-    too_long = F.when(F.size("v") > BITS, F.raise_error(F.lit(f"vectors of more than {BITS} elements have no code"))).otherwise(code)
-    return rows.select("id", too_long.cast("long").alias("code"))
+
+    def word(n):
+        places = F.sequence(F.lit(0), F.lit(WORD - 1))
+        return F.aggregate(places, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(F.call_function("shiftleft", bit(k + WORD * n), k)))
+
+    words = [word(n) for n in range(-(-bits // WORD))]
+    code = words[0] if len(words) == 1 else F.array(*words)
+    too_long = F.raise_error(F.lit(f"a vector of more than {bits} elements")).cast("long" if len(words) == 1 else "array<bigint>")
+    return rows.select("id", F.when(F.size("v") > bits, too_long).otherwise(code).alias("code"))
 
 
-def top_k(queries: DataFrame, codes: DataFrame, *, k: int = 10, index_rows: int = INDEX_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def top_k(queries: DataFrame, codes: DataFrame, *, k: int = 10, index_rows: int = INDEX_ROWS, spread_rows: int = SPREAD_ROWS) -> DataFrame:
     """(query_id, neighbor_id, distance, rank) of the ``k`` nearest codes of each query, exactly.
 
-    Both tables are (id, code). Queries are searched in blocks of about
-    ``query_rows`` against index blocks of about ``index_rows``, and the blocks'
-    answers are merged; equal distances rank by id; a query that is repeated is
-    asked once. Where fewer than ``k`` codes
-    exist all are returned; empty tables give an empty result.
+    Both tables are (id, code), with codes as ``sign_codes`` gives them. Codes lie
+    in blocks of at most about ``index_rows``, and in as many as there are cores
+    while these hold ``spread_rows``. Equal distances rank by id; a query that is
+    repeated is asked once. Where fewer than ``k`` codes exist all are returned;
+    empty tables give an empty result.
     """
-    prepare(codes.sparkSession)
-    queries = queries.select("id", "code").distinct()
-    n, q = codes.count(), queries.count()
-    index_blocks, query_blocks = max(1, -(-n // index_rows)), max(1, -(-q // query_rows))
-    block = lambda blocks: F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asked = queries.withColumn("qb", block(query_blocks)).withColumn("ib", every(index_blocks))
-    held = codes.select("id", "code", block(index_blocks).alias("ib")).withColumn("qb", every(query_blocks))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            index = MultiIndex(right["id"].to_numpy(np.int64), right["code"].to_numpy(np.int64))
-            for query, code in zip(left["id"].to_numpy(), left["code"].to_numpy(np.int64).view(np.uint64), strict=True):
-                rows, distances = index.search(code, k)
-                out.append(pd.DataFrame({"query_id": query, "code": code.view(np.int64), "neighbor_id": index.ids[rows], "distance": distances}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "code": [], "neighbor_id": [], "distance": []}, dtype="int64")
-
-    found = asked.groupBy("qb", "ib").cogroup(held.groupBy("qb", "ib")).applyInPandas(search, "query_id long, code long, neighbor_id long, distance long")
+    spark = codes.sparkSession
+    prepare(spark)
+    as_words = lambda df: df.select("id", (F.col("code") if isinstance(df.schema["code"].dataType, ArrayType) else F.array("code")).alias("code"))
+    n = codes.count()
+    blocks = max(1, -(-n // index_rows), min(spark.sparkContext.defaultParallelism, n // spread_rows))
+    held = as_words(codes).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("asks", F.lit(False))
+    asked = as_words(queries).distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("asks", F.lit(True))
+    rows = held.union(asked).repartitionByRange(blocks, "block").sortWithinPartitions("block", "asks")
+
+    def run(batches):
+        now, index, parts = None, None, []
+        for batch in batches:
+            ids, blocks_, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "block", "asks"))
+            lists = batch.column("code")
+            words = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            edges = np.flatnonzero(np.r_[True, (blocks_[1:] != blocks_[:-1]) | (asks[1:] != asks[:-1])]) if len(ids) else []
+            for a, b in zip(edges, [*edges[1:], len(ids)], strict=True):
+                if blocks_[a] != now:
+                    now, index, parts = blocks_[a], None, []
+                if not asks[a]:
+                    parts.append((ids[a:b], words[a:b]))
+                    continue
+                if index is None and parts:
+                    index = MultiIndex(*(np.concatenate(p) for p in zip(*parts, strict=True)))
+                    parts = []
+                out = [index.search(words[q], k) for q in range(a, b)] if index is not None else []
+                if out:
+                    sizes = [len(r) for r, _ in out]
+                    columns = [np.repeat(ids[a:b], sizes), index.ids[np.concatenate([r for r, _ in out])], np.concatenate([d for _, d in out])]
+                    code = pa.ListArray.from_arrays(pa.array(np.arange(0, sum(sizes) * words.shape[1] + 1, words.shape[1]), pa.int32()), pa.array(np.repeat(words[a:b], sizes, axis=0).ravel()))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), code], names=["query_id", "neighbor_id", "distance", "code"])
+
+    found = rows.mapInArrow(run, "query_id long, neighbor_id long, distance long, code array<long>")
     rank = F.row_number().over(Window.partitionBy("query_id", "code").orderBy("distance", "neighbor_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("code")
 
 
-def search_vectors(vectors: DataFrame, *, every: int = 50, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search_vectors(vectors: DataFrame, *, every: int = 50, k: int = 10, bits: int = WORD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Top-k by Hamming distance of sign codes for each row whose id is divisible by ``every``, against all rows (itself too).
 
     A repeated row is asked once, but found as often as it is there.
     """
-    codes = keep_table(sign_codes(vectors, id_col=id_col, vector_col=vector_col), "codes")
+    codes = keep_table(sign_codes(vectors, bits=bits, id_col=id_col, vector_col=vector_col), "codes")
     return top_k(codes.where(F.col("id") % every == 0), codes, k=k)

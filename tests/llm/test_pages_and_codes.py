@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import code_search, warc
+from larkspur.llm import warc
 from larkspur.llm.code_search import MultiIndex, search_vectors, sign_codes, top_k
 from larkspur.llm.html_text import extract, host_paths, main_text
 from larkspur.llm.warc import archive_pages, read_archives, write_archives
@@ -72,7 +72,7 @@ def test_top_k(spark, kind):
     codes = [(i, make()) for i in range(4 if kind == "few" else 400)]
     df = spark.createDataFrame(codes, "id long, code long")
     queries = [c for c in codes if c[0] % 50 == 0]
-    got = top_k(df.where("id % 50 = 0"), df, k=10, index_rows=90, query_rows=3).collect()
+    got = top_k(df.where("id % 50 = 0"), df, k=10, index_rows=90).collect()
     assert sorted((r.query_id, r.neighbor_id, r.distance, r["rank"]) for r in got) == brute(codes, queries, 10)
 
 
@@ -91,7 +91,30 @@ def test_vectors(spark):
     assert sorted((r.id, r.code) for r in sign_codes(df).collect()) == [(0, 1), (0, 1), (4, 0), (50, 2)]
     assert search_vectors(df, k=2).count() == 2 * 2
     assert search_vectors(df.limit(0)).collect() == []
-    assert code_search.BITS == 64
+    odd = spark.createDataFrame([(0, [float("nan"), None, float("inf"), float("-inf")])], "vec_id long, embedding array<float>")
+    assert [r.code for r in sign_codes(odd).collect()] == [0b101]
+    with pytest.raises(Exception, match="more than 64 elements"):
+        sign_codes(spark.createDataFrame([(0, [1.0] * 65)], "vec_id long, embedding array<float>")).collect()
+
+
+def test_long_codes(spark):
+    rnd = random.Random(5)
+    base = [rnd.choice([-1.0, 1.0]) for _ in range(100)]
+    vectors = {i: [-x if rnd.random() < 0.1 * (i % 4) else x for x in base] for i in range(300)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>")
+    got = search_vectors(df, bits=100, k=4).collect()
+    want = []
+    for q in range(0, 300, 50):
+        near = sorted((sum(a != b for a, b in zip(vectors[q], vectors[i], strict=True)), i) for i in vectors)[:4]
+        want += [(q, i, d, r + 1) for r, (d, i) in enumerate(near)]
+    assert sorted((r.query_id, r.neighbor_id, r.distance, r["rank"]) for r in got) == sorted(want)
+
+
+def test_blocks_spread_over_the_cores(spark):
+    codes = spark.range(20_000).select("id", F.xxhash64("id").alias("code"))
+    few = codes.where("id % 500 = 0")
+    one, many = (top_k(few, codes, k=5, spread_rows=s) for s in (1_000_000, 2000))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
 
 
 # --- pages -----------------------------------------------------------------------------------------
