@@ -1,14 +1,17 @@
 """op5, op7, op8, op9 against brute force, and the pipeline's stages."""
 
+import math
 import random
 import re
 import zlib
+from collections import Counter, defaultdict
 
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
-from larkspur.llm import line_dedup, simhash
+from larkspur.llm import decontam, line_dedup, simhash
 from larkspur.llm.components import components
 from larkspur.llm.decontam import contaminated, decontaminate
 from larkspur.llm.line_dedup import dedup_lines
@@ -224,6 +227,129 @@ def test_offsets_runs_and_short_items(spark):
     assert held(spark, "Capital of Peru?", [f"so: the capital of\nperu. {added}", "the capital of all peru", "peru"]) == [True, None, None]
 
 
+def test_names_that_open_sentences_and_one_to_one_slots(spark):
+    item = "Alice buys 3 apples at the shop. Bob buys 4 pears there too."
+    assert held(spark, item, [item.replace("Alice", "Carol").replace("Bob", "Dave").replace("3", "9"), item.replace("3", "9").replace("4", "7")]) == [False, False]
+    # one value of the text stands for two of the item, or the other way round
+    same = re.sub("[34]", "8", item)
+    assert held(spark, item, [same]) == [None] and held(spark, same, [item]) == [None]
+
+
+def test_very_long_and_title_case_texts(spark):
+    filler = " ".join(f"word{k % 700} and more" for k in range(60_000))
+    title = " ".join(w if w.isdigit() else w.title() for w in ITEM.split())
+    assert held(spark, ITEM, [f"{filler} {CHANGED} {filler}", filler, title, title.replace("60", "61")]) == [False, None, True, False]
+
+
+def brute_tokens(text):
+    """(lower-case word, kind) by a reading of the rules of its own: n number, u unit after one, m name in a sentence, s other capitalised word."""
+    text = re.sub(r"\s+", " ", text or "")
+    out = []
+    for m in regex.finditer(r"[\p{L}\p{M}\p{N}]+(?:(?<=\d)[.,](?=\d)[\p{L}\p{M}\p{N}]+)*", text):
+        name = regex.match(r"\p{Lu}\p{L}*\p{Ll}", m[0]) is not None
+        inside = regex.search(r"[\p{Ll},;] $", text[: m.start()]) is not None
+        for part in regex.sub(r"(?<=\d)(?=\p{L})", " ", regex.sub(r"(?<=\d)[.,](?=\d)", "", m[0])).split():
+            after = out and out[-1][1] == "n"
+            out.append((part.lower(), "n" if regex.match(r"\p{N}", part) else ("m" if inside else "s") if name else "u" if after and part.lower() in decontam.UNITS else ""))
+    return out
+
+
+def brute_held(item, text, size=5):
+    """Whether the text holds the item: at some level, in one band of offsets, enough windows with one-to-one values."""
+    a, b = brute_tokens(item), brute_tokens(text)
+    if 0 < len(a) < size:
+        words = [w for w, _ in b]
+        return any(words[j : j + len(a)] == [w for w, _ in a] for j in range(len(words)))
+
+    def forms(t):
+        """(level, [(token, value or None, word)]): as they are at each level, and merged at the last."""
+        for level in ("", "nu", "num", "nums"):
+            if not level or any(k and k in level for _, k in t):
+                yield level, [(({"m": "N", "s": "N"}.get(k, k)) if k and k in level else w, w if k and k in level else None, j) for j, (w, k) in enumerate(t)]
+
+    def merged(t):
+        out = []
+        for tok, value, j in list(forms(t))[-1][1]:
+            if out and value is not None and tok in "Nn" and out[-1][1] is not None and out[-1][0] == tok:
+                out[-1] = (tok, out[-1][1] + " " + value, out[-1][2])
+            else:
+                out.append((tok, value, j))
+        return out
+
+    def hits(xs, ys, own_place):
+        places = defaultdict(list)
+        for j in range(len(ys) - size + 1):
+            places[tuple(y[0] for y in ys[j : j + size])].append(j)
+        for i in range(len(xs) - size + 1):
+            for j in places.get(tuple(x[0] for x in xs[i : i + size]), []):
+                yield (i if own_place else xs[i][2]), ys[j][2], frozenset((x[1], y[1]) for x, y in zip(xs[i : i + size], ys[j : j + size], strict=True) if x[1] is not None)
+
+    def enough(found, n):
+        starts = {i for i, _, _ in found}
+        words = {i + k for i in starts for k in range(size)}
+        return len(starts) >= min(math.ceil(n * 0.8), 9) or len(words) >= math.ceil((n + size - 1) * 0.8)
+
+    def some_band(found, n):
+        half = max(4, n // 4)
+        bands = defaultdict(set)
+        for i, j, pairs in found:
+            for band in ((j - i) // half - 1, (j - i) // half):
+                bands[band].add((i, 0, pairs))
+        for found in bands.values():
+            if not enough(found, n):
+                continue
+            times = Counter(p for _, _, pairs in found for p in pairs)
+            best = {}
+            for (k, v), c in times.items():
+                best[k] = max(best.get(k, (0, "")), (c, v))
+            lone = {(k, v) for k, (c, v) in best.items() if not any(v == v2 and (c2, k2) > (c, k) for k2, (c2, v2) in best.items())}
+            if enough({f for f in found if f[2] <= lone}, n):
+                return True
+        return False
+
+    plain = [h for (_, x), (_, y) in [(f, g) for f in forms(a) for g in forms(b) if f[0] == g[0]] for h in hits(x, y, True)]
+    if len(a) >= size and some_band(plain, len(a) - size + 1):
+        return True
+    joined = merged(a)
+    return len(joined) < len(a) and len(joined) >= size and some_band(list(hits(joined, merged(b), True)), len(joined) - size + 1)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_held_items_equal_brute_force(spark, seed):
+    """Items in texts of the same small vocabulary: as they are, with other case, values, names, words, or in part."""
+    rnd = random.Random(seed)
+    low = "the a of and train leaves station before noon with old red bags for river town".split()
+    names = "Alice Bob Carol Anna Lee York Paris Rome".split()
+
+    def sentence(n):
+        return " ".join(rnd.choice(names) if rnd.random() < 0.15 else str(rnd.randint(1, 9)) if rnd.random() < 0.15 else rnd.choice(low) for _ in range(n))
+
+    def change(t):
+        words = t.split()
+        kind = rnd.randrange(7)
+        if kind == 1:
+            return rnd.choice([t.lower(), t.upper(), t.title()])
+        if kind == 2:
+            other = {w: str(rnd.randint(1, 20)) for w in words if w.isdigit()}
+            return " ".join(other.get(w, w) for w in words)
+        if kind == 3:
+            other = {w: rnd.choice(names) for w in names}
+            return " ".join(other.get(w, w) for w in words)
+        if kind == 4:
+            at = rnd.randrange(len(words))
+            return " ".join([*words[:at], rnd.choice([*low, *names]), *words[at + rnd.randint(0, 1) :]])
+        if kind == 5:
+            return " ".join(words[: max(1, int(len(words) * rnd.uniform(0.5, 1)))])
+        return t if kind else ". ".join([" ".join(words[:4]), " ".join(words[4:])])
+
+    items = [sentence(rnd.choice([2, 5, 6, 9, 14, 20])) for _ in range(25)]
+    texts = [f"{sentence(rnd.randint(0, 12))}. {change(change(rnd.choice(items)))}. {sentence(rnd.randint(0, 12))}" for _ in range(70)]
+    bench = spark.createDataFrame([(t, i) for i, t in enumerate(items)], "text string, item_id int")
+    got = {(r.doc_id, r.item_id) for r in contaminated(frame(spark, list(enumerate(texts))), bench).collect()}
+    want = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if brute_held(x, t)}
+    assert got == want and len(want) > 30
+
+
 def test_planted_items(spark):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
