@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .shared import keep_table
 
 MIN_WORDS = 5
+#: A word is a run of characters that aren't spaces; in scripts that are written without spaces every character is one.
+WORD = "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]|[^ \u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]+"
 
 
 def _name(*parts: Column) -> Column:
@@ -22,6 +24,13 @@ def _name(*parts: Column) -> Column:
     return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
 
 
+def _words(line: Column) -> Column:
+    # Without two spaces in a row, or one at an end, spaces tell the number of words.
+    spaced = F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1
+    plain = ~F.contains(line, F.lit("  ")) & ~line.startswith(" ") & ~line.endswith(" ") & ~line.rlike("[\u0e00-\uffff]")
+    return F.when(plain, spaced).otherwise(F.regexp_count(line, F.lit(WORD)))
+
+
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n", -1)
 
@@ -30,10 +39,11 @@ def _line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per line that isn't blank: doc, sig, i (number among those lines), j (among all), n (id), w (words)."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     line = lambda x, j: F.when(
-        F.trim(x) != "", F.struct(j.alias("j"), _name(x).alias("n"), (F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1).alias("w"))
+        F.trim(x) != "", F.struct(j.alias("j"), _name(x).alias("n"), _words(x).alias("w"))
     )
     rows = F.filter(F.transform(_lines(text), line), lambda s: s.isNotNull())
-    made = docs.select(F.col(f"`{id_col}`").alias("doc"), F.xxhash64(text).alias("sig"), F.posexplode(rows).alias("i", "s"))
+    # the digest comes first, so that the text doesn't go along with each of its lines
+    made = docs.select(F.col(f"`{id_col}`").alias("doc"), F.xxhash64(text).alias("sig"), rows.alias("rows")).select("doc", "sig", F.posexplode("rows").alias("i", "s"))
     return made.select("doc", "sig", "i", "s.j", "s.n", "s.w")
 
 
@@ -81,7 +91,7 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "d
     """``docs`` with ``text_col`` without later copies of repeated line runs, and n_lines, n_removed (long).
 
     A line goes where it lies in a run of lines that aren't blank, with at least
-    ``min_words`` space-separated words in all, that also occurs earlier (by id,
+    ``min_words`` words (``WORD``) in all, that also occurs earlier (by id,
     then line; a null id comes first; rows with one id by a hash of their text).
     Blank lines stay and don't part a run. n_lines counts lines that aren't
     blank. Null texts stay null with 0 lines; rows that repeat id and text are
@@ -96,9 +106,12 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "d
     # The row travels as one struct, so that none of its columns can clash with those of the join.
     rows = docs.select(F.col(f"`{id_col}`").alias("own_doc"), sig.alias("own_sig"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
     joined = rows.join(gone.hint("shuffle_hash"), F.col("own_doc").eqNullSafe(F.col("gone_doc")) & (F.col("own_sig") == F.col("gone_sig")), "left")
+    joined = joined.withColumn("lines", _lines(F.col("row")[text_col])).withColumn("bounds", F.concat(F.array(F.lit(-1)), F.sort_array("gone_lines"), F.array(F.size("lines"))))
+    # what lies between one removed line and the next, so that a long text is gone through once
+    between = lambda k: F.slice("lines", F.get("bounds", k) + 2, F.get("bounds", k + 1) - F.get("bounds", k) - 1)
+    kept = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("bounds") - 2), between)), "\n")
+    n_lines = F.size(F.filter("lines", lambda x: F.trim(x) != "")).cast("long")
     text = F.col("row")[text_col]
-    kept = F.array_join(F.filter(_lines(text), lambda x, j: ~F.array_contains("gone_lines", j)), "\n")
-    n_lines = F.size(F.filter(_lines(text), lambda x: F.trim(x) != "")).cast("long")
     return joined.select(
         *[(F.when(F.col("gone_lines").isNull(), text).otherwise(kept) if c == text_col else F.col("row")[c]).alias(c) for c in columns],
         n_lines.alias("n_lines"),

@@ -6,9 +6,12 @@ the non-negative unbiased risk
 
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))
 
-with the logistic loss, where the class prior is estimated (one standard error
-low) by the share of positives among the labels that may be learnt from. The fit uses bounded, documented samples;
-every document is scored.
+with the logistic loss. The class prior is estimated from positives and
+unlabelled rows alone: a network that tells the two apart is fitted on one half
+of them, and on the other half the prior is the least ratio of the shares of
+unlabelled and of positive rows above a threshold, each ratio with a margin for
+its sample's size ("best bin estimation"). Labels 0 are never used. The fit uses
+bounded, documented samples; every document is scored.
 """
 
 from __future__ import annotations
@@ -28,11 +31,15 @@ FIT_ROWS = 20_000
 THRESHOLD = 0.7
 #: The fold of crc32(id as text) mod 4 that is never learnt from.
 FOLDS, HELD_OUT = 4, 2
-HIDDEN, STEPS, BATCH, RATE, DECAY = 24, 1500, 2048, 0.01, 1e-4
+HIDDEN, STEPS, PRIOR_STEPS, BATCH, RATE, DECAY = 24, 1500, 300, 2048, 0.01, 1e-4
+
+#: Chance that the margin of the prior's estimate is too small, and how much of it is added in the choice of a threshold.
+DELTA, MARGIN = 0.1, 1.01
 
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 _WORD = re.compile(r"\S+")
 _NOISE = re.compile(r"[^\w\s.,;:'\"()?-]")
+_DIGIT = re.compile(r"\d")
 _TAIL = re.compile(r"\S[^\w\s.,;:'\")?]+(?=\s|$)")
 
 
@@ -74,7 +81,7 @@ def features(text: str) -> list[float]:
         alone / w,
         spaced / w,
         (n - spaced) / w,
-        sum(map(str.isdigit, text)) / n if n < 4096 else len(re.findall(r"\d", text)) / n,
+        len(_DIGIT.findall(text)) / n,
         len(set(lines)) / len(lines),
         len(lines) / w,
         text.count(".") / w,
@@ -105,8 +112,9 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x), -35, 35)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 7) -> Network:
-    """Non-negative PU risk, logistic loss, Adam; a negative bracket is climbed instead of followed."""
+def _trained(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed: int) -> Network:
+    """Logistic loss, Adam. With a prior the non-negative PU risk, whose bracket is climbed instead of followed where it
+    is negative; without one, positives are told from unlabelled rows."""
     rng = np.random.default_rng(seed)
     mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-6
     std = lambda x: np.clip((x - mean) / scale, -6, 6)
@@ -116,17 +124,21 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     net = Network(mean, scale, weights)
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -35, 35)))
-    for step in range(1, STEPS + 1):
+    steps = STEPS if prior is not None else PRIOR_STEPS
+    for step in range(1, steps + 1):
         xp, xu = p[rng.integers(0, len(p), BATCH)], u[rng.integers(0, len(u), BATCH)]
         hp, hu = net.hidden(xp), net.hidden(xu)
         zp, zu = hp @ weights[2] + weights[3], hu @ weights[2] + weights[3]
-        bracket = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        sign = 1.0 if bracket >= 0 else -1.0
-        gp = prior * (-sigmoid(-zp) * (sign > 0) - sign * sigmoid(zp)) / BATCH
-        gu = sign * sigmoid(zu) / BATCH
+        if prior is None:
+            gp, gu = -sigmoid(-zp) / BATCH, sigmoid(zu) / BATCH
+        else:
+            bracket = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+            sign = 1.0 if bracket >= 0 else -1.0
+            gp = prior * (-sigmoid(-zp) * (sign > 0) - sign * sigmoid(zp)) / BATCH
+            gu = sign * sigmoid(zu) / BATCH
         x, h, g = np.vstack([xp, xu]), np.vstack([hp, hu]), np.r_[gp, gu]
         back = np.outer(g, weights[2]) * (1 - h * h)
-        rate = RATE * (1 - step / (STEPS + 1))
+        rate = RATE * (1 - step / (steps + 1))
         for k, grad in enumerate((x.T @ back, back.sum(0), h.T @ g, g.sum())):
             grad = grad + DECAY * weights[k]
             first[k] = 0.9 * first[k] + 0.1 * grad
@@ -135,6 +147,26 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     return net
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 7) -> float:
+    """The share of positives among unlabelled rows, from these two samples alone."""
+    if min(len(positive), len(unlabelled)) < 4:
+        return 0.5
+    net = _trained(positive[::2], unlabelled[::2], None, seed)
+    p, u = np.sort(net.logits(positive[1::2])), np.sort(net.logits(unlabelled[1::2]))
+    cuts = np.unique(np.r_[p, u])
+    above_p, above_u = (1 - np.searchsorted(x, cuts) / len(x) for x in (p, u))
+    cuts = above_p > 0
+    above_p, above_u = above_p[cuts], above_u[cuts]
+    margin = sum((np.log(4 / DELTA) / (2 * len(x))) ** 0.5 for x in (p, u))
+    best = int(np.argmin((above_u + MARGIN * margin) / above_p))
+    return float(np.clip(above_u[best] / above_p[best], 0.01, 0.99))
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, seed: int = 7) -> Network:
+    """The network of least non-negative PU risk; the prior is estimated where none is given."""
+    return _trained(positive, unlabelled, class_prior(positive, unlabelled, seed) if prior is None else prior, seed)
+
+
 def held_out_fold(id_col: str):
     """Whether a row is held out: crc32 of the id as text leaves ``HELD_OUT`` modulo ``FOLDS``."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
@@ -144,14 +176,10 @@ def _fit_on(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, fit_
     """The network, fitted on at most ``fit_rows`` positives and as many unlabelled rows (those with the smallest id hashes)."""
     learnt = labels.select(F.col(f"`{id_col}`").alias("id"), F.col("quality").alias("q")).where("id is not null and q is not null")
     learnt = learnt.where(~held_out_fold("id")).groupBy("id").agg(F.min("q").alias("q"))
-    share, n = learnt.agg(F.avg((F.col("q") > 0).cast("double")), F.count("*")).first()
-    if not share:
-        return None
-    # One standard error below the share: too high a prior hides the rarest negatives, a slightly low one costs little.
-    prior = share - (share * (1 - share) / n) ** 0.5
+    learnt = learnt.where("q > 0")
     some = lambda df: df.select("id").orderBy(F.xxhash64("id"), "id").limit(fit_rows)
     source = keyed_text(docs, id_col, text_col)
-    chosen = some(learnt.where("q > 0")).withColumn("p", F.lit(True)).union(some(source.where("id is not null").select("id").distinct()).withColumn("p", F.lit(False)))
+    chosen = some(learnt).withColumn("p", F.lit(True)).union(some(source.where("id is not null").select("id").distinct()).withColumn("p", F.lit(False)))
     chosen = chosen.groupBy("id").agg(F.max("p").alias("p"), F.min("p").alias("only_p"))  # at most 2 * fit_rows ids: the bound of the broadcast
     kind = docs.schema[id_col].dataType.simpleString()
     picked = source.join(F.broadcast(chosen), "id")
@@ -167,7 +195,7 @@ def _fit_on(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, fit_
         return None
     x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
     p, only = (table.column(c).to_numpy().astype(bool) for c in ("p", "only_p"))
-    return fit(x[p], x[~only], prior) if p.any() and (~only).any() else None
+    return fit(x[p], x[~only]) if p.any() and (~only).any() else None
 
 
 def _scores(net: Network | None, texts: list[str]) -> np.ndarray:

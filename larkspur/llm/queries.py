@@ -108,7 +108,7 @@ ORACLE_SQL: dict[str, str] = {
                    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS j FROM documents),
         lines AS (
             SELECT doc_id, j, x, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS i,
-                   length(x) - length(replace(x, ' ', '')) + 1 AS w
+                   length(regexp_extract_all(x, '[\\x{0e00}-\\x{0eff}\\x{1000}-\\x{109f}\\x{1780}-\\x{17ff}\\x{3040}-\\x{30ff}\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}]|[^ \\x{0e00}-\\x{0eff}\\x{1000}-\\x{109f}\\x{1780}-\\x{17ff}\\x{3040}-\\x{30ff}\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}]+')) AS w
             FROM every WHERE trim(x) <> ''),
         ahead AS (
             SELECT doc_id, i,

@@ -18,12 +18,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) is a temporary
-    folder made and set.
+    Only where the session names none and runs on one machine (tests) is a
+    temporary folder made and set; on a cluster that is an error.
     """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="larkspur-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)

@@ -133,7 +133,7 @@ def brute_lines(rows, least=line_dedup.MIN_WORDS):
                 n = 0
                 while k + n < len(docs[i]) and l + n < len(docs[q]) and docs[i][k + n][1] == docs[q][l + n][1]:
                     n += 1
-                if sum(docs[i][k + m][1].count(" ") + 1 for m in range(n)) >= least:
+                if sum(len(re.findall("[\u3040-\u30ff\u4e00-\u9fff]|[^ \u3040-\u30ff\u4e00-\u9fff]+", docs[i][k + m][1])) for m in range(n)) >= least:
                     gone[i] |= {docs[i][k + m][0] for m in range(n)}
     out = []
     for i, t in rows:
@@ -145,7 +145,7 @@ def brute_lines(rows, least=line_dedup.MIN_WORDS):
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_lines(spark, seed):
     rnd = random.Random(seed)
-    pool = ["a", "b c", "one two three", "a line of five words", "", " ", "another line that is long", "é è à"]
+    pool = ["a", "b c", "one two three", "a line of five words", "", " ", "another line that is long", "é è à", "        }", " x  y ", "\u6f22\u5b57\u304b\u306a\u4ea4 end", "\u6f22\u5b57"]
     rows = [(i, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(0, 9)))) for i in range(14)] + [(90, None), (91, ""), (None, "a line of five words\nb c")]
     got = dedup_lines(frame(spark, rows)).select("doc_id", "text", "n_lines", "n_removed").collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_lines(rows)
@@ -158,6 +158,14 @@ def test_repeated_rows_are_one_document(spark):
     assert dedup_lines(frame(spark, [])).collect() == []
 
 
+def test_lines_of_a_very_long_document(spark):
+    """Every second line of 60,000 is repeated; the text is gone through once, not once for each removed line."""
+    text = "\n".join(f"a repeated line of five words\nline {k} is not repeated here" for k in range(30_000))
+    got = {r.doc_id: r for r in dedup_lines(frame(spark, [(1, text), (2, text), (3, "short")])).collect()}
+    assert (got[1].n_lines, got[1].n_removed) == (60_000, 29_999) and (got[2].n_removed, got[2].text) == (60_000, "")
+    assert got[1].text == "\n".join(["a repeated line of five words"] + [f"line {k} is not repeated here" for k in range(30_000)])
+
+
 # --- decontamination -------------------------------------------------------------------------------
 
 
