@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -98,3 +98,41 @@ def tag_each_prefix(entry: Column, persona: Column) -> Column:
 def tag_all(entry: Column, persona: Column) -> Column:
     """Every tag that isn't a wildcard is among the persona's; no tags fit all."""
     return F.size(F.array_except(F.filter(entry, lambda t: ~t.endswith(":any")), persona)) == 0
+
+
+def uuid5(name: Column, namespace: str = "6ba7b811-9dad-11d1-80b4-00c04fd430c8") -> Column:
+    """The name-based UUID (SHA-1) of a text in a namespace, by default that of URLs."""
+    raw = F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8"))
+    h = F.sha1(raw)
+    variant = F.element_at(F.array(*[F.lit(c) for c in "89ab"]), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4) + 1)
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def setup_fingerprint(**parts: Column) -> Column:
+    """SHA-256 of the named parts as canonical JSON, sorted by name; equal setups have equal fingerprints."""
+    return F.sha2(F.to_json(F.struct(*[parts[k].cast("string").alias(k) for k in sorted(parts)]), {"ignoreNullFields": "false"}), 256)
+
+
+def fold_name(name: Column) -> Column:
+    """A name as it's compared: full-width forms, case, invisible characters and runs of white space don't count."""
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+    narrow = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
+    plain = F.regexp_replace(F.translate(name, wide, narrow), "[​-‏⁠﻿­]", "")
+    return F.trim(F.regexp_replace(F.lower(plain), r"[\s　]+", " "))
+
+
+def matched_rule(models: DataFrame, rules: DataFrame, *, model: str = "model_id") -> DataFrame:
+    """(model, developer, pattern): the rule that decides each model id; null where none does.
+
+    ``rules`` is (place, pattern, developer): patterns with ``*`` and ``?``, case ignored; one without any wildcard is
+    a declaration and goes before patterns; then the smallest place decides. A pattern without ``/`` may start after
+    any of ``/ : @ . -``. The rules are a small table.
+    """
+    escaped = F.regexp_replace(F.lower("pattern"), r"([\\.\[\]{}()+^$|])", r"\\$1")
+    body = F.replace(F.replace(escaped, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit("."))
+    start = F.when(F.contains("pattern", F.lit("/")), "^").otherwise("(^|[/:@.-])")
+    known = F.broadcast(rules.select("place", "pattern", "developer", F.concat(start, body, F.lit("$")).alias("_re"), F.col("pattern").rlike(r"[*?]").alias("_wild")))
+    ids = models.select(model).distinct()
+    hits = ids.join(known, F.expr(f"rlike(lower(trim(`{model}`)), _re)"), "left")
+    best = hits.groupBy(model).agg(F.min(F.when(F.col("place").isNotNull(), F.struct("_wild", "place", "developer", "pattern"))).alias("b"))
+    return best.select(model, "b.developer", "b.pattern")

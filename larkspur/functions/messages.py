@@ -175,3 +175,48 @@ def verify_call(name: Column, raw: Column, tools: Column) -> Column:
         return pd.Series([call_problem(*x) for x in zip(n, r, t, strict=True)], dtype=object)
 
     return check(name, raw, tools)
+
+
+def render_template(template: Column, values: Column) -> Column:
+    """``{name}`` placeholders filled from a map; ``{{`` and ``}}`` are braces. A name that the map lacks is an error."""
+    # What is filled in isn't looked at again: the template is cut at its placeholders first.
+    parts = F.split(F.replace(F.replace(template, F.lit("{{"), F.lit("\u0001")), F.lit("}}"), F.lit("\u0002")), r"[{}]")
+    filled = F.transform(
+        parts, lambda p, i: F.when(i % 2 == 0, F.translate(p, "\u0001\u0002", "{}")).otherwise(F.coalesce(F.element_at(values, p), F.raise_error(F.concat(F.lit("no value for placeholder "), p)).cast("string")))
+    )
+    return F.array_join(filled, "")
+
+
+def fill_slots(text: Column, params: Column) -> Column:
+    """``{{slot}}`` markers replaced by the map's values; slots that it lacks stay."""
+    parts = F.split(F.regexp_replace(text, r"\{\{\s*(\w+)\s*\}\}", "\u0001$1\u0001"), "\u0001")
+    filled = F.transform(parts, lambda p, i: F.when(i % 2 == 0, p).otherwise(F.coalesce(F.element_at(params, p), F.concat(F.lit("{{"), p, F.lit("}}")))))
+    return F.array_join(filled, "")
+
+
+def sampled_params(space: Column, key: Column, seed: int = 0) -> Column:
+    """One value for each slot of a map of lists, by the hash of key, slot and seed; slots without values are left out."""
+    from .identity import hash_fraction
+
+    some = F.map_filter(space, lambda _, v: F.size(v) > 0)
+    return F.transform_values(some, lambda k, v: F.element_at(v, (F.floor(hash_fraction(F.concat_ws("|", key, k), seed=seed) * F.size(v)) + 1).cast("int")))
+
+
+def run_started(run: Column) -> Column:
+    """When a run was started, by its id in seconds: ``2026-11-06 12:02`` in UTC; ``(legacy)`` or ``?`` for others."""
+    seconds = F.when(run.rlike("^[0-9]{1,12}$"), run.cast("long"))
+    day = F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm")
+    return F.when(run == "legacy", "(legacy)").otherwise(F.coalesce(day, F.lit("?")))
+
+
+def simulated_clock(user_messages: Column, minutes: int = 2) -> Column:
+    """Noon at the first user message, ``minutes`` more with each after it, 12:59 at most."""
+    at = F.least(F.greatest(user_messages - 1, F.lit(0)) * minutes, F.lit(59))
+    return F.concat(F.lit("12:"), F.lpad(at.cast("string"), 2, "0"))
+
+
+def protected_view(persona: dict[str, Column]) -> Column:
+    """The religion and language fields that a simulated user was shown, blanks as null."""
+    blank = lambda c: F.nullif(F.trim(persona.get(c, F.lit(None)).cast("string")), F.lit(""))
+    spoken = F.filter(F.array(*[blank(f"{n}_language") for n in ("first", "second", "third")]), lambda x: x.isNotNull())
+    return F.struct(blank("religion").alias("religion"), spoken.alias("languages"), blank("religious_background").alias("religious_background"), blank("linguistic_background").alias("linguistic_background"))

@@ -83,6 +83,8 @@ def behaviour(traits: dict[str, Column], education: Column, occupation: Column,
 
 
 def interaction_style(agreeableness: Column, neuroticism: Column, patience: Column) -> Column:
+    """The style by thresholds; patience counts with two digits."""
+    patience = F.round(patience, 2)
     return (
         F.when((neuroticism > 0.6) & (agreeableness < 0.45), "confrontational")
         .when((neuroticism > 0.5) & (patience < 0.45), "frustrated")

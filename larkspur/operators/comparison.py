@@ -64,3 +64,45 @@ def comparison_warnings(runs: DataFrame, *, rows: str = "n_trajectories") -> Dat
     }
     flags = runs.agg(*[c.alias(k) for k, c in checks.items()])
     return flags.unpivot([], list(checks), "warning", "found").where("found").select("warning")
+
+
+def cleared_counts(cells: DataFrame, by: Sequence[str] = (), run: str = "run_id") -> DataFrame:
+    """(run, by, n_ready, n_eligible): ready cells of all that count. By capability every cell counts, else not those of ``LEFT_OUT``."""
+    rows = cells if "capability" in by else cells.where(~F.col("capability").isin(*LEFT_OUT))
+    return rows.groupBy(run, *by).agg(F.count_if(F.col("state") == "ready").alias("n_ready"), F.count("*").alias("n_eligible"))
+
+
+def locale_means(cells: DataFrame, run: str = "run_id", score: str = "score") -> DataFrame:
+    """(run, locale, mean_score) over the measured cells; null where a run has none in a locale."""
+    measured = F.col("state").isin(*MEASURED)
+    return cells.where(~F.col("capability").isin(*LEFT_OUT)).groupBy(run, "locale").agg(F.avg(F.when(measured, F.col(score))).alias("mean_score"))
+
+
+def overall_cells(cells: DataFrame, run: str = "run_id", score: str = "score") -> DataFrame:
+    """The cells over all locales: (run, capability, n_locales, n_ready, mean_score, state), blocked where any locale is
+    blocked, ready where all measured ones are, missing without any."""
+    measured = F.col("state").isin(*MEASURED)
+    out = cells.groupBy(run, "capability").agg(
+        F.count("*").alias("n_locales"),
+        F.count_if(F.col("state") == "ready").alias("n_ready"),
+        F.count_if(F.col("state") == "blocked").alias("_blocked"),
+        F.avg(F.when(measured, F.col(score))).alias("mean_score"),
+    )
+    state = F.when(F.col("_blocked") > 0, "blocked").when(F.col("n_ready") > 0, "ready").otherwise("missing")
+    return out.withColumn("state", state).drop("_blocked")
+
+
+def leaderboard(cells: DataFrame, run: str = "run_id", score: str = "score") -> DataFrame:
+    """(run, n_ready, n_eligible, cleared, mean_score, place): runs by their share of ready cells, then mean score, then id."""
+    totals = cleared_counts(cells, run=run).join(rollup_runs(cells, run, score).select(run, "mean_score"), run)
+    cleared = F.col("n_ready") / F.col("n_eligible")
+    # one row for each run
+    order = Window.orderBy(cleared.desc(), F.col("mean_score").desc_nulls_last(), F.col(run))
+    return totals.withColumns({"cleared": cleared, "place": F.row_number().over(order)})
+
+
+def heatmap(cells: DataFrame, run: str = "run_id") -> DataFrame:
+    """(capability, locale, n_ready, n_measured, n_runs): how many runs clear each cell."""
+    return cells.groupBy("capability", "locale").agg(
+        F.count_if(F.col("state") == "ready").alias("n_ready"), F.count_if(F.col("state").isin(*MEASURED)).alias("n_measured"), F.countDistinct(run).alias("n_runs")
+    )

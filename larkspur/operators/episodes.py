@@ -93,3 +93,37 @@ def layer_by_id(base: Sequence[Mapping], over: Sequence[Mapping], *, select: Seq
     for e in over:
         merged[e["id"]] = deep_merge(merged.get(e["id"], {}), e)
     return [e for i, e in merged.items() if (select is None or i in select) and i not in exclude]
+
+
+def unpack(rows: DataFrame, column: str = "episode") -> DataFrame:
+    """A stored episode's fields as columns; a field replaces a column of its name."""
+    fields = rows.schema[column].dataType.names
+    return rows.select(*[c for c in rows.columns if c != column and c not in fields], *[F.col(f"{column}.{f}") for f in fields])
+
+
+def undeclared_columns(df: DataFrame, declared: Sequence[str], inputs: Sequence[str] = ()) -> list[str]:
+    """Columns that a probe made without declaring them, sorted; a run wouldn't keep these."""
+    return sorted(set(df.columns) - set(declared) - set(inputs))
+
+
+def seed_columns(spark: SparkSession, path: str) -> list[str]:
+    """The columns of a seed file: the schema of a Parquet file, else every key of a JSON-lines file, sorted."""
+    return sorted((spark.read.parquet(path) if path.endswith(".parquet") else spark.read.json(path)).columns)
+
+
+def explode_institutions(banks: DataFrame, *, batch: int = 4) -> DataFrame:
+    """(institution_id, cluster_kind, document_type, position, batch): nested institution banks as one row per document.
+
+    ``banks`` is (institution_id, clusters array<struct<kind, documents array<string>>>); a cluster's documents are
+    numbered and put into batches of ``batch``.
+    """
+    clusters = banks.select("institution_id", F.explode("clusters").alias("c"))
+    docs = clusters.select("institution_id", F.col("c.kind").alias("cluster_kind"), F.posexplode("c.documents").alias("position", "document_type"))
+    return docs.withColumn("batch", F.floor(F.col("position") / batch).cast("int"))
+
+
+def regroup_institutions(docs: DataFrame, *, id_col: str = "document_id") -> DataFrame:
+    """(institution_id, n_documents, documents): rows as nested banks in order of position; of equal ids the first stays."""
+    first = docs.groupBy("institution_id", id_col).agg(F.min(F.struct("cluster_kind", "position", "document_type")).alias("d"))
+    listed = F.array_sort(F.collect_list(F.struct("d.cluster_kind", "d.position", F.col(id_col), "d.document_type")))
+    return first.groupBy("institution_id").agg(F.count("*").alias("n_documents"), listed.alias("documents"))

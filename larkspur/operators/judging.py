@@ -85,3 +85,63 @@ def content_tally(df: DataFrame, by: Sequence[str], *, warnings: str = "warning_
 def capability_coverage(needed: DataFrame, scorers: DataFrame) -> DataFrame:
     """(capability, scorer) that a capability needs and no registered scorer gives."""
     return needed.where("scorer is not null").join(scorers, "scorer", "left_anti").select("capability", "scorer").distinct()
+
+
+def item_means(entries: DataFrame, key: str, axes: Sequence[str], *, tag: str = "item_id", scores: str = "scores") -> DataFrame:
+    """(key, axis, n, score, lowest): a trajectory's mean per axis over its facts or categories, three digits, and the items
+    with the lowest score, sorted.
+
+    ``scores`` maps an axis to its score. Items without a score on an axis don't count; without any the score is null.
+    """
+    rows = entries.select(key, F.col(tag).alias("_tag"), F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.element_at(scores, a).cast("double").alias("s")) for a in axes])).alias("x"))
+    rows = rows.select(key, "_tag", "x.axis", "x.s")
+    made = rows.groupBy(key, "axis").agg(
+        F.count("s").alias("n"), F.round(F.avg("s"), 3).alias("score"), F.min("s").alias("_low"), F.collect_list(F.when(F.col("s").isNotNull(), F.struct("s", "_tag"))).alias("_all")
+    )
+    lowest = F.array_sort(F.transform(F.filter("_all", lambda x: x["s"] == F.col("_low")), lambda x: x["_tag"]))
+    return made.select(key, "axis", "n", "score", lowest.alias("lowest"))
+
+
+def scorecard(docs: DataFrame, axes: Sequence[str], *, key: str = "id", floor: float = 3.0) -> tuple[DataFrame, DataFrame]:
+    """(per document: key, axes as numbers, is_low; one row: mean_<axis>, n_docs, n_low). Text that isn't a number has no score."""
+    per_doc = docs.select(key, *[F.col(a).try_cast("double").alias(a) for a in axes])
+    low = F.lit(False)
+    for a in axes:
+        low = low | F.coalesce(F.col(a) < floor, F.lit(False))
+    per_doc = per_doc.withColumn("is_low", low)
+    total = per_doc.agg(*[F.avg(a).alias(f"mean_{a}") for a in axes], F.count("*").alias("n_docs"), F.count_if("is_low").alias("n_low"))
+    return per_doc, total
+
+
+def usable(rows: DataFrame, scores: Sequence[str], floor: float = 3.0) -> DataFrame:
+    """Rows of which every score that there is reaches the floor; rows without any score are not usable."""
+    have = F.coalesce(*[F.col(c) for c in scores]).isNotNull()
+    for c in scores:
+        have = have & (F.col(c).isNull() | (F.col(c) >= floor))
+    return rows.where(have)
+
+
+def choose_axes(axes: DataFrame, probe: str, names: Sequence[str] | None = None) -> DataFrame:
+    """Of the axis table (axis, category, probe_families) those that apply to a probe, and are named if names are given.
+
+    A null or empty list of probe families applies to all; a name that applies nowhere is an error.
+    """
+    fits = F.col("probe_families").isNull() | (F.size("probe_families") == 0) | F.array_contains("probe_families", F.lit(probe))
+    chosen = axes.where(fits)
+    if names is None:
+        return chosen
+    known = {r[0] for r in chosen.where(F.col("axis").isin(*names)).select("axis").distinct().collect()}
+    if missing := [n for n in names if n not in known]:
+        raise ValueError(f"axes that {probe} doesn't have: {', '.join(missing)}")
+    return chosen.where(F.col("axis").isin(*names))
+
+
+#: What an axis belongs to by the start of its name; others are quality.
+CATEGORIES = {"language.": "language", "shape.": "shape", "refusal.": "refusal", "safety": "safety"}
+
+
+def axis_category(axis: Column) -> Column:
+    out = F.lit("quality")
+    for start, name in CATEGORIES.items():
+        out = F.when(axis.startswith(start), name).otherwise(out)
+    return out

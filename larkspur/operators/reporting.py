@@ -281,3 +281,70 @@ def bad_rows(found: DataFrame, limit: int = 5) -> DataFrame:
     return low.select("capability", "locale", F.slice("ids", 1, limit).alias("trajectory_ids"))
 
 
+
+
+ENVELOPE = "struct<envelope:struct<prompt_version:string,judge_aliases:array<string>,judge_models:array<string>>>"
+
+
+def evaluator_models(df: DataFrame, *, cell: str = "assistant_eval") -> DataFrame:
+    """(alias, models): the models behind each judge alias in the cells' envelopes, sorted."""
+    e = F.from_json(cell, ENVELOPE)["envelope"]
+    pairs = df.select(F.explode(F.arrays_zip(e["judge_aliases"].alias("alias"), e["judge_models"].alias("model"))).alias("p")).select("p.*")
+    return pairs.where("alias is not null and model is not null").groupBy("alias").agg(F.array_sort(F.collect_set("model")).alias("models"))
+
+
+def evaluator_prompt_versions(df: DataFrame, *, cell: str = "assistant_eval") -> DataFrame:
+    """(prompt_version) of the cells' envelopes, each once."""
+    version = F.from_json(cell, ENVELOPE)["envelope"]["prompt_version"]
+    return df.select(version.alias("prompt_version")).where("prompt_version <> ''").distinct()
+
+
+#: Aliases whose output is the conversation itself.
+CONVERSATION_ALIASES = ("assistant_model", "user_model")
+
+
+def resource_totals(profile: DataFrame, reasoning: DataFrame | None = None) -> DataFrame:
+    """A resource profile (alias, calls, input_tokens, output_tokens) with total_tokens, reasoning_tokens and
+    conversation_tokens (output that isn't reasoning, never negative), and a row ``total`` over all aliases."""
+    rows = profile.select("alias", "calls", "input_tokens", "output_tokens")
+    hidden = reasoning.select("alias", "reasoning_tokens") if reasoning is not None else rows.select("alias", F.lit(0).cast("long").alias("reasoning_tokens"))
+    rows = rows.join(hidden, "alias", "left").na.fill(0, ["reasoning_tokens"])
+    rows = rows.withColumn("conversation_tokens", F.greatest(F.col("output_tokens") - F.col("reasoning_tokens"), F.lit(0)))
+    sums = ["calls", "input_tokens", "output_tokens", "reasoning_tokens", "conversation_tokens"]
+    every = rows.union(rows.agg(F.lit("total"), *[F.coalesce(F.sum(c), F.lit(0)) for c in sums]))
+    return every.withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens"))
+
+
+def visible_tokens(turns: DataFrame, by: Sequence[str] = ("alias",), *, text: str = "text") -> DataFrame:
+    """(by, visible_tokens): what was shown, four thirds of the words, where no tokenizer's counts are at hand."""
+    return turns.groupBy(*by).agg(F.ceil(F.sum(word_count(F.col(text))) * 4 / 3).alias("visible_tokens"))
+
+
+def snippets(rows: DataFrame, by: Sequence[str], *, key: str, text: str, n: int = 3, length: int = 200) -> DataFrame:
+    """(by, snippets): the first ``n`` texts of each group by key, cut to ``length`` characters."""
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(key))
+    first = rows.where(F.col(text).isNotNull()).withColumn("_r", rank).where(F.col("_r") <= n)
+    cut = F.when(F.length(text) > length, F.concat(F.substring(text, 1, length - 1), F.lit("…"))).otherwise(F.col(text))
+    listed = F.array_sort(F.collect_list(F.struct("_r", cut.alias("t"))))
+    return first.groupBy(*by).agg(F.transform(listed, lambda x: x["t"]).alias("snippets"))
+
+
+def capability_report(evaluations: DataFrame, capabilities: Sequence[Capability], *, cell: str = "assistant_eval") -> dict[str, DataFrame]:
+    """The report as frames: cells, triage, bad_rows, evaluator_models, evaluator_prompt_versions."""
+    found = evidence(evaluations, capabilities)
+    cells = capability_cells(found, capabilities)
+    return {
+        "cells": cells,
+        "triage": triage(cells),
+        "bad_rows": bad_rows(found),
+        "evaluator_models": evaluator_models(evaluations, cell=cell),
+        "evaluator_prompt_versions": evaluator_prompt_versions(evaluations, cell=cell),
+    }
+
+
+def model_of(manifest: Column, explicit: Column) -> Column:
+    """(model, source): what the manifest names, else what was given, else unknown."""
+    source = F.when(manifest.isNotNull(), "manifest").when(explicit.isNotNull(), "explicit_kwarg").otherwise("unknown")
+    return F.struct(F.coalesce(manifest, explicit).alias("model"), source.alias("source"))

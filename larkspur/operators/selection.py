@@ -204,12 +204,15 @@ def select_trajectories(
 
 def funnel(every: DataFrame, curated: DataFrame | None = None) -> DataFrame:
     """(kind, name, n): totals, drop reasons, splits and, of the curated rows, counts by locale and probe family."""
-    count = lambda df, kind, name: df.groupBy(name.alias("name")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "name", "n")
-    out = count(every, "total", F.when(F.col("selection_passed"), "passed").otherwise("dropped"))
-    out = out.union(count(every.where("selection_drop_reason is not null"), "drop_reason", F.col("selection_drop_reason")))
-    out = out.union(count(every.where("selection_split is not null"), "split", F.col("selection_split")))
+    named = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+    total = F.when(F.col("selection_passed"), "passed").otherwise("dropped")
+    # one pass over all rows: each gives its total, and its drop reason and split where it has them
+    kinds = F.array(named("total", total), named("drop_reason", F.col("selection_drop_reason")), named("split", F.col("selection_split")))
+    rows = every.select(F.explode(F.filter(kinds, lambda x: x["name"].isNotNull())).alias("x"))
+    out = rows.groupBy("x.kind", "x.name").agg(F.count("*").alias("n"))
     if curated is not None:
-        out = out.union(count(curated, "kept", F.concat_ws("/", "locale", "probe_family")))
+        kept = curated.groupBy(F.concat_ws("/", "locale", "probe_family").alias("name")).agg(F.count("*").alias("n"))
+        out = out.union(kept.select(F.lit("kept"), "name", "n"))
     return out
 
 

@@ -797,8 +797,8 @@ def content_tally(spark, sf_dir):
 
 
 @query(
-    "SELECT c_custkey, round(least(greatest(0.5 + 0.3 * a - 0.3 * n, 0), 1), 6) AS patience, CASE WHEN n > 0.6 AND a < 0.45 THEN 'confrontational' WHEN n > 0.5 AND least(greatest(0.5 + 0.3 * a - 0.3 * n, 0), 1) < 0.45 THEN 'frustrated' "
-    "WHEN a < 0.45 OR least(greatest(0.5 + 0.3 * a - 0.3 * n, 0), 1) < 0.4 THEN 'impatient' WHEN a > 0.6 AND n < 0.4 THEN 'cooperative' ELSE 'neutral' END AS style FROM (SELECT c_custkey, (c_custkey % 101) / 100.0::DOUBLE AS a, (c_custkey * 37 % 103) / 102.0::DOUBLE AS n FROM customer)"
+    "SELECT c_custkey, round(least(greatest(0.5 + 0.3 * a - 0.3 * n, 0), 1), 6) AS patience, CASE WHEN n > 0.6 AND a < 0.45 THEN 'confrontational' WHEN n > 0.5 AND round(least(greatest(0.5 + 0.3 * a - 0.3 * n, 0), 1), 2) < 0.45 THEN 'frustrated' "
+    "WHEN a < 0.45 OR round(least(greatest(0.5 + 0.3 * a - 0.3 * n, 0), 1), 2) < 0.4 THEN 'impatient' WHEN a > 0.6 AND n < 0.4 THEN 'cooperative' ELSE 'neutral' END AS style FROM (SELECT c_custkey, (c_custkey % 101) / 100.0::DOUBLE AS a, (c_custkey * 37 % 103) / 102.0::DOUBLE AS n FROM customer)"
 )
 def interaction_style(spark, sf_dir):
     a, n = (F.col("c_custkey") % 101) / 100.0, (F.col("c_custkey") * 37 % 103) / 102.0
@@ -937,3 +937,6 @@ def windowed_counts(spark, sf_dir):
 
     e = table(spark, sf_dir, "events")
     return count(e, time="ts", by="event_type", width="1 hour", delay="1 hour").select(F.col("window.start").alias("hour"), "event_type", "n")
+
+
+from . import derived  # noqa: E402, F401  (its queries are added to the same tables)

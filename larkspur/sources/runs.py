@@ -102,6 +102,42 @@ def _leaf_folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(found)
 
 
+def _footers(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, str]]:
+    """(path, schema) of each file: the schema as Spark wrote it into the footer, else the Arrow schema in hexadecimal.
+
+    The footers are read by tasks, many files at a time; only a schema's text comes back for each file.
+    """
+    import pyarrow as pa
+    import pyarrow.fs as pafs
+    import pyarrow.parquet as pq
+
+    def run(batches):
+        for batch in batches:
+            texts = []
+            for path in batch.column(0).to_pylist():
+                fs, place = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+                with fs.open_input_file(place) as f:
+                    schema = pq.read_schema(f)
+                own = (schema.metadata or {}).get(b"org.apache.spark.sql.parquet.row.metadata")
+                texts.append(own.decode() if own else schema.remove_metadata().serialize().to_pybytes().hex())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["path", "schema"])
+
+    if not paths:
+        return []
+    tasks = min(len(paths), 4 * spark.sparkContext.defaultParallelism)
+    rows = spark.createDataFrame(pa.table({"path": list(paths)})).repartition(tasks).mapInArrow(run, "path string, schema string")
+    return sorted((r.path, r.schema) for r in rows.collect())
+
+
+def _schema_of(text: str) -> T.StructType:
+    if text.startswith("{"):
+        return T.StructType.fromJson(json.loads(text))
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    return from_arrow_schema(pa.ipc.read_schema(pa.py_buffer(bytes.fromhex(text))))
+
+
 def read_dataset(spark: SparkSession, root: str, *, run: str | None = "latest", columns: Sequence[str] | None = None) -> DataFrame:
     """A dataset's run (or ``all``), with every column that any file has.
 
@@ -114,11 +150,9 @@ def read_dataset(spark: SparkSession, root: str, *, run: str | None = "latest",
     spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
     try:
         groups: dict[str, list[str]] = defaultdict(list)
-        schemas: dict[str, T.StructType] = {}
-        for path in _leaf_folders(spark, base):
-            schema = spark.read.parquet(path).schema
-            groups[schema.json()].append(path)
-            schemas[schema.json()] = schema
+        for path, text in _footers(spark, _leaf_folders(spark, base)):
+            groups[text].append(path)
+        schemas = {text: _schema_of(text) for text in groups}
         if not groups:
             raise FileNotFoundError(f"no files under {base}")
         whole = merge_schemas([schemas[k] for k in sorted(schemas)])
@@ -151,17 +185,28 @@ def write_locales(df: DataFrame, root: str, run: str, locales: Sequence[str]) ->
     foreign = [r[0] for r in df.where(~F.col("locale").isin(*locales) | F.col("locale").isNull()).select("locale").distinct().limit(5).collect()]
     if foreign:
         raise ValueError(f"rows of other locales: {foreign}")
-    for locale in locales:
-        df.where(F.col("locale") == locale).drop("run", "locale").write.partitionBy("probe_family").mode("overwrite").parquet(f"{root}/run={run}/locale={locale}")
+    # The new rows are complete before any old ones go; then each locale is put in place by a rename.
+    spark = df.sparkSession
+    fs, base = _fs(spark, f"{root}/run={run}")
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    hidden = place(base, f".locales-{uuid.uuid4().hex}")
+    df.drop("run").write.partitionBy(*PARTITIONS[1:]).parquet(hidden.toString())
+    written = [n for n in _children(spark, hidden.toString()) if n.startswith("locale=")]
+    for name in dict.fromkeys([*(f"locale={x}" for x in locales), *written]):
+        fs.delete(place(base, name), True)
+        if name in written:
+            fs.rename(place(hidden, name), place(base, name))
+    fs.delete(hidden, True)
 
 
 def append_new(df: DataFrame, root: str, run: str, *, key: str = "trajectory_id") -> DataFrame:
-    """Append the rows whose keys the run doesn't hold yet; returns them."""
+    """Append the rows whose keys the run doesn't hold yet, as the run's only writer; returns them."""
     spark, path = df.sparkSession, f"{root}/run={run}"
     fresh = df.dropDuplicates([key])
-    if exists(spark, path):
-        fresh = fresh.join(read_dataset(spark, root, run=run, columns=[key]), key, "left_anti")
-    fresh.drop("run").write.partitionBy(*PARTITIONS[1:]).mode("append").parquet(path)
+    with run_lock(spark, root, run):
+        if exists(spark, path):
+            fresh = fresh.join(read_dataset(spark, root, run=run, columns=[key]), key, "left_anti")
+        fresh.drop("run").write.partitionBy(*PARTITIONS[1:]).mode("append").parquet(path)
     return fresh
 
 
