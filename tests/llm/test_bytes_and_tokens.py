@@ -151,3 +151,11 @@ def test_count_documents(spark, byte):
     n = lambda t: len(byte[1].encode(t or "").ids)
     assert got == sorted([(i, len((t or "").encode()), n(t), n(t) > 512) for i, t in rows], key=str)
     assert count_tokens(frame(spark, []), byte[0]).collect() == []
+
+
+def test_rare_pieces_are_joined(spark, byte):
+    rows = [(i if i % 7 else None, t) for i, t in enumerate(texts(6, 300))] + [(900, "x" * 5000), (901, "漢字<|endoftext|>かな " * 3), (901, "漢字<|endoftext|>かな " * 3), (902, None)]
+    n = lambda t: len(byte[1].encode(t or "", add_special_tokens=False).ids)
+    want = sorted([(i, len((t or "").encode()), n(t), n(t) > 512) for i, t in rows], key=str)
+    for common in (0, 20):
+        assert sorted((tuple(r) for r in count_tokens(frame(spark, rows), byte[0], common_rows=common).collect()), key=str) == want
