@@ -1,4 +1,9 @@
-"""Near copies by the exact Jaccard similarity of word shingles, as a prefix-filtered set join.
+"""SimHash near-dedup whose links are verified by the exact Jaccard similarity of word shingles, and completed.
+
+First the SimHash fingerprints of the texts are linked by multi-index hashing;
+each link is verified against the whole sets. A fingerprint's distance only
+estimates the similarity, though, so pairs that the fingerprints leave apart are
+then found by a prefix-filtered set join.
 
 The shingles of all texts have one common order, frequent ones last. Of two sets
 with similarity s or more, the first ``n - ceil(s * n) + 1`` shingles of each
@@ -6,7 +11,7 @@ share one, so texts that share such a shingle are the only candidates. Bounds
 from the places of the shared shingle and from bitmaps of the sets rule out most
 that aren't similar, never one that is; each other is verified against the whole
 sets. Candidates are first verified against the
-smallest text of their shingle; what that links needs no more pairs within it.
+smallest text of their shingle; what that links, or fingerprints have linked, needs no more pairs within it.
 The order decides how many candidates there are, never the result.
 """
 
@@ -22,12 +27,15 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import keep_table, keyed_text
+from .simhash import majority_bits, near_links
 
 SEED = 42
 #: Shingles are counted in one of so many texts; those in at least ``OFTEN`` of these go last, the ``MOST`` most frequent at most.
 ONE_IN, OFTEN, MOST = 16, 4, 500_000
 #: Bits of a set's bitmap: sets whose bitmaps differ in d bits differ in d shingles at least.
 BITS = 2048
+#: Fingerprints up to so many bits apart are linked first: four segments at radius one find all of these.
+DISTANCE, SEGMENTS = 7, 4
 #: Up to this many candidates' ids (counted) are sent to every task; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -67,12 +75,12 @@ def _frequent(source: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(source: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(id, s0, s1, n, bits, head, rest): digest, size and bitmap of each text's set, its first shingles that decide and the others."""
+    """(id, s0, s1, n, f0, bits, head, rest): digest, size, SimHash and bitmap of each text's set, its first shingles that decide and the others."""
     known, place = _frequent(source, words)
 
     def run(batches):
         for batch in batches:
-            digests, sizes, maps, heads, rests = [], [], [], [], []
+            digests, sizes, prints, maps, heads, rests = [], [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 h = shingles(text, words)
                 d = xxhash.xxh3_128_digest(h.tobytes())
@@ -84,18 +92,19 @@ def _sets(source: DataFrame, words: int, similarity: float) -> DataFrame:
                     h = np.concatenate([h[~often], h[often][np.argsort(place[at[often]], kind="stable")]])
                 k = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
                 sizes.append(n)
+                prints.append(majority_bits(h.view(np.uint64)))
                 maps.append(_bitmap(h))
                 heads.append(h[:k])
                 rests.append(h[k:])
             ids = np.array(digests, np.int64).reshape(-1, 2)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(sizes, pa.int32()), pa.array(maps, longs), pa.array(heads, longs), pa.array(rests, longs)],
-                names=["id", "s0", "s1", "n", "bits", "head", "rest"],
+                [batch.column(0), pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(maps, longs), pa.array(heads, longs), pa.array(rests, longs)],
+                names=["id", "s0", "s1", "n", "f0", "bits", "head", "rest"],
             )
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, s0 long, s1 long, n int, bits array<long>, head array<long>, rest array<long>")
+    return source.mapInArrow(run, f"id {kind}, s0 long, s1 long, n int, f0 long, bits array<long>, head array<long>, rest array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -137,14 +146,26 @@ def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     met = keep_table(met.where("least.node <> last").drop("last"), "shared-shingles")
     sets = own.join(every, one).select("node", "n", "bits", "head", "rest")
 
+    # what SimHash links, by the least node of each fingerprint
+    prints = own.where("n > 0").join(every, one).select("node", "f0").distinct()
+    codes = keep_table(prints.groupBy("f0").agg(F.min("node").alias("node"), F.max("node").alias("last")), "fingerprints")
+    equal = prints.join(codes.where("node <> last").select("f0", F.col("node").alias("a")), "f0").where("a <> node").select("a", F.col("node").alias("b"))
+    near = near_links(codes.select("node", "f0"), distance=DISTANCE, segments=SEGMENTS)
+    near = keep_table(_verified(keep_table(near.union(equal).distinct(), "near-prints"), sets, similarity), "near-links")
+    linked = keep_table(components(near), "near-roots")
+    of = lambda end: linked.select(F.col("node").alias(f"_{end}"), F.col("root").alias(f"{end}_root"))
+
     def alike(n, at, n2, at2):
         """Whether sets of n and n2 shingles, of which the first common ones have these places, can be so similar."""
         most = F.least(n - at, n2 - at2)
         return most / (n + n2 - most) >= similarity
 
     stars = met.where("least.node <> node").where(alike(F.col("least.n"), F.col("least.at"), F.col("n"), F.col("at")))
-    stars = keep_table(stars.select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct(), "first-pairs")
-    links = keep_table(_verified(stars, sets, similarity), "first-links")
+    stars = stars.select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct()
+    stars = stars.join(of("a"), F.col("a") == F.col("_a"), "left").join(of("b"), F.col("b") == F.col("_b"), "left")
+    stars = stars.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))  # the others are in one group already
+    stars = keep_table(stars.select("a", "b"), "first-pairs")
+    links = keep_table(near.union(_verified(stars, sets, similarity)), "first-links")
     roots = components(links)
 
     part = met.select("key", "node", "n", "at").distinct().join(roots, "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("part"))

@@ -41,6 +41,15 @@ def _lane(h: np.ndarray, k: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
+def majority_bits(h: np.ndarray) -> int:
+    """The bits that are set in over half of some 64-bit hashes, as a signed integer."""
+    if not len(h):
+        return 0
+    planes = h.view(np.uint8).reshape(-1, 8) + (np.arange(8, dtype=np.int64) << 8)
+    counts = (np.bincount(planes.ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
+    return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.int64)[0])
+
+
 def fingerprint(text: str, words: int = 4, lanes: int = 1) -> list[int]:
     """SimHash of the ``words``-word shingles of a whole text: 64 bits a lane, each as a signed integer."""
     tokens = text.encode("utf-8", "surrogatepass").lower().split()
@@ -221,7 +230,7 @@ def estimated_distance(similarity: float, lanes: int) -> int:
 
 
 def near_duplicates(
-    docs: DataFrame, *, words: int = 4, distance: int = 4, segments: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, words: int = 4, distance: int = 4, segments: int = 3, lanes: int = 1, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per input row: ``id_col``, fingerprint (16 hex digits a lane), component_id.
 
@@ -230,7 +239,16 @@ def near_duplicates(
     link like any other; rows without an id get their fingerprint's component
     (null if all its rows lack one); repeated rows are kept; other columns are
     ignored; an empty table gives an empty result.
+
+    With ``similarity`` the links are the texts whose sets of shingles have that
+    Jaccard similarity or more, whatever their fingerprints' distance: those that
+    SimHash links are verified, and completed to all of them (``set_join``);
+    the result is then ``id_col`` and component_id.
     """
+    if similarity is not None:
+        from .set_join import similar_groups
+
+        return similar_groups(docs, words=words, similarity=similarity, id_col=id_col, text_col=text_col)
     lane = [f"f{k}" for k in range(lanes)]
     own = keep_table(fingerprints(docs, words=words, lanes=lanes, id_col=id_col, text_col=text_col), "fingerprints")
     nodes = own.groupBy(*lane).agg(F.min("id").cast("long").alias("node"))

@@ -430,6 +430,15 @@ def test_near_copies_stage_keeps_one_of_each(spark):
     assert sorted(str(r.doc_id) for r in p.near_copies(spark, df, SF).collect()) == ["3", "9", "None"]
 
 
+def test_near_copies_of_repeated_and_missing_ids(spark):
+    import corpus_pipeline as p
+
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = [(1, "one text", "en", "s", 1), (1, "one text", "en", "s", 1), (None, "other text", "en", "s", 1), (None, "other text", "fr", "s", 1), (2, None, "en", "s", 0), (3, "", "en", "s", 0)]
+    assert sorted((str(r.doc_id), r.text) for r in p.near_copies(spark, spark.createDataFrame(rows, schema), SF).collect()) == [("1", "one text"), ("2", None), ("None", "other text")]
+    assert p.near_copies(spark, spark.createDataFrame([], schema), SF).collect() == []
+
+
 def test_similar_copies_at_128_bits(spark):
     """Copies with a few changed words in a hundred are found, unrelated texts and half-equal ones are left alone."""
     rnd = random.Random(5)
