@@ -14,8 +14,8 @@ from larkspur.llm.bpe import encode_documents
 from larkspur.llm.decontam import decontaminate
 from larkspur.llm.line_dedup import dedup_lines
 from larkspur.llm.quality import keep_quality
-from larkspur.llm.set_join import similar_groups
 from larkspur.llm.shared import keep_table, read_table
+from larkspur.llm.simhash import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -33,14 +33,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays.
+    """Of each group of near copies one document stays, that with the smallest id.
 
     Copies are texts whose five-word shingles have a Jaccard similarity of 0.8
-    or more; every such pair is found, and verified.
+    or more: SimHash finds most of them, each is verified, and the rest is
+    completed exactly. Null texts and blank ones are one group. Of rows that
+    repeat an id or lack one, one of each text stays; a null id stays only where
+    no document of its group has an id.
     """
-    groups = similar_groups(docs, words=5, similarity=0.8)
-    kept = groups.where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(COLUMNS)
+    groups = near_duplicates(docs, words=5, similarity=0.8)
+    kept = groups.where("doc_id = component_id or component_id is null").select("doc_id").distinct()
+    whole = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(COLUMNS)
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    return whole if repeated.isEmpty() else whole.dropDuplicates(["doc_id", "text"])
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
