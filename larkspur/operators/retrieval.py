@@ -13,9 +13,14 @@ from ..shipping import ship
 
 
 def tokens(text: Column) -> Column:
-    """Distinct lower-case words of letters, marks and digits; runs of Han, kana and Hangul give character pairs."""
+    """Distinct lower-case words of letters, marks and digits; runs of Han, kana and Hangul give character pairs.
+
+    Full-width forms count as the plain ones, and ß as ss.
+    """
     cjk = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
-    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"([{cjk}]+|[\p{{L}}\p{{M}}\p{{Nd}}&&[^{cjk}]]+)"), 1)
+    wide, narrow = ("".join(map(chr, range(a, a + 94))) for a in (0xFF01, 0x21))
+    plain = F.replace(F.lower(F.translate(F.coalesce(text, F.lit("")), wide, narrow)), F.lit("ß"), F.lit("ss"))
+    runs = F.regexp_extract_all(plain, F.lit(rf"([{cjk}]+|[\p{{L}}\p{{M}}\p{{Nd}}&&[^{cjk}]]+)"), 1)
     pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
     return F.array_distinct(F.flatten(F.transform(runs, lambda r: F.when((F.length(r) > 1) & r.rlike(f"^[{cjk}]"), pairs(r)).otherwise(F.array(r)))))
 
@@ -32,23 +37,44 @@ def _top(df: DataFrame, query: str, doc: str, score: str, k: int) -> DataFrame:
     return df.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Queries that are sent to every task at a time (counted); more are asked in several blocks.
+QUERY_BLOCK = 16_384
+
+
+def _query_blocks(queries: DataFrame) -> list[DataFrame]:
+    """The queries in blocks of about ``QUERY_BLOCK``, each small enough to be sent to every task."""
+    n = max(1, -(-queries.count() // QUERY_BLOCK))
+    return [queries] if n == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k) for k in range(n)]
+
+
+def _against(asked: DataFrame, docs: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """One block of queries against the documents of their scope: documents stay where they are."""
+    return docs.join(F.broadcast(asked), list(scope)) if scope else docs.crossJoin(F.broadcast(asked))
+
+
 def lexical_topk(queries: DataFrame, docs: DataFrame, k: int = 8, *, scope: Sequence[str] = ()) -> DataFrame:
     """(query_id, doc_id, overlap, rank) by shared distinct tokens; tables are (query_id, text) and (doc_id, text) and the scope columns.
 
-    Tokens are joined through an inverted list, so only documents that share a
-    token are met; documents sharing none aren't returned.
+    Each document is scored against the queries where it is, and only ``k``
+    documents of each task and query are shuffled, so a frequent token makes no
+    hot key. Documents sharing no token aren't returned.
     """
-    q = queries.select("query_id", *scope, F.explode(tokens(F.col("text"))).alias("_t"))
-    d = docs.select("doc_id", *scope, F.explode(tokens(F.col("text"))).alias("_t"))
-    hits = d.join(q, ["_t", *scope]).groupBy("query_id", "doc_id").agg(F.count("*").alias("overlap"))
-    return _top(hits, "query_id", "doc_id", "overlap", k)
+    q = queries.select("query_id", *scope, tokens(F.col("text")).alias("_qt")).where("size(_qt) > 0")
+    d = docs.select("doc_id", *scope, tokens(F.col("text")).alias("_dt"))
+    out = None
+    for asked in _query_blocks(q):
+        hits = _against(asked, d, scope).select("query_id", "doc_id", F.size(F.array_intersect("_qt", "_dt")).cast("long").alias("overlap")).where("overlap > 0")
+        best = _top(hits, "query_id", "doc_id", "overlap", k)
+        out = best if out is None else out.union(best)
+    return out
 
 
-def dense_topk(queries: DataFrame, docs: DataFrame, k: int = 8, *, scope: Sequence[str] = (), doc_block: int = 8192, query_block: int = 1024) -> DataFrame:
+def dense_topk(queries: DataFrame, docs: DataFrame, k: int = 8, *, scope: Sequence[str] = (), doc_block: int = 8192, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, doc_id, score, rank) by cosine within the scope; tables are (query_id, vector) and (doc_id, vector).
 
     Blocks of queries meet blocks of documents as matrices and only each
-    block's ``k`` best go on, so the pairs themselves are never rows. Documents
+    block's ``k`` best go on, so the pairs themselves are never rows; documents
+    are sent once for every ``query_block`` queries. Documents
     without a vector aren't found; another length or a zero norm scores 0;
     scores are compared to nine digits, equal ones rank by document.
     """
@@ -93,24 +119,40 @@ def dense_topk(queries: DataFrame, docs: DataFrame, k: int = 8, *, scope: Sequen
     return _top(found, "query_id", "doc_id", "score", k)
 
 
-def minmax(value: Column, by: Sequence[str]) -> Column:
-    """A value scaled to 0..1 within its group; a group without spread gives 0."""
-    w = Window.partitionBy(*by)
-    low, span = F.min(value).over(w), F.max(value).over(w) - F.min(value).over(w)
-    return F.when(span < 1e-9, 0.0).otherwise((value - low) / span)
+def scaled(value: Column, low: Column, high: Column) -> Column:
+    """A value scaled to 0..1 between its group's least and greatest; a group without spread gives 0."""
+    return F.when(high - low < 1e-9, 0.0).otherwise((value - low) / (high - low))
 
 
 def hybrid_topk(queries: DataFrame, docs: DataFrame, k: int = 8, *, weight: float = 0.5, scope: Sequence[str] = ()) -> DataFrame:
     """(query_id, doc_id, score, rank): ``weight`` of the scaled token overlap and the rest of the scaled cosine.
 
-    Tables are (query_id, text, vector) and (doc_id, text, vector).
+    Tables are (query_id, text, vector) and (doc_id, text, vector). A first pass
+    finds each query's least and greatest overlap and cosine, a second one the
+    ``k`` best; pairs are only shuffled as those sums and as each task's ``k`` best.
     """
     q = queries.select("query_id", *scope, tokens(F.col("text")).alias("_qt"), F.col("vector").alias("_q"))
     d = docs.select("doc_id", *scope, tokens(F.col("text")).alias("_dt"), F.col("vector").alias("_d"))
-    pairs = d.join(q, list(scope)) if scope else d.crossJoin(q)
-    both = pairs.select("query_id", "doc_id", cosine(F.col("_q"), F.col("_d")).alias("_c"), F.size(F.array_intersect("_qt", "_dt")).cast("double").alias("_l"))
-    score = weight * minmax(F.col("_l"), ["query_id"]) + (1 - weight) * minmax(F.col("_c"), ["query_id"])
-    return _top(both.select("query_id", "doc_id", score.alias("score")), "query_id", "doc_id", "score", k)
+    out = None
+    for asked in _query_blocks(q):
+        both = _against(asked, d, scope).select("query_id", "doc_id", cosine(F.col("_q"), F.col("_d")).alias("_c"), F.size(F.array_intersect("_qt", "_dt")).cast("double").alias("_l"))
+        ends = both.groupBy("query_id").agg(*[f(c).alias(f"{n}{c}") for c in ("_c", "_l") for n, f in (("lo", F.min), ("hi", F.max))])
+        both = both.join(F.broadcast(ends), "query_id")
+        score = weight * scaled(F.col("_l"), F.col("lo_l"), F.col("hi_l")) + (1 - weight) * scaled(F.col("_c"), F.col("lo_c"), F.col("hi_c"))
+        best = _top(both.select("query_id", "doc_id", score.alias("score")), "query_id", "doc_id", "score", k)
+        out = best if out is None else out.union(best)
+    return out
+
+
+def retrieve(queries: DataFrame, docs: DataFrame, k: int = 8, *, mode: str = "hybrid", scope: Sequence[str] = ()) -> DataFrame:
+    """(query_id, doc_id, score, rank) by ``lexical``, ``dense`` or ``hybrid`` search."""
+    if mode == "lexical":
+        return lexical_topk(queries, docs, k, scope=scope).withColumnRenamed("overlap", "score")
+    if mode == "dense":
+        return dense_topk(queries, docs, k, scope=scope)
+    if mode == "hybrid":
+        return hybrid_topk(queries, docs, k, scope=scope)
+    raise ValueError(f"unknown mode {mode}: lexical, dense or hybrid")
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.97, *, key: str, vector: str, within: Sequence[str], block: int = 2048) -> DataFrame:

@@ -558,7 +558,7 @@ def working_set(spark, sf_dir):
 
 # --- retrieval ------------------------------------------------------------------------------------------
 
-_TOKENS_SQL = "list_distinct(regexp_extract_all(lower({}), '[\\pL\\pM\\p{{Nd}}]+'))"
+_TOKENS_SQL = "list_distinct(regexp_extract_all(replace(lower({}), 'ß', 'ss'), '[\\pL\\pM\\p{{Nd}}]+'))"
 _DENSE_SQL = "coalesce(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 0)"
 
 
