@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import identity, messages
 from ..operators import comparison, episodes, judging, reporting
-from .queries import _CELLS_SQL, _cells, _r, query
+from ..sources import runs
+from ..streaming import ingest
+from .queries import _CELLS_SQL, _cells, _r, _scratch, query
 from .views import table, trajectories
 
 # --- comparison frames ------------------------------------------------------------------------------
@@ -269,3 +271,53 @@ def protected_view(spark, sf_dir):
     fields = {"religion": F.when(i % 3 > 0, F.concat(F.lit(" "), "c_mktsegment")).otherwise(" "), "first_language": F.when(i % 2 == 0, "a"), "second_language": F.lit(""), "third_language": F.lit("c")}
     made = table(spark, sf_dir, "customer").select("c_custkey", messages.protected_view(fields).alias("v"))
     return made.select("c_custkey", "v.religion", F.array_join("v.languages", ",").alias("languages"))
+
+
+# --- store and streams ----------------------------------------------------------------------------------
+
+
+def _stored(spark, sf_dir, name: str) -> str:
+    """Two runs of one dataset: all documents with even ids, then a third of all with another version."""
+    root = _scratch(spark, name)
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("locale"), F.col("source").alias("probe_family"))
+    runs.write_run(d.where("doc_id % 2 = 0").withColumn("version", F.lit("first")).coalesce(2), root, "1")
+    runs.publish_new_run(d.where("doc_id % 3 = 0").withColumn("version", F.lit("second")).coalesce(2), root, "1")
+    return root
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'first' ELSE 'second' END AS version FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+def loaded_runs(spark, sf_dir):
+    """Several runs, each id from the first that has it; the second run took the next free number."""
+    return runs.load_runs(spark, _stored(spark, sf_dir, "loaded"), ["1", "2"], key="doc_id").select("doc_id", "version")
+
+
+@query("SELECT doc_id, 'first' AS version, '1' AS run FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'second', '2' FROM documents WHERE doc_id % 3 = 0")
+def all_runs(spark, sf_dir):
+    return runs.read_dataset(spark, _stored(spark, sf_dir, "all"), run="all").select("doc_id", "version", "run")
+
+
+@query("SELECT DISTINCT lang AS locale FROM documents WHERE lang IS NOT NULL")
+def stored_locales(spark, sf_dir):
+    root = _stored(spark, sf_dir, "locales")
+    return spark.createDataFrame([(x,) for x in runs.partition_values(runs.read_dataset(spark, root, run="all"), "locale")], "locale string")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'second' ELSE 'third' END AS version FROM documents")
+def appended_rows(spark, sf_dir):
+    """Rows with new ids join a run; those it has stay as they were."""
+    root = _stored(spark, sf_dir, "appended")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("locale"), F.col("source").alias("probe_family"))
+    runs.append_new(d.withColumn("version", F.lit("third")).coalesce(2), root, "2", key="doc_id")
+    return runs.read_dataset(spark, root, run="2").select("doc_id", "version")
+
+
+@query("SELECT event_id, event_type FROM events")
+def unique_events(spark, sf_dir):
+    """A stream in which every event comes twice; a watermark bounds how long copies are remembered."""
+    source, out = f"{sf_dir}/events.parquet", _scratch(spark, "unique")
+    schema = spark.read.parquet(source).schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir) if not runs.is_folder(spark, source) else spark.readStream.schema(schema).parquet(source)
+    stream = stream.select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")).drop("copy")
+    once = ingest.unique_events(stream, key="event_id", time="ts", delay="1 hour")
+    once.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("event_id", "event_type")

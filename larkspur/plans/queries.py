@@ -870,7 +870,11 @@ def episode_inputs(spark, sf_dir):
 def _scratch(spark: SparkSession, name: str) -> str:
     import tempfile
 
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="larkspur-")
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="larkspur-")
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
