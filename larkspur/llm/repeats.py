@@ -14,7 +14,9 @@ be compared with strings of the same anchor:
 
 Only anchors, segments around repeated anchors, and answers are shuffled; equal
 segments of a chunk are sent once. Chunks are files of bounded size and buckets
-are numbered by the corpus' size, so no task holds more than a bounded share.
+are numbered by the corpus' size. All segments of one anchor are in one bucket:
+copies of a passage shrink to one segment a chunk, but a bucket holds every
+distinct surrounding of its anchors, about 300 bytes each.
 """
 
 from __future__ import annotations
@@ -122,6 +124,11 @@ def _fs(folder: str):
     return pafs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
 
 
+def _copies(text: bytes | None) -> np.ndarray:
+    """Row numbers from their list."""
+    return np.array([int(x) for x in text.split(b",")] if text else [], np.int32)
+
+
 class Chunk:
     """A stored chunk without its whole copies."""
 
@@ -231,7 +238,7 @@ def _distinct(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _send_sets(folder: str, buckets: int):
     def run(batches):
         for name, rows in _groups(batches, 0):
-            h, _, _, _, row = Chunk(folder, name, np.frombuffer(rows[0][2] or b"", np.int32)).anchors()
+            h, _, _, _, row = Chunk(folder, name, _copies(rows[0][2])).anchors()
             h, several = _distinct(_spread(h), row)
             cuts = np.searchsorted(_by_bucket(h, buckets), np.arange(buckets + 1))
             out = [(b, name, _packed(h[x:y]), np.packbits(several[x:y]).tobytes()) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
@@ -271,7 +278,7 @@ def _send_segments(folder: str, buckets: int):
     def run(batches):
         for name, rows in _groups(batches, 0):
             rows = {r[1]: r[2] for r in rows}
-            chunk = Chunk(folder, name, np.frombuffer(rows.pop(-1) or b"", np.int32))
+            chunk = Chunk(folder, name, _copies(rows.pop(-1)))
             h, place, first, last, row = chunk.anchors()
             h = _spread(h)
             known, _ = _distinct(h, row)
@@ -466,7 +473,7 @@ def _apply(folder: str, with_text: bool):
     def run(batches):
         for name, rows in _groups(batches, 0):
             copies = next(r[2] for r in rows if r[1] == -1)
-            chunk = Chunk(folder, name, np.frombuffer(copies or b"", np.int32))
+            chunk = Chunk(folder, name, _copies(copies))
             edge = np.zeros(len(chunk.data) + 1, np.int32)
             for r in rows:
                 if r[1] >= 0:
@@ -509,7 +516,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     firsts = rows.where(f"bytes >= {WINDOW}").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
     firsts = keep_table(firsts, "copied-texts")  # read back, so that Spark can split a hot text's rows in the join
     copies = rows.join(firsts, "digest").where("id > first").groupBy("chunk").agg(F.collect_list("row").alias("rows"))
-    packed = F.udf(lambda r: np.array(sorted(r or []), np.int32).tobytes(), "binary")
+    packed = lambda c: F.encode(F.array_join(F.sort_array(c), ","), "UTF-8")
     chunk_list = keep_table(rows.select("chunk").distinct().join(copies, "chunk", "left").select("chunk", F.lit(-1).alias("bucket"), packed("rows").alias("bits")), "chunks")
 
     by_bucket = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk")
