@@ -13,6 +13,7 @@ import hashlib
 import re
 import uuid
 import zlib
+from urllib.parse import unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -36,6 +37,11 @@ def _filesystem(folder: str):
     return pafs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
 
 
+def _escaped(text: str) -> str:
+    """Without white space and control characters, which would end a header's line."""
+    return _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", text.replace("%", "%25"))
+
+
 def _record_id(page: str | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page}/{digest}')}>"
 
@@ -46,10 +52,10 @@ def _record(page: str | None, url: str | None, payload: bytes, digest: str, refe
         head.append("WARC-Target-URI: " + _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url))
     head.append(f"WARC-Payload-Digest: sha256:{digest}")
     if page is not None:
-        head.append(f"X-Page-Id: {page}")
+        head.append(f"X-Page-Id: {_escaped(page)}")
     body = payload
     if refers_to is not None:
-        head += [f"WARC-Profile: {SAME_PAYLOAD}", f"WARC-Refers-To: {_record_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"]
+        head += [f"WARC-Profile: {SAME_PAYLOAD}", f"WARC-Refers-To: {_record_id(refers_to, digest)}", f"X-Refers-To-Page: {_escaped(refers_to)}"]
         body = b""
     head += [f"X-Payload-Length: {len(payload)}", "Content-Type: text/html", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode("utf-8") + b"\r\n\r\n" + body + b"\r\n\r\n"
@@ -136,7 +142,8 @@ def read_archives(index: DataFrame, folder: str, *, with_payload: bool = False)
                 size, found = int(fields["X-Payload-Length"]), stored
             if not digest == stored == found:
                 raise ValueError(f"{group[0][0]} at {offset}: payload does not match its digest")
-            row = (fields.get("X-Page-Id"), size, found, fields["WARC-Type"], fields.get("X-Refers-To-Page"))
+            page, refers_to = (unquote(fields[k]) if k in fields else None for k in ("X-Page-Id", "X-Refers-To-Page"))
+            row = (page, size, found, fields["WARC-Type"], refers_to)
             yield (*row, fields.get("WARC-Target-URI"), body) if with_payload else row
 
     def run(batches):

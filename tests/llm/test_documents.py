@@ -174,26 +174,26 @@ CHANGED = ITEM.replace("Boston", "Denver").replace("60", "75").replace("Maria",
 BROKEN = "two trains of 5 km and 5 apples meet after 5 km and 5 apples on the long way home"
 
 
-@pytest.mark.parametrize(
-    "text, want",
-    [
-        (f"before that. {ITEM}. after", (True, True)),
-        (ITEM.upper(), None),
-        (f"so it goes {ITEM.lower()}!", None),
-        (f"intro words. {CHANGED}. more", (True, False)),
-        ("A train leaves the yard with nothing but old coal on board", (False, None)),
-        (" ".join(ITEM.split()[:6]), (False, None)),
-        ("", (False, None)),
-        (None, (False, None)),
-    ],
-)
-def test_templates(spark, text, want):
-    docs = frame(spark, [(1, text), (2, "nothing at all to see here today")])
+TEXTS = [
+    (f"before that. {ITEM}. after", True),
+    (ITEM.upper(), True),
+    (f"so it goes {ITEM.lower()}!", True),
+    (f"intro words. {CHANGED}. more", False),
+    ("A train leaves the yard with nothing but old coal on board", None),
+    (" ".join(ITEM.split()[:6]), None),
+    ("", None),
+    (None, None),
+    ("nothing at all to see here today", None),
+]
+
+
+def test_templates(spark):
+    """Whether each text holds the item, and with the same values."""
+    docs = frame(spark, [(i, t) for i, (t, _) in enumerate(TEXTS)])
     bench = spark.createDataFrame([(ITEM, 10, "z"), (None, 11, "z"), ("tiny one", 12, "z"), (ITEM, 10, "z")], "text string, item_id int, sig string")
-    got = contaminated(docs, bench).collect()
-    if want is not None:
-        assert [(r.doc_id, r.item_id, r.same_values) for r in got] == ([(1, 10, want[1])] if want[0] else [])
-    assert sorted(r.doc_id for r in decontaminate(docs, bench).collect()) == ([2] if got else [1, 2])
+    got = sorted((r.doc_id, r.item_id, r.same_values) for r in contaminated(docs, bench).collect())
+    assert got == [(i, 10, same) for i, (_, same) in enumerate(TEXTS) if same is not None]
+    assert sorted(r.doc_id for r in decontaminate(docs, bench).collect()) == [i for i, (_, same) in enumerate(TEXTS) if same is None]
 
 
 def test_slots_must_agree(spark):
@@ -208,45 +208,55 @@ TREATY = "In which year did the Treaty of Westphalia end the war between Sweden
 APPLES = "Alice has 5 apples. Bob gives her 3 more apples. How many apples does Alice have now?"
 
 
-def held(spark, item, texts):
-    bench = spark.createDataFrame([(item, 1)], "text string, item_id int")
-    got = {r.doc_id: r.same_values for r in contaminated(frame(spark, list(enumerate(texts))), bench).collect()}
-    return [got.get(i) for i in range(len(texts))]
+def held(spark, *cases):
+    """For each (item, texts) whether each text holds that item, and with the same values."""
+    bench = spark.createDataFrame([(item, k) for k, (item, _) in enumerate(cases)], "text string, item_id int")
+    docs = frame(spark, [(1000 * k + i, t) for k, (_, texts) in enumerate(cases) for i, t in enumerate(texts)])
+    got = {(r.doc_id, r.item_id): r.same_values for r in contaminated(docs, bench).collect()}
+    return [[got.get((1000 * k + i, k)) for i in range(len(texts))] for k, (_, texts) in enumerate(cases)]
 
 
 def test_case_lines_and_names_anywhere(spark):
     texts = [TREATY.lower(), TREATY.upper(), TREATY.replace("the Treaty of", "the\n  Treaty\tof"), "in some other year did a treaty of peace end the long war between them"]
-    assert held(spark, TREATY, texts) == [True, True, True, None]
-    assert held(spark, ITEM, [ITEM.lower(), ITEM.upper(), ITEM.lower().replace("60", "75")]) == [True, True, False]
     changed = APPLES.replace("Alice", "Carol").replace("Bob", "Dave").replace("5", "8").replace("3", "4")
-    assert held(spark, APPLES, [APPLES, changed, "Carol has 8 pears. Dave sold her 4 old books. How many pears does Erin have now?"]) == [True, False, None]
+    got = held(
+        spark,
+        (TREATY, texts),
+        (ITEM, [ITEM.lower(), ITEM.upper(), ITEM.lower().replace("60", "75")]),
+        (APPLES, [APPLES, changed, "Carol has 8 pears. Dave sold her 4 old books. How many pears does Erin have now?"]),
+    )
+    assert got == [[True, True, True, None], [True, True, False], [True, False, None]]
 
 
 def test_offsets_runs_and_short_items(spark):
     longer = ITEM.replace("Boston", "New York").replace("Maria", "Anna Lee")
-    assert held(spark, ITEM, [longer, longer.replace("60", "75")]) == [False, False]
-    assert held(spark, longer, [ITEM]) == [False]
     added = TREATY.replace("end the", "at last end the")
     item = "which small river runs along the old wall of the town and under its only bridge"
     words = item.split()
     one_more = " ".join([*words[:8], "very", *words[8:]])
     one_less = " ".join([*words[:5], *words[6:]])
-    assert held(spark, item, [one_more, one_less, " ".join(reversed(words))]) == [True, True, None]
-    assert held(spark, "Capital of Peru?", [f"so: the capital of\nperu. {added}", "the capital of all peru", "peru"]) == [True, None, None]
+    got = held(
+        spark,
+        (ITEM, [longer, longer.replace("60", "75")]),
+        (longer, [ITEM]),
+        (item, [one_more, one_less, " ".join(reversed(words))]),
+        ("Capital of Peru?", [f"so: the capital of\nperu. {added}", "the capital of all peru", "peru"]),
+    )
+    assert got == [[False, False], [False], [True, True, None], [True, None, None]]
 
 
 def test_names_that_open_sentences_and_one_to_one_slots(spark):
     item = "Alice buys 3 apples at the shop. Bob buys 4 pears there too."
-    assert held(spark, item, [item.replace("Alice", "Carol").replace("Bob", "Dave").replace("3", "9"), item.replace("3", "9").replace("4", "7")]) == [False, False]
     # one value of the text stands for two of the item, or the other way round
     same = re.sub("[34]", "8", item)
-    assert held(spark, item, [same]) == [None] and held(spark, same, [item]) == [None]
+    texts = [item.replace("Alice", "Carol").replace("Bob", "Dave").replace("3", "9"), item.replace("3", "9").replace("4", "7"), same]
+    assert held(spark, (item, texts), (same, [item])) == [[False, False, None], [None]]
 
 
 def test_very_long_and_title_case_texts(spark):
     filler = " ".join(f"word{k % 700} and more" for k in range(60_000))
     title = " ".join(w if w.isdigit() else w.title() for w in ITEM.split())
-    assert held(spark, ITEM, [f"{filler} {CHANGED} {filler}", filler, title, title.replace("60", "61")]) == [False, None, True, False]
+    assert held(spark, (ITEM, [f"{filler} {CHANGED} {filler}", filler, title, title.replace("60", "61")])) == [[False, None, True, False]]
 
 
 def brute_tokens(text):

@@ -46,6 +46,13 @@ def test_selected_records_and_format(spark, tmp_path, monkeypatch):
     assert read_archives(index, folder).count() == len(ROWS)
 
 
+def test_page_ids_with_line_breaks(spark):
+    rows = [("a\r\nWARC-Type: x", "http://a/", BIG), ("b %41\t", "http://b/", BIG), (" ", "u", ""), ("", "u", "")]
+    got = archive_pages(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    first = min(rows[0][0], rows[1][0])
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got) == sorted((i, "revisit" if h == BIG and i != first else "response", first if h == BIG and i != first else None) for i, _, h in rows)
+
+
 def test_damage_is_an_error(spark, tmp_path):
     folder = f"file://{tmp_path}/warc"
     index = write_archives(pages(spark, ROWS), folder)
