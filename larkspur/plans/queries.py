@@ -534,7 +534,13 @@ def seen_so_far(spark, sf_dir):
     return e.select("event_id", F.array_join("seen", ",").alias("seen"))
 
 
-@query()
+@query(
+    "WITH w AS (SELECT user_id, list_sort(list(DISTINCT event_type))[1:3] AS w FROM events GROUP BY user_id), "
+    "a AS (SELECT user_id, w, min(event_id) FILTER (WHERE event_type = w[1]) AS p1 FROM events JOIN w USING (user_id) GROUP BY user_id, w), "
+    "b AS (SELECT user_id, w, p1, min(event_id) FILTER (WHERE event_type = w[2] AND event_id > p1) AS p2 FROM events JOIN a USING (user_id) GROUP BY user_id, w, p1), "
+    "c AS (SELECT user_id, w, p1, p2, min(event_id) FILTER (WHERE event_type = w[3] AND event_id > p2) AS p3 FROM events JOIN b USING (user_id) GROUP BY user_id, w, p1, p2) "
+    "SELECT user_id, CASE len(w) WHEN 1 THEN p1 IS NOT NULL WHEN 2 THEN p2 IS NOT NULL ELSE p3 IS NOT NULL END AS in_order FROM c"
+)
 def ordered_subsequence(spark, sf_dir):
     e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda s: s["event_type"]).alias("found"))
     kinds = F.array_sort(F.array_distinct("found"))
@@ -602,7 +608,14 @@ def near_dup(spark, sf_dir):
     return retrieval.near_duplicates(e, 0.4, key="vec_id", vector="embedding", within=["label"]).select("label", "left", "right")
 
 
-@query()
+@query(
+    f"WITH q AS (SELECT item_id AS query_id, unnest({_TOKENS_SQL.format('text')}) AS t FROM benchmark), d AS (SELECT doc_id, unnest({_TOKENS_SQL.format('text')}) AS t FROM documents), "
+    "h AS (SELECT query_id, doc_id, count(*) AS overlap FROM q JOIN d USING (t) GROUP BY ALL), "
+    "lex AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, doc_id) AS r FROM h QUALIFY r <= 8), "
+    "gold AS (SELECT item_id AS query_id, unnest([item_id * 5, item_id * 5 + 1])::BIGINT AS doc_id FROM benchmark), "
+    "u AS (SELECT query_id, doc_id, 0 AS g, doc_id AS place FROM gold UNION ALL SELECT query_id, doc_id, 1, r FROM lex ANTI JOIN gold USING (query_id, doc_id)) "
+    "SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY g, place, doc_id) AS INTEGER) AS rank FROM u QUALIFY rank <= 8"
+)
 def golden_retrieval(spark, sf_dir):
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     lexical = retrieval.lexical_topk(q, table(spark, sf_dir, "documents").select("doc_id", "text"), 8).select("query_id", "doc_id", "rank")
@@ -850,7 +863,12 @@ def outcome_records(spark, sf_dir):
     return simulation.outcomes(rows, key="user_id").select("user_id", "status", "n_turns")
 
 
-@query()
+@query(
+    "WITH m AS (SELECT CAST(conv_id AS VARCHAR) AS trajectory_id, CAST(turn AS INTEGER) AS turn, ['disclose', 'hint_risk', 'reveal_risk'][turn % 3 + 1] AS move, role AS topic, turn / 7 AS arc FROM conversations), "
+    "n AS (SELECT *, row_number() OVER (PARTITION BY trajectory_id, topic, move, arc < 0.35 ORDER BY turn) AS k FROM m), "
+    "r AS (SELECT *, CASE WHEN move = 'reveal_risk' AND arc < 0.8 THEN 'revealed too early' WHEN move <> 'disclose' AND arc < 0.7 THEN 'risk too early' WHEN move = 'disclose' AND arc < 0.35 THEN 'disclosed too early' "
+    "WHEN move = 'disclose' AND k > 1 THEN 'told already' ELSE 'ok' END AS reason FROM n) SELECT trajectory_id, turn, move, topic, reason = 'ok' AS accepted, reason FROM r"
+)
 def guarded_moves(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     move = F.when(F.col("turn") % 3 == 0, "disclose").when(F.col("turn") % 3 == 1, "hint_risk").otherwise("reveal_risk")
