@@ -59,6 +59,10 @@ def _bitmap(h: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
+def _digest(h: np.ndarray) -> np.ndarray:
+    return np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
+
+
 def _frequent(source: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles, sorted, and their place in the order."""
 
@@ -75,16 +79,18 @@ def _frequent(source: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(source: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(id, s0, s1, n, f0, bits, head, rest): digest, size, SimHash and bitmap of each text's set, its first shingles that decide and the others."""
+    """(id, s0, s1, n, f0, bits, head): digest, size, SimHash and bitmap of each text's set, and its first shingles, which decide.
+
+    Whole sets take more room than the texts; those of candidates are made again.
+    """
     known, place = _frequent(source, words)
 
     def run(batches):
         for batch in batches:
-            digests, sizes, prints, maps, heads, rests = [], [], [], [], [], []
+            digests, sizes, prints, maps, heads = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 h = shingles(text, words)
-                d = xxhash.xxh3_128_digest(h.tobytes())
-                digests.append(np.frombuffer(d, np.int64))
+                digests.append(_digest(h))
                 n = len(h)
                 if len(known) and n:
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
@@ -95,29 +101,42 @@ def _sets(source: DataFrame, words: int, similarity: float) -> DataFrame:
                 prints.append(majority_bits(h.view(np.uint64)))
                 maps.append(_bitmap(h))
                 heads.append(h[:k])
-                rests.append(h[k:])
             ids = np.array(digests, np.int64).reshape(-1, 2)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(maps, longs), pa.array(heads, longs), pa.array(rests, longs)],
-                names=["id", "s0", "s1", "n", "f0", "bits", "head", "rest"],
+                [batch.column(0), pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(maps, longs), pa.array(heads, longs)],
+                names=["id", "s0", "s1", "n", "f0", "bits", "head"],
             )
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, s0 long, s1 long, n int, f0 long, bits array<long>, head array<long>, rest array<long>")
+    return source.mapInArrow(run, f"id {kind}, s0 long, s1 long, n int, f0 long, bits array<long>, head array<long>")
+
 
+def _few(pairs: DataFrame, name: str) -> DataFrame:
+    """The nodes of ``pairs``, as the smaller side of a join."""
+    ends = keep_table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), name)
+    return F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends.hint("shuffle_hash")
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+
+def _verified(pairs: DataFrame, sets: DataFrame, source: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose whole sets are that similar."""
-    small = lambda end: sets.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("bits").alias(f"bits{end}")).hint("shuffle_merge")
+    some = keep_table(sets.select("node", "s0", "s1", "n", "bits").join(_few(pairs, "candidates"), "node", "left_semi"), "candidate-bits")
+    small = lambda end: some.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("bits").alias(f"bits{end}")).hint("shuffle_merge")
     apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     # (n + n' - d) / 2 shingles at most are common
     most = F.floor((F.col("na") + F.col("nb") - apart) / 2)
     pairs = pairs.join(small("b"), "b").join(small("a"), "a").where(most / (F.col("na") + F.col("nb") - most) >= similarity)
     pairs = keep_table(pairs.select("a", "b").distinct(), "likely-pairs")
-    ends = keep_table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidates")
-    few = F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends.hint("shuffle_hash")
-    held = keep_table(sets.join(few, "node", "left_semi").select("node", F.concat("head", "rest").alias("s")), "candidate-sets")
+
+    def whole(batches):
+        for batch in batches:
+            made = [shingles(t, words) for t in batch.column(1).to_pylist()]
+            digests = np.array([_digest(h) for h in made], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(made, pa.list_(pa.int64()))], names=["node", "s0", "s1", "s"])
+
+    texts = source.where("id is not null").select(F.col("id").cast("long").alias("node"), "text").join(_few(pairs, "likely-nodes"), "node", "left_semi")
+    held = texts.mapInArrow(whole, "node long, s0 long, s1 long, s array<long>")
+    held = keep_table(held.join(some.select("node", "s0", "s1").hint("shuffle_hash"), ["node", "s0", "s1"], "left_semi").dropDuplicates(["node", "s0", "s1"]), "candidate-sets")
     of = lambda end: held.select(F.col("node").alias(end), F.col("s").alias(f"s{end}")).hint("shuffle_merge")
     both = pairs.join(of("b"), "b").join(of("a"), "a")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -134,7 +153,8 @@ def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     other; rows without an id get the group of equal sets (null if all its rows
     lack an id); an empty table gives an empty result.
     """
-    own = keep_table(_sets(keyed_text(docs, id_col, text_col), words, similarity), "shingle-sets")
+    source = keyed_text(docs, id_col, text_col)
+    own = keep_table(_sets(source, words, similarity), "shingle-sets")
     nodes = keep_table(own.groupBy("s0", "s1").agg(F.min("id").cast("long").alias("node")), "shingle-nodes")
     named = nodes.where("node is not null").withColumnsRenamed({"s0": "n0", "s1": "n1"})
     one = (F.col("id") == F.col("node")) & (F.col("s0") == F.col("n0")) & (F.col("s1") == F.col("n1"))
@@ -144,14 +164,15 @@ def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     by_key = Window.partitionBy("key")
     met = keys.withColumn("least", F.min(F.struct("node", "n", "at")).over(by_key)).withColumn("last", F.max("node").over(by_key))
     met = keep_table(met.where("least.node <> last").drop("last"), "shared-shingles")
-    sets = own.join(every, one).select("node", "n", "bits", "head", "rest")
+    sets = own.join(every, one).select("node", "s0", "s1", "n", "bits")
+    verified = lambda pairs: _verified(pairs, sets, source, words, similarity)
 
     # what SimHash links, by the least node of each fingerprint
     prints = own.where("n > 0").join(every, one).select("node", "f0").distinct()
     codes = keep_table(prints.groupBy("f0").agg(F.min("node").alias("node"), F.max("node").alias("last")), "fingerprints")
     equal = prints.join(codes.where("node <> last").select("f0", F.col("node").alias("a")), "f0").where("a <> node").select("a", F.col("node").alias("b"))
     near = near_links(codes.select("node", "f0"), distance=DISTANCE, segments=SEGMENTS)
-    near = keep_table(_verified(keep_table(near.union(equal).distinct(), "near-prints"), sets, similarity), "near-links")
+    near = keep_table(verified(keep_table(near.union(equal).distinct(), "near-prints")), "near-links")
     linked = keep_table(components(near), "near-roots")
     of = lambda end: linked.select(F.col("node").alias(f"_{end}"), F.col("root").alias(f"{end}_root"))
 
@@ -165,7 +186,7 @@ def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     stars = stars.join(of("a"), F.col("a") == F.col("_a"), "left").join(of("b"), F.col("b") == F.col("_b"), "left")
     stars = stars.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))  # the others are in one group already
     stars = keep_table(stars.select("a", "b"), "first-pairs")
-    links = keep_table(near.union(_verified(stars, sets, similarity)), "first-links")
+    links = keep_table(near.union(verified(stars)), "first-links")
     roots = components(links)
 
     part = met.select("key", "node", "n", "at").distinct().join(roots, "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("part"))
@@ -177,7 +198,7 @@ def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     more = left.join(right, ["key", "other"]).where("node <> node2").where(alike(F.col("n"), F.col("at"), F.col("n2"), F.col("at2")))
     more = more.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = keep_table(more, "more-pairs")
-    roots = components(links.union(_verified(more, sets, similarity)))
+    roots = components(links.union(verified(more)))
 
     classes = nodes.join(roots, "node", "left").select("s0", "s1", F.coalesce("root", "node").alias("component_id"))
     return own.select("id", "s0", "s1").join(classes, ["s0", "s1"]).select(F.col("id").alias(id_col), "component_id")
