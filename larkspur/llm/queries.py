@@ -12,11 +12,14 @@ from .decontam import contaminated
 from .html_text import main_text
 from .line_dedup import dedup_lines
 from .quality import score_quality
+from .quality_rules import apply_rules
 from .repeats import remove_repeats
 from .shared import read_table
 from .simhash import near_duplicates
+from .source_audit import audit_sources
 from .token_counts import count_tokens
 from .warc import archive_pages
+from .whitening import whiten
 
 
 def op1_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +64,19 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repeat_removal, op2_bpe_encode, op3_warc, op4_code_search, op5_simhash, op6_token_counts, op7_decontamination, op8_line_dedup, op9_quality, op10_html_text)}
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(read_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_rules(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_repeat_removal, op2_bpe_encode, op3_warc, op4_code_search, op5_simhash, op6_token_counts, op7_decontamination, op8_line_dedup, op9_quality, op10_html_text, op11_source_audit, op12_whitening, op13_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_repeat_removal": """
@@ -129,4 +144,34 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(x, chr(10) ORDER BY j) FILTER (WHERE gone_i IS NULL), '')) AS kept_sha256
         FROM marked GROUP BY doc_id
     """,
+    "op11_source_audit": """
+        WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+        every AS (
+            SELECT doc, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+            FROM d),
+        kept AS (SELECT lang, term, count(*) AS n FROM every GROUP BY lang, term HAVING count(DISTINCT doc) >= 30),
+        langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+        held AS (SELECT e.lang, e.source, e.term, count(*) AS n FROM every e JOIN kept k ON e.lang = k.lang AND e.term = k.term GROUP BY ALL),
+        groups AS (
+            SELECT g.lang, g.source, coalesce(l.v, 0) AS v, l.total AS lang_total, coalesce(sum(h.n), 0) AS total
+            FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN langs l ON g.lang = l.lang LEFT JOIN held h ON g.lang = h.lang AND g.source = h.source
+            GROUP BY ALL),
+        shares AS (
+            SELECT g.lang, g.source, k.term, coalesce(h.n, 0) AS n,
+                   1 + CAST(1000000000 AS HUGEINT) * (coalesce(h.n, 0) + 5) // CAST(g.total + 5 * g.v AS HUGEINT) AS p,
+                   1 + CAST(1000000000 AS HUGEINT) * (k.n + 5) // CAST(g.lang_total + 5 * g.v AS HUGEINT) AS q
+            FROM groups g JOIN kept k ON g.lang = k.lang LEFT JOIN held h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term),
+        far AS (
+            SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+            FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        parts AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q),
+        ranked AS (
+            SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+                   CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts)
+        SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+    """,
 }
