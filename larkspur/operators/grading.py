@@ -122,24 +122,6 @@ def realized_levels(committed: DataFrame, observed: DataFrame, *, key: str = "tr
     return both.groupBy(key, "topic").agg(F.max_by("level", rank).alias("level"), F.bool_or("verified").alias("verified"))
 
 
-def claimed_developers(claims: DataFrame, vocabulary: DataFrame, *, text: str = "developer_text") -> DataFrame:
-    """Claims with ``developer``: that of the longest vocabulary entry (entry, developer) in the claim's folded text.
-
-    A text without any entry is ``unrecognised``, a claim without a text has none.
-    """
-    fold = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
-    entries = vocabulary.select(fold(F.col("entry")).alias("_entry"), F.col("developer").alias("_dev"))
-    rows = claims.withColumns({"_claim": F.monotonically_increasing_id(), "_text": F.concat(F.lit(" "), fold(F.col(text)), F.lit(" "))})
-    # A claim's folded runs of words are looked up, so the vocabulary joins by equality.
-    words = F.split(F.trim("_text"), " ")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))))
-    hits = rows.select("_claim", F.explode(F.array_distinct(runs)).alias("_entry")).join(entries, "_entry")
-    best = hits.groupBy("_claim").agg(F.max_by("_dev", F.struct(F.length("_entry"), "_entry")).alias("_best"))
-    out = rows.join(best, "_claim", "left")
-    developer = F.coalesce("_best", F.when(F.trim("_text") != "", "unrecognised"))
-    return out.withColumn("developer", developer).drop("_claim", "_text", "_best")
-
-
 def identity_grades(turns: DataFrame, claims: DataFrame, expected: DataFrame, *, key: str = "trajectory_id") -> DataFrame:
     """Rates of one trajectory's identity claims; a rate without anything to count is null.
 

@@ -52,13 +52,6 @@ def test_realized_levels(spark):
     assert got == {"p": ("partial", True), "q": ("partial", False)}
 
 
-def test_vocabulary(spark):
-    vocab = spark.createDataFrame([("Acme", "acme"), ("Acme Labs", "labs"), ("Zeta-9", "zeta")], "entry string, developer string")
-    claims = spark.createDataFrame([("made by ACME labs!",), ("acme",), ("zeta 9",), ("nobody known",), (None,), ("acmeish",)], "developer_text string")
-    got = {r.developer_text: r.developer for r in grading.claimed_developers(claims, vocab).collect()}
-    assert got == {"made by ACME labs!": "labs", "acme": "acme", "zeta 9": "zeta", "nobody known": "unrecognised", None: None, "acmeish": "unrecognised"}
-
-
 def test_identity(spark):
     turns = spark.createDataFrame(
         [("a", 1, [], None, None), ("a", 2, ["other"], True, "agrees"), ("a", 3, ["other"], False, "agrees"), ("b", 1, [], None, None)],
