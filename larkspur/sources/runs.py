@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
+import threading
 import time
 import uuid
-from collections import defaultdict
 from collections.abc import Sequence
 from contextlib import contextmanager
 
@@ -107,11 +107,13 @@ def _leaf_folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(found)
 
 
-def _footers(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, str]]:
+def _footers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """(path, schema) of each file: the schema as Spark wrote it into the footer, else the Arrow schema in hexadecimal.
 
-    The footers are read by tasks, many files at a time; only a schema's text comes back for each file.
+    The footers are read by tasks, many files at a time.
     """
+    from urllib.parse import quote
+
     import pyarrow as pa
     import pyarrow.fs as pafs
     import pyarrow.parquet as pq
@@ -120,18 +122,15 @@ def _footers(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, str]]
         for batch in batches:
             texts = []
             for path in batch.column(0).to_pylist():
-                fs, place = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+                fs, place = pafs.FileSystem.from_uri(quote(path if "://" in path else "file://" + path.removeprefix("file:"), safe="/:@"))
                 with fs.open_input_file(place) as f:
                     schema = pq.read_schema(f)
                 own = (schema.metadata or {}).get(b"org.apache.spark.sql.parquet.row.metadata")
                 texts.append(own.decode() if own else schema.remove_metadata().serialize().to_pybytes().hex())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["path", "schema"])
 
-    if not paths:
-        return []
     tasks = min(len(paths), 4 * spark.sparkContext.defaultParallelism)
-    rows = spark.createDataFrame(pa.table({"path": list(paths)})).repartition(tasks).mapInArrow(run, "path string, schema string")
-    return sorted((r.path, r.schema) for r in rows.collect())
+    return spark.createDataFrame(pa.table({"path": list(paths)})).repartition(tasks).mapInArrow(run, "path string, schema string")
 
 
 def _schema_of(text: str) -> T.StructType:
@@ -143,33 +142,43 @@ def _schema_of(text: str) -> T.StructType:
     return from_arrow_schema(pa.ipc.read_schema(pa.py_buffer(bytes.fromhex(text))))
 
 
+def _same_types(schemas: Sequence[T.StructType]) -> bool:
+    """Whether columns of one name have one type everywhere, so that one scan can read all files."""
+    seen: dict[str, T.DataType] = {}
+    return all(seen.setdefault(f.name, f.dataType) == f.dataType for s in schemas for f in s.fields)
+
+
 def read_dataset(spark: SparkSession, root: str, *, run: str | None = "latest", columns: Sequence[str] | None = None) -> DataFrame:
     """A dataset's run (or ``all``), with every column that any file has.
 
-    Files are grouped by the schemas in their footers; each group is read once,
-    converted to the merged schema and united. Partition values are text.
+    Only distinct schemas come back from the footers. Where files differ in their columns but not in types, one scan
+    reads the folder under the merged schema; where types differ, files are read by their schema, converted to the merged
+    one and united. Partition values are text.
     """
     run = resolve_run(spark, root, run)
     base = root if run in (None, LEGACY) else f"{root}/run={run}"
     before = spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled")
     spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
     try:
-        groups: dict[str, list[str]] = defaultdict(list)
-        for path, text in _footers(spark, _leaf_folders(spark, base)):
-            groups[text].append(path)
-        schemas = {text: _schema_of(text) for text in groups}
-        if not groups:
+        paths = _leaf_folders(spark, base)
+        if not paths:
             raise FileNotFoundError(f"no files under {base}")
+        footers = _footers(spark, paths)
+        schemas = {r.schema: _schema_of(r.schema) for r in footers.select("schema").distinct().collect()}
         whole = merge_schemas([schemas[k] for k in sorted(schemas)])
-        parts = []
-        for k in sorted(groups):
-            part = spark.read.option("basePath", root).parquet(*groups[k])
-            own = {f.name: f.dataType for f in schemas[k].fields}
-            keys = [c for c in part.columns if c not in own]
-            parts.append(part.select(*[_convert(f.name, own[f.name], f.dataType) for f in whole.fields if f.name in own], *keys))
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part, allowMissingColumns=True)
+        if _same_types(list(schemas.values())):
+            out = spark.read.option("basePath", root).schema(whole).parquet(base)
+        else:
+            groups = {r.schema: r.paths for r in footers.groupBy("schema").agg(F.array_sort(F.collect_list("path")).alias("paths")).collect()}
+            parts = []
+            for k in sorted(groups):
+                part = spark.read.option("basePath", root).parquet(*groups[k])
+                own = {f.name: f.dataType for f in schemas[k].fields}
+                keys = [c for c in part.columns if c not in own]
+                parts.append(part.select(*[_convert(f.name, own[f.name], f.dataType) for f in whole.fields if f.name in own], *keys))
+            out = parts[0]
+            for part in parts[1:]:
+                out = out.unionByName(part, allowMissingColumns=True)
         return out.select(*columns) if columns else out
     finally:
         spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", before)
@@ -180,9 +189,17 @@ def write_run(df: DataFrame, root: str, run: str, *, overwrite: bool = False, pa
     missing = [p for p in partitions if p not in df.columns]
     if missing:
         raise ValueError(f"partition columns are missing: {', '.join(missing)}")
+    if overwrite:
+        _forget_keys(df.sparkSession, root, run)
     df.drop("run").write.partitionBy(*partitions).mode("overwrite" if overwrite else "errorifexists").parquet(f"{root}/run={run}")
 
 
+def _forget_keys(spark: SparkSession, root: str, run: str) -> None:
+    """Before stored rows are replaced: the key index of a run goes; the next append makes it anew."""
+    fs, p = _fs(spark, f"{root}/_keys/run={run}")
+    fs.delete(p, True)
+
+
 def write_locales(df: DataFrame, root: str, run: str, locales: Sequence[str]) -> None:
     """Replace only the named locales of a run; rows of others are an error, no rows at all a no-op."""
     if df.isEmpty():
@@ -190,28 +207,38 @@ def write_locales(df: DataFrame, root: str, run: str, locales: Sequence[str]) ->
     foreign = [r[0] for r in df.where(~F.col("locale").isin(*locales) | F.col("locale").isNull()).select("locale").distinct().limit(5).collect()]
     if foreign:
         raise ValueError(f"rows of other locales: {foreign}")
-    # The new rows are complete before any old ones go; then each locale is put in place by a rename.
-    spark = df.sparkSession
-    fs, base = _fs(spark, f"{root}/run={run}")
-    place = spark._jvm.org.apache.hadoop.fs.Path
-    hidden = place(base, f".locales-{uuid.uuid4().hex}")
-    df.drop("run").write.partitionBy(*PARTITIONS[1:]).parquet(hidden.toString())
-    written = [n for n in _children(spark, hidden.toString()) if n.startswith("locale=")]
-    for name in dict.fromkeys([*(f"locale={x}" for x in locales), *written]):
-        fs.delete(place(base, name), True)
-        if name in written:
-            fs.rename(place(hidden, name), place(base, name))
-    fs.delete(hidden, True)
+    spark, path = df.sparkSession, f"{root}/run={run}"
+    with run_lock(spark, root, run):
+        _forget_keys(spark, root, run)
+        # One commit replaces the families that the new rows have; only then do the locales' other families go.
+        df.drop("run").write.partitionBy(*PARTITIONS[1:]).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+        new = {(r.locale, r.probe_family) for r in df.select("locale", "probe_family").distinct().collect()}
+        fs, base = _fs(spark, path)
+        place = spark._jvm.org.apache.hadoop.fs.Path
+        written = {f"locale={x}/probe_family={'__HIVE_DEFAULT_PARTITION__' if y is None else spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(y)}" for x, y in new}
+        for locale in dict.fromkeys(locales):
+            for family in _children(spark, f"{path}/locale={locale}"):
+                if f"locale={locale}/{family}" not in written:
+                    fs.delete(place(base, f"locale={locale}/{family}"), True)
 
 
 def append_new(df: DataFrame, root: str, run: str, *, key: str = "trajectory_id") -> DataFrame:
-    """Append the rows whose keys the run doesn't hold yet, as the run's only writer; returns them."""
+    """Append the rows whose keys the run doesn't hold yet, as the run's only writer; returns them.
+
+    Keys are compared as text. The run isn't read: see ``key_index``. Rows without a key are always new.
+    """
+    from .key_index import KeyIndex
+
     spark, path = df.sparkSession, f"{root}/run={run}"
     fresh = df.dropDuplicates([key])
     with run_lock(spark, root, run):
-        if exists(spark, path):
-            fresh = fresh.join(read_dataset(spark, root, run=run, columns=[key]), key, "left_anti")
+        index = KeyIndex(spark, root, run)
+        if not index.current():
+            index.rebuild(read_dataset(spark, root, run=run, columns=[key]) if exists(spark, path) else fresh.select(key).limit(0))
+        stored = index.stored(fresh.select(key)).withColumnRenamed("key", "_stored_key")
+        fresh = fresh.join(stored, F.col(key).cast("string") == F.col("_stored_key"), "left_anti")
         fresh.drop("run").write.partitionBy(*PARTITIONS[1:]).mode("append").parquet(path)
+        index.add(fresh.select(key))
     return fresh
 
 
@@ -273,19 +300,53 @@ def publish_new_run(df: DataFrame, root: str, run: str, partitions: Sequence[str
 
 
 @contextmanager
-def run_lock(spark: SparkSession, root: str, run: str, stale_s: int = 3600):
-    """One writer at a time for a run, by a file that only one can create; a lock older than ``stale_s`` is taken over."""
+def run_lock(spark: SparkSession, root: str, run: str, stale_s: float = 3600):
+    """One writer at a time for a run, by a file that only one can create.
+
+    The file holds its owner's token and is touched while the owner lives; one that wasn't for ``stale_s`` is taken over,
+    by a rename that only one can make. An owner deletes the file only if it is still its own.
+    """
     fs, base = _fs(spark, root)
-    lock = spark._jvm.org.apache.hadoop.fs.Path(base, f".lock-{run}")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    lock, token = path(base, f".lock-{run}"), uuid.uuid4().hex
     fs.mkdirs(base)
+
+    def owner() -> str | None:
+        try:
+            stream = fs.open(lock)
+        except Exception:
+            return None
+        try:
+            return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
     if fs.exists(lock) and time.time() - fs.getFileStatus(lock).getModificationTime() / 1000 > stale_s:
-        fs.delete(lock, False)
-    if not fs.createNewFile(lock):
-        raise RuntimeError(f"run {run} is being written by another process")
+        old = path(base, f".lock-{run}-stale-{token}")
+        if fs.rename(lock, old):
+            fs.delete(old, False)
+    try:
+        out = fs.create(lock, False)
+    except Exception as e:
+        raise RuntimeError(f"run {run} is being written by another process") from e
+    out.write(bytearray(token.encode()))
+    out.close()
+    ended = threading.Event()
+
+    def renew() -> None:
+        while not ended.wait(stale_s / 4):
+            if owner() == token:
+                fs.setTimes(lock, int(time.time() * 1000), -1)
+
+    keeper = threading.Thread(target=renew, daemon=True)
+    keeper.start()
     try:
         yield
     finally:
-        fs.delete(lock, False)
+        ended.set()
+        keeper.join()
+        if owner() == token:
+            fs.delete(lock, False)
 
 
 def write_reports(spark: SparkSession, folder: str, reports: dict[str, DataFrame], limit: int = 100_000) -> None:

@@ -13,8 +13,12 @@ def ingest(stream: DataFrame, root: str, run: str, checkpoint: str, *, key: str
     """Append each batch's rows with new keys to a run; a batch that is replayed adds nothing."""
 
     def save(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            append_new(batch, root, run, key=key)
+        batch = batch.persist()
+        try:
+            if not batch.isEmpty():
+                append_new(batch, root, run, key=key)
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -77,3 +77,103 @@ def test_stream_twice(spark, root, tmp_path):
         stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source).withColumn("x", F.col("x") + 1)
         ingest(stream, root, "1", f"{tmp_path}/state-{_}").awaitTermination()
     assert runs.read_dataset(spark, root).count() == 2
+
+
+def keys(spark, *values):
+    return spark.createDataFrame([(v,) for v in values], "k string")
+
+
+def test_key_index_against_a_set(spark, root):
+    import random
+
+    from larkspur.sources.key_index import KeyIndex
+
+    rnd, held = random.Random(1), set()
+    index = KeyIndex(spark, root, "1", buckets=4)
+    for n in (3, 1, 9, 2, 2, 2, 40, 2, 2, 2, 2):
+        new = {f"k{rnd.randint(0, 10_000)}" for _ in range(n)} - held
+        asked = [*new, *rnd.sample(sorted(held), min(5, len(held)))]
+        got = [r.key for r in index.stored(keys(spark, *asked, None)).collect()]
+        assert sorted(got) == sorted(set(asked) & held)
+        index.add(keys(spark, *new, None))
+        held |= new
+        index = KeyIndex(spark, root, "1")
+        assert index.buckets == 4 and sum(s["n"] for s in index.segments) == len(held)
+    assert len(index.segments) < 8  # the small ones were merged
+
+
+def test_filters_spare_the_files(spark, root):
+    from larkspur.sources.key_index import KeyIndex
+
+    index = KeyIndex(spark, root, "1", buckets=8)
+    index.add(spark.range(4000).select(F.concat(F.lit("a"), "id")))
+    index.add(spark.range(3000).select(F.concat(F.lit("b"), "id")))
+    assert index.stored(spark.range(50).select(F.concat(F.lit("c"), "id"))).count() == 0
+    assert index.read_filters == 2 and index.read_files <= 1  # of 16
+    assert index.stored(keys(spark, "b7", "c1")).count() == 1 and 1 <= index.read_files <= 2
+
+
+def test_append_after_a_crash(spark, root, monkeypatch):
+    from larkspur.sources.key_index import KeyIndex
+
+    runs.append_new(frame(spark, [("a", "en", "p", 1)]), root, "1")
+    with monkeypatch.context() as m:
+        m.setattr(KeyIndex, "add", lambda self, rows: 1 / 0)  # the rows are there, their keys are not
+        with pytest.raises(ZeroDivisionError):
+            runs.append_new(frame(spark, [("b", "de", "p", 1)]), root, "1")
+    runs.append_new(frame(spark, [("a", "en", "p", 9), ("b", "de", "p", 9), ("c", "de", "p", 9), (None, "de", "p", 9)]), root, "1")
+    got = sorted((r.trajectory_id or "", r.x) for r in runs.read_dataset(spark, root).collect())
+    assert got == [("", 9), ("a", 1), ("b", 1), ("c", 9)]
+
+
+def test_index_follows_other_writers(spark, root):
+    runs.append_new(frame(spark, [("a", "en", "p", 1), ("b", "de", "p", 1)]), root, "1")
+    runs.write_locales(frame(spark, [("c", "de", "q", 3)]), root, "1", ["de"])
+    runs.append_new(frame(spark, [("b", "de", "p", 5), ("c", "de", "p", 5), ("a", "en", "p", 5)]), root, "1")
+    assert sorted((r.trajectory_id, r.x) for r in runs.read_dataset(spark, root).collect()) == [("a", 1), ("b", 5), ("c", 3)]
+
+
+def test_replacing_a_locale_keeps_it_when_the_write_fails(spark, root):
+    runs.write_run(frame(spark, [("a", "en", "p", 1), ("b", "de", "p", 2), ("e", "de", "r/1", 2)]), root, "1")
+    bad = frame(spark, [("c", "de", "p", 3)]).withColumn("x", F.when(F.col("x") == 3, F.raise_error("lost").cast("bigint")))
+    with pytest.raises(Exception, match="lost"):
+        runs.write_locales(bad, root, "1", ["de"])
+    assert {r.trajectory_id for r in runs.read_dataset(spark, root).collect()} == {"a", "b", "e"}
+    runs.write_locales(frame(spark, [("c", "de", "p", 3), ("d", "de", "r/1", 3)]), root, "1", ["de"])
+    assert {r.trajectory_id for r in runs.read_dataset(spark, root).collect()} == {"a", "c", "d"}
+    runs.write_locales(frame(spark, [("f", "de", "s", 3)]), root, "1", ["de"])
+    assert {r.trajectory_id for r in runs.read_dataset(spark, root).collect()} == {"a", "f"}
+
+
+def test_locks(spark, root, monkeypatch):
+    import time
+
+    with runs.run_lock(spark, root, "1"):
+        with pytest.raises(RuntimeError, match="another process"):
+            with runs.run_lock(spark, root, "1"):
+                pass
+    with runs.run_lock(spark, root, "1", stale_s=0.4):
+        time.sleep(1.2)  # it is renewed meanwhile
+        with pytest.raises(RuntimeError):
+            with runs.run_lock(spark, root, "1", stale_s=0.4):
+                pass
+    fs, base = runs._fs(spark, root)
+    lock = spark._jvm.org.apache.hadoop.fs.Path(base, ".lock-1")
+    fs.create(lock, False).close()
+    fs.setTimes(lock, 1000, -1)
+    with runs.run_lock(spark, root, "1"):
+        assert fs.exists(lock)
+    assert not fs.exists(lock)
+    with runs.run_lock(spark, root, "1"):
+        fs.delete(lock, False)
+        fs.create(lock, False).close()  # taken over by another
+    assert fs.exists(lock)
+
+
+def test_columns_differ_but_not_types(spark, root):
+    runs.write_run(frame(spark, [("a", "en", "p", 1)]), root, "1")
+    more = spark.createDataFrame([("b", "en", "p", 2, [1])], "trajectory_id string, locale string, probe_family string, x bigint, tags array<int>")
+    more.write.partitionBy("locale", "probe_family").mode("append").parquet(f"{root}/run=1")
+    df = runs.read_dataset(spark, root)
+    assert {r.trajectory_id: (r.x, r.tags, r.locale, r.run) for r in df.collect()} == {"a": (1, None, "en", "1"), "b": (2, [1], "en", "1")}
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
