@@ -51,13 +51,17 @@ CLOSES = {
 FENCE = frozenset("table ul ol dl article section div main body td th blockquote form".split())
 #: Elements that hold one block; their text counts for the container around them.
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt pre blockquote td th tr tbody thead tfoot table ul ol dl figcaption caption summary".split())
-#: Elements nested deeper are taken for a part of the one at this depth, as browsers do; no text is lost by it.
-DEPTH = 512
+#: An implied end isn't looked for beyond so many open elements.
+REACH = 512
 # No part of these patterns is tried again once it has matched, so a page is read once whatever is wrong with it.
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>\x00]*+)((?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[=\"'])*+)(>?)")
 ATTR = re.compile(r"([^\s=>/\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*+>?", re.I) for t in RAW}
 PARTING = re.compile(r"[-_:\d]+|(?<=[a-z])(?=[A-Z])")
+#: Words that mark a class token whatever stands beside them (reader-comments, disqus_thread, cookie-banner-text), but for ``STATE_WORDS``.
+STRONG_WORDS = frozenset("advert adverts advertisement advertisements comment comments consent cookie cookies disqus gdpr newsletter sponsored".split())
+#: With one of these a token tells of a state or a style (comments-open, has-cookies, no-comments), not of what the element is.
+STATE_WORDS = frozenset("allow allowed can closed disabled enabled free has hide hidden is js no not off on open show shown supports with without".split())
 #: Words that may stand beside those of ``NOT_ARTICLE_WORDS`` in one class token (site-footer, ad-slot) without changing what it marks.
 PLACE_WORDS = frozenset("area bar block bottom box container global inner item items left link links list main module outer page panel post primary right secondary section site slot top unit wrap wrapper".split())
 #: Elements that class, id or role never mark: their words tell of the page's state or layout.
@@ -75,8 +79,9 @@ class Element:
         self.named = named  # marked by class, id or role
         self.article = self if tag == "article" else parent and parent.article
         self.main = self if tag == "main" else parent and parent.main
-        # an article's own header holds its headline
-        self.barred = (tag in NOT_ARTICLE and not (tag == "header" and self.article)) or (parent is not None and parent.barred)
+        # an article's own header holds its headline, a quotation's footer its source
+        inside = (tag == "header" and self.article) or (tag == "footer" and parent is not None and parent.tag == "blockquote")
+        self.barred = (tag in NOT_ARTICLE and not inside) or (parent is not None and parent.barred)
         self.skip = self.barred or named or (parent is not None and parent.skip)
         self.heading = tag == "h1" or (parent is not None and parent.heading)
         self.leaf = tag in LEAF or (parent is not None and parent.leaf)
@@ -99,6 +104,8 @@ class Element:
 
 def _marks(token: str) -> bool:
     words = [w.lower() for w in PARTING.split(token) if w]
+    if any(w in STRONG_WORDS for w in words) and not any(w in STATE_WORDS for w in words):
+        return True
     return token.lower() in NOT_ARTICLE_WORDS or (any(w in NOT_ARTICLE_WORDS for w in words) and all(w in NOT_ARTICLE_WORDS or w in PLACE_WORDS for w in words))
 
 
@@ -147,7 +154,6 @@ class Page:
     def _read(self, page: str) -> None:
         stack, buffer = [self.elements[0]], []
         opened: dict[str, int] = defaultdict(int)  # open elements by tag
-        beyond: dict[str, int] = defaultdict(int)  # open elements below ``DEPTH``, which have no element of their own
         linked = 0
         in_link = False
 
@@ -173,9 +179,6 @@ class Page:
             del stack[k:]
 
         def push(tag, shown, bad):
-            if len(stack) > DEPTH:
-                beyond[tag] += 1
-                return
             opened[tag] += 1
             stack.append(self._element(tag, shown, stack[-1], bad))
 
@@ -219,9 +222,7 @@ class Page:
             if m[1]:
                 if not inline:
                     flush()
-                if beyond[tag]:
-                    beyond[tag] -= 1
-                elif opened[tag]:
+                if opened[tag]:
                     flush()
                     in_link = False
                     close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
@@ -237,8 +238,8 @@ class Page:
             in_link = False
             closes = CLOSES.get(tag, ())
             if any(opened[t] for t in closes):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in closes:
+                for k in range(len(stack) - 1, max(0, len(stack) - 1 - REACH), -1):
+                    if k < len(stack) and stack[k].tag in closes:
                         close(k)
                         if tag not in ("tr", "td", "th", "dd", "dt", "li", "body"):
                             break

@@ -145,6 +145,20 @@ def test_extract(html, want):
     assert extract(html, None) == want
 
 
+@pytest.mark.parametrize("mark", ["class='reader-comments'", "class='user-comments'", "id='disqus_thread'", "class='cookie-banner-text'", "class='commentList'", "id='article_comments_v2'"])
+def test_comments_and_notices(mark):
+    assert extract(f"<main><h1>Head</h1>{STORY}<div {mark}><p>bad one</p><p>bad two</p></div></main>", None) == "Head\nfirst words of the story\nand more of it"
+
+
+def test_deep_pages_are_read_once():
+    import time
+
+    began = time.time()
+    for page in ("<div>" * 60_000 + "x", "<ul><li>" + "<center>" * 20_000 + "<li>x</li>" * 20_000, "<div class=a1>" * 20_000 + "<p>x</p>" + "</div>" * 20_000):
+        assert "x" in extract(page, ["/body/div"])
+    assert time.time() - began < 20
+
+
 STORY = "<p>first words of the story</p><p>and more of it</p>"
 
 
@@ -171,6 +185,8 @@ def test_layout_classes_do_not_empty_a_page(html):
         ("<article><header><h1>Headline</h1></header><p class='social-history'>text of it</p><header class=share>bad</header></article>", "Headline\ntext of it"),
         ("<article><p>a < b and 1 <2</p><SCRIPT>x</Script ><p>after</p></article>", "a < b and 1 <2\nafter"),
         ("<div>" * 700 + "<p>deep</p>" + "</div>" * 700, "deep"),
+        ("<div>" * 600 + "<nav><p>Home</p></nav><p>deep</p><aside>Buy this thing</aside><div class='menu'>Contact</div><p>end</p>" + "</div>" * 600, "deep\nend"),
+        ("<article><blockquote><p>said</p><footer>a source</footer></blockquote></article>", "said\na source"),
         ("<article><p>kept</p><p title='cut off", "kept"),
     ],
 )
