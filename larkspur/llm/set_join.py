@@ -22,7 +22,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -79,7 +79,7 @@ def _frequent(source: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(source: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(id, s0, s1, n, f0, bits, head): digest, size, SimHash and bitmap of each text's set, and its first shingles, which decide.
+    """(id, row_key, s0, s1, n, f0, bits, head): digest, size, SimHash and bitmap of each text's set, and its first shingles, which decide.
 
     Whole sets take more room than the texts; those of candidates are made again.
     """
@@ -104,12 +104,12 @@ def _sets(source: DataFrame, words: int, similarity: float) -> DataFrame:
             ids = np.array(digests, np.int64).reshape(-1, 2)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(maps, longs), pa.array(heads, longs)],
-                names=["id", "s0", "s1", "n", "f0", "bits", "head"],
+                [batch.column(0), batch.column(2), pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(maps, longs), pa.array(heads, longs)],
+                names=["id", "row_key", "s0", "s1", "n", "f0", "bits", "head"],
             )
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, s0 long, s1 long, n int, f0 long, bits array<long>, head array<long>")
+    return source.select("id", "text", row_key(F.col("text")).alias("row_key")).mapInArrow(run, f"id {kind}, row_key long, s0 long, s1 long, n int, f0 long, bits array<long>, head array<long>")
 
 
 def _few(pairs: DataFrame, name: str) -> DataFrame:
@@ -143,17 +143,48 @@ def _verified(pairs: DataFrame, sets: DataFrame, source: DataFrame, words: int,
     return both.where(common / (F.size("sa") + F.size("sb") - common) >= similarity).select("a", "b").distinct()
 
 
+def row_key(text: Column) -> Column:
+    """What tells rows of one id apart in ``similar_groups``: a 64-bit hash of the text, null as empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def kept_rows(groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(``id_col``, row_key): of each group of ``similar_groups`` the row with the smallest id; of rows with that id, and of
+    groups without any, the one with the smallest key."""
+    own = groups.where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    kept = own.groupBy("group_id").agg(F.min(F.struct("row_key", id_col)).alias("k"))
+    return kept.select(f"k.{id_col}", "k.row_key")
+
+
 def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``id_col``, component_id.
+    """One row per input row: ``id_col``, row_key, group_id, component_id.
 
     Texts whose sets of ``words``-word shingles have a Jaccard similarity of at
     least ``similarity`` are linked, all of them, and component_id is the
     smallest id reachable. Words are parted by ASCII white space, ASCII case
     doesn't count. Null and blank texts have the empty set and are equal to each
-    other; rows without an id get the group of equal sets (null if all its rows
-    lack an id); an empty table gives an empty result.
+    other; rows that repeat an id are linked by their own texts, as are rows
+    without one; component_id is null where no row of a group has an id. An empty
+    table gives an empty result.
     """
     source = keyed_text(docs, id_col, text_col)
+    odd = source.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").select(F.col("id").alias("odd_id"))
+    odd = keep_table(odd, "odd-ids")
+    if odd.isEmpty():
+        groups = _groups(source, words, similarity)
+        return groups.select(F.col("id").alias(id_col), "row_key", F.col("root").alias("group_id"), F.col("root").alias("component_id"))
+    # such rows stand under a number of their own: a hash of id and text, below zero
+    own = F.when(F.col("is_odd"), F.xxhash64("id", "text").bitwiseOR(F.lit(-(2**63)))).otherwise(F.col("id").cast("long"))
+    marked = source.join(odd.withColumn("is_odd", F.lit(True)), F.col("id").eqNullSafe(F.col("odd_id")), "left").withColumn("is_odd", F.coalesce("is_odd", F.lit(False)))
+    marked = keep_table(marked.select(F.col("id").alias("own_id"), own.alias("id"), "text"), "numbered-rows")
+    groups = keep_table(_groups(marked.select("id", "text"), words, similarity).distinct(), "numbered-groups")
+    rows = marked.select("own_id", "id", row_key(F.col("text")).alias("row_key")).join(groups, ["id", "row_key"])
+    least = rows.groupBy("root").agg(F.min("own_id").alias("component_id"))
+    return rows.join(least, "root").select(F.col("own_id").alias(id_col), "row_key", F.col("root").alias("group_id"), "component_id")
+
+
+def _groups(source: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(id, row_key, root) of each row of (id, text): equal ids have equal texts, none is null."""
     own = keep_table(_sets(source, words, similarity), "shingle-sets")
     nodes = keep_table(own.groupBy("s0", "s1").agg(F.min("id").cast("long").alias("node")), "shingle-nodes")
     named = nodes.where("node is not null").withColumnsRenamed({"s0": "n0", "s1": "n1"})
@@ -200,5 +231,5 @@ def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
     more = keep_table(more, "more-pairs")
     roots = components(links.union(verified(more)))
 
-    classes = nodes.join(roots, "node", "left").select("s0", "s1", F.coalesce("root", "node").alias("component_id"))
-    return own.select("id", "s0", "s1").join(classes, ["s0", "s1"]).select(F.col("id").alias(id_col), "component_id")
+    classes = nodes.join(roots, "node", "left").select("s0", "s1", F.coalesce("root", "node").alias("root"))
+    return own.select("id", "row_key", "s0", "s1").join(classes, ["s0", "s1"]).select("id", "row_key", "root")

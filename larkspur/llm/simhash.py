@@ -243,7 +243,7 @@ def near_duplicates(
     With ``similarity`` the links are the texts whose sets of shingles have that
     Jaccard similarity or more, whatever their fingerprints' distance: those that
     SimHash links are verified, and completed to all of them (``set_join``);
-    the result is then ``id_col`` and component_id.
+    the result is then that of ``set_join.similar_groups``.
     """
     if similarity is not None:
         from .set_join import similar_groups
