@@ -1,7 +1,9 @@
 """A training-data pipeline over ``documents``: quality, repeated lines, near copies, benchmark leaks, tokens.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before it
-kept; all but the last return the columns of ``documents``.
+kept; all but the last return the columns of ``documents`` and no others. Null
+texts count as empty ones, repeated rows are judged one by one unless a stage
+says otherwise, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from larkspur.llm.bpe import encode_documents
 from larkspur.llm.decontam import decontaminate
 from larkspur.llm.line_dedup import dedup_lines
 from larkspur.llm.quality import keep_quality
+from larkspur.llm.set_join import kept_rows, row_key
 from larkspur.llm.shared import keep_table, read_table
 from larkspur.llm.simhash import near_duplicates
 
@@ -37,13 +40,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Copies are texts whose five-word shingles have a Jaccard similarity of 0.8
     or more: SimHash finds most of them, each is verified, and the rest is
-    completed exactly. Null texts and blank ones are one group. Of rows that
-    repeat an id or lack one, one of each text stays; a null id stays only where
-    no document of its group has an id.
+    completed exactly. Null texts and blank ones are one group. Rows that repeat
+    an id are judged by their own text, and where several of a group have its
+    smallest id, one row stays. Rows without an id give way to those of their
+    group that have one; of a group without any id one row stays.
     """
-    groups = near_duplicates(docs, words=5, similarity=0.8)
-    kept = groups.where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    whole = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(COLUMNS)
+    kept = kept_rows(near_duplicates(docs, words=5, similarity=0.8)).withColumnsRenamed({"doc_id": "_kept_id", "row_key": "_kept_key"})
+    same = docs["doc_id"].eqNullSafe(F.col("_kept_id")) & (row_key(docs["text"]) == F.col("_kept_key"))
+    whole = docs.join(kept.hint("shuffle_hash"), same, "left_semi").select(COLUMNS)
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     return whole if repeated.isEmpty() else whole.dropDuplicates(["doc_id", "text"])
 
