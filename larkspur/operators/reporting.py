@@ -52,16 +52,40 @@ def sim_health(df: DataFrame, *, outcome: str = "simulation_outcome", grounding:
     )
 
 
+def exact_quantiles(rows: DataFrame, by: Sequence[str], value: str, fractions: Sequence[float], extra: Sequence[Column] = ()) -> DataFrame:
+    """(by, n, mean, q0, q1, ..., sums of ``extra``): exact quantiles with linear interpolation, from histograms.
+
+    One aggregate by group and value is made where the rows are, merged by adding counts; running counts over a group's
+    distinct values then tell which values stand at the places that a quantile lies between. No task holds a group's
+    rows, only its distinct values, and these in order. Null values don't count; groups without any have no row.
+    """
+    from pyspark.sql import Window
+
+    names = [f"_x{i}" for i in range(len(extra))]
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_m"), *[F.sum(c).alias(a) for c, a in zip(extra, names, strict=True)])
+    group = Window.partitionBy(*by)
+    upto = group.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ran = counted.withColumns({"_to": F.sum("_m").over(upto), "_n": F.sum("_m").over(group)})
+    at = lambda place: F.max(F.when((F.col("_to") - F.col("_m") <= place) & (place < F.col("_to")), F.col("_v").cast("double")))
+    aggs = []
+    for i, fraction in enumerate(fractions):
+        place = (F.col("_n") - 1) * F.lit(float(fraction))
+        aggs += [at(F.floor(place)).alias(f"_lo{i}"), at(F.ceil(place)).alias(f"_hi{i}"), F.max(place - F.floor(place)).alias(f"_w{i}")]
+    made = ran.groupBy(*by).agg(F.max("_n").alias("n"), (F.sum(F.col("_v").cast("double") * F.col("_m")) / F.max("_n")).alias("mean"), *aggs, *[F.sum(a).alias(a) for a in names])
+    between = [(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_w{i}")).alias(f"q{i}") for i in range(len(fractions))]
+    return made.select(*by, "n", "mean", *between, *[F.col(a).alias(f"sum{i}") for i, a in enumerate(names)])
+
+
 def response_lengths(turns: DataFrame, by: str, *, text: str = "text") -> DataFrame:
-    """Characters and words per turn by group: mean, median and exact 95th percentile (linear interpolation)."""
-    n = F.length(text).cast("double")
-    return turns.groupBy(by).agg(
-        F.count("*").alias("n_turns"),
-        F.avg(n).alias("mean_chars"),
-        F.median(n).alias("median_chars"),
-        F.percentile(n, 0.95).alias("p95_chars"),
-        F.avg(word_count(F.col(text)).cast("double")).alias("mean_words"),
-    )
+    """Characters and words per turn by group: mean, median and exact 95th percentile (linear interpolation).
+
+    Null texts have no length; they count as turns.
+    """
+    rows = turns.select(by, F.length(text).alias("_chars"), word_count(F.col(text)).cast("double").alias("_words"))
+    every = rows.groupBy(by).agg(F.count("*").alias("n_turns"), F.avg("_words").alias("mean_words"))
+    lengths = exact_quantiles(rows.select(by, "_chars"), [by], "_chars", (0.5, 0.95)).withColumnRenamed(by, "_by")
+    joined = every.join(lengths, F.col(by).eqNullSafe(F.col("_by")), "left")
+    return joined.select(by, "n_turns", F.col("mean").alias("mean_chars"), F.col("q0").alias("median_chars"), F.col("q1").alias("p95_chars"), "mean_words")
 
 
 def resource_profile(df: DataFrame, *, outcome: str = "simulation_outcome") -> DataFrame:
@@ -320,14 +344,19 @@ def visible_tokens(turns: DataFrame, by: Sequence[str] = ("alias",), *, text: st
     return turns.groupBy(*by).agg(F.ceil(F.sum(word_count(F.col(text))) * 4 / 3).alias("visible_tokens"))
 
 
-def snippets(rows: DataFrame, by: Sequence[str], *, key: str, text: str, n: int = 3, length: int = 200) -> DataFrame:
-    """(by, snippets): the first ``n`` texts of each group by key, cut to ``length`` characters."""
+def first_rows(rows: DataFrame, by: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    """The first ``n`` rows of each group, with ``rank``. The limit is applied in every task before anything is shuffled, so a
+    group of any size sends ``n`` rows a task."""
     from pyspark.sql import Window
 
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(key))
-    first = rows.where(F.col(text).isNotNull()).withColumn("_r", rank).where(F.col("_r") <= n)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
+
+
+def snippets(rows: DataFrame, by: Sequence[str], *, key: str, text: str, n: int = 3, length: int = 200) -> DataFrame:
+    """(by, snippets): the first ``n`` texts of each group by key, cut to ``length`` characters."""
+    first = first_rows(rows.where(F.col(text).isNotNull()), by, [key], n)
     cut = F.when(F.length(text) > length, F.concat(F.substring(text, 1, length - 1), F.lit("…"))).otherwise(F.col(text))
-    listed = F.array_sort(F.collect_list(F.struct("_r", cut.alias("t"))))
+    listed = F.array_sort(F.collect_list(F.struct("rank", cut.alias("t"))))
     return first.groupBy(*by).agg(F.transform(listed, lambda x: x["t"]).alias("snippets"))
 
 

@@ -961,4 +961,4 @@ def windowed_counts(spark, sf_dir):
     return count(e, time="ts", by="event_type", width="1 hour", delay="1 hour").select(F.col("window.start").alias("hour"), "event_type", "n")
 
 
-from . import derived, mentions  # noqa: E402, F401  (their queries are added to the same tables)
+from . import derived, evidence, mentions  # noqa: E402, F401  (their queries are added to the same tables)
