@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -116,54 +117,56 @@ def judge_reply(text: Column) -> Column:
 
 # --- tool-call schemas ---------------------------------------------------------------------------------
 
-_KINDS = {"string": str, "number": (int, float), "integer": int, "boolean": bool, "array": list, "object": dict}
-
-
-def _fits(value: Any, spec: dict) -> str | None:
-    """What is wrong with a value, or None."""
-    kind = spec.get("type")
-    wanted = _KINDS.get(kind)
-    if wanted is not None and not isinstance(value, wanted):
-        return f"expected {kind}, got {type(value).__name__}"
-    if kind == "array" and spec.get("items"):
-        return next((w for w in (_fits(v, spec["items"]) for v in value) if w), None)
-    if kind == "object":
-        missing = [k for k in spec.get("required", []) if k not in value]
-        if missing:
-            return f"missing property {missing[0]}"
-        own = spec.get("properties", {})
-        return next((f"property {k}: {w}" for k, v in value.items() if k in own and (w := _fits(v, own[k]))), None)
-    return None
+_KINDS: dict[str, Callable[[Any], bool]] = {
+    "string": lambda v: isinstance(v, str),
+    "boolean": lambda v: isinstance(v, bool),
+    "integer": lambda v: isinstance(v, int) and not isinstance(v, bool),
+    "number": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool),
+    "array": lambda v: isinstance(v, list),
+    "object": lambda v: isinstance(v, dict),
+}
+
+
+def schema_faults(value: Any, schema: Any, at: str = "call") -> Iterator[str]:
+    """What is wrong with a JSON value under a schema, place by place: kinds, allowed values, required and closed properties,
+    items. Keywords other than type, enum, required, properties, additionalProperties (false) and items ask for nothing."""
+    if not isinstance(schema, dict):
+        return
+    kind = schema.get("type")
+    if kind in _KINDS and not _KINDS[kind](value):
+        yield f"{at} isn't of type {kind}"
+        return
+    if isinstance(allowed := schema.get("enum"), list) and value not in allowed:
+        yield f"{at} isn't one of the allowed values"
+    if isinstance(value, dict):
+        known = schema.get("properties") or {}
+        yield from (f"{at} lacks {k}" for k in schema.get("required") or () if k not in value)
+        for k, v in value.items():
+            if k in known:
+                yield from schema_faults(v, known[k], f"{at}.{k}")
+            elif schema.get("additionalProperties") is False:
+                yield f"{at} has no place for {k}"
+    if isinstance(value, list):
+        for i, v in enumerate(value):
+            yield from schema_faults(v, schema.get("items"), f"{at}[{i}]")
+
+
+def call_schema(tools: list, name: Any) -> dict:
+    """The schema of a whole call, as an object of name and arguments, where ``tools`` are offered and one of that name is
+    called; arguments that the tool doesn't list have no place."""
+    functions = [f for t in tools if isinstance(t, dict) and isinstance(f := t.get("tool", t).get("function"), dict)]
+    called = next((f.get("parameters") or {} for f in functions if f.get("name") == name), {})
+    arguments = {"type": "object", "properties": {}, **called, "additionalProperties": False}
+    return {"type": "object", "required": ["name", "arguments"], "properties": {"name": {"enum": [f.get("name") for f in functions]}, "arguments": arguments}}
 
 
 def call_problem(name: str | None, raw: str | None, tools: str | None) -> str | None:
-    """What is wrong with one tool call (name, JSON arguments) against a JSON list of tool definitions; None if nothing."""
+    """The first fault of one tool call (name, JSON arguments; none are ``{}``) under a JSON list of tool definitions; None without any."""
     try:
-        given, offered = json.loads(raw or "{}"), json.loads(tools or "[]")
+        call, offered = {"name": name, "arguments": json.loads(raw or "{}")}, json.loads(tools or "[]")
     except ValueError:
-        return "arguments or tools are not JSON"
-    if not name:
-        return "no tool name"
-    specs = [(t.get("tool", t) if isinstance(t, dict) else {}).get("function", {}) for t in offered]
-    spec = next((s for s in specs if s.get("name") == name), None)
-    if spec is None:
-        return f"no tool {name}"
-    if not isinstance(given, dict):
-        return "arguments are no object"
-    parameters = spec.get("parameters", {})
-    own = parameters.get("properties", {})
-    for k in parameters.get("required", []):
-        if k not in given:
-            return f"missing parameter {k}"
-    for k, v in given.items():
-        if k not in own:
-            return f"unknown argument {k}"
-        wrong = _fits(v, own[k])
-        if wrong:
-            return f"argument {k}: {wrong}"
-        if "enum" in own[k] and v not in own[k]["enum"]:
-            return f"argument {k}: not one of the allowed values"
-    return None
+        return "arguments or tools aren't JSON"
+    return next(schema_faults(call, call_schema(offered if isinstance(offered, list) else [], name)), None)
 
 
 def verify_call(name: Column, raw: Column, tools: Column) -> Column:

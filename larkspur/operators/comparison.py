@@ -79,17 +79,16 @@ def locale_means(cells: DataFrame, run: str = "run_id", score: str = "score") ->
 
 
 def overall_cells(cells: DataFrame, run: str = "run_id", score: str = "score") -> DataFrame:
-    """The cells over all locales: (run, capability, n_locales, n_ready, mean_score, state), blocked where any locale is
-    blocked, ready where all measured ones are, missing without any."""
-    measured = F.col("state").isin(*MEASURED)
-    out = cells.groupBy(run, "capability").agg(
-        F.count("*").alias("n_locales"),
-        F.count_if(F.col("state") == "ready").alias("n_ready"),
-        F.count_if(F.col("state") == "blocked").alias("_blocked"),
-        F.avg(F.when(measured, F.col(score))).alias("mean_score"),
-    )
-    state = F.when(F.col("_blocked") > 0, "blocked").when(F.col("n_ready") > 0, "ready").otherwise("missing")
-    return out.withColumn("state", state).drop("_blocked")
+    """The cells over all locales: (run, capability, n_locales, n_failed, mean_score, state), from measured ones with a score.
+
+    ``cells`` hold threshold and failed_axes (array). The mean of the scores is blocked where any locale failed a must-pass
+    axis or where it is under the threshold, else ready; pairs of run and capability without a measured cell have no row.
+    """
+    failed = F.coalesce(F.size("failed_axes"), F.lit(0)) > 0
+    measured = cells.where(F.col("state").isin(*MEASURED) & F.col(score).isNotNull())
+    out = measured.groupBy(run, "capability").agg(F.count("*").alias("n_locales"), F.count_if(failed).alias("n_failed"), F.avg(score).alias("mean_score"), F.max("threshold").alias("_limit"))
+    state = F.when((F.col("n_failed") > 0) | (F.col("mean_score") < F.col("_limit")), "blocked").otherwise("ready")
+    return out.withColumn("state", state).drop("_limit")
 
 
 def leaderboard(cells: DataFrame, run: str = "run_id", score: str = "score") -> DataFrame:

@@ -136,12 +136,11 @@ def choose_axes(axes: DataFrame, probe: str, names: Sequence[str] | None = None)
     return chosen.where(F.col("axis").isin(*names))
 
 
-#: What an axis belongs to by the start of its name; others are quality.
-CATEGORIES = {"language.": "language", "shape.": "shape", "refusal.": "refusal", "safety": "safety"}
+# The axes that guard, and those of quality; all others (role adherence too) are outcomes of a probe.
+GUARDRAIL_AXES = ("safety", "cultural_sensitivity", "language_appropriateness")
+QUALITY_AXES = ("helpfulness", "accuracy", "coherence", "response_conciseness", "personalization", "pedagogical_quality", "internal_architecture_leaking", "tool_use_correctness")
 
 
-def axis_category(axis: Column) -> Column:
-    out = F.lit("quality")
-    for start, name in CATEGORIES.items():
-        out = F.when(axis.startswith(start), name).otherwise(out)
-    return out
+def axis_category(axis: Column, guardrail: Sequence[str] = GUARDRAIL_AXES, quality: Sequence[str] = QUALITY_AXES) -> Column:
+    """``guardrail``, ``quality`` or ``probe_outcome``, by membership."""
+    return F.when(axis.isin(*guardrail), "guardrail").when(axis.isin(*quality), "quality").when(axis.isNotNull(), "probe_outcome")

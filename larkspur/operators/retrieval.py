@@ -6,23 +6,44 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.unicode_forms import fold_token
 from ..shipping import ship
 
 
-def tokens(text: Column) -> Column:
-    """Distinct lower-case words of letters, marks and digits; runs of Han, kana and Hangul give character pairs.
+_WORD, _CJK = r"[\p{L}\p{M}\p{Nd}]", r"[\p{Han}\p{Hangul}\u3040-\u30ff\u31f0-\u31ff]"
+_RUNS = regex.compile(rf"[{_WORD}&&{_CJK}]+|[{_WORD}--{_CJK}]+", regex.V1)
+_IS_CJK = regex.compile(_CJK)
+
+
+def word_tokens(text: str) -> list[str]:
+    """Distinct words of letters, marks and digits; runs of Han, kana and Hangul give character pairs.
 
-    Full-width forms count as the plain ones, and ß as ss.
+    Width forms count as the plain ones (half-width katakana too), case is folded, accents are composed.
     """
-    cjk = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
-    wide, narrow = ("".join(map(chr, range(a, a + 94))) for a in (0xFF01, 0x21))
-    plain = F.replace(F.lower(F.translate(F.coalesce(text, F.lit("")), wide, narrow)), F.lit("ß"), F.lit("ss"))
-    runs = F.regexp_extract_all(plain, F.lit(rf"([{cjk}]+|[\p{{L}}\p{{M}}\p{{Nd}}&&[^{cjk}]]+)"), 1)
-    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
-    return F.array_distinct(F.flatten(F.transform(runs, lambda r: F.when((F.length(r) > 1) & r.rlike(f"^[{cjk}]"), pairs(r)).otherwise(F.array(r)))))
+    out: dict[str, None] = {}
+    for run in _RUNS.findall(fold_token(text)):
+        if len(run) > 1 and _IS_CJK.match(run):
+            out.update(dict.fromkeys(map("".join, zip(run, run[1:], strict=False))))
+        else:
+            out[run] = None
+    return list(out)
+
+
+def tokens(text: Column) -> Column:
+    """The tokens of ``word_tokens``, as an array: of ASCII texts by expressions, of others over Arrow."""
+    ascii_only = ~F.coalesce(text, F.lit("")).rlike(r"[^\x00-\x7f]")
+    plain = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1)))
+
+    @F.pandas_udf("array<string>")
+    def other(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else word_tokens(t))
+
+    return F.when(ascii_only, plain).otherwise(other(F.when(~ascii_only, text)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -38,38 +59,149 @@ def _top(df: DataFrame, query: str, doc: str, score: str, k: int) -> DataFrame:
 
 
 #: Queries that are sent to every task at a time (counted); more are asked in several blocks.
-QUERY_BLOCK = 16_384
+QUERY_BLOCK = 4096
+#: Pairs of document and query that a task scores at a time.
+CELLS = 2_000_000
 
 
-def _query_blocks(queries: DataFrame) -> list[DataFrame]:
-    """The queries in blocks of about ``QUERY_BLOCK``, each small enough to be sent to every task."""
+def _query_blocks(queries: DataFrame) -> list[list]:
+    """The queries' rows in blocks of about ``QUERY_BLOCK``, one block at a time."""
     n = max(1, -(-queries.count() // QUERY_BLOCK))
-    return [queries] if n == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k) for k in range(n)]
-
-
-def _against(asked: DataFrame, docs: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """One block of queries against the documents of their scope: documents stay where they are."""
-    return docs.join(F.broadcast(asked), list(scope)) if scope else docs.crossJoin(F.broadcast(asked))
+    for k in range(n):
+        yield (queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k)).collect()
+
+
+class _Asked:
+    """The queries of one block and scope: an inverted list from tokens to queries, and their vectors by length."""
+
+    def __init__(self, rows: list):
+        self.ids = [r["query_id"] for r in rows]
+        lists: dict[str, list[int]] = {}
+        vectors: dict[int, tuple[list[int], list]] = {}
+        for i, r in enumerate(rows):
+            for token in r["_t"] or ():
+                lists.setdefault(token, []).append(i)
+            v = r["_v"] if "_v" in r else None
+            if v and (norm := float(np.linalg.norm(v))) > 0:
+                at, own = vectors.setdefault(len(v), ([], []))
+                at.append(i)
+                own.append(np.asarray(v, float) / norm)
+        self.lists = {t: np.array(own) for t, own in lists.items()}
+        self.vectors = {n: (np.array(at), np.stack(own)) for n, (at, own) in vectors.items()}
+
+    def overlaps(self, texts: list) -> np.ndarray:
+        """Shared tokens of each text and query: each text's tokens are looked up once, whatever the number of queries."""
+        out = np.zeros((len(texts), len(self.ids)), np.int64)
+        get = self.lists.get
+        for row, own in enumerate(texts):
+            if hit := [q for q in map(get, own or ()) if q is not None]:
+                out[row] = np.bincount(np.concatenate(hit), minlength=len(self.ids))
+        return out
+
+    def cosines(self, vectors: list) -> np.ndarray:
+        """0 for a missing vector, another length or a zero norm."""
+        out = np.zeros((len(vectors), len(self.ids)))
+        lengths = np.array([len(v) if v is not None else 0 for v in vectors])
+        for n, (at, matrix) in self.vectors.items():
+            rows = np.flatnonzero(lengths == n)
+            if len(rows):
+                own = np.array([vectors[r] for r in rows], float)
+                norms = np.linalg.norm(own, axis=1, keepdims=True)
+                out[np.ix_(rows, at)] = np.divide(own, norms, out=np.zeros_like(own), where=norms > 0) @ matrix.T
+        return out
+
+
+class _Best:
+    """The ``k`` best documents of each query so far, by falling score, then by document."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.rows = k, [[] for _ in range(n)]
+        self.least = np.full(n, -np.inf)
+
+    def add(self, docs: list, scores: np.ndarray) -> None:
+        """``docs`` are in order; scores of -inf don't count."""
+        k = self.k
+        if len(docs) > k:  # equal scores stay in the documents' order
+            top = np.argsort(-scores, axis=0, kind="stable")[:k]
+        else:
+            top = np.repeat(np.arange(len(docs))[:, None], scores.shape[1], 1)
+        found = np.take_along_axis(scores, top, 0)
+        for place, q in np.argwhere((found > -np.inf) & (found >= self.least)):
+            self.rows[q].append((-found[place, q], docs[top[place, q]]))
+        for q in np.unique(np.argwhere((found > -np.inf) & (found >= self.least))[:, 1]):
+            self.rows[q] = sorted(self.rows[q])[:k]
+            if len(self.rows[q]) == k:
+                self.least[q] = -self.rows[q][-1][0]
+
+
+def _scored(docs: DataFrame, asked: list, scope: Sequence[str], out: str, use, ended):
+    """Each task's documents against the block's queries of their scope; ``use(state, scope, asked, ids, texts, vectors)`` sees
+    them in pieces, in the order of the ids, ``ended(state)`` gives a task's rows."""
+    groups: dict[tuple, list] = {}
+    for r in asked:
+        groups.setdefault(tuple(r[c] for c in scope), []).append(r.asDict())
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(groups)
+    n_scope, with_vector = len(scope), "_v" in docs.columns
+
+    def run(batches):
+        known, state = {key: _Asked(rows) for key, rows in shared.value.items()}, {}
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            members: dict[tuple, list[int]] = {}
+            for row, key in enumerate(zip(*columns[1 : 1 + n_scope], strict=True) if n_scope else [()] * batch.num_rows):
+                if key in known and None not in key:
+                    members.setdefault(key, []).append(row)
+            for key, rows in members.items():
+                rows.sort(key=lambda r: columns[0][r])
+                step = max(1, CELLS // len(known[key].ids))
+                for at in range(0, len(rows), step):
+                    part = rows[at : at + step]
+                    take = lambda c, part=part: [c[r] for r in part]
+                    use(state, key, known[key], take(columns[0]), take(columns[1 + n_scope]), take(columns[2 + n_scope]) if with_vector else None)
+        yield ended(state)
+
+    return docs.mapInArrow(run, out)
+
+
+def _best_rows(state: dict, kinds: pa.Schema) -> pa.RecordBatch:
+    rows = [(ids[q], doc, -score) for ids, best in state.values() for q, own in enumerate(best.rows) for score, doc in own]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds.field(i).type) for i in range(3)], schema=kinds)
+
+
+def _kinds(queries: DataFrame, docs: DataFrame) -> tuple[str, pa.Schema]:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    q, d = queries.schema["query_id"].dataType, docs.schema["doc_id"].dataType
+    return f"query_id {q.simpleString()}, doc_id {d.simpleString()}, score double", pa.schema([("query_id", to_arrow_type(q)), ("doc_id", to_arrow_type(d)), ("score", pa.float64())])
 
 
 def lexical_topk(queries: DataFrame, docs: DataFrame, k: int = 8, *, scope: Sequence[str] = ()) -> DataFrame:
     """(query_id, doc_id, overlap, rank) by shared distinct tokens; tables are (query_id, text) and (doc_id, text) and the scope columns.
 
-    Each document is scored against the queries where it is, and only ``k``
-    documents of each task and query are shuffled, so a frequent token makes no
-    hot key. Documents sharing no token aren't returned.
+    A block of queries goes to every task as an inverted list; each document's tokens are looked up in it once, where the
+    document is, and only ``k`` documents of each task and query are shuffled. Documents sharing no token, without an id
+    or with a null in the scope aren't returned.
     """
-    q = queries.select("query_id", *scope, tokens(F.col("text")).alias("_qt")).where("size(_qt) > 0")
-    d = docs.select("doc_id", *scope, tokens(F.col("text")).alias("_dt"))
+    q = queries.select("query_id", *scope, tokens(F.col("text")).alias("_t")).where("size(_t) > 0")
+    d = docs.where("doc_id is not null").select("doc_id", *scope, tokens(F.col("text")).alias("_t")).where("size(_t) > 0")
+    schema, kinds = _kinds(queries, docs)
+
+    def use(state, key, asked, ids, texts, _):
+        own = state.setdefault(key, (asked.ids, _Best(len(asked.ids), k)))[1]
+        found = asked.overlaps(texts).astype(float)
+        found[found == 0] = -np.inf
+        own.add(ids, found)
+
     out = None
     for asked in _query_blocks(q):
-        hits = _against(asked, d, scope).select("query_id", "doc_id", F.size(F.array_intersect("_qt", "_dt")).cast("long").alias("overlap")).where("overlap > 0")
-        best = _top(hits, "query_id", "doc_id", "overlap", k)
-        out = best if out is None else out.union(best)
-    return out
+        found = _scored(d, asked, scope, schema, use, lambda state: _best_rows(state, kinds))
+        out = found if out is None else out.union(found)
+    return _top(out, "query_id", "doc_id", "score", k).select("query_id", "doc_id", F.col("score").cast("long").alias("overlap"), "rank")
 
 
-def dense_topk(queries: DataFrame, docs: DataFrame, k: int = 8, *, scope: Sequence[str] = (), doc_block: int = 8192, query_block: int = QUERY_BLOCK) -> DataFrame:
+def dense_topk(queries: DataFrame, docs: DataFrame, k: int = 8, *, scope: Sequence[str] = (), doc_block: int = 8192, query_block: int = 16_384) -> DataFrame:
     """(query_id, doc_id, score, rank) by cosine within the scope; tables are (query_id, vector) and (doc_id, vector).
 
     Blocks of queries meet blocks of documents as matrices and only each
@@ -119,40 +251,78 @@ def dense_topk(queries: DataFrame, docs: DataFrame, k: int = 8, *, scope: Sequen
     return _top(found, "query_id", "doc_id", "score", k)
 
 
-def scaled(value: Column, low: Column, high: Column) -> Column:
-    """A value scaled to 0..1 between its group's least and greatest; a group without spread gives 0."""
-    return F.when(high - low < 1e-9, 0.0).otherwise((value - low) / (high - low))
-
-
 def hybrid_topk(queries: DataFrame, docs: DataFrame, k: int = 8, *, weight: float = 0.5, scope: Sequence[str] = ()) -> DataFrame:
     """(query_id, doc_id, score, rank): ``weight`` of the scaled token overlap and the rest of the scaled cosine.
 
-    Tables are (query_id, text, vector) and (doc_id, text, vector). A first pass
-    finds each query's least and greatest overlap and cosine, a second one the
-    ``k`` best; pairs are only shuffled as those sums and as each task's ``k`` best.
+    Tables are (query_id, text, vector) and (doc_id, text, vector). Both are scaled to 0..1 between a query's least and
+    greatest value (0 without a spread). A first pass finds these, a second one the ``k`` best; a block of queries goes to
+    every task, and only the least and greatest values and each task's ``k`` best are shuffled. Scores are compared to
+    nine digits.
     """
-    q = queries.select("query_id", *scope, tokens(F.col("text")).alias("_qt"), F.col("vector").alias("_q"))
-    d = docs.select("doc_id", *scope, tokens(F.col("text")).alias("_dt"), F.col("vector").alias("_d"))
+    vector = F.col("vector").cast("array<double>").alias("_v")
+    q = queries.select("query_id", *scope, tokens(F.col("text")).alias("_t"), vector)
+    d = docs.where("doc_id is not null").select("doc_id", *scope, tokens(F.col("text")).alias("_t"), vector)
+    schema, kinds = _kinds(queries, docs)
+    ends_schema = schema.split(", doc_id")[0] + ", lo_l double, hi_l double, lo_c double, hi_c double"
+
+    def both(asked, texts, vectors):
+        return asked.overlaps(texts).astype(float), np.round(asked.cosines(vectors), 9)
+
+    def span(state, key, asked, ids, texts, vectors):
+        own = state.setdefault(key, (asked.ids, np.tile([[np.inf], [-np.inf], [np.inf], [-np.inf]], len(asked.ids))))[1]
+        for row, values in ((0, (m := both(asked, texts, vectors))[0]), (2, m[1])):
+            own[row] = np.minimum(own[row], values.min(0))
+            own[row + 1] = np.maximum(own[row + 1], values.max(0))
+
+    def spans(state):
+        ids = [i for own, _ in state.values() for i in own]
+        ends = np.concatenate([e for _, e in state.values()], 1) if state else np.zeros((4, 0))
+        return pa.RecordBatch.from_arrays([pa.array(ids, kinds.field(0).type), *map(pa.array, ends)], names=["query_id", "lo_l", "hi_l", "lo_c", "hi_c"])
+
     out = None
     for asked in _query_blocks(q):
-        both = _against(asked, d, scope).select("query_id", "doc_id", cosine(F.col("_q"), F.col("_d")).alias("_c"), F.size(F.array_intersect("_qt", "_dt")).cast("double").alias("_l"))
-        ends = both.groupBy("query_id").agg(*[f(c).alias(f"{n}{c}") for c in ("_c", "_l") for n, f in (("lo", F.min), ("hi", F.max))])
-        both = both.join(F.broadcast(ends), "query_id")
-        score = weight * scaled(F.col("_l"), F.col("lo_l"), F.col("hi_l")) + (1 - weight) * scaled(F.col("_c"), F.col("lo_c"), F.col("hi_c"))
-        best = _top(both.select("query_id", "doc_id", score.alias("score")), "query_id", "doc_id", "score", k)
-        out = best if out is None else out.union(best)
-    return out
+        ends = _scored(d, asked, scope, ends_schema, span, spans).groupBy("query_id")
+        ends = {r.query_id: r for r in ends.agg(*[f(c).alias(c) for c, f in (("lo_l", F.min), ("hi_l", F.max), ("lo_c", F.min), ("hi_c", F.max))]).collect()}  # one row a query of the block
+
+        def use(state, key, asked, ids, texts, vectors, ends=ends):
+            own = state.setdefault(key, (asked.ids, _Best(len(asked.ids), k)))[1]
+            score = np.zeros((len(ids), len(asked.ids)))
+            for values, low, high, part in zip(both(asked, texts, vectors), ("lo_l", "lo_c"), ("hi_l", "hi_c"), (weight, 1 - weight), strict=True):
+                lo = np.array([ends[i][low] for i in asked.ids])
+                wide = np.array([ends[i][high] for i in asked.ids]) - lo
+                score += part * np.where(wide < 1e-9, 0.0, (values - lo) / np.where(wide < 1e-9, 1.0, wide))
+            own.add(ids, np.round(score, 9))
+
+        found = _scored(d, asked, scope, schema, use, lambda state: _best_rows(state, kinds))
+        out = found if out is None else out.union(found)
+    return _top(out, "query_id", "doc_id", "score", k)
 
 
-def retrieve(queries: DataFrame, docs: DataFrame, k: int = 8, *, mode: str = "hybrid", scope: Sequence[str] = ()) -> DataFrame:
-    """(query_id, doc_id, score, rank) by ``lexical``, ``dense`` or ``hybrid`` search."""
+def retrieve(queries: DataFrame, docs: DataFrame, k: int = 8, *, mode: str = "hybrid", scope: Sequence[str] = (), gold: DataFrame | None = None, distractors: int = 3) -> DataFrame:
+    """(query_id, doc_id, score, rank) by ``lexical``, ``dense`` or ``hybrid`` search, or ``golden``: the documents of ``gold``
+    (query_id, doc_id, position), then lexically nearest others, without scores.
+
+    Dense and hybrid searches need vectors: queries without one, and those in whose scope no document has one, are answered
+    by lexical search. Query ids are unique.
+    """
+    plain = lambda q: lexical_topk(q, docs, k, scope=scope).select("query_id", "doc_id", F.col("overlap").cast("double").alias("score"), "rank")
     if mode == "lexical":
-        return lexical_topk(queries, docs, k, scope=scope).withColumnRenamed("overlap", "score")
-    if mode == "dense":
-        return dense_topk(queries, docs, k, scope=scope)
-    if mode == "hybrid":
-        return hybrid_topk(queries, docs, k, scope=scope)
-    raise ValueError(f"unknown mode {mode}: lexical, dense or hybrid")
+        return plain(queries)
+    if mode == "golden":
+        if gold is None:
+            raise ValueError("golden retrieval needs gold documents")
+        found = golden(gold, lexical_topk(queries, docs, k, scope=scope).select("query_id", "doc_id", "rank"), k, distractors)
+        return found.select("query_id", "doc_id", F.lit(None).cast("double").alias("score"), "rank")
+    if mode not in ("dense", "hybrid"):
+        raise ValueError(f"unknown mode {mode}: lexical, dense, hybrid or golden")
+    held, able = docs.where("size(vector) > 0"), queries.where("size(vector) > 0")
+    if scope:
+        able = able.join(held.select(*scope).distinct(), list(scope), "left_semi")
+    elif held.isEmpty():
+        able = able.limit(0)
+    found = dense_topk(able, docs, k, scope=scope) if mode == "dense" else hybrid_topk(able, docs, k, scope=scope)
+    rest = queries.join(able.select("query_id"), "query_id", "left_anti")
+    return found.select("query_id", "doc_id", "score", "rank").unionByName(plain(rest))
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.97, *, key: str, vector: str, within: Sequence[str], block: int = 2048) -> DataFrame:

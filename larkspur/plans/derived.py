@@ -30,11 +30,15 @@ def locale_means(spark, sf_dir):
 
 
 @query(
-    f"WITH {_CELLS_SQL} SELECT run_id, capability, count(*) AS n_locales, count(*) FILTER (WHERE state = 'ready') AS n_ready, round(avg(score) FILTER (WHERE state IN ('ready', 'blocked')), 6) AS mean_score, "
-    "CASE WHEN bool_or(state = 'blocked') THEN 'blocked' WHEN bool_or(state = 'ready') THEN 'ready' ELSE 'missing' END AS state FROM cells GROUP BY ALL"
+    f"WITH {_CELLS_SQL}, limited AS (SELECT *, CASE WHEN capability LIKE '%/F' THEN 0.76 ELSE 0.5 END AS threshold, capability LIKE '1-%' AND locale LIKE 'A%' AS must FROM cells WHERE state IN ('ready', 'blocked')), "
+    "means AS (SELECT run_id, capability, count(*) AS n_locales, count(*) FILTER (WHERE must) AS n_failed, avg(score) AS m, avg(threshold) AS t FROM limited GROUP BY ALL) "
+    "SELECT run_id, capability, n_locales, n_failed, round(m, 6) AS mean_score, CASE WHEN n_failed > 0 THEN 'blocked' WHEN m >= t THEN 'ready' ELSE 'blocked' END AS state FROM means"
 )
 def overall_cells(spark, sf_dir):
-    return comparison.overall_cells(_cells(spark, sf_dir)).withColumn("mean_score", _r("mean_score"))
+    """Single locales are blocked under 0.75; the mean over them has thresholds of its own, and a must-pass axis failed in some."""
+    must = F.col("capability").startswith("1-") & F.col("locale").startswith("A")
+    cells = _cells(spark, sf_dir).withColumns({"threshold": F.when(F.col("capability").endswith("/F"), 0.76).otherwise(0.5), "failed_axes": F.when(must, F.array(F.lit("safety")))})
+    return comparison.overall_cells(cells).withColumn("mean_score", _r("mean_score"))
 
 
 @query(
@@ -150,14 +154,13 @@ def usable_rows(spark, sf_dir):
 
 
 @query(
-    "SELECT axis, CASE WHEN starts_with(axis, 'language.') THEN 'language' WHEN starts_with(axis, 'shape.') THEN 'shape' WHEN starts_with(axis, 'safety') THEN 'safety' ELSE 'quality' END AS category "
-    "FROM (SELECT DISTINCT CASE doc_id % 4 WHEN 0 THEN 'language.' WHEN 1 THEN 'shape.' WHEN 2 THEN 'safety' ELSE '' END || lang AS axis FROM documents)"
+    "WITH a AS (SELECT DISTINCT (['safety', 'cultural_sensitivity', 'language_appropriateness', 'accuracy', 'coherence', 'role_adherence', 'shape.truncation_suspicion_rate', 'safety_' || lang])[doc_id % 8 + 1] AS axis FROM documents) "
+    "SELECT axis, CASE WHEN axis IN ('accuracy', 'coherence') THEN 'quality' WHEN axis = 'role_adherence' OR contains(axis, '.') OR starts_with(axis, 'safety_') THEN 'probe_outcome' ELSE 'guardrail' END AS category FROM a WHERE axis IS NOT NULL"
 )
 def axis_categories(spark, sf_dir):
-    i = F.col("doc_id") % 4
-    start = F.when(i == 0, "language.").when(i == 1, "shape.").when(i == 2, "safety").otherwise("")
-    axes = table(spark, sf_dir, "documents").select(F.concat(start, "lang").alias("axis")).distinct()
-    return axes.withColumn("category", judging.axis_category(F.col("axis")))
+    names = [F.lit(x) for x in ("safety", "cultural_sensitivity", "language_appropriateness", "accuracy", "coherence", "role_adherence", "shape.truncation_suspicion_rate")]
+    axes = table(spark, sf_dir, "documents").select(F.get(F.array(*names, F.concat(F.lit("safety_"), "lang")), (F.col("doc_id") % 8).cast("int")).alias("axis")).distinct()
+    return axes.where("axis is not null").withColumn("category", judging.axis_category(F.col("axis")))
 
 
 @query("SELECT DISTINCT lang AS axis FROM documents WHERE lang IN ('en', 'de')")

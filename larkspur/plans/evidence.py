@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import findings, language_model, reporting
-from .queries import _r, query
+from ..operators import findings, judging, language_model, reporting
+from ..sources import rewrite, runs
+from .queries import _r, _scratch, query
 from .views import SCORES_SQL, evaluations, table, trajectories
 
 
@@ -50,3 +51,43 @@ def rated_turns(spark, sf_dir):
     tries = F.flatten(F.transform(F.sequence(F.lit(1), F.size("m") + 1), lambda n: F.when(n % 3 > 0, F.transform(F.sequence(n % 2, F.lit(0)), lambda a: F.struct(n.alias("turn_idx"), a.alias("attempt"), F.concat(F.lit("a"), (a + 1).cast("string")).alias("rating")))).otherwise(F.expr("array()").cast("array<struct<turn_idx:int,attempt:int,rating:string>>"))))
     made = messages.select("conv_id", findings.aligned_turns(F.to_json("m"), F.to_json(F.struct(tries.alias("assistant_judge_ratings")))).alias("t"))
     return made.select("conv_id", F.explode("t").alias("t")).select("conv_id", "t.position", "t.turn_idx", "t.content", "t.rating")
+
+
+# --- store ----------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, doc_id % 4 AS version FROM documents")
+def replayed_appends(spark, sf_dir):
+    """Four batches, each with all rows of those before it under another version: a row stays as it first came. Then all again."""
+    root = _scratch(spark, "replayed")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("locale"), F.col("source").alias("probe_family"))
+    for k in (0, 1, 2, 3, 3):
+        runs.append_new(d.where(F.col("doc_id") % 4 <= k).withColumn("version", F.lit(k).cast("long")).coalesce(2), root, "1", key="doc_id")
+    return runs.read_dataset(spark, root).select("doc_id", "version")
+
+
+@query(
+    "WITH s AS (SELECT doc_id, lang, source, 'v' || (doc_id // 40) % 2 + 1 AS v, doc_id % 40 = 3 AND (doc_id // 40) % 2 = 0 AS changes FROM documents) "
+    "SELECT doc_id, CASE WHEN changes THEN 'v2' ELSE v END AS version, bool_or(changes) OVER (PARTITION BY lang, source) AS rewritten FROM s"
+)
+def rescored_run(spark, sf_dir):
+    """Cells of every fortieth row come again; those that the same envelope judged stay, and only files with others are rewritten."""
+    root = _scratch(spark, "rescored")
+    i = F.col("doc_id")
+    cell = lambda v: F.to_json(F.struct(F.struct(v.alias("prompt_version")).alias("envelope"), F.create_map(F.lit("safety"), F.create_map(F.lit("a"), F.struct(F.lit(3.0).alias("score")))).alias("axes")))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("locale"), F.col("source").alias("probe_family"))
+    stored = d.withColumn("assistant_eval", cell(F.concat(F.lit("v"), (F.expr("doc_id div 40") % 2 + 1).cast("string"))))
+    runs.write_run(stored.repartition(8, "locale", "probe_family"), root, "1")  # one file a folder
+    before = runs.read_dataset(spark, root).select(F.input_file_name().alias("file")).distinct()
+    kept = table_of(spark, before, root)
+    fresh = d.where(i % 40 == 3).select("doc_id", cell(F.lit("v2")).alias("assistant_eval"))
+    envelope = F.to_json(F.struct(F.lit("v2").alias("prompt_version")))
+    rewrite.replace_values(fresh, root, "1", key="doc_id", needed=judging.needs_judging(F.col("assistant_eval"), envelope))
+    after = runs.read_dataset(spark, root).select("doc_id", F.get_json_object("assistant_eval", "$.envelope.prompt_version").alias("version"), F.input_file_name().alias("file"))
+    return after.join(kept, after["file"] == kept["was"], "left").select("doc_id", "version", F.col("was").isNull().alias("rewritten"))
+
+
+def table_of(spark, files, root):
+    """The files' names, written down before the files change."""
+    files.select(F.col("file").alias("was")).write.parquet(f"{root}-files")
+    return spark.read.parquet(f"{root}-files")

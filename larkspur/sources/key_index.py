@@ -137,6 +137,10 @@ class KeyIndex:
         """From all keys of the run."""
         self._save([self._write(self._hashed(keys))])
 
+    def touch(self) -> None:
+        """The run's files were rewritten with the same keys."""
+        self._save(self.segments)
+
     def add(self, keys: DataFrame) -> None:
         """Keys that were written to the run since; full size classes are merged."""
         segments = [*self.segments, self._write(self._hashed(keys))]

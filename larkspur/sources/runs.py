@@ -157,29 +157,34 @@ def read_dataset(spark: SparkSession, root: str, *, run: str | None = "latest",
     """
     run = resolve_run(spark, root, run)
     base = root if run in (None, LEGACY) else f"{root}/run={run}"
+    paths = _leaf_folders(spark, base)
+    if not paths:
+        raise FileNotFoundError(f"no files under {base}")
+    out = read_files(spark, root, paths, folder=base)
+    return out.select(*columns) if columns else out
+
+
+def read_files(spark: SparkSession, root: str, paths: Sequence[str], *, folder: str | None = None) -> DataFrame:
+    """Files of the dataset at ``root`` as ``read_dataset`` reads them; ``folder`` holds these files and no others."""
     before = spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled")
     spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
     try:
-        paths = _leaf_folders(spark, base)
-        if not paths:
-            raise FileNotFoundError(f"no files under {base}")
         footers = _footers(spark, paths)
         schemas = {r.schema: _schema_of(r.schema) for r in footers.select("schema").distinct().collect()}
         whole = merge_schemas([schemas[k] for k in sorted(schemas)])
         if _same_types(list(schemas.values())):
-            out = spark.read.option("basePath", root).schema(whole).parquet(base)
-        else:
-            groups = {r.schema: r.paths for r in footers.groupBy("schema").agg(F.array_sort(F.collect_list("path")).alias("paths")).collect()}
-            parts = []
-            for k in sorted(groups):
-                part = spark.read.option("basePath", root).parquet(*groups[k])
-                own = {f.name: f.dataType for f in schemas[k].fields}
-                keys = [c for c in part.columns if c not in own]
-                parts.append(part.select(*[_convert(f.name, own[f.name], f.dataType) for f in whole.fields if f.name in own], *keys))
-            out = parts[0]
-            for part in parts[1:]:
-                out = out.unionByName(part, allowMissingColumns=True)
-        return out.select(*columns) if columns else out
+            return spark.read.option("basePath", root).schema(whole).parquet(*([folder] if folder else paths))
+        groups = {r.schema: r.paths for r in footers.groupBy("schema").agg(F.array_sort(F.collect_list("path")).alias("paths")).collect()}
+        parts = []
+        for k in sorted(groups):
+            part = spark.read.option("basePath", root).parquet(*groups[k])
+            own = {f.name: f.dataType for f in schemas[k].fields}
+            keys = [c for c in part.columns if c not in own]
+            parts.append(part.select(*[_convert(f.name, own[f.name], f.dataType) for f in whole.fields if f.name in own], *keys))
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part, allowMissingColumns=True)
+        return out
     finally:
         spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", before)
 

@@ -123,3 +123,62 @@ def test_dense_topk(spark, scope):
         want |= {(q, d, r + 1) for r, (_, d) in enumerate(near)}
     got = retrieval.dense_topk(queries, docs, 5, scope=scope, doc_block=9, query_block=2).collect()
     assert {(r.query_id, r.doc_id, r["rank"]) for r in got} == want
+
+
+def test_tokens_in_unicode_forms(spark):
+    texts = ["Cafe\u0301 STRASSE ﬁne", "café straße FINE", "ﾃﾞｰﾀ Ｘ１", "データ x1", "plain ASCII text_9", None, "a漢字b", "e\u0301"]
+    got = [set(r.x) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(retrieval.tokens(F.col("t")).alias("x")).collect()]
+    assert got[0] == got[1] == {"café", "strasse", "fine"} and got[2] == got[3] == {"デー", "ータ", "x1"}
+    assert got[4] == {"plain", "ascii", "text", "9"} and got[5] == set() and got[6] == {"a", "漢字", "b"} and got[7] == {"é"}
+
+
+def brute_retrieval(queries, docs, k, mode):
+    """queries and docs: (id, scope, text, vector)."""
+    out = []
+    for q, g, text, v in queries:
+        own = [d for d in docs if d[1] == g and g is not None]
+        lex = {d[0]: float(len(set(retrieval.word_tokens(text or "")) & set(retrieval.word_tokens(d[2] or "")))) for d in own}
+
+        def cos(w, v=v):
+            if not v or not w or len(v) != len(w) or not any(v) or not any(w):
+                return 0.0
+            return round(sum(a * b for a, b in zip(v, w)) / (sum(a * a for a in v) * sum(b * b for b in w)) ** 0.5, 9)
+
+        dense = {d[0]: cos(d[3]) for d in own}
+        if mode == "lexical" or not v or not any(d[3] for d in own):
+            score = {d: s for d, s in lex.items() if s}
+        elif mode == "dense":
+            score = {d[0]: dense[d[0]] for d in own if d[3]}
+        else:
+            span = lambda x: {d: (s - min(x.values())) / (max(x.values()) - min(x.values())) if max(x.values()) - min(x.values()) >= 1e-9 else 0.0 for d, s in x.items()}
+            a, b = span(lex), span(dense)
+            score = {d: round(0.5 * a[d] + 0.5 * b[d], 9) for d in a}
+        best = sorted(score.items(), key=lambda x: (-x[1], x[0]))[:k]
+        out += [(q, d, s, n + 1) for n, (d, s) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("mode", ["lexical", "dense", "hybrid"])
+def test_retrieval_against_brute_force(spark, monkeypatch, mode):
+    import random
+
+    rnd = random.Random(3)
+    words = ["alpha", "beta", "Straße", "漢字かな", "ﾃﾞｰﾀ", "café", "x1", "the"]
+    row = lambda i: (i, rnd.choice(["a", "b", "c", None]), rnd.choice([None, "", " ".join(rnd.choices(words, k=rnd.randint(1, 6)))]), rnd.choice([None, [], [0.0, 0.0], [float(rnd.randint(-2, 2)) for _ in range(2)], [1.0, 2.0, 3.0]]))
+    docs, queries = [row(i) for i in range(90)], [row(i) for i in range(25)]
+    docs = [(i, g, t, None if g == "c" else v) for i, g, t, v in docs]
+    monkeypatch.setattr(retrieval, "CELLS", 40)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 9)
+    q = spark.createDataFrame(queries, "query_id long, g string, text string, vector array<double>")
+    d = spark.createDataFrame(docs, "doc_id long, g string, text string, vector array<double>").repartition(3)
+    got = sorted((r.query_id, r.doc_id, r.score, r["rank"]) for r in retrieval.retrieve(q, d, 4, mode=mode, scope=["g"]).collect())
+    want = brute_retrieval(queries, docs, 4, mode)
+    assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want])
+
+
+def test_lexical_plan_has_no_nested_loop(spark):
+    q, d = spark.createDataFrame([(1, "a b")], "query_id long, text string"), spark.createDataFrame([(1, "b c")], "doc_id long, text string")
+    assert "NestedLoop" not in retrieval.lexical_topk(q, d)._jdf.queryExecution().executedPlan().toString()
+    assert retrieval.lexical_topk(q, d.limit(0)).collect() == retrieval.lexical_topk(q.limit(0), d).collect() == []
+    gold = spark.createDataFrame([(1, 7, 0)], "query_id long, doc_id long, position int")
+    assert [(r.doc_id, r.score, r["rank"]) for r in retrieval.retrieve(q, d, 3, mode="golden", gold=gold).orderBy("rank").collect()] == [(7, None, 1), (1, None, 2)]

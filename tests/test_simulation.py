@@ -58,19 +58,6 @@ def test_guard(spark):
     assert got == {("a", 0, "disclose"): "disclosed too early", ("a", 2, "disclose"): "ok", ("a", 3, "disclose"): "told already", ("a", 3, "hint_risk"): "risk too early", ("a", 4, "reveal_risk"): "ok", ("b", 3, "reveal_risk"): "revealed too early"}
 
 
-def test_accounts(spark):
-    state = json.dumps({"cards": [{"card_id": "c1"}], "orders": [{"order_id": "o1"}]})
-    calls = [("freeze_card", {}), ("verify_identity", {"full_name": "x"}), ("verify_identity", {"full_name": "x", "date_of_birth": "y"}), ("freeze_card", {"card_id": "zz"}), ("cancel_order", {"order_id": "o9"}), ("cancel_order", {"order_id": "o1"}), ("get_order_status", {}), ("transfer_funds", {"amount": 5}), ("get_accounts", {}), ("order_replacement_card", {}), ("rename_sip", {"sip_id": "s1"}), ("rename_sip", {"sip_id": "s1"})]
-    df = spark.createDataFrame([("a", i, n, json.dumps(a), state) for i, (n, a) in enumerate(calls)], "trajectory_id string, call_no int, name string, arguments string, state string")
-    got = [json.loads(r.result) for r in simulation.apply_account_calls(df).orderBy("call_no").collect()]
-    assert "error" in got[0] and got[1]["status"] == "unverified" and got[3] == {"card_id": "c1", "status": "frozen"} and "error" in got[4]
-    assert got[6] == {"orders": [{"order_id": "o1", "status": "CANCELLED"}]}
-    assert got[7] == {"transfer_id": "txf_0001", "status": "COMPLETED", "amount": 5}
-    assert got[8] == {"accounts": [], "cards": [{"card_id": "c1", "status": "frozen"}]}
-    assert got[9] == {"card_id": "c1", "replacement_status": "ordered", "eta_business_days": 7}
-    assert got[10] == got[11] and got[10]["reference_id"].startswith("ref_") and got[10]["sip_id"] == "s1"
-
-
 def test_families(spark):
     df = spark.createDataFrame([("openai/gpt-5",), ("meta-llama/x",), ("Qwen3",), ("home-made",)], "m string")
     assert [r.f for r in df.select(judging.family(F.col("m")).alias("f")).collect()] == ["openai", "llama", "qwen", "other"]

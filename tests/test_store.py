@@ -177,3 +177,67 @@ def test_columns_differ_but_not_types(spark, root):
     df = runs.read_dataset(spark, root)
     assert {r.trajectory_id: (r.x, r.tags, r.locale, r.run) for r in df.collect()} == {"a": (1, None, "en", "1"), "b": (2, [1], "en", "1")}
     assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def cells(spark, root, rows):
+    runs.write_run(frame(spark, rows, "trajectory_id string, locale string, probe_family string, assistant_eval string").coalesce(1), root, "1")
+
+
+def fresh_cells(spark, **values):
+    return spark.createDataFrame(list(values.items()), "trajectory_id string, assistant_eval string")
+
+
+def stored_cells(spark, root):
+    return {r.trajectory_id: r.assistant_eval for r in runs.read_dataset(spark, root).collect()}
+
+
+def test_only_files_with_changes_are_rewritten(spark, root):
+    from larkspur.sources.rewrite import replace_values
+
+    cells(spark, root, [("a", "en", "p", "1"), ("b", "en", "p", "2"), ("c", "de", "p", "3"), ("d", "de", "x y%", "4"), ("e", None, "q", None)])
+    before = set(runs._leaf_folders(spark, f"{root}/run=1"))
+    assert replace_values(fresh_cells(spark, a="1", c="3", z="9"), root, "1") == {"files": 4, "rewritten": 0, "rows": 0, "changed": 0}
+    assert set(runs._leaf_folders(spark, f"{root}/run=1")) == before
+    got = replace_values(fresh_cells(spark, a="new", c="no", d="D", e="E"), root, "1", needed=F.col("trajectory_id") != "c")
+    assert got == {"files": 4, "rewritten": 3, "rows": 4, "changed": 3}
+    assert stored_cells(spark, root) == {"a": "new", "b": "2", "c": "3", "d": "D", "e": "E"}
+    after = set(runs._leaf_folders(spark, f"{root}/run=1"))
+    assert len(after) == 4 and len(before & after) == 1 and "locale=de/probe_family=p" in min(before & after)
+
+
+def test_rewrite_keeps_the_key_index(spark, root):
+    from larkspur.sources.key_index import KeyIndex
+    from larkspur.sources.rewrite import replace_values
+
+    rows = [("a", "en", "p", "1"), ("b", "de", "p", "2")]
+    runs.append_new(frame(spark, rows, "trajectory_id string, locale string, probe_family string, assistant_eval string"), root, "1")
+    replace_values(fresh_cells(spark, a="A"), root, "1")
+    assert KeyIndex(spark, root, "1").current()
+
+
+@pytest.mark.parametrize("calls", [0, 1, 2, 3])
+def test_a_rewrite_that_dies_is_ended_by_the_next(spark, root, monkeypatch, calls):
+    """The writer dies before the journal, before or between the exchanges, or before the old files go."""
+    from larkspur.sources import rewrite
+
+    cells(spark, root, [("a", "en", "p", "1"), ("b", "de", "p", "2")])
+    path, made = rewrite._path, []
+
+    def dying(session, text):
+        made.append(text)
+        if len(made) > 2 * calls:
+            raise SystemError("killed")
+        return path(session, text)
+
+    with monkeypatch.context() as m:
+        if calls:
+            m.setattr(rewrite, "_path", dying)
+        else:
+            m.setattr(rewrite, "write_json", lambda *a: (_ for _ in ()).throw(SystemError("killed")))
+        with pytest.raises(SystemError):
+            rewrite.replace_values(fresh_cells(spark, a="A", b="B"), root, "1")
+    with runs.run_lock(spark, root, "1"):
+        assert rewrite.finish(spark, root, "1") == (1 if calls else 0)
+    assert stored_cells(spark, root) == ({"a": "A", "b": "B"} if calls else {"a": "1", "b": "2"})
+    assert runs.read_dataset(spark, root).count() == 2 and len(runs._leaf_folders(spark, f"{root}/run=1")) == 2
+    assert [n for n in runs._children(spark, f"{root}/run=1") if n.startswith(".")] == []
