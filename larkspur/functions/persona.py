@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .identity import hash_fraction
@@ -11,19 +13,54 @@ from .identity import hash_fraction
 TRAITS = ("openness", "conscientiousness", "extraversion", "agreeableness", "neuroticism")
 AGE_TAGS = ((17, "age:under-18"), (24, "age:18-24"), (44, "age:25-44"), (64, "age:45-64"), (200, "age:65+"))
 EDUCATION = {
-    "primary": ["no schooling", "primary", "elementary", "no qualifications"],
-    "secondary": ["middle", "high school", "associate", "gcse", "apprenticeship", "a level", "berufsausbildung"],
-    "tertiary": ["bachelor", "master", "doctor", "phd", "postgraduate", "higher education", "fachschul"],
+    "primary": ["no schooling", "primary", "elementary", "ensino fundamental", "no qualifications"],
+    "secondary": ["middle", "high school", "ensino médio", "ensino medio", "associate", "gcse", "apprenticeship", "a level", "ohne beruflichen bildungsabschluss", "berufsausbildung"],
+    "tertiary": ["bachelor", "ensino superior", "graduação", "graduacao", "master", "doctor", "phd", "postgraduate", "pós-graduação", "pos-graduacao", "higher education", "fachschul"],
 }
+#: (words in an occupation, family, interests); the first that is found decides.
 OCCUPATIONS = (
-    ("software", "technology", ["interest:technology"]),
-    ("nurse", "health", ["interest:health"]),
-    ("teacher", "education", ["interest:education"]),
-    ("farmer", "agriculture", ["interest:nature"]),
-    ("engineer", "technology", ["interest:technology"]),
-    ("driver", "transport", ["interest:travel"]),
-    ("manager", "business", ["interest:business"]),
+    ("teacher", "teacher", ["interest:literature", "interest:history"]),
+    ("professor docente", "teacher", ["interest:literature"]),
+    ("student estudante", "student", ["interest:literature"]),
+    ("nurse enfermeir doctor médico medico", "healthcare", ["interest:health"]),
+    ("entrepreneur empresári empreendedor self-employed shopkeeper comerciante", "small-business", []),
+    ("engineer engenheir", "engineering", ["interest:geography"]),
+    ("farmer agricultor", "agriculture", ["interest:geography"]),
+    ("journalist jornalista", "media", ["interest:history", "interest:literature"]),
+    ("musician músic artist artista", "arts", ["interest:music"]),
+    ("writer escritor", "arts", ["interest:literature"]),
+    ("retired aposentad", "retired", []),
+    ("homemaker housewife dona_de_casa", "homemaker", []),
+    ("kinderpfleger erzieher", "teacher", ["interest:education"]),
+    ("lehrer", "teacher", ["interest:literature", "interest:history"]),
+    ("krankenpfleg altenpfleg gesundheitspfleg heilerziehungspfleg behindertenpfleg pflegefach pflegeassist pflegehelf pflegedienst _pflege schwester nachtwache ärzt arzt", "healthcare", ["interest:health"]),
+    ("unternehmer", "small-business", []),
+    ("ingenieur", "engineering", ["interest:geography"]),
+    ("landwirt", "agriculture", ["interest:geography"]),
+    ("musiker künstler", "arts", ["interest:music"]),
+    ("schriftsteller", "arts", ["interest:literature"]),
 )
+# Regions by locale, each with the names and codes of the places in it.
+REGIONS = {
+    "pt_BR": {
+        "north": "AM Amazonas, PA Pará, AC Acre, RO Rondônia, RR Roraima, AP Amapá, TO Tocantins",
+        "northeast": "BA Bahia, PE Pernambuco, CE Ceará, MA Maranhão, PB Paraíba, RN Rio Grande do Norte, AL Alagoas, SE Sergipe, PI Piauí",
+        "central-west": "GO Goiás, MT Mato Grosso, MS Mato Grosso do Sul, DF Distrito Federal",
+        "southeast": "SP São Paulo, RJ Rio de Janeiro, MG Minas Gerais, ES Espírito Santo",
+        "south": "RS Rio Grande do Sul, SC Santa Catarina, PR Paraná",
+    },
+    "en_GB": {
+        "england": "North East, North West, Yorkshire and the Humber, East Midlands, West Midlands, East of England, London, South East, South West",
+        "scotland": "Scotland",
+        "wales": "Wales",
+        "northern-ireland": "Northern Ireland",
+    },
+    "de_DE": {
+        "baden-wuerttemberg": "Baden-Württemberg", "bayern": "Bayern", "berlin": "Berlin", "brandenburg": "Brandenburg", "bremen": "Bremen", "hamburg": "Hamburg", "hessen": "Hessen",
+        "mecklenburg-vorpommern": "Mecklenburg-Vorpommern", "niedersachsen": "Niedersachsen", "nordrhein-westfalen": "Nordrhein-Westfalen", "rheinland-pfalz": "Rheinland-Pfalz",
+        "saarland": "Saarland", "sachsen": "Sachsen", "sachsen-anhalt": "Sachsen-Anhalt", "schleswig-holstein": "Schleswig-Holstein", "thueringen": "Thüringen",
+    },
+}
 BROAD_TAGS = ("region:any", "age:any", "interest:geography", "interest:history")
 HIGH_EDUCATION = ("master", "doctor", "phd", "bachelor", "graduate", "university")
 LOW_EDUCATION = ("illiterate", "no_formal", "less_than", "below_primary")
@@ -118,8 +155,8 @@ def persona_tags(age: Column, education: Column, occupation: Column, region: Col
         level = F.when(F.contains(e, F.lit(word)), f"education:{name}").otherwise(level)
     o = F.lower(F.trim(occupation))
     work = F.expr("array()").cast("array<string>")
-    for word, family, interests in reversed(OCCUPATIONS):
-        work = F.when(F.contains(o, F.lit(word)), F.array(F.lit(f"occupation-family:{family}"), *[F.lit(i) for i in interests])).otherwise(work)
+    for words, family, interests in reversed(OCCUPATIONS):
+        work = F.when(_any(o, [w.replace("_", " ") for w in words.split()]), F.array(F.lit(f"occupation-family:{family}"), *[F.lit(i) for i in interests])).otherwise(work)
     single = [F.lit(t) for t in BROAD_TAGS] + [age_tag, level] + ([F.concat(F.lit("region:"), F.lower(F.trim(region)))] if region is not None else [])
     tags = F.concat(F.filter(F.array(*single), lambda t: t.isNotNull()), work)
     return F.array_sort(F.array_distinct(tags))
@@ -134,3 +171,41 @@ def persona_text(**fields: Column) -> Column:
 def location_text(*parts: Column) -> Column:
     """Parts that aren't blank, each once, joined by commas."""
     return F.array_join(F.array_distinct(F.filter(F.array(*[F.trim(p.cast("string")) for p in parts]), lambda p: p.isNotNull() & (p != ""))), ", ")
+
+
+def place_name(name: Column) -> Column:
+    """A place's name as it's compared: lower case, without accents, one space between words."""
+    accents = "áàâãäåéèêëíìîïóòôõöúùûüýÿçñ", "aaaaaaeeeeiiiiooooouuuuyycn"
+    return F.trim(F.regexp_replace(F.translate(F.lower(name), *accents), r"[\s,;/()]+", " "))
+
+
+def gazetteer(spark: SparkSession, regions: dict[str, dict[str, str]] = REGIONS) -> DataFrame:
+    """(locale, name, region) of a table of regions; a leading code of two capitals is a name of its own."""
+    rows = []
+    for locale, own in regions.items():
+        for region, places in own.items():
+            for place in places.split(", "):
+                code = place[:2] if len(place) > 3 and place[:2].isupper() and place[2] == " " else None
+                rows += [(locale, n, region) for n in ([code, place[3:]] if code else [place])]
+    return spark.createDataFrame(rows, "locale string, name string, region string").select("locale", place_name(F.col("name")).alias("name"), "region")
+
+
+def regions(people: DataFrame, places: DataFrame, *, fields: Sequence[str], locale: str = "locale", out: str = "region_tag") -> DataFrame:
+    """``people`` with the region of the place that a field names: the first field that names one, in it the longest name.
+
+    ``places``: (locale, name, region), names as ``place_name`` gives them, each once a locale. A field names a place if it is
+    that name or begins with its words; so the beginnings of a field, as many words long as names are, join the table by
+    equality. Distinct fields are looked up once. Null where nothing is named.
+    """
+    longest = places.agg(F.max(F.size(F.split("name", " ")))).first()[0] or 1
+    named = F.array(*[F.struct(F.lit(i).alias("i"), place_name(F.col(f).cast("string")).alias("t")) for i, f in enumerate(fields)])
+    texts = people.select(F.col(locale).alias("_l"), F.explode(named).alias("f")).select("_l", F.col("f.t").alias("_t")).where("_t <> ''").distinct()
+    begins = F.transform(F.sequence(F.lit(1), F.least(F.size(F.split("_t", " ")), F.lit(longest))), lambda n: F.array_join(F.slice(F.split("_t", " "), F.lit(1), n), " "))
+    met = texts.withColumn("_b", F.explode(begins)).join(places.select(F.col("locale").alias("_pl"), F.col("name").alias("_b"), "region"), "_b").where("_l = _pl")
+    best = met.groupBy("_l", "_t").agg(F.max_by("region", F.length("_b")).alias("_r"))
+    rows = people
+    for i, f in enumerate(fields):
+        one = best.select(F.col("_l").alias(f"_l{i}"), F.col("_t").alias(f"_t{i}"), F.col("_r").alias(f"_r{i}"))
+        rows = rows.join(one, (F.col(locale) == F.col(f"_l{i}")) & (place_name(F.col(f).cast("string")) == F.col(f"_t{i}")), "left").drop(f"_l{i}", f"_t{i}")
+    found = [f"_r{i}" for i in range(len(fields))]
+    return rows.withColumn(out, F.coalesce(*found)).drop(*found)

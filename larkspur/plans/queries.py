@@ -821,12 +821,15 @@ def interaction_style(spark, sf_dir):
 
 
 @query(
-    "SELECT c_custkey, array_to_string(list_sort(['region:any', 'age:any', 'interest:geography', 'interest:history', CASE WHEN a <= 17 THEN 'age:under-18' WHEN a <= 24 THEN 'age:18-24' WHEN a <= 44 THEN 'age:25-44' WHEN a <= 64 THEN 'age:45-64' ELSE 'age:65+' END] || "
-    "CASE WHEN c_mktsegment = 'MACHINERY' THEN ['occupation-family:technology', 'interest:technology'] ELSE [] END), ',') AS tags FROM (SELECT *, c_custkey % 90 AS a FROM customer)"
+    "SELECT c_custkey, array_to_string(list_sort(list_distinct(['region:any', 'age:any', 'interest:geography', 'interest:history', CASE WHEN a <= 17 THEN 'age:under-18' WHEN a <= 24 THEN 'age:18-24' WHEN a <= 44 THEN 'age:25-44' WHEN a <= 64 THEN 'age:45-64' ELSE 'age:65+' END] || "
+    "CASE c_mktsegment WHEN 'MACHINERY' THEN ['occupation-family:engineering'] WHEN 'BUILDING' THEN ['occupation-family:healthcare', 'interest:health'] WHEN 'FURNITURE' THEN ['occupation-family:teacher', 'interest:literature', 'interest:history'] ELSE [] END || "
+    "CASE a % 4 WHEN 0 THEN ['education:tertiary'] WHEN 1 THEN ['education:secondary'] WHEN 2 THEN ['education:primary'] ELSE [] END)), ',') AS tags FROM (SELECT *, c_custkey % 90 AS a FROM customer)"
 )
 def persona_tags(spark, sf_dir):
-    job = F.when(F.col("c_mktsegment") == "MACHINERY", "Engineer").otherwise("none")
-    tags = persona.persona_tags((F.col("c_custkey") % 90).cast("string"), F.lit(None).cast("string"), job)
+    job = F.when(F.col("c_mktsegment") == "MACHINERY", "Chief Engineer").when(F.col("c_mktsegment") == "BUILDING", "Krankenpflegerin").when(F.col("c_mktsegment") == "FURNITURE", "art teacher, retired").otherwise("driver")
+    a = F.col("c_custkey") % 90
+    school = F.when(a % 4 == 0, "Ensino superior completo").when(a % 4 == 1, "Duale Berufsausbildung").when(a % 4 == 2, "no schooling").otherwise("unknown")
+    tags = persona.persona_tags(a.cast("string"), school, job)
     return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(tags, ",").alias("tags"))
 
 
@@ -961,4 +964,4 @@ def windowed_counts(spark, sf_dir):
     return count(e, time="ts", by="event_type", width="1 hour", delay="1 hour").select(F.col("window.start").alias("hour"), "event_type", "n")
 
 
-from . import derived, evidence, mentions  # noqa: E402, F401  (their queries are added to the same tables)
+from . import derived, evidence, mentions, picks  # noqa: E402, F401  (their queries are added to the same tables)

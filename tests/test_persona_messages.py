@@ -36,7 +36,9 @@ def test_frustration(spark, style, turn, failures, patience, want):
 
 def test_tags(spark):
     got = one(spark, persona.persona_tags(F.col("a"), F.col("e"), F.col("o"), F.lit("South")), a="30", e="Masters degree", o="Software engineer")
-    assert got == sorted({*persona.BROAD_TAGS, "age:25-44", "education:tertiary", "occupation-family:technology", "interest:technology", "region:south"})
+    assert got == sorted({*persona.BROAD_TAGS, "age:25-44", "education:tertiary", "occupation-family:engineering", "interest:geography", "region:south"})
+    for job, family in (("Krankenpflegerin", "healthcare"), ("Leitung Pflege", "healthcare"), ("Baumpfleger", None), ("dona de casa", "homemaker"), ("Enfermeira", "healthcare"), ("art teacher", "teacher")):
+        assert [x for x in one(spark, persona.persona_tags(F.lit("30"), F.lit(None).cast("string"), F.col("o")), o=job) if x.startswith("occ")] == ([f"occupation-family:{family}"] if family else [])
     assert one(spark, persona.persona_tags(F.col("a"), F.col("a"), F.col("a")), a=None) == sorted(persona.BROAD_TAGS)
 
 
