@@ -142,6 +142,28 @@ def brute_lines(rows, least=line_dedup.MIN_WORDS):
     return sorted(out, key=str)
 
 
+def test_repeated_runs_are_maximal(spark):
+    """Every run follows its first copy and can't be made longer on either side; together they hold all lines that go."""
+    rnd = random.Random(6)
+    passage = [f"line number {k} of the passage" for k in range(37)]
+    rows = [(k, "\n".join([f"own line of document {k} is here", *passage[rnd.randint(0, 5) : rnd.randint(20, 37)], "", f"end of {k} and nothing else"])) for k in range(12)]
+    rows += [(50, "\n".join(passage)), (51, "\n".join(passage[:9] + passage[:9])), (None, "\n".join(passage[30:]))]
+    lines = {i: [x for x in t.split("\n") if x.strip()] for i, t in rows}
+    runs = line_dedup.repeated_runs(frame(spark, rows)).collect()
+    order = lambda i: (i is not None, i or 0)
+    gone = defaultdict(set)
+    for r in runs:
+        a, b, n = lines[r.doc], lines[r.first_doc], r.n_lines
+        assert a[r.start : r.start + n] == b[r.first_start : r.first_start + n] and (order(r.first_doc), r.first_start) < (order(r.doc), r.start)
+        ahead = r.start + n < len(a) and r.first_start + n < len(b) and a[r.start + n] == b[r.first_start + n]
+        # what lies ahead on this copy belongs to a longer run of another one
+        assert not ahead or any(o.doc == r.doc and o.start <= r.start + n < o.start + o.n_lines for o in runs)
+        gone[r.doc] |= set(range(r.start, r.start + n))
+    assert max(r.n_lines for r in runs) >= 20
+    want = {i: g for i, _, _, g in brute_lines(rows)}
+    assert {i: len(gone[i]) for i in lines} == want
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_lines(spark, seed):
     rnd = random.Random(seed)
