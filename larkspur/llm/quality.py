@@ -190,7 +190,9 @@ def _fit_on(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, fit_
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, WIDTH), pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), lists], names=["id", "p", "only_p", "x"])
 
-    table = picked.select("id", "text", "p", "only_p").mapInArrow(run, f"id {kind}, p boolean, only_p boolean, x array<double>").toArrow().sort_by("id")
+    made = picked.select("id", "text", "p", "only_p").mapInArrow(run, f"id {kind}, p boolean, only_p boolean, x array<double>")
+    # rows that share an id are one row of the fit, so that it stays within its bound
+    table = made.groupBy("id", "p", "only_p").agg(F.min("x").alias("x")).toArrow().sort_by("id")
     if not table.num_rows:
         return None
     x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
@@ -209,7 +211,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
     Only labels outside the held-out fold are learnt from; of several labels of
     one document the lowest counts, and null labels are no labels. At most
-    ``fit_rows`` positives and as many unlabelled documents enter the fit.
+    ``fit_rows`` positives and as many unlabelled documents enter the fit; rows
+    that share an id enter it as one, the one with the least statistics.
     Without any learnable positive every score is 0.5. Null texts score like
     empty ones; repeated rows are kept; other columns are ignored; an empty
     table gives an empty result.

@@ -419,6 +419,22 @@ def test_held_out_accuracy(spark):
     assert kept == {r.doc_id for r in got if r.predicted}
 
 
+def test_repeated_ids_are_one_row_of_the_fit(spark, monkeypatch):
+    from larkspur.llm import quality
+
+    rnd = random.Random(1)
+    texts = [" ".join(rnd.choices(["some", "plain", "words", "here", "and", "there"], k=rnd.randint(3, 60))) for _ in range(60)] + ["very long " * 200_000]
+    rows = [(i % 20, t) for i, t in enumerate(texts)] + [(7, "copied row")] * 300 + [(7, None)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id bigint, quality int, toxic int")
+    sizes, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda p, u: sizes.append((len(p), len(u))) or fit(p, u))
+    got = score_quality(frame(spark, rows), labels).collect()
+    assert len(got) == len(rows) and len({r.score for r in got if r.doc_id == 7}) > 1
+    assert sizes[0][0] <= 10 and sizes[0][1] <= 20
+    again = score_quality(frame(spark, rows).repartition(7), labels).collect()
+    assert sorted((r.doc_id, round(r.score, 9)) for r in again) == sorted((r.doc_id, round(r.score, 9)) for r in got)
+
+
 def test_quality_without_labels(spark):
     docs = frame(spark, [(1, None), (None, "some text"), (3, ""), (3, "")])
     labels = spark.createDataFrame([(1, None)], "doc_id bigint, quality int")
