@@ -102,6 +102,33 @@ def item_means(entries: DataFrame, key: str, axes: Sequence[str], *, tag: str =
     return made.select(key, "axis", "n", "score", lowest.alias("lowest"))
 
 
+def item_reasons(entries: DataFrame, key: str, axes: Sequence[str], *, tag: str = "item_id", place: str = "position", scores: str = "scores", unit: tuple[str, str] = ("fact", "facts"), quoted: int = 2) -> DataFrame:
+    """(key, axis, n, score, reasoning): a trajectory's mean per axis over its items, three digits, and why.
+
+    ``scores`` maps an axis to (score, reasoning). One item's own reason is the reason; of several, the ``quoted`` lowest that
+    have one are quoted with item and score, in the items' order where equal. Without any score the score is null. A
+    trajectory's items are few, so they are listed as a whole.
+    """
+    number = lambda s: F.when(s == F.floor(s), F.floor(s).cast("string")).otherwise(F.format_string("%.1f", s))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    each = F.array(*[F.struct(F.lit(a).alias("axis"), F.element_at(scores, a).alias("s")) for a in axes])
+    rows = entries.select(key, F.col(place).alias("_p"), text(F.col(tag)).alias("_t"), F.explode(each).alias("x"))
+    score = F.nanvl(F.col("x.s.score").cast("double"), F.lit(None).cast("double"))
+    rows = rows.select(key, "x.axis", F.when(score.isNotNull(), F.struct(score.alias("s"), (text(F.col("x.s.reasoning")) == "").alias("none"), F.col("_p").alias("p"), F.col("_t").alias("t"), text(F.col("x.s.reasoning")).alias("r"))).alias("e"))
+    made = rows.groupBy(key, "axis").agg(F.count("e").alias("n"), F.round(F.avg("e.s"), 3).alias("score"), F.array_sort(F.collect_list("e")).alias("_e"))
+    only = F.get("_e", 0)
+    tagged = only["t"] != ""
+    alone = F.when(only["r"] != "", F.when(tagged, F.concat(F.lit("["), only["t"], F.lit("] "), only["r"])).otherwise(only["r"])).otherwise(
+        F.concat(F.lit("score="), number(only["s"]), F.when(tagged, F.concat(F.lit(f" on {unit[0]} '"), only["t"], F.lit("'"))).otherwise(""))
+    )
+    low = F.slice(F.filter("_e", lambda e: ~e["none"]), 1, quoted)
+    bullets = F.array_join(F.transform(low, lambda e: F.concat(F.lit('\n• "'), F.when(e["t"] == "", "?").otherwise(e["t"]), F.lit('" (score='), number(e["s"]), F.lit("): "), e["r"])), "")
+    mean = F.concat(F.lit("Mean "), F.col("score").cast("string"), F.lit(" across "), F.col("n").cast("string"), F.lit(f" {unit[1]}."))
+    several = F.when(F.size(low) > 0, F.concat(mean, F.lit(" Lowest scoring:"), bullets)).otherwise(mean)
+    reason = F.when(F.col("n") == 0, f"no per-{unit[0]} scores").when(F.col("n") == 1, alone).otherwise(several)
+    return made.select(key, "axis", "n", "score", reason.alias("reasoning"))
+
+
 def scorecard(docs: DataFrame, axes: Sequence[str], *, key: str = "id", floor: float = 3.0) -> tuple[DataFrame, DataFrame]:
     """(per document: key, axes as numbers, is_low; one row: mean_<axis>, n_docs, n_low). Text that isn't a number has no score."""
     per_doc = docs.select(key, *[F.col(a).try_cast("double").alias(a) for a in axes])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import persona
-from ..operators import picks
+from ..operators import judging, picks, populations
 from .queries import query
 from .views import table
 
@@ -60,3 +60,48 @@ def gazetteer_regions(spark, sf_dir):
     of = F.col("c_nationkey") % 3
     people = table(spark, sf_dir, "customer").select("c_custkey", F.get(F.array(*[F.lit(x) for x in _PLACES]), of.cast("int")).alias("locale"), F.get(F.get(places, of.cast("int")), (F.col("c_custkey") % 6).cast("int")).alias("region"))
     return persona.regions(people, persona.gazetteer(spark), fields=["region"]).select("c_custkey", "region_tag")
+
+
+# --- populations and items ---------------------------------------------------------------------------------
+
+
+@query(
+    "WITH l AS (SELECT unnest(['a', 'b', 'c', 'd']) AS conversation_locale, unnest(['BUILDING', 'Angrezi', 'MACHINERY', 'NOWHERE']) AS language) "
+    "SELECT conversation_locale, 'c_mktsegment' AS language_column, language, count(c_custkey) AS eligible_rows, (SELECT count(*) FROM customer) AS total_rows, round(100.0 * count(c_custkey) / (SELECT count(*) FROM customer), 6) AS eligible_percent "
+    "FROM l LEFT JOIN (SELECT c_custkey, CASE WHEN c_mktsegment = 'FURNITURE' THEN 'Angrezi' ELSE c_mktsegment END AS c_mktsegment FROM customer) c ON c.c_mktsegment = l.language GROUP BY ALL"
+)
+def language_populations(spark, sf_dir):
+    """Segments play languages; one is spelled in the corpus' own way."""
+    people = table(spark, sf_dir, "customer").withColumn("c_mktsegment", F.when(F.col("c_mktsegment") == "FURNITURE", "Angrezi").otherwise(F.col("c_mktsegment")))
+    tables = {"labels": {"a": "BUILDING Latin", "b": "Indian English", "c": "MACHINERY", "d": "NOWHERE", "e": ""}, "corpora": {"own": populations.Corpus("c_mktsegment", {"English": "Angrezi"})}}
+    made = populations.language_populations(people, ["a", "b", "c", "d", "e"], "own", **tables)
+    return made.withColumn("eligible_percent", F.round("eligible_percent", 6))
+
+
+@query(
+    "WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') || CASE WHEN role = 'assistant' AND turn % 3 = 0 THEN chr(10) || '[{\"name\":\"f' || turn || '\"}]' ELSE '' END AS t FROM conversations WHERE role IN ('user', 'assistant')), "
+    "w AS (SELECT conv_id, role, sum(length(t)) + count(*) - 1 AS n FROM m GROUP BY ALL), c AS (SELECT DISTINCT conv_id FROM conversations), "
+    "a AS (SELECT * FROM (VALUES ('assistant_model', 'assistant'), ('user_model', 'user'), ('api_response_model', 'tool')) v(alias, role)) "
+    "SELECT alias, count(*) AS n_rows, 0 AS n_unreadable, CAST(coalesce(sum(n), 0) AS BIGINT) AS visible_tokens FROM c CROSS JOIN a LEFT JOIN w ON w.conv_id = c.conv_id AND w.role = a.role GROUP BY alias"
+)
+def shown_characters(spark, sf_dir):
+    """What each alias shows, tool calls too, in characters."""
+    c = table(spark, sf_dir, "conversations")
+    calls = F.when((F.col("role") == "assistant") & (F.col("turn") % 3 == 0), F.array(F.struct(F.concat(F.lit("f"), F.col("turn").cast("string")).alias("name"))))
+    one = F.struct("turn", F.struct("role", F.col("text").alias("content"), calls.alias("tool_calls")).alias("m"))
+    rows = c.groupBy("conv_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["m"])).alias("conversation_messages"))
+    return populations.visible_tokens(rows, count=F.length)
+
+
+@query(
+    "WITH i AS (SELECT doc_id // 4 AS t, doc_id % 4 AS p, source AS item, CASE WHEN doc_id % 7 > 0 THEN doc_id % 5 + 1 END AS s, CASE WHEN doc_id % 3 > 0 THEN 'because ' || doc_id ELSE '' END AS r FROM documents), "
+    "k AS (SELECT DISTINCT t FROM i), h AS (SELECT * FROM i WHERE s IS NOT NULL), a AS (SELECT t, count(*) AS n, round(avg(s), 3) AS m FROM h GROUP BY t), "
+    "q AS (SELECT t, string_agg(chr(10) || '• \"' || item || '\" (score=' || s || '): ' || r, '' ORDER BY s, p) AS b FROM (SELECT * FROM h WHERE r <> '' QUALIFY row_number() OVER (PARTITION BY t ORDER BY s, p) <= 2) GROUP BY t) "
+    "SELECT k.t, 'accuracy' AS axis, coalesce(n, 0) AS n, m AS score, CASE WHEN n IS NULL THEN 'no per-fact scores' WHEN n = 1 THEN (SELECT min(CASE WHEN r = '' THEN 'score=' || s || ' on fact ''' || item || '''' ELSE '[' || item || '] ' || r END) FROM h WHERE h.t = k.t) "
+    "ELSE 'Mean ' || m || ' across ' || n || ' facts.' || coalesce(' Lowest scoring:' || b, '') END AS reasoning FROM k LEFT JOIN a ON k.t = a.t LEFT JOIN q ON k.t = q.t"
+)
+def item_reasons(spark, sf_dir):
+    i = F.col("doc_id")
+    cell = F.struct(F.when(i % 7 > 0, (i % 5 + 1).cast("double")).alias("score"), F.when(i % 3 > 0, F.concat(F.lit("because "), i.cast("string"))).otherwise("").alias("reasoning"))
+    entries = table(spark, sf_dir, "documents").select(F.expr("doc_id div 4").alias("t"), (i % 4).alias("position"), F.col("source").alias("item_id"), F.create_map(F.lit("accuracy"), cell).alias("scores"))
+    return judging.item_reasons(entries, "t", ["accuracy"])
