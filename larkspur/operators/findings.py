@@ -98,14 +98,14 @@ def transcript(messages: Column) -> Column:
     )
 
 
-def aligned_turns(messages: Column, metadata: Column) -> Column:
-    """The assistant's turns (position in the transcript, turn_idx from 1) with the rating that their number has, if any."""
+def aligned_turns(messages: Column, metadata: Column, first: int = 0) -> Column:
+    """The assistant's turns (position in the transcript, turn_idx from ``first``) with the rating that their number has, if any."""
     said = F.filter(F.transform(transcript(messages), lambda m, i: F.struct(i.alias("position"), m.alias("m"))), lambda x: (x["m"]["role"] == "assistant") & ~x["m"]["tool_envelope"])
     ratings = turn_ratings(metadata)
     return F.transform(
         said,
         lambda x, i: F.struct(
-            x["position"].alias("position"), (i + 1).alias("turn_idx"), x["m"]["content"].alias("content"), F.get(F.filter(ratings, lambda r: r["turn_idx"] == i + 1), 0)["rating"].alias("rating")
+            x["position"].alias("position"), (i + first).alias("turn_idx"), x["m"]["content"].alias("content"), F.get(F.filter(ratings, lambda r: r["turn_idx"] == i + first), 0)["rating"].alias("rating")
         ),
     )
 

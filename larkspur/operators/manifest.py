@@ -11,6 +11,10 @@ from ..functions.cells import parse_outcome
 from ..sources.runs import exists, list_runs, read_json, write_json
 
 
+#: The kind of a run that holds sampled rows.
+SAMPLED = "sampled"
+
+
 def run_aggregates(df: DataFrame, *, outcome: str = "simulation_outcome") -> DataFrame:
     """(section, key, value): counts by status, failure class, locale and locale:probe, probe variants, prompt and bank versions (the first by id)."""
     o = parse_outcome(F.col(outcome))
@@ -68,6 +72,16 @@ def latest_run_where(spark: SparkSession, root: str, keep) -> str | None:
     return None
 
 
+def sampled_run_to_resume(spark: SparkSession, root: str) -> str | None:
+    """The newest run of sampled rows, which a resumed simulation goes on with; a run without a record,
+    made before there were any, counts as one."""
+    for run in reversed(list_runs(spark, root)):
+        path = f"{root}/run={run}/_run.json"
+        if not exists(spark, path) or read_json(spark, path).get("kind") == SAMPLED:
+            return run
+    return None
+
+
 def comparison_runs(spark: SparkSession, root: str, wanted: Sequence[str] | None = None, name: str = "_report.json") -> list[str]:
     """Runs with a report, newest first; or the wanted ones in their order, which must all have one."""
     have = [r for r in reversed(list_runs(spark, root)) if exists(spark, f"{root}/run={r}/{name}")]

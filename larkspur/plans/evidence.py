@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import findings, judging, language_model, reporting
+from ..operators import findings, judging, language_model, preview, reporting
 from ..sources import rewrite, runs
 from .queries import _r, _scratch, query
 from .views import SCORES_SQL, evaluations, table, trajectories
@@ -49,7 +49,7 @@ def rated_turns(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     messages = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("m"))
     tries = F.flatten(F.transform(F.sequence(F.lit(1), F.size("m") + 1), lambda n: F.when(n % 3 > 0, F.transform(F.sequence(n % 2, F.lit(0)), lambda a: F.struct(n.alias("turn_idx"), a.alias("attempt"), F.concat(F.lit("a"), (a + 1).cast("string")).alias("rating")))).otherwise(F.expr("array()").cast("array<struct<turn_idx:int,attempt:int,rating:string>>"))))
-    made = messages.select("conv_id", findings.aligned_turns(F.to_json("m"), F.to_json(F.struct(tries.alias("assistant_judge_ratings")))).alias("t"))
+    made = messages.select("conv_id", findings.aligned_turns(F.to_json("m"), F.to_json(F.struct(tries.alias("assistant_judge_ratings"))), 1).alias("t"))
     return made.select("conv_id", F.explode("t").alias("t")).select("conv_id", "t.position", "t.turn_idx", "t.content", "t.rating")
 
 
@@ -91,3 +91,28 @@ def table_of(spark, files, root):
     """The files' names, written down before the files change."""
     files.select(F.col("file").alias("was")).write.parquet(f"{root}-files")
     return spark.read.parquet(f"{root}-files")
+
+
+# --- preview --------------------------------------------------------------------------------------------
+
+
+@query(
+    "SELECT count(*) AS n_rows, count(*) FILTER (WHERE doc_id % 10 NOT IN (3, 7) OR (doc_id % 10 = 7 AND doc_id % 4 = 3)) AS n_ok, count(*) FILTER (WHERE doc_id % 10 = 7 AND doc_id % 4 <> 3) AS n_warn, count(*) FILTER (WHERE doc_id % 10 = 3) AS n_fail FROM documents"
+)
+def preview_counts(spark, sf_dir):
+    return preview.preview_counts(preview.preview_rows(_warned(spark, sf_dir)))
+
+
+@query("SELECT kind, count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'poor' AS kind, doc_id % 4 AS n FROM documents WHERE doc_id % 10 = 7 AND doc_id % 4 IN (1, 2) UNION ALL SELECT 'slow', 1 FROM documents WHERE doc_id % 10 = 7 AND doc_id % 4 <> 3) GROUP BY kind")
+def warning_counts(spark, sf_dir):
+    return preview.warning_counts(_warned(spark, sf_dir))
+
+
+def _warned(spark, sf_dir):
+    """Rows that were completed with warnings have up to two of one kind and one of another, or only one about content."""
+    t, i = trajectories(spark, sf_dir), F.col("doc_id")
+    of = lambda k: F.struct(F.lit(k).alias("kind"))
+    kinds = F.when(i % 4 == 0, F.array(of("slow"))).when(i % 4 == 1, F.array(of("slow"), of("poor"))).when(i % 4 == 2, F.array(of("poor"), of("slow"), of("used_placeholder_query"), of("poor"))).otherwise(F.array(of("used_placeholder_query")))
+    held = F.from_json("simulation_outcome", "status string")
+    status = F.when(i % 10 == 7, F.struct(held["status"].alias("status"), kinds.alias("warnings"))).otherwise(F.struct(held["status"].alias("status"), F.expr("array()").cast("array<struct<kind:string>>").alias("warnings")))
+    return t.withColumn("simulation_outcome", F.to_json(status))

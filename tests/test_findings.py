@@ -65,10 +65,12 @@ def test_ratings_and_transcripts(spark):
         {"role": "tool", "content": "r"}, {"role": "assistant", "content": " one "}, {"role": "user"}, {"role": "assistant", "content": "two"},
     ]
     df = spark.createDataFrame([(json.dumps(messages), json.dumps({"assistant_judge_ratings": ratings})), ("x", "[]"), (None, None)], "m string, d string")
-    a, b, c = df.select(f.turn_ratings(F.col("d")).alias("r"), f.transcript(F.col("m")).alias("t"), f.aligned_turns(F.col("m"), F.col("d")).alias("l")).collect()
+    a, b, c = df.select(f.turn_ratings(F.col("d")).alias("r"), f.transcript(F.col("m")).alias("t"), f.aligned_turns(F.col("m"), F.col("d"), 1).alias("l")).collect()
     assert [tuple(x) for x in a.r] == [(1, 1, "ok", "e", True), (2, 0, "again", "", False), (None, 0, "unnumbered", "", False)]
     assert [tuple(x) for x in a.t] == [("user", "hi", False), ("assistant", "tool_call: find, get", True), ("tool", "r", False), ("assistant", " one ", False), ("user", "", False), ("assistant", "two", False)]
     assert [tuple(x) for x in a.l] == [(3, 1, " one ", "ok"), (5, 2, "two", "again")]
+    zero = df.select(f.aligned_turns(F.col("m"), F.col("d")).alias("l")).first().l
+    assert [(x.turn_idx, x.rating) for x in zero] == [(0, None), (1, "ok")]
     assert b.r == b.t == b.l == c.r == c.t == c.l == []
 
 
