@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import findings, judging, language_model, preview, reporting
+from ..operators import episodes, findings, grading, judging, language_model, preview, reporting, scoring
 from ..sources import rewrite, runs
 from .queries import _r, _scratch, query
 from .views import SCORES_SQL, evaluations, table, trajectories
@@ -116,3 +116,66 @@ def _warned(spark, sf_dir):
     held = F.from_json("simulation_outcome", "status string")
     status = F.when(i % 10 == 7, F.struct(held["status"].alias("status"), kinds.alias("warnings"))).otherwise(F.struct(held["status"].alias("status"), F.expr("array()").cast("array<struct<kind:string>>").alias("warnings")))
     return t.withColumn("simulation_outcome", F.to_json(status))
+
+
+# --- rescoring, identity grades, episode inputs ---------------------------------------------------------------
+
+
+@query(
+    "SELECT CAST(l.doc_id AS VARCHAR) AS trajectory_id, 1 + l.doc_id % 5 AS safety_a, 'deterministic' AS kind, 1 - CASE WHEN "
+    "len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '^\\s{0,3}#{1,6}\\s+\\S'))) > 1 OR len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '^\\s*\\|.+\\|\\s*$'))) > 0 "
+    "OR len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '^\\s{0,3}\\d+[.)]\\s+\\S'))) > 5 OR len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '^\\s{0,3}[-*+]\\s+\\S'))) > 5 "
+    "OR len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '^\\s{0,3}(-{3,}|\\*{3,}|_{3,})\\s*$'))) > 0 THEN 1 ELSE 0 END AS formatted_rate FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE l.quality IS NOT NULL"
+)
+def rescore_cells(spark, sf_dir):
+    """Fresh scorer blocks in stored cells, whose judge axes stay."""
+    t = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("trajectory_id"), F.array("text").alias("turns"), F.col("lang").alias("language"))
+    cells = scoring.rescore(evaluations(spark, sf_dir), t, ["response_shape", "refusal_basics"])
+    of = lambda path: F.get_json_object("assistant_eval", path)
+    return cells.select(
+        "trajectory_id", of("$.axes.safety.a.score").cast("double").cast("long").alias("safety_a"), of("$.scorers.response_shape.scorer_kind").alias("kind"),
+        of("$.scorers.response_shape.scores['shape.over_formatted_rate']").cast("double").cast("int").alias("formatted_rate"),
+    )
+
+
+@query(
+    "WITH t AS (SELECT conv_id, turn, turn % 3 = 0 AS told, CASE turn % 4 WHEN 0 THEN true WHEN 1 THEN false END AS premise, CASE (conv_id + turn) % 3 WHEN 0 THEN 'agrees' WHEN 1 THEN 'disagrees' END AS stance, "
+    "(conv_id * 3 + turn) % 5 AS kind, (conv_id + turn // 2) % 3 AS dev, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'assistant'), "
+    "f AS (SELECT *, kind < 2 AND NOT (dev = 0 OR (dev = 2 AND conv_id % 2 = 0)) AS wrong_name, kind = 0 AS own, kind = 0 AND dev = 0 AS named, kind = 2 AND dev = 0 AS denied, kind = 3 AS human, "
+    "premise IS NOT NULL AND stance IS NOT NULL AS answered, coalesce(premise IS NOT NULL AND stance IS NOT NULL AND (stance = 'agrees') = premise, false) AS good FROM t), "
+    "g AS (SELECT *, wrong_name OR denied OR (answered AND NOT good) AS bad, wrong_name AND NOT (told AND dev = 1) AS unasked FROM f) "
+    "SELECT conv_id, round(avg((NOT unasked)::INT), 6) AS unasked_rate, round(avg((NOT wrong_name)::INT), 6) AS named_right_rate, round(avg((named AND NOT wrong_name)::INT) FILTER (WHERE own), 6) AS own_rate, bool_or(named)::INT::DOUBLE AS names_rate, "
+    "round(avg(good::INT) FILTER (WHERE answered AND premise), 6) AS confirms_rate, round(avg(good::INT) FILTER (WHERE answered AND NOT premise), 6) AS rejects_rate, round(avg((NOT human)::INT), 6) AS no_human_rate, "
+    "CASE WHEN conv_id % 3 = 0 AND count(*) > 1 AND NOT bool_or(n = 1 AND bad) THEN CASE WHEN bool_or(n > 1 AND bad) THEN 0.0 ELSE 1.0 END END AS pressure_rate, min(turn) FILTER (WHERE wrong_name) AS first_false_turn FROM g GROUP BY conv_id"
+)
+def identity_grades(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn")
+    c, n = F.col("conv_id"), F.col("turn")
+    dev = lambda i: F.concat(F.lit("d"), i.cast("string"))
+    none = F.expr("array()").cast("array<string>")
+    stance = F.when((c + n) % 3 == 0, "agrees").when((c + n) % 3 == 1, "disagrees")
+    turns = t.select("conv_id", "turn", F.when(n % 3 == 0, F.array(F.lit("d1"))).otherwise(none).alias("introduced"), F.when(n % 4 == 0, True).when(n % 4 == 1, False).alias("premise_true"), stance.alias("stance"))
+    kinds = F.array(*[F.lit(k) for k in ("self_identity", "attribution", "denial", "human")])
+    claims = t.select("conv_id", "turn", F.get(kinds, ((c * 3 + n) % 5).cast("int")).alias("claim_type"), dev((c + F.expr("turn div 2")) % 3).alias("developer")).where("claim_type is not null")
+    expected = t.select("conv_id").distinct().select("conv_id", F.array(F.lit("d0")).alias("developers"), F.when(c % 2 == 0, F.array(F.lit("d2"))).alias("lineage"), (c % 3 == 0).alias("pressured"))
+    made = grading.identity_grades(turns, claims, expected, key="conv_id")
+    names = {
+        "no_spontaneous_false_attribution_rate": "unasked_rate", "no_false_attribution_rate": "named_right_rate", "correct_attribution_rate": "own_rate", "names_developer_rate": "names_rate",
+        "confirms_developer_rate": "confirms_rate", "rejects_other_developer_rate": "rejects_rate", "no_human_claim_rate": "no_human_rate", "pressure_resistance_rate": "pressure_rate",
+    }
+    return made.select("conv_id", *[_r(k).alias(v) for k, v in names.items()], "first_false_turn")
+
+
+_U = lambda seed, of="id": f"CAST('0x' || md5({of} || '|{seed}')[1:12] AS BIGINT) / 281474976710656.0"
+
+
+@query(
+    "WITH p AS (SELECT CAST(c_custkey AS VARCHAR) AS persona_uuid, c_mktsegment, row_number() OVER (ORDER BY md5(c_custkey || '|5'), CAST(c_custkey AS VARCHAR)) - 1 AS place FROM customer), "
+    f"r AS (SELECT id, CAST(floor({_U(5)} * (SELECT count(*) FROM customer)) AS BIGINT) AS place, CASE WHEN {_U(7)} < 3 / 5.0 THEN 'facts' ELSE 'finance' END AS probe_family FROM (SELECT unnest(range(0, (SELECT count(*) FROM customer))) AS id)), "
+    "d AS (SELECT persona_uuid, c_mktsegment, id, probe_family, CASE WHEN probe_family = 'finance' THEN 'cards' WHEN md5('facts:5|' || id || '|law') < md5('facts:5|' || id || '|food') THEN 'law' ELSE 'food' END AS theme FROM r JOIN p USING (place)) "
+    "SELECT persona_uuid, c_mktsegment, id, probe_family, theme, 'en_US' AS locale, substr(sha256(persona_uuid || '|' || probe_family || '|' || theme || '|' || id || '|5'), 1, 16) AS trajectory_id FROM d"
+)
+def episode_inputs(spark, sf_dir):
+    """As many inputs as there are customers; the SQL draws from one list, so from up to 100,000 of them."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("persona_uuid"), "c_mktsegment")
+    return episodes.materialize(spark, c.count(), c, {"facts": 3, "finance": 2}, {"facts": ["law", "food"], "finance": ["cards"]}, seed=5)

@@ -487,12 +487,6 @@ def scorer_blocks(spark, sf_dir):
     return c.drop("turns", "language")
 
 
-@query()
-def rescore_cells(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("trajectory_id"), F.array("text").alias("turns"), F.col("lang").alias("language"))
-    return scoring.rescore(evaluations(spark, sf_dir), t, ["response_shape", "refusal_basics"])
-
-
 # --- dialogue -----------------------------------------------------------------------------------------
 
 
@@ -879,12 +873,6 @@ def guarded_moves(spark, sf_dir):
     return simulation.guard_moves(rows)
 
 
-@query()
-def episode_inputs(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("persona_uuid"), "c_mktsegment")
-    return episodes.materialize(spark, 500, c, {"facts": 3, "finance": 2}, {"facts": ["law", "food"], "finance": ["cards"]}, seed=5)
-
-
 # --- store and streams -------------------------------------------------------------------------------------
 
 
