@@ -122,17 +122,25 @@ def fold_name(name: Column) -> Column:
 
 
 def matched_rule(models: DataFrame, rules: DataFrame, *, model: str = "model_id") -> DataFrame:
-    """(model, developer, pattern): the rule that decides each model id; null where none does.
+    """(model, developer, pattern): the rule that decides each distinct model id; null where none does.
 
     ``rules`` is (place, pattern, developer): patterns with ``*`` and ``?``, case ignored; one without any wildcard is
     a declaration and goes before patterns; then the smallest place decides. A pattern without ``/`` may start after
-    any of ``/ : @ . -``. The rules are a small table.
+    any of ``/ : @ . -``. Ids and rules meet by what a pattern has before its first wildcard, which an id, or what follows
+    one of these characters in it, must begin with; only such pairs are matched as a whole.
     """
-    escaped = F.regexp_replace(F.lower("pattern"), r"([\\.\[\]{}()+^$|])", r"\\$1")
-    body = F.replace(F.replace(escaped, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit("."))
-    start = F.when(F.contains("pattern", F.lit("/")), "^").otherwise("(^|[/:@.-])")
-    known = F.broadcast(rules.select("place", "pattern", "developer", F.concat(start, body, F.lit("$")).alias("_re"), F.col("pattern").rlike(r"[*?]").alias("_wild")))
+    low = F.lower(F.trim("pattern"))
+    escaped = F.regexp_replace(low, r"([\\.\[\]{}()+^$|])", r"\\$1")
+    body = F.concat(F.lit("^"), F.replace(F.replace(escaped, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
+    head = F.regexp_extract(low, r"^[^*?]*", 0)
+    known = rules.select("place", "pattern", "developer", body.alias("_re"), low.rlike(r"[*?]").alias("_wild"), F.contains(low, F.lit("/")).alias("_whole"), head.alias("_head"))
+    lengths = sorted(r[0] for r in known.select(F.length("_head")).distinct().collect())  # as many as patterns have lengths
     ids = models.select(model).distinct()
-    hits = ids.join(known, F.expr(f"rlike(lower(trim(`{model}`)), _re)"), "left")
-    best = hits.groupBy(model).agg(F.min(F.when(F.col("place").isNotNull(), F.struct("_wild", "place", "developer", "pattern"))).alias("b"))
-    return best.select(model, "b.developer", "b.pattern")
+    name = F.lower(F.trim(F.col(model)))
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda p: (p == 1) | F.substring(name, p - 1, F.lit(1)).isin(*"/:@.-"))
+    parts = ids.select(model, name.alias("_name"), F.explode(starts).alias("_at")).withColumn("_part", F.substring("_name", F.col("_at"), F.length("_name")))
+    heads = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("_part")) if lengths else F.expr("array()").cast("array<int>")
+    heads = F.transform(heads, lambda n: F.substring(F.col("_part"), F.lit(1), n))
+    met = parts.withColumn("_head", F.explode(heads)).join(known, "_head").where(((F.col("_at") == 1) | ~F.col("_whole")) & F.expr("rlike(_part, _re)"))
+    best = met.groupBy(model).agg(F.min(F.struct("_wild", "place", "developer", "pattern")).alias("b"))
+    return ids.join(best.withColumnRenamed(model, "_m"), F.col(model).eqNullSafe(F.col("_m")), "left").select(model, "b.developer", "b.pattern")

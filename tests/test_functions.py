@@ -140,3 +140,29 @@ def test_scales(spark):
     assert one(spark, cells.normalized(F.lit("safety"), F.lit(1.0))) == pytest.approx(0.2)
     assert one(spark, cells.normalized(F.lit("shape.x"), F.lit(0.5))) == 0.5
     assert one(spark, cells.normalized(F.lit("any_rate"), F.lit(0.5))) == 0.5
+
+
+def test_rules_against_every_pair(spark):
+    """The rule that decides, by trying each pattern on each id."""
+    import fnmatch
+    import re
+
+    from larkspur.functions import identity
+
+    ids = ["meta-llama/Meta-Llama-3-8B", "meta.llama3-3-70b-v1:0", "llama3.1:8b", "collama3", "org/Own-Model", "OWN-model", "a/b@gpt-4o", "gpt-4o", "x(y)+z", "", " llama3 ", None]
+    rules = ["llama*", "own-model", "org/*", "*-4o", "gpt-?o", "x(y)+?", "gpt-4o", "meta*/meta*8b", "zzz"]
+    got = {r.model_id: r.pattern for r in identity.matched_rule(spark.createDataFrame([(i,) for i in ids * 2], "model_id string"), spark.createDataFrame([(k, p, f"d{k}") for k, p in enumerate(rules)], "place int, pattern string, developer string")).collect()}
+
+    def hit(p, i):
+        if "[" in p:
+            return False
+        body = fnmatch.translate(p.lower())
+        return re.search(("^" if "/" in p else "(?:^|(?<=[/:@.-]))") + body, i.strip().lower()) is not None
+
+    for i in ids:
+        order = sorted(range(len(rules)), key=lambda k: (any(c in rules[k] for c in "*?"), k))
+        want = None if i is None else next((rules[k] for k in order if hit(rules[k], i)), None)
+        assert got[i] == want, i
+    assert len(got) == len(ids)
+    none = identity.matched_rule(spark.createDataFrame([("x",)], "model_id string"), spark.createDataFrame([], "place int, pattern string, developer string")).collect()
+    assert [(r.model_id, r.developer) for r in none] == [("x", None)]
