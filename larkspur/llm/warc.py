@@ -73,7 +73,8 @@ def write_archives(pages: DataFrame, folder: str, *, revisit_bytes: int = REVISI
     source = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     source = source.withColumn("digest", F.sha2(F.col("html"), 256)).withColumn("size", F.octet_length("html"))
     first = source.where(F.col("size") >= revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("rows"))
-    first = first.where("rows > 1 and first_id is not null").drop("rows")
+    # read back, so that Spark sends a small table to every task, and can split a hot digest's pages where it is large
+    first = keep_table(first.where("rows > 1 and first_id is not null").drop("rows"), "repeated-payloads")
     records = source.join(first, "digest", "left").select(
         F.col("page_id").cast("string").alias("page_id"),
         "url",
