@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import persona
-from ..operators import judging, picks, populations
+from ..operators import finance, judging, picks, populations
 from .queries import query
 from .views import table
 
@@ -105,3 +105,23 @@ def item_reasons(spark, sf_dir):
     cell = F.struct(F.when(i % 7 > 0, (i % 5 + 1).cast("double")).alias("score"), F.when(i % 3 > 0, F.concat(F.lit("because "), i.cast("string"))).otherwise("").alias("reasoning"))
     entries = table(spark, sf_dir, "documents").select(F.expr("doc_id div 4").alias("t"), (i % 4).alias("position"), F.col("source").alias("item_id"), F.create_map(F.lit("accuracy"), cell).alias("scores"))
     return judging.item_reasons(entries, "t", ["accuracy"])
+
+
+@query(
+    "WITH p AS (SELECT c_custkey, c_custkey % 90 AS a, lower(c_mktsegment) || CASE WHEN c_custkey % 4 = 0 THEN ' auditor' ELSE ' worker' END AS work, c_custkey % 4 = 0 AS money, c_custkey % 3 AS school, 'n' || c_nationkey AS region FROM customer), "
+    "l AS (SELECT *, CASE WHEN school = 0 OR (school = 1 AND money) THEN 'high' WHEN school = 2 AND NOT money THEN 'low' ELSE 'medium' END AS literacy FROM p) "
+    "SELECT c_custkey, 'age:' || CASE WHEN a < 25 THEN '18-24' WHEN a < 35 THEN '25-34' WHEN a < 45 THEN '35-44' WHEN a < 55 THEN '45-54' WHEN a < 65 THEN '55-64' ELSE '65+' END || ',region:' || region || ',occupation-family:' || replace(work, ' ', '_') || ',financial-literacy:' || literacy AS tags, "
+    "1 + CASE WHEN literacy = 'low' THEN 0.5 ELSE 0 END AS bank, 1 + CASE WHEN a < 35 THEN 0.5 ELSE 0 END + CASE WHEN literacy = 'high' OR money THEN 1 ELSE 0 END AS brokerage, "
+    "1 + CASE WHEN a >= 55 THEN 1.5 WHEN a >= 35 THEN 0.5 ELSE 0 END AS retirement, 1 + CASE WHEN a >= 55 THEN 0.75 ELSE 0 END + CASE WHEN literacy = 'high' OR money THEN 1 ELSE 0 END AS wealth FROM l"
+)
+def customer_profiles(spark, sf_dir):
+    i = F.col("c_custkey")
+    work = F.concat(F.lower("c_mktsegment"), F.when(i % 4 == 0, " auditor").otherwise(" worker"))
+    school = F.when(i % 3 == 0, "Masters degree").when(i % 3 == 1, "high school").otherwise("illiterate")
+    c = table(spark, sf_dir, "customer").select(i, (i % 90).cast("string").alias("a"), work.alias("work"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("region"), finance.literacy(school, work).alias("l"))
+    w = finance.type_weights(F.col("a"), F.col("work"), F.col("l"))
+    of = lambda t: F.element_at(w, t).cast("double")
+    return c.select(
+        "c_custkey", F.array_join(finance.customer_tags(F.col("a"), F.col("region"), F.col("work"), F.col("l")), ",").alias("tags"),
+        of("bank").alias("bank"), of("brokerage").alias("brokerage"), of("retirement_provider").alias("retirement"), of("wealth_manager").alias("wealth"),
+    )
