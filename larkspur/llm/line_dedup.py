@@ -65,7 +65,7 @@ def repeated_runs(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str =
     the copy that it follows. sig is a hash of the text that tells rows of one id apart.
     """
     lines = _line_table(docs, id_col, text_col).distinct()
-    lines = lines.select(F.struct("doc", "sig").alias("d"), "i", "n", "w")
+    lines = keep_table(lines.select(F.struct("doc", "sig").alias("d"), "i", "n", "w"), "lines")  # both sides of the first ranking read it
     every = keep_table(_ranked(lines), "repeated-lines")
     here = F.struct("d.doc", "d.sig", "i")
     window = lambda k: F.struct(F.lit(k).alias("k"), "first")
