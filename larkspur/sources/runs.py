@@ -260,6 +260,24 @@ def load_runs(spark: SparkSession, root: str, runs: Sequence[str], *, key: str =
     return keep_first(both, [key], ["_run_order"]).drop("_run_order")
 
 
+def write_file(df: DataFrame, path: str) -> None:
+    """``df`` as one Parquet file at ``path``, for tables that people open themselves; it is in place as a whole or not at all.
+
+    One task writes it. An old file is replaced.
+    """
+    spark = df.sparkSession
+    fs, p = _fs(spark, path)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    hidden = place(p.getParent(), f".{p.getName()}-{uuid.uuid4().hex}")
+    try:
+        df.coalesce(1).write.parquet(hidden.toString())
+        part = next(s.getPath() for s in fs.listStatus(hidden) if s.getPath().getName().endswith(".parquet"))
+        fs.delete(p, True)
+        fs.rename(part, p)
+    finally:
+        fs.delete(hidden, True)
+
+
 def partition_values(df: DataFrame, column: str) -> list[str]:
     return [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
 

@@ -241,3 +241,33 @@ def test_a_rewrite_that_dies_is_ended_by_the_next(spark, root, monkeypatch, call
     assert stored_cells(spark, root) == ({"a": "A", "b": "B"} if calls else {"a": "1", "b": "2"})
     assert runs.read_dataset(spark, root).count() == 2 and len(runs._leaf_folders(spark, f"{root}/run=1")) == 2
     assert [n for n in runs._children(spark, f"{root}/run=1") if n.startswith(".")] == []
+
+
+def test_one_file(spark, root):
+    path = f"{root}/panel.parquet"
+    for n in (30, 7):
+        runs.write_file(spark.range(n).repartition(4), path)
+        assert spark.read.parquet(path).count() == n and not runs.is_folder(spark, path)
+    bad = spark.range(3).withColumn("id", F.when(F.col("id") == 1, F.raise_error("lost").cast("long")))
+    with pytest.raises(Exception, match="lost"):
+        runs.write_file(bad, path)
+    assert spark.read.parquet(path).count() == 7 and runs._children(spark, root) == ["panel.parquet"]
+
+
+def test_bank_tables(spark, root):
+    from larkspur.sources import banks
+
+    docs = spark.createDataFrame([("7", "d1", "text"), ("b", "d2", None)], "institution_id string, document_id string, body string")
+    templates = spark.createDataFrame([("7", "t1")], "institution_id string, template_id string")
+    vectors = spark.createDataFrame([("d1", [0.5, 1.0])], "id string, embedding array<double>")
+    banks.write_tables(root, {"locale": "en_US"}, documents=docs, templates=templates, vectors=vectors)
+    banks.write_tables(root, {"locale": "en_US"}, documents=docs.where("institution_id = '7'"))
+    got = banks.read_tables(spark, root)
+    assert set(got) == {"documents", "templates", "vectors"}
+    assert [(r.institution_id, r.document_id, r.body) for r in got["documents"].collect()] == [("7", "d1", "text")] and got["templates"].count() == 1
+    assert banks.load_vectors(spark, f"{root}/vectors").first().embedding == [0.5, 1.0]
+    assert runs.read_json(spark, f"{root}/region.json") == {"schema_version": 1, "locale": "en_US"}
+    with pytest.raises(ValueError, match="lacks"):
+        banks.write_tables(root, {}, documents=docs.drop("document_id"))
+    with pytest.raises(ValueError, match="no table"):
+        banks.write_tables(root, {}, other=docs)
