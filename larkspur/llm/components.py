@@ -28,7 +28,7 @@ def _local_forest(batches):
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        if len(parent) > 1_000_000:
+        if len(parent) > 300_000:
             yield forest()
             parent.clear()
     if parent:

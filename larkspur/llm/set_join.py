@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import keep_table, keyed_text
+from .shared import forget_tables, keep_table, keyed_text
 from .simhash import majority_bits, near_links
 
 SEED = 42
@@ -67,6 +67,7 @@ def _frequent(source: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles, sorted, and their place in the order."""
 
     def run(batches):
+        forget_tables()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(text, words))], names=["h"])
@@ -86,6 +87,7 @@ def _sets(source: DataFrame, words: int, similarity: float) -> DataFrame:
     known, place = _frequent(source, words)
 
     def run(batches):
+        forget_tables()
         for batch in batches:
             digests, sizes, prints, maps, heads = [], [], [], [], []
             for text in batch.column(1).to_pylist():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
@@ -66,3 +67,11 @@ def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.col(f"`{id_col}`").alias("id"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
     )
+
+
+def forget_tables() -> None:
+    """In a Python worker: drop the tokenizer tables that tasks of an earlier stage have left in it, before other large ones are made."""
+    for name, table in (("bpe", "prefix_encoder"), ("token_counts", "piece_table")):
+        module = sys.modules.get(f"{__package__}.{name}")
+        if module is not None:
+            getattr(module, table).cache_clear()
