@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import hash_fraction, joined_id, rendezvous_pick, weighted_pick
 
+#: So many personas are numbered by one task.
+RANGE = 100_000
+
 
 def parse_mix(text: str) -> dict[str, float]:
     """``a=2,b=1`` as weights; a name alone weighs 1; none or negative ones are an error."""
@@ -24,20 +27,24 @@ def parse_mix(text: str) -> dict[str, float]:
 def materialize(spark: SparkSession, n: int, personas: DataFrame, mix: Mapping[str, float], themes: Mapping[str, Sequence[str]], *, seed: int = 0, locale: str = "en_US") -> DataFrame:
     """``n`` inputs: a persona (persona_uuid and its other columns), a probe by weight and one of the probe's themes.
 
-    Personas are numbered by a hash of their id and drawn by hash, so inputs
-    depend only on the seed, not on partitions.
+    Personas are numbered in one list by a hash of their id and drawn by hash, so
+    inputs depend only on the seed, not on partitions. The list is made in ranges
+    of the hash, some ``RANGE`` personas each.
     """
     count = personas.count()
     if not count:
         raise ValueError("there are no personas")
-    order = Window.partitionBy("_bucket").orderBy(F.md5(F.concat_ws("|", "persona_uuid", F.lit(str(seed)))), "persona_uuid")
-    buckets = max(1, -(-count // 100_000))
-    numbered = personas.withColumn("_bucket", F.pmod(F.xxhash64("persona_uuid"), F.lit(buckets)).cast("int")).withColumn("_at", F.row_number().over(order) - 1)
-    sizes = numbered.groupBy("_bucket").agg(F.count("*").alias("_size"))
-    rows = spark.range(n).withColumn("_u", hash_fraction(F.col("id"), seed=seed))
-    rows = rows.withColumn("_bucket", F.floor(hash_fraction(F.col("id"), seed=seed + 1) * buckets).cast("int")).join(sizes, "_bucket")
-    rows = rows.withColumn("_at", F.floor(F.col("_u") * F.col("_size")).cast("int"))
-    drawn = rows.join(numbered, ["_bucket", "_at"]).drop("_bucket", "_at", "_u", "_size")
+    buckets = max(1, -(-count // RANGE))
+    hashed = personas.withColumn("_h", F.md5(F.concat_ws("|", "persona_uuid", F.lit(str(seed)))))
+    first = F.conv(F.substring("_h", 1, 12), 16, 10).cast("double") / float(1 << 48)
+    hashed = hashed.withColumn("_bucket", F.floor(first * buckets).cast("int"))  # in the hashes' order
+    sizes = hashed.groupBy("_bucket").agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_bucket")) - F.col("_size")
+    own = F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", "persona_uuid"))
+    numbered = hashed.withColumn("_own", own).join(F.broadcast(sizes.select("_bucket", before.alias("_before"))), "_bucket")
+    numbered = numbered.withColumn("_at", F.col("_before") + F.col("_own") - 1).drop("_bucket", "_h", "_own", "_before")
+    rows = spark.range(n).withColumn("_at", F.floor(hash_fraction(F.col("id"), seed=seed) * count))
+    drawn = rows.join(numbered, "_at").drop("_at")
     drawn = drawn.withColumn("probe_family", weighted_pick(F.col("id"), dict(mix), seed=seed + 2))
     theme = F.lit(None).cast("string")
     for probe, names in themes.items():

@@ -176,6 +176,6 @@ _U = lambda seed, of="id": f"CAST('0x' || md5({of} || '|{seed}')[1:12] AS BIGINT
     "SELECT persona_uuid, c_mktsegment, id, probe_family, theme, 'en_US' AS locale, substr(sha256(persona_uuid || '|' || probe_family || '|' || theme || '|' || id || '|5'), 1, 16) AS trajectory_id FROM d"
 )
 def episode_inputs(spark, sf_dir):
-    """As many inputs as there are customers; the SQL draws from one list, so from up to 100,000 of them."""
+    """As many inputs as there are customers."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("persona_uuid"), "c_mktsegment")
     return episodes.materialize(spark, c.count(), c, {"facts": 3, "finance": 2}, {"facts": ["law", "food"], "finance": ["cards"]}, seed=5)
