@@ -14,7 +14,8 @@ from ..shipping import ship
 
 # What a dense-script character weighs, and the caps of the two renderings.
 DENSE_WEIGHT, PROMPT_CHARS, JUDGE_CHARS = 3, 500, 24_000
-_DENSE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
+# These scripts begin at U+1100; other characters are ruled out by the range before their script is looked up.
+_DENSE = r"[\x{1100}-\x{10FFFF}&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]]"
 
 
 def tool_result_weight(text: Column) -> Column:
@@ -24,12 +25,13 @@ def tool_result_weight(text: Column) -> Column:
 
 def cut_tool_result(text: Column, limit: int) -> Column:
     """The text up to a weight, with a note of how much of it is shown."""
-    weights = F.transform(F.split(text, ""), lambda c: F.when(c.rlike(_DENSE), DENSE_WEIGHT).otherwise(1))
+    head = F.substring(text, 1, limit)  # a character weighs one at least
+    weights = F.transform(F.split(head, ""), lambda c: F.when(c.rlike(_DENSE), DENSE_WEIGHT).otherwise(1))
     step = lambda acc, w: F.when(acc["done"] | (acc["used"] + w > limit), F.struct(acc["used"].alias("used"), acc["n"].alias("n"), F.lit(True).alias("done"))).otherwise(
         F.struct((acc["used"] + w).alias("used"), (acc["n"] + 1).alias("n"), F.lit(False).alias("done"))
     )
     start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.lit(False).alias("done"))
-    shown = F.aggregate(weights, start, step)["n"]
+    shown = F.when(head.rlike(_DENSE), F.aggregate(weights, start, step)["n"]).otherwise(F.lit(limit))
     note = F.concat(F.lit(" [cut: "), F.format_number(shown, 0), F.lit(" of "), F.format_number(F.length(text), 0), F.lit(" characters shown]"))
     return F.when(tool_result_weight(text) <= limit, text).otherwise(F.concat(F.substring(text, F.lit(1), shown), note))
 
