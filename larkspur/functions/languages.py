@@ -21,8 +21,15 @@ SCRIPT_LANGUAGES = {"Cyrillic": "ru", "Greek": "el", "Devanagari": "hi", "Bengal
 MIN_FOREIGN_LETTERS = 2
 
 
+# Characters of no script but Latin: below U+0370, Latin Extended Additional, general punctuation.
+_NOT_OTHER = r"[\x{0}-\x{36F}\x{1E00}-\x{1EFF}\x{2000}-\x{206F}]+"
+
+
 def _count(text: Column, script: str) -> Column:
-    return F.regexp_count(text, F.lit(rf"[\p{{L}}&&[\p{{Is{script}}}]]"))
+    """Letters of a script: what is left when runs of all else are taken out, so that no match becomes a value of its own."""
+    if script == "Latin":
+        return F.length(F.regexp_replace(text, r"[^a-zA-Z[\p{L}&&[\p{IsLatin}]]]+", ""))
+    return F.length(F.regexp_replace(F.regexp_replace(text, _NOT_OTHER, ""), rf"[^[\p{{L}}&&[\p{{Is{script}}}]]]+", ""))
 
 
 def script_counts(text: Column) -> Column:
@@ -31,10 +38,19 @@ def script_counts(text: Column) -> Column:
     return F.map_from_entries(F.filter(pairs, lambda p: p["value"] > 0))
 
 
+def _first_script(text: Column) -> Column:
+    """The script ``s`` of most letters (by name where equal) and its language ``l``, null for Latin; without letters ``s`` is null, ``l`` empty.
+
+    No lambda: what the counts share (the text without Latin) is computed once.
+    """
+    none = F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("s"), F.lit("").alias("l"))
+    counted = [F.struct((-F.coalesce(_count(text, s), F.lit(0))).alias("n"), F.lit(s).alias("s"), F.lit(SCRIPT_LANGUAGES.get(s)).cast("string").alias("l")) for s in SCRIPTS]
+    return F.array_min(F.array(none, *counted))
+
+
 def dominant_script(text: Column) -> Column:
     """The script of most letters (by name where equal); null without letters."""
-    entries = F.transform(F.map_entries(script_counts(text)), lambda e: F.struct((-e["value"]).alias("n"), e["key"].alias("s")))
-    return F.array_min(entries)["s"]
+    return _first_script(text)["s"]
 
 
 def foreign_scripts(text: Column, expected: Column) -> Column:
