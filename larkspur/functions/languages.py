@@ -65,16 +65,17 @@ def detect_language(text: Column, words: Mapping[str, str] = FUNCTION_WORDS) ->
     A plain stand-in for a trained detector; pass a column of your own detector's
     results where you have one.
     """
-    tokens = F.split(F.lower(text), r"[^\p{L}]+")
-    def score(lang: str) -> Column:
-        own = words[lang].split()
-        return F.struct((-F.size(F.filter(tokens, lambda t: t.isin(*own)))).alias("n"), F.lit(lang).alias("l"))
-
-    best = F.array_min(F.array(*[score(lang) for lang in words]))
-    by_words = F.when(best["n"] < 0, best["l"])
-    script = dominant_script(text)
-    by_script = F.element_at(F.create_map(*[x for k, v in SCRIPT_LANGUAGES.items() for x in (F.lit(k), F.lit(v))]), F.coalesce(script, F.lit("")))
-    return F.when(script == "Latin", by_words).otherwise(by_script)
+    own = {lang: words[lang].split() for lang in words}
+    known = sorted({w for ws in own.values() for w in ws})
+    hits = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda t: t.isin(*known))  # split once, whatever the number of languages
+
+    def by_words(held: Column) -> Column:
+        score = lambda lang: F.struct((-F.size(F.filter(held, lambda t: t.isin(*own[lang])))).alias("n"), F.lit(lang).alias("l"))
+        none = F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("l"))
+        return F.array_min(F.array(none, *[score(lang) for lang in own]))["l"]
+
+    told = F.transform(F.array(hits), by_words)[0]
+    return F.nullif(F.coalesce(_first_script(text)["l"], told), F.lit(""))
 
 
 def language_match_rates(turns: Column, expected: Column, detect=detect_language) -> dict[str, Column]:
