@@ -62,7 +62,7 @@ def replayed_appends(spark, sf_dir):
     root = _scratch(spark, "replayed")
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("locale"), F.col("source").alias("probe_family"))
     for k in (0, 1, 2, 3, 3):
-        runs.append_new(d.where(F.col("doc_id") % 4 <= k).withColumn("version", F.lit(k).cast("long")).coalesce(2), root, "1", key="doc_id")
+        runs.append_new(d.where(F.col("doc_id") % 4 <= k).withColumn("version", F.lit(k).cast("long")), root, "1", key="doc_id")
     return runs.read_dataset(spark, root).select("doc_id", "version")
 
 
