@@ -72,8 +72,11 @@ def pair_turns(left: DataFrame, right: DataFrame, *, key: str, turn: str) -> Dat
 
 
 def merge_passages(spans: DataFrame, *, key: str, start: str = "start", end: str = "end") -> DataFrame:
-    """Overlapping or touching spans of a key as one."""
-    order = Window.partitionBy(key).orderBy(start, end)
+    """Overlapping or touching spans of a key as one; a span without a start comes last and adds to the passage before it.
+
+    Both windows have one order, so one sort serves both and spans that tie can't change places between them.
+    """
+    order = Window.partitionBy(key).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end))
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("_reach", reach).withColumn("_new", F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach")), 1).otherwise(0))
     grouped = marked.withColumn("_g", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))

@@ -1,7 +1,9 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from larkspur.operators import dialogue, retrieval, sampling, scoring
+from larkspur.plans import queries as plans
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +35,16 @@ def test_passages(spark):
     assert sorted((r.k, r.start, r.end) for r in dialogue.merge_passages(df, key="k").collect()) == [("k", 0, 7), ("k", 9, 10), ("l", 1, 2)]
 
 
+def test_passages_without_start_or_end_as_in_sql(spark, tmp_path):
+    """Spans without a start come last in the SQL, and those without an end last of their start."""
+    rows = [(1, None, 1), (1, 1.0, 2), (1, 2.0, None), (1, 4.0, 1), (2, None, None), (3, 5.0, None), (3, 5.0, 1), (3, 9.0, 1), (None, 1.0, 1), (None, None, 2)]
+    spark.createDataFrame(rows, "l_partkey long, l_quantity double, l_linenumber int").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    got = [tuple(r) for r in plans.QUERIES["merge_passages"](spark, str(tmp_path)).select("l_partkey", "start", "end").collect()]
+    assert sorted(got, key=str) == sorted(c.execute(plans.SQL["merge_passages"]).fetchall(), key=str)
+
+
 def test_contradictions(turns, spark):
     flagged = spark.createDataFrame([(1, 2), (1, 9)], "conv_id int, exchange int")
     assert [(r.exchange, r.user_text, r.reply) for r in dialogue.contradictions(turns, flagged).collect()] == [(2, "hi", "more")]
