@@ -1,20 +1,27 @@
 """A language detector trained on labelled texts: character n-grams, naive Bayes.
 
 Fitting counts distinct words by language first, so n-grams are cut from each
-word once. The model is a bounded table of n-grams with a log-probability for each
-language. Scoring cuts a text's words into n-grams and joins them with that table;
-sums are made where the texts are, and one row a text and task is shuffled.
+word once, by whole arrays of words in the tasks. The model is a bounded table of n-grams with a log-probability for each
+language. Scoring sends that table to the tasks; there a word is cut into n-grams
+once, whatever its repeats, sums are made where the texts are, and one row a text is
+shuffled.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import prepare
+
 #: n-grams are this long; words are padded by a space on both sides.
 ORDERS = (1, 2, 3)
 #: The model keeps so many n-grams of each length, the most frequent over all languages, each language counting equally.
@@ -22,14 +29,31 @@ GRAMS = 20_000
 SMOOTHING = 0.5
 #: A text's best language must be this much likelier than the next (as a logarithm).
 MARGIN = 1.0
-
-
-def grams(words: Column, orders: Sequence[int] = ORDERS) -> Column:
-    """The n-grams of an array of words, repeats included, each with its length in front (``2ab``)."""
-    padded = lambda w: F.concat(F.lit(" "), w, F.lit(" "))
-    cut = lambda w, n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: i <= F.length(w) - n + 1), lambda i: F.concat(F.lit(str(n)), F.substring(w, i, F.lit(n))))
-    of = lambda w: F.concat(*[cut(w if n == 1 else padded(w), n) for n in orders])
-    return F.flatten(F.transform(words, of))
+#: Fitting cuts at least so many words at a time (but for a task's last).
+WORDS = 50_000
+
+
+def _grams(words: pa.Array, orders: Sequence[int]) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray]]:
+    """By length: the distinct n-grams of the words, repeats included as two arrays: the number of the n-gram, that of its word."""
+    padded = pc.binary_join_element_wise(" ", words, " ", "")
+    text = "".join(padded.to_numpy(zero_copy_only=False))
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    of = np.repeat(np.arange(len(words)), pc.utf8_length(padded).to_numpy())
+    ids = codes  # equal numbers: equal strings of n characters from there, inside one word
+    for n in range(1, max(orders) + 1):
+        if n == 1:
+            at = np.flatnonzero(codes != ord(" "))
+        else:
+            at = np.flatnonzero(of[: max(0, len(of) - n + 1)] == of[n - 1 :])
+            ids = ids[at] * 0x110000 + codes[at + n - 1]
+        which, distinct = pd.factorize(ids[at] if n == 1 else ids)
+        if n in orders:
+            first = np.empty(len(distinct), int)
+            first[which] = at
+            yield n, [text[i : i + n] for i in first], which, of[at]
+        if n > 1:
+            ids = np.zeros(len(codes), np.int64)
+            ids[at] = which
 
 
 def words(text: Column) -> Column:
@@ -53,7 +77,19 @@ def fit(texts: DataFrame, *, text: str = "text", lang: str = "lang", orders: Seq
     """
     rows = texts.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.explode(words(F.col(text))).alias("word"))
     counted = rows.groupBy("lang", "word").agg(F.count("*").alias("n"))
-    cut = counted.select("lang", "n", F.explode(grams(F.array("word"), orders)).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    prepare(texts.sparkSession)
+
+    def cut_words(batches):
+        for table in _tables(batches):
+            lang, times = table["lang"].combine_chunks().dictionary_encode(), table["n"].to_numpy()
+            own, k = lang.indices.to_numpy(), len(lang.dictionary)
+            for n, found, which, of in _grams(table["word"].combine_chunks(), orders):
+                sums = np.bincount(which * k + own[of], times[of], len(found) * k)
+                at = np.flatnonzero(sums)
+                grams = pa.array([f"{n}{g}" for g in found]).take(pa.array(at // k))
+                yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(at % k)), grams, pa.array(sums[at].astype(np.int64))], names=["lang", "gram", "n"])
+
+    cut = counted.mapInArrow(cut_words, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     cut = cut.withColumn("order", F.substring("gram", 1, 1).cast("int")).persist()
     try:
         sums = cut.groupBy("lang", "order").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()  # languages times orders
@@ -81,6 +117,36 @@ def fit(texts: DataFrame, *, text: str = "text", lang: str = "lang", orders: Seq
     return LanguageModel(languages, texts.sparkSession.createDataFrame(rows, schema), unseen)
 
 
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together to at least ``WORDS`` rows, but for the last."""
+    held = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= WORDS:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class _Values:
+    """Each language's log-probabilities of words, and how many of a word's n-grams the model knows."""
+
+    def __init__(self, table: list[tuple], unseen: dict[int, tuple[float, ...]]):
+        self.rows = np.array([r[1:] for r in table] + list(unseen.values()), float)
+        self.place = {r[0]: i for i, r in enumerate(table)}
+        self.other = {n: len(table) + k for k, n in enumerate(unseen)}
+
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        values, hits = np.zeros((len(words), self.rows.shape[1])), np.zeros(len(words))
+        for n, found, which, of in _grams(words, list(self.other)):
+            rows = np.array([self.place.get(f"{n}{g}", self.other[n]) for g in found], int)
+            for i, column in enumerate(self.rows.T):
+                values[:, i] += np.bincount(of, column[rows][which], len(words))
+            hits += np.bincount(of, (rows < len(self.place))[which], len(words))
+        return values, hits
+
+
 def detect(texts: DataFrame, model: LanguageModel, key: Sequence[str], *, text: str = "text", margin: float = MARGIN) -> DataFrame:
     """(key, language, margin): the likeliest language of each key's texts, null without letters the model knows or where the
     next language is nearly as likely.
@@ -88,16 +154,36 @@ def detect(texts: DataFrame, model: LanguageModel, key: Sequence[str], *, text:
     n-grams that the model lacks count by their language's smoothing. Texts of one key count together; null texts are empty.
     """
     n = len(model.languages)
-    rows = texts.select(*key, F.explode_outer(grams(words(F.col(text)), sorted(model.unseen))).alias("gram"))
-    joined = rows.join(F.broadcast(model.table), "gram", "left")
-    order = F.substring("gram", 1, 1).cast("int")
-    least = lambda i: F.element_at(F.create_map(*[x for k, v in model.unseen.items() for x in (F.lit(k), F.lit(v[i]))]), order)
-    sums = joined.groupBy(*key).agg(F.count("p0").alias("_known"), *[F.sum(F.coalesce(F.col(f"p{i}"), least(i))).alias(f"_s{i}") for i in range(n)])
-    ranked = F.sort_array(F.array(*[F.struct(F.col(f"_s{i}").alias("s"), F.lit(-i).alias("i")) for i in range(n)]), asc=False)
-    sums = sums.withColumn("_r", ranked)
-    ahead = F.when(F.col("_known") > 0, F.col("_r")[0]["s"] - F.col("_r")[1]["s"] if n > 1 else F.lit(float("inf")))
-    name = F.element_at(F.array(*[F.lit(k) for k in model.languages]), 1 - F.col("_r")[0]["i"])
-    return sums.withColumn("margin", ahead).select(*key, F.when(F.col("margin") >= margin, name).alias("language"), "margin")
+    prepare(texts.sparkSession)
+    rows = texts.select(*key, words(F.col(text)).alias("_w"))
+    shared = texts.sparkSession.sparkContext.broadcast(([tuple(r) for r in model.table.collect()], model.unseen))  # at most ``keep`` rows an order
+    plain = [f"_s{i}" for i in range(n)]
+
+    def run(batches):
+        held = _Values(*shared.value)
+        for batch in batches:
+            lists = batch.columns[-1]
+            coded = lists.flatten().dictionary_encode()
+            values, hits = held.of(coded.dictionary)
+            items, sizes = coded.indices.to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+            of = np.repeat(np.arange(len(lists)), sizes)
+            summed = lambda x, of=of, lists=lists: np.bincount(of, x, len(lists)).astype(float)
+            values = np.ascontiguousarray(values.T)
+            sums = np.stack([summed(c[items]) for c in values])
+            made = [*batch.columns[:-1], pa.array(summed(hits[items])), *map(pa.array, sums)]
+            yield pa.RecordBatch.from_arrays(made, names=[*key, "_known", *plain])
+            pa.default_memory_pool().release_unused()
+
+    fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_w").schema], *[f"{c} double" for c in ("_known", *plain)]])
+    sums = rows.mapInArrow(run, fields).groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("_known", *plain)])
+
+    def best(names: list[str]) -> tuple[Column, Column]:
+        ranked = F.sort_array(F.array(*[F.struct(F.col(c).alias("s"), F.lit(-i).alias("i")) for i, c in enumerate(names)]), asc=False)
+        return F.element_at(F.array(*[F.lit(k) for k in model.languages]), 1 - ranked[0]["i"]), ranked[0]["s"] - ranked[1]["s"] if n > 1 else F.lit(float("inf"))
+
+    name, ahead = best(plain)
+    told = sums.select(*key, name.alias("_l"), F.when(F.col("_known") > 0, ahead).alias("margin"))
+    return told.select(*key, F.when(F.col("margin") >= margin, F.col("_l")).alias("language"), "margin")
 
 
 def match_rates(turns: DataFrame, model: LanguageModel, *, key: str, turn: str = "turn", text: str = "text", expected: str = "language") -> DataFrame:

@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +66,31 @@ def test_match_rates(spark):
     rows = [("a", 1, "the dog and cat", "en"), ("a", 2, "und die katze", "en"), ("b", 1, "the the", "de"), ("b", 2, "und der hund", "de"), ("b", 3, None, "de")]
     got = {r.c: (r.requested_language_match_rate, r.first_turn_match) for r in lm.match_rates(spark.createDataFrame(rows, "c string, turn int, text string, language string"), model, key="c").collect()}
     assert got == {"a": (0.5, 1.0), "b": (pytest.approx(1 / 3), 0.0)}
+
+
+def test_ngrams_are_cut_in_the_tasks(spark):
+    """Scoring a text makes no rows of its n-grams and joins none."""
+    model = lm.fit(spark.createDataFrame([("en", "the cat"), ("de", "die katze")], "lang string, text string"))
+    plan = lm.detect(spark.createDataFrame([(1, "the the cat")], "k int, text string"), model, ["k"])._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("orders", [(1, 2, 3), (2,), (3, 1), (5,)])
+def test_ngrams_of_words(orders):
+    asked = ["the", "é", "cat", "the", "𝒳𝒴", "मेरा", "anna"]
+    want = Counter((n, k, p[i : i + n]) for n in orders for k, w in enumerate(asked) for p in [w if n == 1 else f" {w} "] for i in range(len(p) - n + 1))
+    assert Counter((n, k, found[g]) for n, found, which, of in lm._grams(pa.array(asked), orders) for g, k in zip(which, of, strict=True)) == want
+    assert not [x for _, found, *_ in lm._grams(pa.array([], pa.string()), orders) for x in found]
+
+
+def test_counts_of_words_in_several_languages(spark, monkeypatch):
+    """A model doesn't depend on how many words are cut at a time; a word can belong to several languages."""
+    rows = [("en", "a cat sat and sat"), ("de", "a katze sat"), ("en", "cat"), (None, "x"), ("fr", None), ("fr", "1 2")]
+    texts = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    model = lm.fit(texts)
+    assert model.languages == ("de", "en")
+    got = {r.gram: math.exp(r.p1 - model.unseen[int(r.gram[0])][1]) for r in model.table.collect()}
+    assert got["1a"] == pytest.approx(2 * 6 + 1) and got["3sat"] == pytest.approx(2 * 2 + 1) and got["2k"[:1] + " k"] == pytest.approx(1.0)
+    monkeypatch.setattr(lm, "WORDS", 1)
+    again = lm.fit(texts)
+    assert sorted(again.table.collect()) == sorted(model.table.collect()) and again.unseen == model.unseen
