@@ -29,8 +29,8 @@ GRAMS = 20_000
 SMOOTHING = 0.5
 #: A text's best language must be this much likelier than the next (as a logarithm).
 MARGIN = 1.0
-#: Fitting cuts at least so many words at a time (but for a task's last).
-WORDS = 50_000
+#: Fitting cuts at least so many words at a time (but for a task's last); scoring looks at so many words of a text at a time.
+WORDS, PIECE = 50_000, 1 << 16
 
 
 def _grams(words: pa.Array, orders: Sequence[int]) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray]]:
@@ -147,17 +147,34 @@ class _Values:
         return values, hits
 
 
-def detect(texts: DataFrame, model: LanguageModel, key: Sequence[str], *, text: str = "text", margin: float = MARGIN) -> DataFrame:
+def _quoted(words: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each language (rows of ``values``), how much likelier a text in it gets at most if one run of its words is another's."""
+    n = len(values)
+    total, low, gain = np.zeros((n, 1)), np.zeros((n, n)), np.zeros(n)
+    for at in range(0, len(words), PIECE):
+        sums = total + values[:, words[at : at + PIECE]].cumsum(1)
+        for own in range(n):
+            ahead = sums - sums[own]
+            least = np.minimum(np.minimum.accumulate(ahead, 1), low[own][:, None])
+            gain[own], low[own] = max(gain[own], (ahead - least).max()), least[:, -1]
+        total = sums[:, -1:]
+    return gain
+
+
+def detect(texts: DataFrame, model: LanguageModel, key: Sequence[str], *, text: str = "text", margin: float = MARGIN, quote: float | None = None) -> DataFrame:
     """(key, language, margin): the likeliest language of each key's texts, null without letters the model knows or where the
     next language is nearly as likely.
 
     n-grams that the model lacks count by their language's smoothing. Texts of one key count together; null texts are empty.
+    With ``quote`` a passage in another language doesn't decide, however long it is: of a text one run of words may be taken as
+    another language's, at the price ``quote`` (a logarithm), so that the language on both sides of it is the text's. Where that
+    doesn't put a language ahead by as much, as for a text in two halves, the whole text decides as without it.
     """
     n = len(model.languages)
     prepare(texts.sparkSession)
     rows = texts.select(*key, words(F.col(text)).alias("_w"))
     shared = texts.sparkSession.sparkContext.broadcast(([tuple(r) for r in model.table.collect()], model.unseen))  # at most ``keep`` rows an order
-    plain = [f"_s{i}" for i in range(n)]
+    plain, hosted = [f"_s{i}" for i in range(n)], [f"_h{i}" for i in range(n)] if quote is not None else []
 
     def run(batches):
         held = _Values(*shared.value)
@@ -171,17 +188,24 @@ def detect(texts: DataFrame, model: LanguageModel, key: Sequence[str], *, text:
             values = np.ascontiguousarray(values.T)
             sums = np.stack([summed(c[items]) for c in values])
             made = [*batch.columns[:-1], pa.array(summed(hits[items])), *map(pa.array, sums)]
-            yield pa.RecordBatch.from_arrays(made, names=[*key, "_known", *plain])
+            if hosted:
+                gains = np.array([_quoted(w, values) for w in np.split(items, np.cumsum(sizes)[:-1])]).reshape(-1, n)
+                made += map(pa.array, np.ascontiguousarray(sums + np.maximum(gains - quote, 0).T))
+            yield pa.RecordBatch.from_arrays(made, names=[*key, "_known", *plain, *hosted])
             pa.default_memory_pool().release_unused()
 
-    fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_w").schema], *[f"{c} double" for c in ("_known", *plain)]])
-    sums = rows.mapInArrow(run, fields).groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("_known", *plain)])
+    fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_w").schema], *[f"{c} double" for c in ("_known", *plain, *hosted)]])
+    sums = rows.mapInArrow(run, fields).groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("_known", *plain, *hosted)])
 
     def best(names: list[str]) -> tuple[Column, Column]:
         ranked = F.sort_array(F.array(*[F.struct(F.col(c).alias("s"), F.lit(-i).alias("i")) for i, c in enumerate(names)]), asc=False)
         return F.element_at(F.array(*[F.lit(k) for k in model.languages]), 1 - ranked[0]["i"]), ranked[0]["s"] - ranked[1]["s"] if n > 1 else F.lit(float("inf"))
 
     name, ahead = best(plain)
+    if hosted:
+        own, by = best(hosted)
+        sure = by >= max(quote, margin)
+        name, ahead = F.when(sure, own).otherwise(name), F.when(sure, by).otherwise(ahead)
     told = sums.select(*key, name.alias("_l"), F.when(F.col("_known") > 0, ahead).alias("margin"))
     return told.select(*key, F.when(F.col("margin") >= margin, F.col("_l")).alias("language"), "margin")
 

@@ -10,14 +10,19 @@ from .queries import _r, _scratch, query
 from .views import SCORES_SQL, evaluations, table, trajectories
 
 
+#: The price of a passage in another language.
+QUOTE = 10.0
+
+
 @query("SELECT doc_id, CASE WHEN length(text) >= 100 THEN lang END AS language FROM documents")
 def trained_language(spark, sf_dir):
-    """Each half's documents by a model of the other half; those under 100 characters aren't told. The SQL has the true languages."""
+    """Each half's documents by a model of the other half, a passage in another language not deciding; those under 100 characters
+    aren't told. The SQL has the true languages."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half"))
     told = None
     for half in (0, 1):
         model = language_model.fit(d.where(F.col("half") != half))
-        own = language_model.detect(d.where((F.col("half") == half) & (F.length("text") >= 100)), model, ["doc_id"])
+        own = language_model.detect(d.where((F.col("half") == half) & (F.length("text") >= 100)), model, ["doc_id"], quote=QUOTE)
         told = own if told is None else told.union(own)
     return d.select("doc_id").join(told.select("doc_id", "language"), "doc_id", "left")
 

@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +95,29 @@ def test_counts_of_words_in_several_languages(spark, monkeypatch):
     monkeypatch.setattr(lm, "WORDS", 1)
     again = lm.fit(texts)
     assert sorted(again.table.collect()) == sorted(model.table.collect()) and again.unseen == model.unseen
+
+
+EN = "The old house stands by the river and the children are playing in the garden with a small dog. "
+DE = "Das alte Haus steht am Fluss und die Kinder spielen im Garten mit einem kleinen Hund unter dem Baum. "
+
+
+def test_a_quoted_passage_does_not_decide(spark):
+    """A longer passage in another language is inside the text; a text in two halves goes by what is more."""
+    model = lm.fit(spark.createDataFrame([("en", EN), ("de", DE)], "lang string, text string"))
+    rows = [(1, EN + 3 * DE + EN), (2, DE + 3 * EN + DE), (3, EN + 2 * DE), (4, 2 * EN + DE), (5, EN), (6, DE), (7, None)]
+    asked = spark.createDataFrame(rows, "k int, text string").coalesce(1)
+    got = {quote: {r.k: r.language for r in lm.detect(asked, model, ["k"], quote=quote).collect()} for quote in (None, 10.0)}
+    assert got[10.0] == {1: "en", 2: "de", 3: "de", 4: "en", 5: "en", 6: "de", 7: None}
+    assert got[None] == got[10.0] | {1: "de", 2: "en"}
+
+
+@pytest.mark.parametrize("piece", [1, 3, 100])
+def test_gain_of_a_run_against_all_runs(monkeypatch, piece):
+    monkeypatch.setattr(lm, "PIECE", piece)
+    draw = np.random.default_rng(3)
+    values = draw.normal(size=(3, 20))
+    for n in (0, 1, 2, 9):
+        words = draw.integers(0, 20, n)
+        runs = [words[i:j] for i in range(n) for j in range(i, n + 1)]
+        want = [max([0.0, *((values[m, r] - values[own, r]).sum() for r in runs for m in range(3))]) for own in range(3)]
+        assert lm._quoted(words, values) == pytest.approx(want)
